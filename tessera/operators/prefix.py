@@ -36,7 +36,7 @@ def running_totals(
     """Add, for each ``out: weight`` in ``totals``, the sum of ``weight`` over all earlier rows of the group.
 
     Earlier means by ``position``, then ``order``. Rows that tie in all of these get distinct,
-    gapless intervals in an unspecified order. Null group keys form a group of their own; null
+    gapless intervals in an unspecified order. Group keys and positions must not be null; null
     weights count as zero. ``df`` is read twice, so pass a stored or cheap plan.
     """
     cell = df.withColumn("_bucket", bucket_of(F.col(position), buckets))
@@ -44,12 +44,10 @@ def running_totals(
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = cell.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(w), F.lit(0))).alias(f"_sum_{o}") for o, w in totals.items()])
     bases = bases.select(
-        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
-        *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for o in totals],
+        *keys, *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for o in totals]
     )
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
     inside = Window.partitionBy(*keys).orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cell.join(bases, on=match, how="left")
+    joined = cell.join(bases, on=keys)  # hashed on the same keys as the window: one shuffle serves both
     outs = [
         (F.col(f"_base_{o}") + F.coalesce(F.sum(F.coalesce(F.col(w), F.lit(0))).over(inside), F.lit(0))).alias(o)
         for o, w in totals.items()
