@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import table
+from tessera.runtime import stored, table
 
 WORD_TOKENIZER, WORD_END = "word_bpe_49k.json", 2
 BYTE_TOKENIZER, BYTE_END = "byte_bpe_50k.json", 1
@@ -26,8 +26,25 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(segments).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import cut_documents, pack_pieces
+
+    pieces = cut_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), BYTE_END)
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack_pieces(stored(digests, "pieces"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_duplicates import as_hex, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
+    "op2_packing": op2_packing,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
