@@ -15,7 +15,7 @@ from array import array
 from functools import lru_cache
 
 #: Pieces remembered by one Python worker; at about 250 bytes each this bounds the memory.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Longer pieces are encoded but not remembered.
 LONGEST = 40
 
