@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.runtime import stored, table
@@ -41,10 +41,68 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shard_rows
+
+    texts = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    dealt = shard_rows(stored(texts, "sizes"), ["doc_id", "text_crc32"])
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home"
+    )
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import media_features, to_media
+
+    media = stored(to_media(table(spark, sf_dir, "documents")), "media")
+    ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("-", k["start"], k["end"])), ",")
+    feature = F.concat_ws(";", F.trim("codec"), F.format_string("%.6f", "duration_s"), F.col("n_samples"), ranges)
+    return media_features(media, payload=False).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+    )
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.personal_data import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def listed(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import assemble, read_records, write_archives
+
+    captures = assemble(read_records(write_archives(table(spark, sf_dir, "pages"))), payload=False)
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
     "op2_packing": op2_packing,
+    "op3_html_text": op3_html_text,
     "op4_simhash": op4_simhash,
+    "op5_ring_sharding": op5_ring_sharding,
+    "op6_media": op6_media,
+    "op8_personal_data": op8_personal_data,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
