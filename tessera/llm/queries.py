@@ -72,6 +72,13 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.personal_data import KINDS, find_personal_data
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_media": op6_media,
+    "op7_risk_controlled": op7_risk_controlled,
     "op8_personal_data": op8_personal_data,
     "op9_warc": op9_warc,
 }
