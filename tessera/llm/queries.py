@@ -101,6 +101,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix, place_documents, plan_slots, source_targets, word_count
+
+    documents = table(spark, sf_dir, "documents")
+    sized = stored(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    targets = stored(source_targets(sized), "targets")
+    placed = stored(place_documents(sized, targets).withColumn("row", F.monotonically_increasing_id()), "placed")
+    taken = mix(placed, plan_slots(targets)).groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    named = placed.join(targets.select(F.col("number").alias("source_number"), "source_size", "target"), "source_number")
+    return named.join(taken, "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
     "op2_packing": op2_packing,
@@ -111,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_risk_controlled": op7_risk_controlled,
     "op8_personal_data": op8_personal_data,
     "op9_warc": op9_warc,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
