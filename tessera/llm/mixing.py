@@ -20,13 +20,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import hash_position, running_totals
-from tessera.runtime import parallelism, stored
+from tessera.runtime import parallelism, small_batches, stored
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 BLOCK_WORDS, SHARD_SLOTS, SEED, MOST_TIMES = 256, 1024, 17, 3
 
@@ -201,3 +206,50 @@ def mix(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) ->
     return joined.where("lo < hi").select(
         "row", (F.col("lo") - F.col("first_word")).alias("lo"), (F.col("hi") - F.col("first_word")).alias("hi"), "shard", "pass"
     )
+
+
+def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as rows of ``documents``: a row for each pass that takes words of a document.
+
+    A pass that takes the whole document keeps its text as it is; otherwise the text is the taken
+    stretches, each as it stands in the source, joined by a line break. ``n_chars`` follows the text.
+    """
+    small_batches(documents.sparkSession)
+    columns = documents.columns
+    rows = stored(
+        documents.select(F.struct(*columns).alias("document"), "doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+        .withColumn("row", F.monotonically_increasing_id()),
+        "mix-rows",
+    )
+    sized = rows.select("doc_id", "source", "size", "row")
+    targets = stored(source_targets(sized), "targets")
+    placed = stored(place_documents(sized, targets), "placed")
+    spans = mix(placed, plan_slots(targets, block_words), block_words)
+    # bounded by the blocks of one document and the passes over it
+    by_row = spans.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    taken = by_row.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "spans"))).alias("passes"))
+    joined = rows.select("row", "size", "document").join(taken, "row").select("size", "passes", F.col("document.text").alias("text"), "document")
+
+    def cut(text: str, size: int, spans: list[dict[str, int]]) -> str:
+        ranges: list[list[int]] = []
+        for s in spans:
+            if ranges and ranges[-1][1] == s["lo"]:
+                ranges[-1][1] = s["hi"]
+            else:
+                ranges.append([s["lo"], s["hi"]])
+        if ranges == [[0, size]]:
+            return text
+        at = [m.span() for m in _WORD.finditer(text)]
+        return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in ranges)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, passes, texts = (batch.column(k).to_pylist() for k in range(3))
+            made = [(k, cut(texts[k], sizes[k], p["spans"])) for k in range(len(texts)) for p in passes[k]]
+            which = pa.array([k for k, _ in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(which), pa.array([t for _, t in made], pa.string())], names=["document", "cut"])
+
+    kind = rows.schema["document"].dataType.simpleString()
+    out = joined.mapInArrow(build, f"document {kind}, cut string")
+    new = {"text": F.col("cut"), "n_chars": F.char_length("cut").cast("long")}
+    return out.select(*[new.get(c, F.col(f"document.{c}")).alias(c) for c in columns])

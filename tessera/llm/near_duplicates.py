@@ -51,17 +51,23 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp)`` of ``documents(doc_id, text)``; fp holds the 64 bits as a signed long."""
+def fingerprints(documents: DataFrame, words: int = WORDS, carry: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of ``documents(doc_id, text)``; fp holds the 64 bits as a signed long.
+
+    ``carry`` names a column to keep.
+    """
     small_batches(documents.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    return rows.mapInArrow(prints, "doc_id long, fp long")
+    carried = [carry] if carry else []
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), *carried)
+    kinds = "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(prints, f"doc_id long, fp long{kinds}")
 
 
 def as_hex(fp: Column) -> Column:
@@ -197,15 +203,28 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
+def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, part)``: each fingerprint of ``prints(fp)`` with the least fingerprint of its component."""
+    distinct = stored(prints.groupBy("fp").agg(F.count("*").alias("rows")), "distinct")
+    parts = connected_components(near_links(distinct, radius), "a", "b")
+    return distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """``(doc_id, fp, component_id)``: the smallest doc_id reachable over links of near fingerprints."""
     prints = stored(fingerprints(documents, words), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    parts = connected_components(near_links(distinct, radius), "a", "b")
-    named = stored(
-        distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part")),
-        "parts",
-    )
-    least = named.groupBy("part").agg(F.min("first").alias("component_id"))
-    by_print = named.join(least, "part").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(by_print, prints["fp"] == by_print["_fp"]).select("doc_id", "fp", "component_id")
+    classes = stored(near_classes(prints, radius), "classes")
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(classes, "fp")
+    least = firsts.groupBy("part").agg(F.min("first").alias("component_id"))
+    by_print = classes.join(least, "part").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest doc_id, null ids last."""
+    whole = documents.select("doc_id", "text", F.struct(*documents.columns).alias("document"))
+    rows = stored(fingerprints(whole, words, carry="document").withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    classes = near_classes(rows.select("fp"), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = rows.select("doc_id", "fp", "row").join(classes, "fp").groupBy("part").agg(first).select(F.col("first.row").alias("row"))
+    return rows.select("row", "document").join(kept, "row", "left_semi").select("document.*")

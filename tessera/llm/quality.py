@@ -84,14 +84,19 @@ _FEATURES = f"""
 """
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """Counts of each whole text of ``documents(doc_id, text, lang)``, with ``base_failed``."""
+def features(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """Counts of each whole text of ``documents(doc_id, text, lang)``, with ``base_failed``.
+
+    ``whole`` also keeps the document as it came, as the struct ``document``.
+    """
+    carried = ["document"] if whole else []
     texts = documents.select(
+        *[F.struct(*documents.columns).alias(c) for c in carried],
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
     )
-    counts = texts.select("doc_id", "stratum", F.expr(_FEATURES).alias("f")).select("doc_id", "stratum", "f.*")
+    counts = texts.select("doc_id", "stratum", *carried, F.expr(_FEATURES).alias("f")).select("doc_id", "stratum", *carried, "f.*")
     return counts.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -145,9 +150,9 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: floa
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, r.cutoff(F.col("step")))).alias(r.name) for r in RULES])
 
 
-def judge(documents: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK) -> DataFrame:
+def judge(documents: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK, whole: bool = False) -> DataFrame:
     """``features`` with the ``verdicts`` of the rules (names of those that reject) and ``kept``."""
-    rows = stored(features(documents), "quality")
+    rows = stored(features(documents, whole), "quality")
     chosen = stored(cutoffs(rows, labels, limit, risk), "cutoffs")
     chosen = chosen.select(F.col("stratum").alias("_stratum"), *[F.col(r.name).alias(f"_{r.name}") for r in RULES])
     rejects = [F.when(F.expr(f"try_divide({r.ratio.split(' / ')[0]}, {r.ratio.split(' / ')[1]}) > _{r.name}"), F.lit(r.name)) for r in RULES]
