@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.runtime import stored
@@ -43,3 +44,142 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if new.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def reachable(edges: DataFrame, src: str, dst: str, anchors: DataFrame, max_depth: int, both_ways: bool = False) -> DataFrame:
+    """``(anchor, node, depth)``: nodes reached from ``anchors(anchor)`` in at most ``max_depth`` steps, at the least depth.
+
+    One join a level; only nodes new to an anchor go on, so cycles end by themselves.
+    """
+    step = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to"))
+    if both_ways:
+        step = step.unionByName(step.select(F.col("_to").alias("_from"), F.col("_from").alias("_to")))
+    step = stored(step.where("_from IS NOT NULL AND _to IS NOT NULL").distinct(), "steps")
+    seen = stored(anchors.select("anchor", F.col("anchor").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
+    edge = seen
+    for depth in range(1, max_depth + 1):
+        ahead = edge.join(step, edge["node"] == step["_from"]).select("anchor", F.col("_to").alias("node")).distinct()
+        edge = stored(ahead.join(seen.select("anchor", "node"), ["anchor", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if edge.isEmpty():
+            break
+        seen = seen.unionByName(edge)
+    return seen
+
+
+def shortest_paths(edges: DataFrame, src: str, dst: str, sources: DataFrame, max_depth: int, allowed: Column | None = None) -> DataFrame:
+    """``(node, distance, path)`` from the nearest of ``sources(node)`` over allowed edges, source first.
+
+    Of equally short paths that through the smallest previous node is taken.
+    """
+    usable = edges.where(allowed) if allowed is not None else edges
+    step = stored(usable.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).distinct(), "steps")
+    found = stored(sources.select("node", F.lit(0).alias("distance"), F.array("node").alias("path")).dropDuplicates(["node"]), "paths")
+    edge = found
+    for distance in range(1, max_depth + 1):
+        ahead = edge.join(step, edge["node"] == step["_from"]).groupBy("_to").agg(F.min_by("path", "_from").alias("_path"))
+        new = ahead.join(found.select(F.col("node").alias("_to")), "_to", "left_anti")
+        edge = stored(new.select(F.col("_to").alias("node"), F.lit(distance).alias("distance"), F.concat("_path", F.array("_to")).alias("path")), "level")
+        if edge.isEmpty():
+            break
+        found = found.unionByName(edge)
+    return found
+
+
+def cycles(edges: DataFrame, src: str, dst: str, max_length: int) -> DataFrame:
+    """``(nodes)``: the node sets, as sorted arrays, of simple cycles of at most ``max_length`` edges.
+
+    Paths start at their smallest node, so each cycle is walked from one place only. The length
+    bound keeps the enumeration, exponential in general, finite and small.
+    """
+    step = stored(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).where("_from IS NOT NULL AND _to IS NOT NULL").distinct(), "steps")
+    paths = step.where("_to >= _from").select(F.array("_from").alias("path"), F.col("_to").alias("_next"))
+    closed = None
+    for _ in range(max_length):
+        done = paths.where(F.col("_next") == F.get("path", 0)).select(F.array_sort("path").alias("nodes"))
+        closed = done if closed is None else closed.unionByName(done)
+        open_ = paths.where((F.col("_next") > F.get("path", 0)) & ~F.array_contains("path", F.col("_next")))
+        open_ = stored(open_.select(F.concat("path", F.array("_next")).alias("path"), F.col("_next").alias("_at")), "walks")
+        if open_.isEmpty():
+            break
+        paths = open_.join(step, open_["_at"] == step["_from"]).select("path", F.col("_to").alias("_next"))
+    return closed.distinct()
+
+
+def dominators(edges: DataFrame, graph: str, src: str, dst: str, root: Column) -> DataFrame:
+    """``(graph, node, parent)``: immediate dominators of the nodes reachable from each graph's root.
+
+    Each graph is one group, as a heap snapshot is: it must fit one worker. The iterative
+    algorithm of Cooper, Harvey and Kennedy runs over the nodes in reverse postorder.
+    """
+    ids = edges.select(F.col(graph).alias("graph"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), root.cast("long").alias("root"))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        following: dict[int, list[int]] = {}
+        for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+            following.setdefault(a, []).append(b)
+        start = int(frame["root"].iloc[0])
+        order: list[int] = []
+        seen, stack = {start}, [(start, iter(sorted(following.get(start, []))))]
+        while stack:
+            node, rest = stack[-1]
+            for b in rest:
+                if b not in seen:
+                    seen.add(b)
+                    stack.append((b, iter(sorted(following.get(b, [])))))
+                    break
+            else:
+                order.append(node)
+                stack.pop()
+        rank = {n: i for i, n in enumerate(order)}
+        before: dict[int, list[int]] = {}
+        for a in order:
+            for b in following.get(a, []):
+                before.setdefault(b, []).append(a)
+        over = {start: start}
+        changed = True
+        while changed:
+            changed = False
+            for node in reversed(order[:-1]):
+                known = [p for p in before[node] if p in over]
+                best = known[0]
+                for p in known[1:]:
+                    a, b = p, best
+                    while a != b:
+                        while rank[a] < rank[b]:
+                            a = over[a]
+                        while rank[b] < rank[a]:
+                            b = over[b]
+                    best = a
+                if over.get(node) != best:
+                    over[node], changed = best, True
+        nodes = [n for n in order if n != start]
+        return pd.DataFrame({"graph": frame["graph"].iloc[0], "node": nodes, "parent": [over[n] for n in nodes]})
+
+    kind = ids.schema["graph"].dataType.simpleString()
+    return ids.groupBy("graph").applyInPandas(solve, f"graph {kind}, node long, parent long")
+
+
+def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+    """``(graph, name, n, retained)``: all nodes of a name counted, but sizes summed only where no
+    ancestor in the dominator tree has the same name.
+
+    ``tree(graph, node, parent)``, ``nodes(graph, node, name, size)``, where size is the retained one.
+    """
+    up = stored(tree.select("graph", "node", "parent"), "tree")
+    named = nodes.select("graph", "node", "name", "size")
+    same = named.select("graph", F.col("node").alias("parent"), F.col("name").alias("_up"))
+    walk = stored(named.select("graph", "node", "name").join(up, ["graph", "node"]), "walk")
+    covered = None
+    for _ in range(max_depth):
+        step = walk.join(same, ["graph", "parent"], "left")
+        hit = step.where("_up = name").select("graph", "node")
+        covered = hit if covered is None else covered.unionByName(hit)
+        rest = step.where("_up IS NULL OR _up <> name").select("graph", "node", "name", F.col("parent").alias("_at"))
+        walk = stored(rest.join(up.select("graph", F.col("node").alias("_at"), "parent"), ["graph", "_at"]).select("graph", "node", "name", "parent"), "walk")
+        if walk.isEmpty():
+            break
+    inner = covered.distinct().withColumn("_inner", F.lit(True))
+    marked = named.join(inner, ["graph", "node"], "left")
+    return marked.groupBy("graph", "name").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("_inner").isNull(), F.col("size")).otherwise(0)).alias("retained")
+    )

@@ -1,13 +1,22 @@
-"""Queries over the driver's tables, one for each reference operator, with DuckDB equivalents."""
+"""Queries over the driver's tables, one or more for each family of operators, with DuckDB equivalents.
+
+Money is summed in whole cents, so sums don't depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import table
+from tessera.functions import scalars as S
+from tessera.operators import graph as G
+from tessera.operators import relational as R
+from tessera.operators import retrieval as T
+from tessera.operators import similarity as M
+from tessera.runtime import stored, table
+from tessera.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,6 +34,13 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def cents(name: str) -> Column:
+    return F.round(F.col(name) * 100).cast("long")
+
+
+# --- traces: latest event, shares, signatures, lookups
+
+
 @query(
     """
     SELECT user_id, event_id, event_type, value FROM (
@@ -32,6 +48,736 @@ def query(sql: str | None = None) -> Callable:
     WHERE rn = 1"""
 )
 def latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.latest_by(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "event_type", "value"])
+
+
+@query(
+    """
+    WITH g AS (SELECT l_partkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS total, count(*) AS n FROM lineitem GROUP BY l_partkey),
+    s AS (SELECT *, CAST(total AS DOUBLE) * 100.0 / CAST(sum(total) OVER () AS DOUBLE) AS share FROM g)
+    SELECT l_partkey, CAST(total AS BIGINT) AS total, n, share FROM s WHERE share >= 0.001 ORDER BY total DESC, l_partkey LIMIT 5"""
+)
+def topk_share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_shares(table(spark, sf_dir, "lineitem"), ["l_partkey"], cents("l_extendedprice"), 0.001, 5, ["l_partkey"])
+
+
+@query(
+    """
+    SELECT l_suppkey || '|' || l_returnflag || '|' || CAST(CAST(l_quantity AS BIGINT) & -8 AS VARCHAR) AS signature, count(*) AS n,
+      CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, min(l_orderkey * 10 + l_linenumber) AS first_row
+    FROM lineitem GROUP BY 1"""
+)
+def stack_signature_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = F.col("l_quantity").cast("long")
+    key = F.concat_ws("|", "l_suppkey", "l_returnflag", S.masked(quantity, 3).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").withColumns({"signature": key, "q": quantity})
+    return rows.groupBy("signature").agg(
+        F.count("*").alias("n"), F.sum("q").alias("total"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_row")
+    )
+
+
+@query(
+    """
+    SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem
+    WHERE l_linestatus = 'O' AND l_returnflag IN ('A', 'R') AND l_discount > l_tax AND l_quantity IS NOT NULL"""
+)
+def live_filter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O' AND l_returnflag IN ('A', 'R') AND l_discount > l_tax AND l_quantity IS NOT NULL")
+    return live.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), cents("l_extendedprice").alias("cents"))
+
+
+@query(
+    """
+    SELECT l_suppkey, greatest(CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END)
+      - sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT), 0) AS net FROM lineitem GROUP BY l_suppkey"""
+)
+def clamped_net_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = F.col("l_quantity").cast("long")
+    flag = F.col("l_returnflag")
+    return R.net_by_key(table(spark, sf_dir, "lineitem"), "l_suppkey", F.when(flag == "N", quantity), F.when(flag == "R", quantity))
+
+
+@query(
+    """
+    SELECT r.r_name, n.n_name, coalesce(s.s_name, '') AS s_name FROM region r
+    LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey AND n.n_nationkey < 20
+    LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000"""
+)
+def chain_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, supplier = (table(spark, sf_dir, n) for n in ("region", "nation", "supplier"))
+    joined = region.join(nation, (F.col("n_regionkey") == F.col("r_regionkey")) & (F.col("n_nationkey") < 20), "left")
+    joined = joined.join(supplier, (F.col("s_nationkey") == F.col("n_nationkey")) & (F.col("s_acctbal") > 5000), "left")
+    return joined.select("r_name", "n_name", F.coalesce("s_name", F.lit("")).alias("s_name"))
+
+
+@query(
+    """
+    SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (
+      SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'MACHINERY' AND c_acctbal > 8000)"""
+)
+def semi_wanted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY' AND c_acctbal > 8000").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(wanted, "o_custkey", "left_semi")
+
+
+@query(
+    """
+    WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)
+    SELECT w.word, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
+    FROM w JOIN lineitem ON l_partkey = p_partkey GROUP BY w.word"""
+)
+def exploded_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    return words.join(lines, F.col("l_partkey") == F.col("p_partkey")).groupBy("word").agg(F.sum("n").alias("lines"), F.sum("q").alias("quantity"))
+
+
+@query(
+    """
+    SELECT c_custkey, CASE WHEN o.n IS NULL THEN 'no orders' WHEN l.n IS NULL THEN 'no lines' ELSE 'found' END AS reason,
+      coalesce(o.n, 0) AS orders, coalesce(l.n, 0) AS lines FROM customer
+    LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o ON o.o_custkey = c_custkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+      WHERE o_orderstatus = 'P' AND l_returnflag = 'R' GROUP BY 1) l ON l.o_custkey = c_custkey"""
+)
+def association_with_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("k"))
+    by_order = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("o_n"))
+    by_line = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("k").alias("l_n"))
+    joined = table(spark, sf_dir, "customer").select("c_custkey").join(by_order, "c_custkey", "left").join(by_line, "c_custkey", "left")
+    reason = F.when(F.col("o_n").isNull(), "no orders").when(F.col("l_n").isNull(), "no lines").otherwise("found")
+    return joined.select("c_custkey", reason.alias("reason"), F.coalesce("o_n", F.lit(0)).alias("orders"), F.coalesce("l_n", F.lit(0)).alias("lines"))
+
+
+@query(
+    """
+    SELECT s_nationkey, array_to_string(list_sort(list(s_suppkey)), ',') AS suppliers, count(*) AS n FROM supplier GROUP BY s_nationkey"""
+)
+def inverse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_sort(F.collect_list("s_suppkey"))
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat_ws(",", ids.cast("array<string>")).alias("suppliers"), F.count("*").alias("n"))
+
+
+@query(
+    """
+    SELECT a.p_partkey AS seed, b.p_partkey AS same FROM part a JOIN part b
+    ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_size <= 2"""
+)
+def same_name_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    seeds = part.where("p_size <= 2").select(F.col("p_partkey").alias("seed"), "p_name", "p_brand")
+    return seeds.join(part.select("p_name", "p_brand", F.col("p_partkey").alias("same")), ["p_name", "p_brand"]).where("seed <> same").select("seed", "same")
+
+
+# --- versions: differences, growth, roll-ups
+
+_SLICES = """
+    b AS (SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1),
+    c AS (SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY 1),
+    d AS (SELECT coalesce(b.l_partkey, c.l_partkey) AS l_partkey, coalesce(b.q, 0) AS before, coalesce(c.q, 0) AS now,
+      coalesce(c.q, 0) - coalesce(b.q, 0) AS delta,
+      CASE WHEN b.q IS NULL THEN 'new' WHEN c.q IS NULL THEN 'removed' WHEN c.q > b.q THEN 'increased'
+        WHEN c.q < b.q THEN 'decreased' ELSE 'unchanged' END AS status
+      FROM b FULL OUTER JOIN c ON b.l_partkey = c.l_partkey)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("long").alias("q"), F.year("l_shipdate").alias("y"))
+    slices = [lines.where(F.col("y") == y).groupBy("l_partkey").agg(F.sum("q").alias("q")) for y in (1997, 1998)]
+    return R.compare_versions(*slices, "l_partkey", "q")
+
+
+@query(f"WITH {_SLICES} SELECT * FROM d")
+def version_diff_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_SLICES}, r AS (SELECT l_partkey, delta, CASE WHEN delta > 0 THEN
+      CAST(sum(CASE WHEN delta > 0 THEN 1 END) OVER (ORDER BY delta DESC, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS growth_rank FROM d)
+    SELECT * FROM r"""
+)
+def conditional_growth_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = _versions(spark, sf_dir).select("l_partkey", "delta")
+    return R.ranked_where(grown, F.col("delta") > 0, [F.desc("delta"), "l_partkey"], "growth_rank")
+
+
+@query(
+    f"""WITH {_SLICES} SELECT l_partkey, status, delta, row_number() OVER (PARTITION BY status ORDER BY delta DESC, now DESC, l_partkey) AS status_rank
+    FROM d WHERE status IN ('new', 'increased')"""
+)
+def rank_within_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("status").orderBy(F.desc("delta"), F.desc("now"), "l_partkey")
+    rows = _versions(spark, sf_dir).where(F.col("status").isin("new", "increased"))
+    return rows.select("l_partkey", "status", "delta", F.row_number().over(w).cast("long").alias("status_rank"))
+
+
+@query(
+    f"""WITH {_SLICES}, n AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT d.l_partkey, round(delta * (1 + ln(greatest(1, n.n))), 4) AS score FROM d JOIN n ON d.l_partkey = n.l_partkey
+    WHERE delta > 0 ORDER BY delta DESC, n.n DESC, d.l_partkey LIMIT 50"""
+)
+def occurrence_weighted_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    grown = _versions(spark, sf_dir).where("delta > 0").join(seen, "l_partkey").orderBy(F.desc("delta"), F.desc("n"), "l_partkey").limit(50)
+    return grown.select("l_partkey", F.round(F.col("delta") * S.occurrence_weight(F.col("n")), 4).alias("score"))
+
+
+@query(
+    """
+    WITH s AS (SELECT l_suppkey, month(l_shipdate) AS snap, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem
+      WHERE year(l_shipdate) = 1997 GROUP BY 1, 2)
+    SELECT l_suppkey, count(*) AS present, CAST(sum(q) AS BIGINT) AS total, max(q) AS largest,
+      CAST(sum(q) AS DOUBLE) / (SELECT count(DISTINCT snap) FROM s) AS avg_all, CAST(sum(q) AS DOUBLE) / count(*) AS avg_present
+    FROM s GROUP BY l_suppkey"""
+)
+def rollup_two_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1997)
+    snaps = lines.groupBy("l_suppkey", F.month("l_shipdate").alias("snap")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    whole = snaps.agg(F.countDistinct("snap").alias("snaps"))
+    grouped = snaps.groupBy("l_suppkey").agg(F.count("*").alias("present"), F.sum("q").alias("total"), F.max("q").alias("largest"))
+    averages = {"avg_all": F.col("total") / F.col("snaps"), "avg_present": F.col("total") / F.col("present")}
+    return grouped.crossJoin(F.broadcast(whole)).withColumns(averages).drop("snaps")
+
+
+@query(
+    """
+    SELECT o_custkey, y, o_orderkey, cents FROM (
+      SELECT o_custkey, year(o_orderdate) AS y, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+        row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1"""
+)
+def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.year("o_orderdate").cast("long").alias("y"), "o_orderkey", cents("o_totalprice").alias("cents"), (-F.col("o_orderkey")).alias("tie"), "o_totalprice"
+    )
+    return R.latest_by(rows, ["o_custkey", "y"], ["o_totalprice", "tie"], ["o_orderkey", "cents"])
+
+
+@query(
+    """
+    SELECT year(o_orderdate) AS version, count(*) AS n, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total,
+      CAST(max(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS largest, min(o_orderkey) AS first_order FROM orders GROUP BY 1"""
+)
+def version_side_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("long").alias("version"), "o_custkey", "o_orderkey", cents("o_totalprice").alias("c"))
+    return rows.groupBy("version").agg(
+        F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), F.sum("c").alias("total"), F.max("c").alias("largest"),
+        F.min("o_orderkey").alias("first_order"),
+    )
+
+
+@query(
+    """
+    SELECT o_custkey, count(DISTINCT o_orderpriority) AS chains, array_to_string(list_sort(list(DISTINCT year(o_orderdate))), ',') AS versions
+    FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) >= 2"""
+)
+def distinct_chain_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.countDistinct("o_orderpriority").alias("chains"), F.array_sort(F.collect_set(F.year("o_orderdate"))).alias("v")
+    )
+    return grouped.where("chains >= 2").select("o_custkey", "chains", F.concat_ws(",", F.col("v").cast("array<string>")).alias("versions"))
+
+
+@query(
+    """
+    WITH s AS (SELECT l_partkey % 50 AS alias, l_partkey, month(l_shipdate) AS snap, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, min(l_linenumber) AS rank_
+      FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY 1, 2, 3)
+    SELECT snap, alias, CAST(sum(q) AS BIGINT) AS total, CAST(min(rank_) AS BIGINT) AS best_rank, count(DISTINCT l_partkey) AS variants,
+      arg_max(l_partkey, q * 100000 - l_partkey) AS representative FROM s GROUP BY 1, 2"""
+)
+def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1998)
+    snaps = lines.groupBy("l_partkey", F.month("l_shipdate").cast("long").alias("snap")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("q"), F.min("l_linenumber").cast("long").alias("r")
+    )
+    return snaps.groupBy("snap", (F.col("l_partkey") % 50).alias("alias")).agg(
+        F.sum("q").alias("total"), F.min("r").alias("best_rank"), F.countDistinct("l_partkey").alias("variants"),
+        F.max_by("l_partkey", F.col("q") * 100000 - F.col("l_partkey")).alias("representative"),
+    )
+
+
+# --- shares, caps and attribution
+
+
+@query(
+    """
+    WITH g AS (SELECT p_brand, CAST(sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS total FROM part GROUP BY 1),
+    r AS (SELECT *, CAST(sum(total) OVER (ORDER BY total DESC, p_brand ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, sum(total) OVER () AS whole FROM g)
+    SELECT p_brand, total, running FROM r WHERE running - total < whole * 0.5"""
+)
+def cumulative_half_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum(cents("p_retailprice")).alias("total"))
+    return R.cumulative_share(grouped, "total", [F.desc("total"), "p_brand"], 0.5)
+
+
+@query(
+    """
+    SELECT p_type, p_partkey, CAST(rn AS INTEGER) AS rank FROM (
+      SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 2"""
+)
+def per_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_per_group(table(spark, sf_dir, "part"), ["p_type"], [F.desc("p_retailprice"), "p_partkey"], 2).select("p_type", "p_partkey", "rank")
+
+
+@query(
+    """
+    WITH g AS (SELECT CASE WHEN regexp_matches(event_type, '^(click|view)$') THEN 'browse' WHEN regexp_matches(event_type, 'purch') THEN 'buy'
+      WHEN regexp_matches(event_type, 'err') THEN 'fault' ELSE 'other' END AS bucket, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1)
+    SELECT bucket, total, n, CAST(total AS DOUBLE) * 100.0 / CAST(sum(total) OVER () AS DOUBLE) AS share FROM g"""
+)
+def regex_bucket_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    bucket = F.when(kind.rlike("^(click|view)$"), "browse").when(kind.rlike("purch"), "buy").when(kind.rlike("err"), "fault").otherwise("other")
+    grouped = table(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.sum(cents("value")).alias("total"), F.count("*").alias("n"))
+    return R.share_of_total(grouped, "total")
+
+
+@query(
+    """
+    WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), s AS (SELECT p_brand, n, CAST(n AS DOUBLE) / sum(n) OVER () AS rate, count(*) OVER () AS kinds FROM g)
+    SELECT p_brand, n FROM s WHERE rate * 2 * kinds > 2.2"""
+)
+def dominant_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    whole = grouped.agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"))
+    rate = F.col("n") / F.col("whole")
+    return grouped.crossJoin(F.broadcast(whole)).where(rate * 2 * F.col("kinds") > 2.2).select("p_brand", "n")
+
+
+@query(
+    """
+    WITH o AS (SELECT DISTINCT l_orderkey, l_suppkey, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    n AS (SELECT l_orderkey, count(*) AS n FROM o GROUP BY 1)
+    SELECT l_suppkey, CAST(sum(size // n) AS BIGINT) AS attributed, count(*) AS items FROM o JOIN n ON n.l_orderkey = o.l_orderkey GROUP BY l_suppkey"""
+)
+def even_split_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), cents("o_totalprice").alias("size"))
+    shared = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey")
+    return R.even_split(shared, "l_orderkey", "l_suppkey", "size")
+
+
+@query(
+    """
+    WITH a AS (SELECT p_size, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE year(l_shipdate) = 1996 AND l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1),
+    z AS (SELECT p_size, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE year(l_shipdate) = 2000 AND l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1)
+    SELECT z.p_size, z.n - coalesce(a.n, 0) AS growth FROM z LEFT JOIN a ON a.p_size = z.p_size"""
+)
+def size_class_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").join(part, "l_partkey")
+    first, last = (lines.where(F.year("l_shipdate") == y).groupBy("p_size").agg(F.count("*").alias(n)) for y, n in ((1996, "a"), (2000, "z")))
+    return last.join(first, "p_size", "left").select("p_size", (F.col("z") - F.coalesce("a", F.lit(0))).alias("growth"))
+
+
+@query(
+    """
+    WITH g AS (SELECT l_returnflag, l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2)
+    SELECT l_returnflag, CAST(sum(q) AS BIGINT) AS total, arg_max(l_suppkey, q * 1000000 - l_suppkey) AS top_channel FROM g GROUP BY 1"""
+)
+def top_channel_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    top = F.max_by("l_suppkey", F.col("q") * 1000000 - F.col("l_suppkey")).alias("top_channel")
+    return grouped.groupBy("l_returnflag").agg(F.sum("q").alias("total"), top)
+
+
+@query(
+    """
+    WITH v AS (SELECT user_id, CASE WHEN event_type = 'error' AND value > 20 THEN 'Critical' WHEN event_type = 'error' THEN 'Major' ELSE 'Minor' END AS s FROM events)
+    SELECT user_id, count(*) FILTER (s = 'Critical') AS critical, count(*) FILTER (s = 'Major') AS major, count(*) FILTER (s = 'Minor') AS minor,
+      CASE min(CASE s WHEN 'Critical' THEN 0 WHEN 'Major' THEN 1 ELSE 2 END) WHEN 0 THEN 'Critical' WHEN 1 THEN 'Major' ELSE 'Minor' END AS worst FROM v GROUP BY 1"""
+)
+def severity_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["Critical", "Major", "Minor"]
+    error = F.col("event_type") == "error"
+    rated = table(spark, sf_dir, "events").select("user_id", F.when(error & (F.col("value") > 20), 0).when(error, 1).otherwise(2).alias("s"))
+    counts = [F.count(F.when(F.col("s") == k, 1)).alias(n.lower()) for k, n in enumerate(order)]
+    return rated.groupBy("user_id").agg(*counts, F.get(F.array(*map(F.lit, order)), F.min("s")).alias("worst"))
+
+
+# --- line-oriented operators
+
+
+@query(
+    """
+    SELECT user_id, event_id, CAST(coalesce(sum(CASE WHEN event_type = 'signup' THEN 1 END)
+      OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS session FROM events"""
+)
+def marker_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return R.sessions(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup").select("user_id", "event_id", "session")
+
+
+@query(
+    """
+    WITH l AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'error' GROUP BY 1),
+    b AS (SELECT e.user_id, e.event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) AS back FROM events e JOIN l ON l.user_id = e.user_id AND e.event_id <= l.last)
+    SELECT user_id, event_id, CAST(back AS INTEGER) AS back FROM b WHERE back <= 15"""
+)
+def tail_before_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return R.tail_before_last(rows, ["user_id"], ["event_id"], F.col("event_type") == "error", 15).select("user_id", "event_id", "back")
+
+
+@query(
+    """
+    WITH l AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'signup' AND value > 40 GROUP BY 1)
+    SELECT e.user_id, e.event_id FROM events e LEFT JOIN l ON l.user_id = e.user_id WHERE l.last IS NULL OR e.event_id >= l.last"""
+)
+def last_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return R.after_last(rows, ["user_id"], ["event_id"], (F.col("event_type") == "signup") & (F.col("value") > 40)).select("user_id", "event_id")
+
+
+@query(
+    """
+    WITH s AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM conversations)
+    SELECT conv_id, turn, substr(text, 1, CAST(600 - spent AS BIGINT)) AS text FROM s WHERE spent < 600"""
+)
+def budgeted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return R.within_budget(rows, ["conv_id"], ["turn"], "text", 600)
+
+
+@query(
+    """
+    SELECT conv_id, turn, array_to_string(string_split(text, chr(10))[1:3], ' | ') AS frames, len(string_split(text, chr(10))) - least(3, len(string_split(text, chr(10)))) AS omitted FROM (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 20"""
+)
+def bounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.first_per_group(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 20)
+    lines = F.split("text", "\n")
+    frames = F.array_join(F.slice(lines, 1, 3), " | ").alias("frames")
+    return rows.select("conv_id", "turn", frames, (F.size(lines) - F.least(F.lit(3), F.size(lines))).cast("long").alias("omitted"))
+
+
+@query(
+    """
+    WITH r AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_brand, p_type) AS rank FROM r)
+    SELECT p_brand, p_type, rank, CASE WHEN rank > 26 THEN chr(CAST(64 + (rank - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (rank - 1) % 26 AS INTEGER)) AS label,
+      (rank - 1) % 10 AS colour FROM k WHERE rank <= 100"""
+)
+def family_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    top = grouped.orderBy(F.desc("n"), "p_brand", "p_type").limit(100)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand", "p_type")).cast("long"))
+    return ranked.select("p_brand", "p_type", "rank", S.column_label(F.col("rank")).alias("label"), ((F.col("rank") - 1) % 10).alias("colour"))
+
+
+@query(
+    """
+    WITH r AS (SELECT n_nationkey, n_nationkey * 400 AS low, n_nationkey * 400 + 300 AS high FROM nation)
+    SELECT c_custkey, n_nationkey AS region_no FROM customer JOIN r ON CAST(floor(c_acctbal) AS BIGINT) >= low AND CAST(floor(c_acctbal) AS BIGINT) < high"""
+)
+def range_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("long")
+    ranges = table(spark, sf_dir, "nation").select(key.alias("region_no"), (key * 400).alias("low"), (key * 400 + 300).alias("high"))
+    points = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return R.in_range(points, F.floor("c_acctbal"), ranges, "low", "high", 500).select("c_custkey", F.col("region_no").cast("int").alias("region_no"))
+
+
+@query(
+    """
+    SELECT user_id, event_id FROM events a WHERE event_type = 'signup' AND NOT EXISTS (
+      SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts > a.ts)"""
+)
+def unpaired_acquire(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    last = F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("last")
-    return events.groupBy("user_id").agg(last).select("user_id", "last.*")
+    # a release after an acquisition exists exactly if the last release is after it, so one row a key is enough
+    last = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("released"))
+    return R.unpaired(events.where("event_type = 'signup'"), last, ["user_id"], ("ts", "released")).select("user_id", "event_id")
+
+
+@query()
+def joint_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("size"))
+    return R.joint_budget(rows, "conv_id", ["turn"], "size", 4, 1500)
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE")
+def recency_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    now = events.agg(F.max("ts").alias("_now"))
+    return E.recent(events.crossJoin(F.broadcast(now)), "ts", F.col("_now"), "30 MINUTES").select("event_id", "user_id")
+
+
+@query(
+    """
+    SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"""
+)
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = E.windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"], "1 day", "10 minutes")
+    return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# --- sets
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def key_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fulfilled = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(fulfilled, "c_custkey", "left_anti")
+
+
+@query(
+    """
+    SELECT kind, count(*) AS n, count(DISTINCT k) AS keys FROM (SELECT 'customer' AS kind, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) GROUP BY 1"""
+)
+def union_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = [
+        table(spark, sf_dir, n).select(F.lit(n).alias("kind"), F.col(c).alias("k")) for n, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))
+    ]
+    return sides[0].unionByName(sides[1]).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys"))
+
+
+@query(
+    """
+    SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 49 UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_discount = 0.1"""
+)
+def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.where("l_quantity > 49").select("l_partkey", "l_suppkey").unionByName(lines.where("l_discount = 0.1D").select("l_partkey", "l_suppkey")).distinct()
+
+
+@query("SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def key_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k"))
+    return a.intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")))
+
+
+# --- graphs over (part -> supplier modulo) and nation chains
+
+_NATION_EDGES = "e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation)"
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
+    return n.select("src", ((F.col("src") * 7 + 3) % 25).alias("dst")).unionByName(n.select("src", ((F.col("src") * 3 + 1) % 25).alias("dst"))).distinct()
+
+
+@query(
+    f"""WITH RECURSIVE {_NATION_EDGES}, r AS (SELECT 0 AS anchor, 0 AS node, 0 AS depth UNION ALL SELECT anchor, dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 3)
+    SELECT anchor, node, min(depth) AS depth FROM r GROUP BY 1, 2"""
+)
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = spark.range(1).select(F.col("id").cast("int").alias("anchor"))
+    return G.reachable(_nation_edges(spark, sf_dir), "src", "dst", anchor, 3)
+
+
+@query(
+    f"""WITH RECURSIVE {_NATION_EDGES}, r AS (SELECT 0 AS node, 0 AS distance UNION ALL SELECT dst, distance + 1 FROM r JOIN e ON e.src = r.node WHERE distance < 6)
+    SELECT node, min(distance) AS distance FROM r GROUP BY 1"""
+)
+def shortest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = spark.range(1).select(F.col("id").cast("int").alias("node"))
+    return G.shortest_paths(_nation_edges(spark, sf_dir), "src", "dst", source, 6).select("node", "distance")
+
+
+@query(
+    f"""WITH RECURSIVE {_NATION_EDGES}, w AS (SELECT src AS head, dst AS cur, [src] AS path FROM e WHERE dst >= src
+      UNION ALL SELECT head, e.dst, list_append(path, cur) FROM w JOIN e ON e.src = w.cur WHERE cur > head AND NOT list_contains(path, cur) AND len(path) < 4)
+    SELECT DISTINCT array_to_string(list_sort(path), ',') AS members, len(path) AS length FROM w WHERE cur = head"""
+)
+def cycle_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.cycles(_nation_edges(spark, sf_dir), "src", "dst", 4)
+    return found.select(F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("members"), F.size("nodes").cast("long").alias("length")).distinct()
+
+
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS u, CAST(100000 + l_suppkey AS BIGINT) AS v FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09),
+    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.node)
+    SELECT node, min(c) AS component FROM r GROUP BY node"""
+)
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.09D")
+    return G.connected_components(lines.select("l_partkey", (F.col("l_suppkey") + 100000).alias("s")), "l_partkey", "s")
+
+
+@query()
+def dominator_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("graph"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 40).alias("dst"))
+    return G.dominators(edges.where("src <> dst").distinct(), "graph", "src", "dst", F.lit(0))
+
+
+@query()
+def topmost_class_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.range(1, 2000).select(F.lit(1).alias("graph"), F.col("id").alias("node"), F.floor(F.col("id") / 3).alias("parent"))
+    nodes = spark.range(0, 2000).select(F.lit(1).alias("graph"), F.col("id").alias("node"), F.concat(F.lit("c"), F.col("id") % 7).alias("name"), (F.col("id") % 11).alias("size"))
+    return G.topmost_sums(edges, nodes)
+
+
+# --- similarity of chains: the roles of conversations, and token lists
+
+_CHAINS = "SELECT conv_id, list(role ORDER BY turn) AS chain FROM conversations GROUP BY conv_id"
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("chain"))
+
+
+@query(
+    f"""WITH c AS ({_CHAINS}), d AS (SELECT chain, min(conv_id) AS id FROM c GROUP BY 1)
+    SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM d a JOIN d b ON a.id <> b.id
+    WHERE contains(array_to_string(b.chain, ',') || ',', array_to_string(a.chain, ',') || ',')"""
+)
+def contiguous_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.similar_pairs(_chains(spark, sf_dir).withColumn("one", F.lit(1)), "conv_id", ["one"], "chain", "run")
+
+
+@query()
+def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.similar_pairs(_chains(spark, sf_dir).withColumn("one", F.lit(1)), "conv_id", ["one"], "chain", "order")
+
+
+@query()
+def merged_similar_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.max("p_size").cast("long").alias("size"))
+    named = rows.withColumn("trace", F.element_at(F.split("p_name", " "), -1))
+    return M.merge_similar(named.withColumn("down", -F.col("size")), "p_brand", ["down", "p_name"], "trace", "n", "size")
+
+
+# --- retrieval
+
+_STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]*')) AS token FROM documents WHERE lang = 'en')
+    SELECT token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t WHERE token NOT IN ({_STOP}) GROUP BY token"""
+)
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.token_counts(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+_WORDS = {"ring": 5, "bolt": 3, "red": 2, "blue": 2, "small": 1}
+_SCORE = " + ".join(
+    f"CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', '[^a-z0-9_]{w}[^a-z0-9_]') THEN {n} ELSE 0 END"
+    f" + CASE WHEN regexp_matches(' ' || lower(p_type) || ' ', '[^a-z0-9_]{w}[^a-z0-9_]') THEN {3 * n} ELSE 0 END"
+    f" + CASE WHEN lower(p_type) = '{w}' THEN {5 * n} ELSE 0 END"
+    for w, n in _WORDS.items()
+)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").withColumn("score", T.relevance(F.col("p_type"), F.col("p_name"), _WORDS))
+
+
+@query(f"WITH s AS (SELECT p_partkey, {_SCORE} AS score FROM part) SELECT p_partkey, score FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 200")
+def additive_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("score > 0").orderBy(F.desc("score"), "p_partkey").limit(200).select("p_partkey", "score")
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, {_SCORE} AS score FROM part), m AS (SELECT max(score) AS top FROM s)
+    SELECT p_partkey, score FROM s, m WHERE score >= greatest(top - 3, CAST(floor(top * 0.72) AS BIGINT))"""
+)
+def relative_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.relative_cutoff(_scored(spark, sf_dir).select("p_partkey", "score"), "score", 3, 0.72)
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, p_brand, {_SCORE} AS score FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS n FROM s)
+    SELECT p_partkey, p_brand, score FROM r WHERE n <= 2 ORDER BY score DESC, p_partkey LIMIT 12"""
+)
+def diverse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.diverse_top(_scored(spark, sf_dir).select("p_partkey", "p_brand", "score"), "p_brand", [F.desc("score"), "p_partkey"], 2, 12)
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, p_brand, p_type, {_SCORE} AS score FROM part)
+    SELECT p_brand, arg_max(p_partkey, score * 1000000 - p_partkey) AS "primary", count(*) - 1 AS support, max(score) + 2 * (count(DISTINCT p_type) - 1) AS group_score FROM s WHERE score > 0 GROUP BY 1"""
+)
+def topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.topic_groups(_scored(spark, sf_dir).where("score > 0"), "p_brand", "score", "p_partkey", "p_type", 2)
+
+
+@query(
+    """
+    WITH d AS (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS b FROM pages) SELECT page_id, len(b) AS blocks, coalesce(b[1], '') AS first FROM d"""
+)
+def code_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("blocks"), F.coalesce(F.get(found, 0), F.lit("")).alias("first"))
+
+
+# --- scalar functions
+
+
+@query(
+    """
+    SELECT o_orderkey, '0x' || lower(printf('%X', o_orderkey)) AS hex, CAST(floor(o_totalprice) AS BIGINT) & -256 AS masked,
+      CASE WHEN o_totalprice < 1024 THEN 'B' WHEN o_totalprice < 1048576 THEN 'KB' ELSE 'MB' END AS unit FROM orders"""
+)
+def address_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.floor("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", S.hex_address(F.col("o_orderkey")).alias("hex"), S.masked(size, 8).alias("masked"),
+        F.element_at(F.split(S.size_text(size), " "), -1).alias("unit"),
+    )
+
+
+@query(
+    """
+    SELECT c_custkey, regexp_replace(c_name, '[0-9]+$', 'xxx') AS masked, left('proc' || c_name, 15) AS short, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS compact,
+      replace(replace(replace('<' || c_mktsegment || '&"', '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS safe,
+      c_custkey % 5 * CASE c_nationkey % 3 WHEN 0 THEN 1048576 WHEN 1 THEN 1024 ELSE 1 END AS kb FROM customer"""
+)
+def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("c_name")
+    unit = F.get(F.array(F.lit("gb"), F.lit("MB"), F.lit("kB")), F.col("c_nationkey") % 3)
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", S.trailing_digits_masked(name).alias("masked"), S.process_short_name(F.concat(F.lit("proc"), name)).alias("short"),
+        S.compact_name(name).alias("compact"), S.html_escaped(F.concat(F.lit("<"), "c_mktsegment", F.lit('&"'))).alias("safe"),
+        S.kilobytes(F.col("c_custkey") % 5, unit).cast("long").alias("kb"),
+    )
+
+
+@query(
+    """
+    SELECT event_id, date_trunc('second', ts) AS parsed, epoch_us(ts) // 1000 AS ms FROM events"""
+)
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layouts = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd-HH:mm:ss", "yyyyMMddHHmmss"]
+    written = F.date_format("ts", layouts[0])
+    for k in (1, 2):
+        written = F.when(F.col("event_id") % 3 == k, F.date_format("ts", layouts[k])).otherwise(written)
+    return table(spark, sf_dir, "events").select("event_id", S.parse_time(written).alias("parsed"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events")
+def regex_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("long").alias("k"))
+
+
+@query(
+    """
+    SELECT conv_id, array_to_string(list_reverse(list(role ORDER BY turn)), ' -> ') AS chain, count(*) AS depth FROM conversations GROUP BY conv_id"""
+)
+def chain_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chains(spark, sf_dir).select("conv_id", S.chain_text(F.col("chain")).alias("chain"), S.chain_depth(F.array_join("chain", " <- ")).cast("long").alias("depth"))
+
+
+@query(
+    """
+    SELECT upper(lang) AS lang, count(*) AS sections, count(*) FILTER (n_chars > 1000) AS long, count(DISTINCT source) AS sources, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1"""
+)
+def section_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.upper("lang").alias("lang")).agg(
+        F.count("*").alias("sections"), F.count(F.when(F.col("n_chars") > 1000, 1)).alias("long"), F.countDistinct("source").alias("sources"),
+        F.sum("n_chars").alias("chars"),
+    )
+
+
+@query(
+    """
+    WITH f AS (SELECT conv_id, min(turn) FILTER (role <> 'system') AS t FROM conversations GROUP BY 1)
+    SELECT c.role, count(*) AS snapshots, count(*) * 300 AS estimated_ms FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.t GROUP BY 1"""
+)
+def sampled_stack_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.min_by("role", "turn").alias("role")
+    outer = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(first)
+    return outer.groupBy("role").agg(F.count("*").alias("snapshots")).withColumn("estimated_ms", F.col("snapshots") * 300)
