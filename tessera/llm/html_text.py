@@ -5,7 +5,8 @@ its characters, its tags and the container it stands in. What lies inside naviga
 scripts, adverts, comments and the like is never text. The ratio of characters to tags is
 smoothed over neighbouring lines with a Gaussian and clustered around a threshold; containers
 whose characters lie mostly in the high cluster are content, and all their lines are kept in page
-order. An article or main element, where a page has one, bounds the choice and is content itself.
+order. An article or main element, where a page has one, bounds the choice and is content itself,
+as is what stands in an article, unless it is mostly links.
 
 Cases: a null, empty or text-free page gives an empty string. Unclosed and misnested tags end with
 their nearest open container. Repeated rows are kept. An empty table gives an empty table. Other
@@ -38,11 +39,15 @@ BLOCK = CONTAINER | frozenset(
 CLOSES_P = BLOCK - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd", "figcaption", "summary"} | {"form", "nav", "footer", "aside"}
 _BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|"
-    r"header|masthead|topbar|cookie\w*|consent|notice|alert|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
+    r"cookie\w*|consent|notice|alert|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|"
     r"comments?|commentlist|respond|reply|replies|discussion|disqus|related|recommend\w*|widget|toolbar|pagination|pager|skip|search\w*|"
     r"contentinfo|complementary|dialog|form)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+# an article's own header holds its title
+_PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.IGNORECASE)
+# ids of these name a place to link to, not a part of the page
+_LINK_TARGETS = frozenset("h1 h2 h3 h4 h5 h6 a span".split())
 SIGMA = 2.0
 
 
@@ -61,7 +66,7 @@ class LineParser(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[str] = []
         self.regions: list[int] = [0]
-        self.made, self.skip_at, self.links, self.inside, self.semantic = 0, -1, 0, 0, set()
+        self.made, self.skip_at, self.links, self.inside, self.articles, self.semantic = 0, -1, 0, 0, 0, set()
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -99,8 +104,9 @@ class LineParser(HTMLParser):
         elif tag in CONTAINER:
             self.made += 1
             self.regions.append(self.made)
-            if tag in ("article", "main"):
-                self.inside += 1
+            self.inside += tag in ("article", "main")
+            self.articles += tag == "article"
+            if self.articles or tag == "main":
                 self.semantic.add(self.made)
 
     def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -111,7 +117,9 @@ class LineParser(HTMLParser):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", "main") and _BOILERPLATE.search(value):
+            if name not in ("class", "id", "role") or not value or tag in ("html", "body", "main") or (name == "id" and tag in _LINK_TARGETS):
+                continue
+            if _BOILERPLATE.search(value) or (not self.inside and _PAGE_HEADER.search(value)):
                 return True
         return False
 
@@ -146,8 +154,8 @@ class LineParser(HTMLParser):
                 self.links = max(0, self.links - 1)
             elif tag in CONTAINER:
                 self.regions.pop()
-                if tag in ("article", "main"):
-                    self.inside -= 1
+                self.inside -= tag in ("article", "main")
+                self.articles -= tag == "article"
 
     def handle_data(self, data: str) -> None:
         if self.skip_at < 0:
