@@ -33,27 +33,29 @@ STEPS = 40
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject where ``ratio`` > cutoff, for cutoffs from ``high`` down to ``low``."""
+    """Reject where part / whole > cutoff, for cutoffs in ``STEPS`` steps from ``high`` down to ``low``."""
 
     name: str
-    ratio: str
+    part: str
+    whole: str
     low: float
     high: float
 
-    def cutoff(self, step: Column) -> Column:
-        return F.lit(self.high) - step * ((self.high - self.low) / STEPS)
+    def rejected_from(self) -> Column:
+        """The first step, from lenient to strict, whose cutoff rejects the row; STEPS + 1 if none does.
 
-    def strictest_pass(self) -> Column:
-        """The first step, from lenient to strict, whose cutoff rejects the row; STEPS + 1 if none does."""
-        first = F.floor((F.lit(self.high) - F.expr(self.ratio)) * (STEPS / (self.high - self.low))) + 1
+        Labelled rows are counted and all rows judged by this one number, so rounding can't part them.
+        """
+        ratio = F.try_divide(F.col(self.part), F.col(self.whole))
+        first = F.floor((F.lit(self.high) - ratio) * (STEPS / (self.high - self.low))) + 1
         return F.greatest(F.lit(0), F.least(F.lit(STEPS + 1), first)).cast("int")
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0.0, 4.0),
-    Rule("dup_lines", "n_dup_lines / n_lines", 0.0, 1.0),
-    Rule("repeats", "n_repeat_words / n_words", 0.0, 1.0),
-    Rule("word_length", "word_chars / n_words", 4.0, 16.0),
+    Rule("symbols", "n_symbols", "n_words", 0.0, 4.0),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 0.0, 1.0),
+    Rule("repeats", "n_repeat_words", "n_words", 0.0, 1.0),
+    Rule("word_length", "word_chars", "n_words", 4.0, 16.0),
 )
 
 # The six ASCII blanks that end a word, and symbol characters.
@@ -118,10 +120,10 @@ def most_allowed(n: Column, limit: float, risk: float | Column) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK, price: float = PRICE) -> DataFrame:
-    """``(stratum, <rule>...)``: the chosen cutoff of each rule, null for none."""
+    """``(stratum, <rule>...)``: the chosen step of each rule's cutoffs, null for none."""
     held = labels.select(F.col("doc_id").cast("long").alias("_doc"), F.col("quality").cast("int").alias("_q")).where("_q IN (0, 1)")
     tried = rows.where("NOT base_failed").join(held, rows["doc_id"] == held["_doc"])
-    steps = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), r.strictest_pass().alias("step")) for r in RULES])).alias("s")
+    steps = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), r.rejected_from().alias("step")) for r in RULES])).alias("s")
     cells = tried.select("stratum", "_q", steps).groupBy("stratum", "s.rule", "s.step").agg(
         F.sum("_q").alias("good"), F.sum(1 - F.col("_q")).alias("bad")
     )
@@ -147,7 +149,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: floa
     best = candidates.where((F.col("good") <= F.col("most")) & (gain > 0)).groupBy("stratum", "rule").agg(
         F.max_by("step", F.struct(gain, -F.col("step"))).alias("step")
     )
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, r.cutoff(F.col("step")))).alias(r.name) for r in RULES])
+    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("step"))).alias(r.name) for r in RULES])
 
 
 def judge(documents: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK, whole: bool = False) -> DataFrame:
@@ -155,6 +157,6 @@ def judge(documents: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: f
     rows = stored(features(documents, whole), "quality")
     chosen = stored(cutoffs(rows, labels, limit, risk), "cutoffs")
     chosen = chosen.select(F.col("stratum").alias("_stratum"), *[F.col(r.name).alias(f"_{r.name}") for r in RULES])
-    rejects = [F.when(F.expr(f"try_divide({r.ratio.split(' / ')[0]}, {r.ratio.split(' / ')[1]}) > _{r.name}"), F.lit(r.name)) for r in RULES]
+    rejects = [F.when(r.rejected_from() <= F.col(f"_{r.name}"), F.lit(r.name)) for r in RULES]
     judged = rows.join(chosen, rows["stratum"] == chosen["_stratum"], "left").withColumn("verdicts", F.array_compact(F.array(*rejects)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("verdicts") == 0)).select(*rows.columns, "verdicts", "kept")

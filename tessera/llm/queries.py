@@ -128,4 +128,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = r"\x20\x09-\x0D"
+
+
+def _quality_sql() -> str:
+    """The quality rules in DuckDB's SQL, with the binomial terms from logarithms of the gamma function."""
+    from tessera.llm.quality import LIMIT, PRICE, RISK, RULES, STEPS
+
+    def first(rule) -> str:
+        return (
+            f"CASE WHEN {rule.whole} > 0 THEN greatest(0, least({STEPS + 1}, CAST(floor(({rule.high} - {rule.part} / {rule.whole})"
+            f" * {STEPS / (rule.high - rule.low)!r}) AS BIGINT) + 1)) END"
+        )
+
+    rules = ", ".join(f"{{'rule': '{r.name}', 'first': {first(r)}}}" for r in RULES)
+    share, tests = LIMIT / len(RULES), len(RULES)
+    return f"""
+    WITH texts AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) AS l FROM documents),
+    windows AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+    repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1),
+    covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS x(k) GROUP BY r),
+    counts AS (
+      SELECT r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(t, '[{_BLANK}]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM texts LEFT JOIN covered USING (r)),
+    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+    ruled AS (SELECT r, stratum, base_failed, doc_id, unnest([{rules}]) AS x FROM judged),
+    held AS (
+      SELECT stratum, x.rule AS rule, x.first AS first, quality AS good, 1 - quality AS bad
+      FROM ruled JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND NOT base_failed),
+    sizes AS (SELECT stratum, rule, sum(good) AS n, {tests} * (SELECT count(DISTINCT stratum) FROM held) AS tests FROM held GROUP BY ALL),
+    terms AS (SELECT stratum, rule, n, tests, unnest(range(0, CAST(n AS BIGINT) + 1)) AS k FROM sizes),
+    sums AS (
+      SELECT stratum, rule, k, tests, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({share}) + (n - k) * ln(1 - {share})))
+        OVER (PARTITION BY stratum, rule ORDER BY k) AS p FROM terms),
+    allowed AS (SELECT stratum, rule, coalesce(max(k) FILTER (WHERE p <= {RISK} / tests), -1) AS most FROM sums GROUP BY ALL),
+    grid AS (
+      SELECT stratum, rule, step, sum(good) FILTER (WHERE first <= step) AS good, sum(bad) FILTER (WHERE first <= step) AS bad
+      FROM held, range(0, {STEPS + 1}) AS s(step) GROUP BY ALL),
+    gains AS (SELECT stratum, rule, step, coalesce(good, 0) AS wrong, coalesce(bad, 0) - {PRICE} * coalesce(good, 0) AS gain FROM grid),
+    chosen AS (
+      SELECT stratum, rule, step FROM gains JOIN allowed USING (stratum, rule) WHERE wrong <= most AND gain > 0
+      QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) = 1),
+    rejected AS (SELECT DISTINCT r FROM ruled JOIN chosen ON chosen.stratum = ruled.stratum AND chosen.rule = ruled.x.rule WHERE x.first <= step)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND rejected.r IS NULL AS kept
+    FROM judged LEFT JOIN rejected USING (r)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_risk_controlled": _quality_sql(),
+    "op9_warc": """
+    WITH payloads AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts""",
+}
