@@ -27,7 +27,7 @@ def truthy(value: Column) -> Column:
 
 def read_catalog(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """``(path, name, description, fields)``; without a description, the first line of prose stands in."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     meta = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"), front_matter(F.col("value")).alias("fields"))
     body = F.regexp_replace(F.col("text"), r"(?s)\A---\r?\n.*?\r?\n---\s*", "")
     prose = F.regexp_extract(body, r"(?m)^(?!#|\s*$|```)(.+)$", 1)

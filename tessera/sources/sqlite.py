@@ -53,7 +53,9 @@ class SqliteReader(DataSourceReader):
         step = max(1, -(-(high - low + 1) // self.splits))
         return [Range(at, min(at + step, high + 1)) for at in range(low, high + 1, step)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark hands out where a table is empty
+            return
         low, high = partition.value
         con = _open(self.path)
         columns = ", ".join(map(_quoted, self.names))
