@@ -9,7 +9,8 @@ splitting it further with the same rule. A leaf reports a spanning set of its li
 components of these are the answer.
 
 The tree is fitted on at most ``SAMPLE`` fingerprints (those with the least hash); every
-fingerprint is indexed by it and the result is exact whatever the sample.
+fingerprint is indexed by it and the result is exact whatever the sample. Leaves number one for
+``LEAF_ROWS`` distinct fingerprints, so they grow in number, not in size.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other. Fewer than
 three words make one shingle. Repeated rows are kept. Null ids take part but never name a
@@ -18,6 +19,7 @@ component unless it has no other. An empty table gives an empty table. Other col
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,8 +33,10 @@ from tessera.operators.graph import connected_components
 from tessera.runtime import small_batches, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
-#: Fingerprints that shape the tree, rows wanted in a leaf, and the most leaves.
-SAMPLE, LEAF_ROWS, MOST_LEAVES = 65_536, 4_096, 4_096
+#: Fingerprints that shape the tree (16 a leaf, within these bounds), rows wanted in a leaf, and the
+#: most leaves. The tree, sent to every task, thus stays below 3 MB. With more than 268 million distinct
+#: fingerprints leaves grow, at 8 bytes a row; each is split further where it is searched.
+LEAST_SAMPLE, SAMPLE, LEAF_ROWS, MOST_LEAVES = 65_536, 1_048_576, 4_096, 65_536
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -102,11 +106,10 @@ def choose_split(points: np.ndarray, radius: int, tries: int = 8) -> tuple[np.ui
 def build_tree(points: np.ndarray, leaves: int, radius: int = RADIUS) -> list[tuple[int, int, int, int]]:
     """Nodes (vantage, border, inside, outside); a child below zero is the leaf ``-1 - child``."""
     nodes: list[list[int]] = []
-    open_: list[tuple[int, int, np.ndarray]] = [(-1, 0, points)]  # parent, side, rows
-    done = 0
+    open_: list[tuple[int, int, int, int, np.ndarray]] = [(-len(points), 0, -1, 0, points)]  # largest first: ..., parent, side, rows
+    made = done = 0
     while open_ and done + len(open_) < leaves:
-        open_.sort(key=lambda o: -len(o[2]))
-        parent, side, rows = open_.pop(0)
+        *_, parent, side, rows = heapq.heappop(open_)
         split = choose_split(rows, radius) if len(rows) >= 16 else None
         if split is None:
             if parent >= 0:
@@ -119,8 +122,10 @@ def build_tree(points: np.ndarray, leaves: int, radius: int = RADIUS) -> list[tu
         nodes.append([int(vantage), border, 0, 0])
         if parent >= 0:
             nodes[parent][2 + side] = me
-        open_ += [(me, 0, rows[away <= border]), (me, 1, rows[away > border - radius])]
-    for parent, side, _ in open_:
+        for k, part in enumerate((rows[away <= border], rows[away > border - radius])):
+            made += 1  # tells ties apart
+            heapq.heappush(open_, (-len(part), made, me, k, part))
+    for *_, parent, side, _ in sorted(open_, key=lambda o: o[1]):
         if parent >= 0:
             nodes[parent][2 + side] = -1 - done
         done += 1
@@ -184,8 +189,11 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of ``distinct(fp)`` within ``radius`` bits."""
     size = distinct.count()
     leaves = max(1, min(MOST_LEAVES, size // LEAF_ROWS))
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if leaves > 1 else []
-    tree = build_tree(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), leaves, radius) if sample else []
+    tree = []
+    if leaves > 1:
+        wanted = min(SAMPLE, max(LEAST_SAMPLE, 16 * leaves))
+        sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).toArrow()
+        tree = build_tree(sample.column("fp").to_numpy().view(np.uint64), leaves, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
