@@ -1,8 +1,9 @@
 """Running totals without a single-task window.
 
-Rows are placed on a line by an unsigned 31-bit position. The line is cut into equal buckets,
-bucket totals (a few rows for each bucket) are accumulated, and a window inside each bucket does
-the rest, so no task sees more than one bucket of one group however large the group is.
+Rows are placed on a line, by an unsigned 31-bit position or by the order of their columns. The
+line is cut into buckets, bucket totals (a few rows for each bucket) are accumulated, and a window
+inside each bucket does the rest, so no task sees more than one bucket of one group however large
+the group is.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import parallelism, stored
+
 POSITION_BITS = 31
 
 
@@ -40,16 +43,30 @@ def running_totals(
     weights count as zero. ``df`` is read twice, so pass a stored or cheap plan.
     """
     cell = df.withColumn("_bucket", bucket_of(F.col(position), buckets))
+    return _by_bucket(cell, groups, [position, *order], totals, df.columns)
+
+
+def ordered_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], totals: Mapping[str, str]) -> DataFrame:
+    """The same for any order of columns: a group's rows are dealt to ranges of that order.
+
+    The ranged rows are written once, since sampled range borders must not move between two reads.
+    Group keys must not be null.
+    """
+    ranged = df.repartitionByRange(parallelism(df.sparkSession), *groups, *order).withColumn("_bucket", F.spark_partition_id())
+    return _by_bucket(stored(ranged, "ranged"), groups, order, totals, df.columns)
+
+
+def _by_bucket(cell: DataFrame, groups: Sequence[str], order: Sequence[Column | str], totals: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
     keys = [*groups, "_bucket"]
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = cell.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col(w), F.lit(0))).alias(f"_sum_{o}") for o, w in totals.items()])
     bases = bases.select(
         *keys, *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for o in totals]
     )
-    inside = Window.partitionBy(*keys).orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = cell.join(bases, on=keys)  # hashed on the same keys as the window: one shuffle serves both
     outs = [
         (F.col(f"_base_{o}") + F.coalesce(F.sum(F.coalesce(F.col(w), F.lit(0))).over(inside), F.lit(0))).alias(o)
         for o, w in totals.items()
     ]
-    return joined.select(*df.columns, *outs)
+    return joined.select(*columns, *outs)

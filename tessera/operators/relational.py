@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import growth_status
+from tessera.operators.prefix import ordered_totals
 
 
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -52,16 +53,17 @@ def compare_versions(before: DataFrame, now: DataFrame, key: str, value: str) ->
 
 def ranked_where(rows: DataFrame, condition: Column, order: Sequence[Column | str], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Add a running number of the rows that meet the condition, in order; null for the others."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.when(condition, F.sum(F.when(condition, 1)).over(w)))
+    counted = rows.withColumn("_met", F.when(condition, 1).otherwise(0).cast("long"))
+    ranked = ordered_totals(counted, by, order, {"_before": "_met"})
+    return ranked.withColumn(name, F.when(F.col("_met") == 1, F.col("_before") + 1)).drop("_met", "_before")
 
 
 def cumulative_share(grouped: DataFrame, value: str, order: Sequence[Column | str], upto: float) -> DataFrame:
     """The leading groups whose running share reaches ``upto``, the one that crosses it included."""
-    whole = grouped.agg(F.sum(value).alias("_whole"))
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = grouped.crossJoin(F.broadcast(whole)).withColumn("running", F.sum(value).over(w))
-    return running.where((F.col("running") - F.col(value)) < F.col("_whole") * upto).drop("_whole")
+    running = ordered_totals(grouped, [], order, {"_before": value})
+    whole = running.agg(F.sum(value).alias("_whole"))
+    leading = running.crossJoin(F.broadcast(whole)).where(F.col("_before") < F.col("_whole") * upto)  # one row
+    return leading.withColumn("running", F.col("_before") + F.col(value)).drop("_whole", "_before")
 
 
 def first_per_group(rows: DataFrame, groups: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import predicates as P
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
 from tessera.operators import relational as R
@@ -208,9 +209,10 @@ def conditional_growth_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d WHERE status IN ('new', 'increased')"""
 )
 def rank_within_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("status").orderBy(F.desc("delta"), F.desc("now"), "l_partkey")
+    # two statuses hold all rows, so a window by status would be two tasks
     rows = _versions(spark, sf_dir).where(F.col("status").isin("new", "increased"))
-    return rows.select("l_partkey", "status", "delta", F.row_number().over(w).cast("long").alias("status_rank"))
+    ranked = R.ranked_where(rows, F.lit(True), [F.desc("delta"), F.desc("now"), "l_partkey"], "status_rank", ["status"])
+    return ranked.select("l_partkey", "status", "delta", "status_rank")
 
 
 @query(
@@ -781,3 +783,99 @@ def sampled_stack_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.min_by("role", "turn").alias("role")
     outer = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("conv_id").agg(first)
     return outer.groupBy("role").agg(F.count("*").alias("snapshots")).withColumn("estimated_ms", F.col("snapshots") * 300)
+
+
+# --- classifiers and flags
+
+
+def _picked(names: tuple[str, ...], key: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), (key % len(names)).cast("int"))
+
+
+_NAMES = ("String", "js_map", "src/pages/Index.ets:12", "(system)", "HiddenClass(NonMovable)", "Promise", "Widget", "entry:7", "jsarray")
+_KINDS = ("object", "closure", "array", "js_set")
+_PICK = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
+
+
+@query(
+    f"""
+    WITH n AS (SELECT p_partkey, {_PICK}[p_partkey % 9 + 1] AS name, ['object', 'closure', 'array', 'js_set'][p_size % 4 + 1] AS kind FROM part),
+    b AS (SELECT *, name IN ('src/pages/Index.ets:12', 'entry:7') AS business FROM n)
+    SELECT business, CASE WHEN name LIKE 'HiddenClass%' THEN 'none' WHEN name = 'Promise' THEN 'promise'
+      WHEN kind IN ('js_set', 'array') OR name = 'jsarray' THEN 'path' WHEN kind = 'closure' THEN 'name' ELSE 'name_path' END AS strategy,
+      count(*) AS n FROM b GROUP BY ALL"""
+)
+def object_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(_picked(_NAMES, F.col("p_partkey")).alias("name"), _picked(_KINDS, F.col("p_size")).alias("kind"))
+    classed = names.select(P.is_business_object(F.col("name")).alias("business"), P.cluster_strategy(F.col("name"), F.col("kind")).alias("strategy"))
+    return classed.groupBy("business", "strategy").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+    SELECT event_id, concat_ws(',', CASE WHEN value > 85 THEN 'cpu_high' END, CASE WHEN event_id % 1600 > 0 AND event_id % 1600 < 800 THEN 'memory_low' END,
+      CASE WHEN event_id % 9 > 5 THEN 'thermal_throttled' END, CASE WHEN event_id % 9 BETWEEN 4 AND 5 THEN 'thermal_warm' END,
+      CASE WHEN user_id % 5 > 3 THEN 'task_blocks_queue' END) AS flags FROM events"""
+)
+def resource_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    flags = P.resource_flags(F.col("value"), e % 1600, e % 9, F.col("user_id") % 5)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(flags, ",").alias("flags"))
+
+
+_REQUESTS = ("", " with the NDK", " lazyforeach list", " on a surface", " page transition", " NDK and @State", " deprecated call")
+
+
+@query(
+    """
+    WITH r AS (SELECT conv_id, turn, (conv_id + turn) % 7 AS k FROM conversations)
+    SELECT conv_id, turn, CASE WHEN k IN (3, 5) THEN 'both' WHEN k = 1 THEN 'native' ELSE 'script' END AS domain,
+      CASE WHEN k IN (1, 2, 5, 6) THEN 'must' WHEN k = 4 THEN 'should' ELSE 'skip' END AS need FROM r"""
+)
+def request_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    request = F.concat(F.lit("how to do it"), _picked(_REQUESTS, F.col("conv_id") + F.col("turn")))
+    return rows.select("conv_id", "turn", P.request_domain(request).alias("domain"), P.search_need(request).alias("need"))
+
+
+@query(
+    """
+    WITH a AS (SELECT o_orderkey, o_orderkey % 5000 * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 1234567890123 END AS address FROM orders)
+    SELECT o_orderkey, CASE WHEN address = 0 THEN 'null_base' WHEN address < 4096 THEN 'null_base_offset' END AS note,
+      regexp_matches(printf('%016x', address), '^(?:..)*(?:[2-6][0-9a-f]|7[0-9a-e]){4}') AS has_text FROM a"""
+)
+def crash_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = (F.col("o_orderkey") % 5000 * F.when(F.col("o_orderkey") % 2 == 0, F.lit(1)).otherwise(F.lit(1234567890123))).cast("decimal(20,0)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.address_note(address).alias("note"), P.has_ascii_run(address).alias("has_text"))
+
+
+@query(
+    f"""WITH RECURSIVE {_NATION_EDGES}, d AS (SELECT 0 AS node, 0 AS k UNION ALL SELECT dst, k + 1 FROM d JOIN e ON e.src = d.node WHERE k < 2),
+    u AS (SELECT 0 AS node, 0 AS k UNION ALL SELECT src, k + 1 FROM u JOIN e ON e.dst = u.node WHERE k < 2),
+    f AS (SELECT n_nationkey AS node, n_nationkey IN (SELECT node FROM u) AS up, n_nationkey IN (SELECT node FROM d) AS down FROM nation)
+    SELECT node, CASE WHEN node = 0 THEN 'fault' WHEN node % 10 = 0 THEN 'fault_process' WHEN up AND down THEN 'in_cycle' WHEN up THEN 'upstream'
+      WHEN down THEN 'downstream' ELSE 'chain' END AS role FROM f"""
+)
+def thread_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = stored(_nation_edges(spark, sf_dir), "waits")
+    fault = spark.range(1).select(F.col("id").cast("int").alias("anchor"))
+    down = G.reachable(edges, "src", "dst", fault, 2).select("node", F.lit(True).alias("down"))
+    up = G.reachable(edges, "dst", "src", fault, 2).select("node", F.lit(True).alias("up"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")).join(up, "node", "left").join(down, "node", "left")
+    return nodes.select("node", P.graph_role(F.col("node") == 0, F.col("node") % 10 == 0, F.col("up"), F.col("down")).alias("role"))
+
+
+_FORMATS, _FINDINGS = ("mp4", "avi", "wav", None), ("none", "missing_moov", "extension_mismatch")
+
+
+@query(
+    """
+    WITH m AS (SELECT page_id, page_id % 4 AS k, page_id % 3 AS f, page_id % 5 = 0 AS cut FROM pages),
+    d AS (SELECT *, cut OR f = 1 AS damaged FROM m)
+    SELECT page_id, concat_ws(',', CASE WHEN k = 3 OR (k IN (0, 2) AND damaged) THEN '5400103' END,
+      CASE WHEN k = 3 OR k = 1 OR damaged OR f = 2 THEN '5400106' END) AS codes FROM d"""
+)
+def media_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    codes = P.media_error_codes(_picked(_FORMATS, p), F.array(_picked(_FINDINGS, p)), p % 5 == 0)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(codes, ",").alias("codes"))
