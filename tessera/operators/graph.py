@@ -183,3 +183,37 @@ def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 64) -> Data
     return marked.groupBy("graph", "name").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("_inner").isNull(), F.col("size")).otherwise(0)).alias("retained")
     )
+
+
+def subtree_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """``(graph, node, retained)``: the size of each node and all that it dominates.
+
+    ``tree(graph, node, parent)``, ``nodes(graph, node, size)``. One join a level carries sums, not
+    rows: what stands k levels below a node is the sum over its children of what stands k - 1 below them.
+    """
+    up = stored(tree.select("graph", "node", "parent"), "tree")
+    step = stored(nodes.groupBy("graph", "node").agg(F.sum("size").alias("size")), "sizes")
+    total = step
+    for _ in range(max_depth):
+        above = step.join(up, ["graph", "node"]).groupBy("graph", F.col("parent").alias("node")).agg(F.sum("size").alias("size"))
+        step = stored(above, "level")
+        if step.isEmpty():
+            return total.groupBy("graph", "node").agg(F.sum("size").alias("retained"))
+        total = total.unionByName(step)
+    raise RuntimeError(f"the tree is deeper than {max_depth} levels, or has a cycle")
+
+
+def signatures(edges: DataFrame, src: str, name: str, left_out: Column) -> DataFrame:
+    """``(src, signature)``: the sorted distinct names of a node's edges, some kinds of edges left out."""
+    return edges.where(~F.coalesce(left_out, F.lit(False))).groupBy(src).agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("signature"))
+
+
+def best_two_hops(first: DataFrame, second: DataFrame, score: Column) -> DataFrame:
+    """``(src, via, dst, score)``: for each start the two-step path of most score, ties to the smallest via and dst.
+
+    ``first(src, via, ...)`` and ``second(via, dst, ...)``; ``score`` may use the columns of both. The
+    join is followed by a partial aggregate, so a start with many paths sends one row a task.
+    """
+    paths = first.join(second, "via").withColumn("_score", score)
+    best = F.max_by(F.struct("via", "dst", F.col("_score").alias("score")), F.struct(F.col("_score"), -F.col("via"), -F.col("dst")))
+    return paths.groupBy("src").agg(best.alias("_best")).select("src", "_best.*")

@@ -152,3 +152,49 @@ def joint_budget(rows: DataFrame, by: str, order: Sequence[str], size: str, most
     folded = indexed.withColumn("_f", F.aggregate("_items", start, take))
     picked = folded.select(by, F.explode(F.transform(F.col("_f.picked"), lambda i: F.get(F.col("_items"), i)["row"])).alias("_row"))
     return picked.select(by, *[F.col(f"_row.{c}") for c in order], F.col("_row._size").alias(size))
+
+
+def first_present(rows: DataFrame, names: Sequence[str], default: Column | None = None) -> Column:
+    """The first value that is not null among those of the named columns that the table has."""
+    there = [F.col(n) for n in names if n in rows.columns] + ([default] if default is not None else [])
+    if not there:
+        raise ValueError(f"none of the columns {', '.join(names)}")
+    return F.coalesce(*there)
+
+
+def lookup_first(rows: DataFrame, keys: Sequence[str], value: str, tables: Sequence[DataFrame]) -> DataFrame:
+    """Add ``value`` from the first of several tables ``(*keys, value)`` that knows the key; null if none does.
+
+    The tables become one of a row a key before the one join, however many they are.
+    """
+    known = None
+    for rank, t in enumerate(tables):
+        part = t.select(*keys, F.col(value).alias("_value"), F.lit(rank).alias("_rank")).where(F.col("_value").isNotNull())
+        known = part if known is None else known.unionByName(part)
+    picked = known.groupBy(*keys).agg(F.min_by("_value", F.struct("_rank", "_value")).alias(value))
+    return rows.join(picked, list(keys), "left")
+
+
+def wildcard_join(left: DataFrame, right: DataFrame, exact: str, loose: str, wildcard: object) -> DataFrame:
+    """Pairs equal in ``exact`` and either equal in ``loose`` or with the wildcard there on the right.
+
+    Two equi-joins, disjoint by the right side, in place of one join on an OR. The right side's columns
+    other than these two must have other names than the left's.
+    """
+    r = right.withColumnRenamed(loose, "_loose")
+    named = left.join(r.where(F.col("_loose") != F.lit(wildcard)).withColumnRenamed("_loose", loose), [exact, loose])
+    any_ = left.join(r.where(F.col("_loose") == F.lit(wildcard)).drop("_loose"), exact)
+    return named.unionByName(any_.select(*named.columns))
+
+
+def bucket_summary(rows: DataFrame, keys: Sequence[str], member: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows, distinct members and the values of the latest row of each bucket."""
+    last = F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(member).alias("members"), last).select(*keys, "n", "members", "_last.*")
+
+
+def attached(rows: DataFrame, key: str, more: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """``rows`` with the ordered list of what belongs to each, empty if nothing does."""
+    item = F.struct(F.col(order), F.col(value).alias("_v"))
+    lists = more.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_v"]).alias(name))
+    return rows.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))

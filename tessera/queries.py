@@ -879,3 +879,86 @@ def media_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id")
     codes = P.media_error_codes(_picked(_FORMATS, p), F.array(_picked(_FINDINGS, p)), p % 5 == 0)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(codes, ",").alias("codes"))
+
+
+# --- lookups, trees and two-step paths
+
+
+@query(
+    """
+    SELECT event_type, user_id % 10 AS bucket, count(*) AS n, count(DISTINCT user_id) AS members, arg_max(event_id, (ts, event_id)) AS event_id
+    FROM events GROUP BY 1, 2"""
+)
+def stack_bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("bucket", F.col("user_id") % 10)
+    return R.bucket_summary(events, ["event_type", "bucket"], "user_id", ["ts", "event_id"], ["event_id"])
+
+
+@query(
+    """
+    SELECT c.c_custkey, coalesce(s.s_name, n.n_name) AS name FROM customer c
+    LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_custkey"""
+)
+def name_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("name"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("c_custkey"), F.col("n_name").alias("name"))
+    return R.lookup_first(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], "name", [suppliers, nations])
+
+
+@query(
+    """
+    WITH l AS (SELECT event_id, user_id % 20 AS pid, event_id % 3 AS tid FROM events), r AS (SELECT n_nationkey AS pid, n_regionkey % 3 AS tid, n_name FROM nation)
+    SELECT event_id, n_name FROM l JOIN r ON l.pid = r.pid AND (l.tid = r.tid OR r.tid = 0)"""
+)
+def wildcard_wait_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("pid"), (F.col("event_id") % 3).alias("tid"))
+    n = table(spark, sf_dir, "nation")
+    right = n.select(F.col("n_nationkey").cast("long").alias("pid"), (F.col("n_regionkey") % 3).cast("long").alias("tid"), "n_name")
+    return R.wildcard_join(left, right, "pid", "tid", 0).select("event_id", "n_name")
+
+
+@query(
+    """
+    SELECT s.s_suppkey, coalesce(array_to_string(list(l.l_partkey ORDER BY l.l_partkey) FILTER (l.l_partkey IS NOT NULL), ','), '') AS parts FROM supplier s
+    LEFT JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 45) l ON l.l_suppkey = s.s_suppkey GROUP BY 1"""
+)
+def attached_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_discount > 0.09D AND l_quantity > 45").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").distinct()
+    found = R.attached(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", lines, "l_partkey", "l_partkey", "parts")
+    return found.select("s_suppkey", F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
+
+
+@query(
+    """
+    WITH RECURSIVE t AS (SELECT p_partkey AS node, p_partkey // 3 AS parent, CAST(p_size AS BIGINT) AS size FROM part),
+    a AS (SELECT node AS up, size FROM t UNION ALL SELECT up // 3, size FROM a WHERE up > 0)
+    SELECT up AS node, CAST(sum(size) AS BIGINT) AS retained FROM a GROUP BY 1"""
+)
+def retained_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "part").select(F.lit(1).alias("graph"), F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("size"))
+    tree = nodes.where("node > 0").select("graph", "node", F.expr("node div 3").alias("parent"))
+    return G.subtree_sums(tree, nodes).select("node", "retained")
+
+
+@query(
+    """
+    SELECT l_suppkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS signature
+    FROM lineitem WHERE NOT (l_returnflag = 'R') GROUP BY 1"""
+)
+def edge_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("kind"), "l_returnflag")
+    return G.signatures(lines, "l_suppkey", "kind", F.col("l_returnflag") == "R")
+
+
+@query(
+    """
+    WITH p AS (SELECT o_custkey AS src, l_orderkey AS via, l_partkey AS dst,
+      CASE o_orderstatus WHEN 'O' THEN 2 WHEN 'F' THEN 1 ELSE 0 END + CASE WHEN l_returnflag = 'A' THEN 3 ELSE 0 END AS score
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    SELECT src, via, dst, score FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, via, dst) = 1"""
+)
+def two_hop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("via"), "o_orderstatus")
+    second = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("via"), F.col("l_partkey").alias("dst"), "l_returnflag")
+    status = F.when(F.col("o_orderstatus") == "O", 2).when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    return G.best_two_hops(first, second, status + F.when(F.col("l_returnflag") == "A", 3).otherwise(0))

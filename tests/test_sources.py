@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.runtime import shared_dir, stored
-from tessera.sources import catalog, logs, snapshot
+from tessera.sources import cases, catalog, logs, snapshot
 from tessera.sources.sqlite import SqliteSource, first_with_rows
 from tessera.streaming import events as E
 
@@ -99,3 +99,34 @@ def test_streams_agree_with_batches(spark, tmp_path):
 def test_stored_tables_are_in_the_shared_folder(spark):
     kept = stored(spark.range(3).toDF("x"), "three")
     assert kept.count() == 3 and all(shared_dir(spark).removeprefix("file://") in f for f in kept.inputFiles())
+
+
+def test_address_map(spark, tmp_path):
+    (tmp_path / "map.txt").write_text("# note\n0x10 5 rest\n10 5\nFF 6\n\nnot an address\n0xffffffffffffffff 7\n")
+    good, bad = cases.read_address_map(spark, str(tmp_path / "map.txt"))
+    assert sorted(tuple(r) for r in good.collect()) == [("16", 5, 2), ("18446744073709551615", 7, 1), ("255", 6, 1)]
+    assert [r["line"] for r in bad.collect()] == ["not an address"]
+
+
+def test_clusters_and_seeds(spark, tmp_path):
+    entry = {"node_id": "12", "name": "A", "retained_size": 5, "distance": 0}
+    made = {"candidates": [{"rank": 1, "key": "k1", "path_entries": [entry, entry | {"node_id": "3", "distance": 1}]}, {"rank": 2, "key": "k2", "path_entries": [entry]}]}
+    (tmp_path / "c.json").write_text(json.dumps(made))
+    clusters = cases.read_clusters(spark, str(tmp_path / "c.json"))
+    assert clusters.count() == 2 and [tuple(r) for r in cases.seeds(clusters).collect()] == [(12, ["k1", "k2"])]
+
+
+def test_roles_and_reports(spark, tmp_path):
+    (tmp_path / "case").mkdir()
+    for name in ("a.db", "b.heapsnapshot"):
+        (tmp_path / "case" / name).write_text("x")
+    found = cases.files_by_role(spark, str(tmp_path / "case"), {"trace": r"\.db$", "heap": r"\.heapsnapshot$"})
+    assert found["trace"].endswith("a.db") and found["heap"].endswith("b.heapsnapshot")
+    with pytest.raises(ValueError):
+        cases.files_by_role(spark, str(tmp_path / "case"), {"map": r"\.map$"})
+    rows = spark.sql("SELECT CAST(18446744073709551615 AS decimal(20,0)) AS nodeAddress, 1 AS n")
+    cases.write_report(rows, str(tmp_path / "out"), least=1)
+    text = next(p for p in (tmp_path / "out").glob("*.json")).read_text()
+    assert json.loads(text) == {"node_address": "18446744073709551615", "n": 1}
+    with pytest.raises(ValueError):
+        cases.write_report(rows.limit(0), str(tmp_path / "none"), least=1)
