@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import media as V
 from tessera.functions import predicates as P
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
@@ -962,3 +963,23 @@ def two_hop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("via"), F.col("l_partkey").alias("dst"), "l_returnflag")
     status = F.when(F.col("o_orderstatus") == "O", 2).when(F.col("o_orderstatus") == "F", 1).otherwise(0)
     return G.best_two_hops(first, second, status + F.when(F.col("l_returnflag") == "A", 3).otherwise(0))
+
+
+@query(
+    """
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'truncated' ELSE 'oversized' END AS verdict,
+      CASE WHEN page_id % 3 = 2 THEN 'wav_trailing_data' ELSE '' END AS found,
+      strlen(html) + 12 AS actual, strlen(html) + 12 + CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE -5 END AS declared FROM pages"""
+)
+def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("html") + 12
+    declared = size + F.get(F.array(F.lit(0), F.lit(10), F.lit(-5)), (F.col("page_id") % 3).cast("int")) - 8
+    octets = [F.lpad(F.hex(F.shiftright(declared, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]
+    riff = F.concat(F.lit(bytearray(b"RIFF")), F.unhex(F.concat(*octets)), F.lit(bytearray(b"WAVE")), F.col("html").cast("binary"))
+    files = table(spark, sf_dir, "pages").select("page_id", riff.alias("content"))
+    kind, content, none = S.media_format(F.col("content")), F.col("content"), F.array().cast("array<struct<kind:string,start:long,end:long>>")
+    said = V.declared_size(kind, content, none)
+    return files.select(
+        "page_id", V.size_verdict(said, F.octet_length("content")).alias("verdict"), F.array_join(V.findings(kind, content, none), ",").alias("found"),
+        F.octet_length("content").cast("long").alias("actual"), said.alias("declared"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -15,6 +16,9 @@ ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
 
 
 def decode(data: bytes | None) -> str:
+    """The text of a file, unpacked if it is gzip."""
+    if data and data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     for encoding in ENCODINGS:
         try:
             return (data or b"").decode(encoding)

@@ -1,5 +1,6 @@
 """Readers of logs, snapshots, catalogs and SQLite tables, and streaming forms, on written files."""
 
+import gzip
 import json
 import sqlite3
 
@@ -18,6 +19,8 @@ def test_logs_in_several_encodings(spark, tmp_path):
     (tmp_path / "sub" / "crash-1704164645000.log").write_bytes("HEAD 内存泄漏".encode("gb18030"))
     (tmp_path / "other.txt").write_bytes(b"HEAD")
     (tmp_path / "crash-x.log").write_bytes(b"no mark")
+    (tmp_path / "packed.gz").write_bytes(gzip.compress("packed 文".encode()))
+    assert [r["text"] for r in logs.read_logs(spark, str(tmp_path), r"\.gz$").collect()] == ["packed 文"]
     got = {r["name"]: r for r in logs.read_logs(spark, str(tmp_path), r"^crash-.*\.log$", "HEAD").collect()}
     assert set(got) == {"crash-20240102030405.log", "crash-1704164645000.log"}
     assert got["crash-20240102030405.log"]["text"] == "HEAD ok\nline"
