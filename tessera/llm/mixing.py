@@ -202,7 +202,8 @@ def mix(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) ->
         F.greatest(F.col("first_word"), F.col("block") * block_words).alias("lo"),
         F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * block_words).alias("hi"),
     )
-    joined = spans.join(slots, ["source_number", "block"]).withColumn("hi", F.least("hi", F.col("block") * block_words + F.col("words")))
+    # Spark would guess the slots' size from that of the few draws they come from, and broadcast them
+    joined = spans.join(slots.hint("merge"), ["source_number", "block"]).withColumn("hi", F.least("hi", F.col("block") * block_words + F.col("words")))
     return joined.where("lo < hi").select(
         "row", (F.col("lo") - F.col("first_word")).alias("lo"), (F.col("hi") - F.col("first_word")).alias("hi"), "shard", "pass"
     )
