@@ -491,7 +491,15 @@ def unpaired_acquire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unpaired(events.where("event_type = 'signup'"), last, ["user_id"], ("ts", "released")).select("user_id", "event_id")
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE r AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations),
+    s AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS k, 0 AS n, CAST(0 AS BIGINT) AS total, false AS hit FROM r
+      UNION ALL SELECT r.conv_id, r.turn, r.size, r.k, n + CAST(n < 4 AND total + r.size <= 1500 AS INTEGER),
+        total + CASE WHEN n < 4 AND total + r.size <= 1500 THEN r.size ELSE 0 END, n < 4 AND total + r.size <= 1500
+      FROM s JOIN r ON r.conv_id = s.conv_id AND r.k = s.k + 1)
+    SELECT conv_id, turn, size FROM s WHERE hit"""
+)
 def joint_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("size"))
     return R.joint_budget(rows, "conv_id", ["turn"], "size", 4, 1500)
@@ -598,13 +606,30 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.connected_components(lines.select("l_partkey", (F.col("l_suppkey") + 100000).alias("s")), "l_partkey", "s")
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 4 AS graph, l_partkey % 40 AS src, l_orderkey % 40 AS dst FROM lineitem WHERE l_partkey % 40 <> l_orderkey % 40),
+    f AS (SELECT DISTINCT graph, CAST(0 AS BIGINT) AS node FROM e UNION SELECT e.graph, e.dst FROM f JOIN e ON e.graph = f.graph AND e.src = f.node),
+    r AS (SELECT graph, node AS d, CAST(0 AS BIGINT) AS node FROM f WHERE node <> 0
+      UNION SELECT r.graph, r.d, e.dst FROM r JOIN e ON e.graph = r.graph AND e.src = r.node WHERE e.dst <> r.d),
+    over AS (SELECT n.graph, n.node, d.node AS d FROM f n JOIN f d ON d.graph = n.graph AND d.node <> n.node LEFT JOIN r ON r.graph = n.graph AND r.d = d.node AND r.node = n.node
+      WHERE n.node <> 0 AND (d.node = 0 OR r.node IS NULL)),
+    depth AS (SELECT graph, node, count(*) AS k FROM over GROUP BY 1, 2)
+    SELECT o.graph, o.node, arg_max(o.d, coalesce(p.k, 0)) AS parent FROM over o LEFT JOIN depth p ON p.graph = o.graph AND p.node = o.d GROUP BY 1, 2"""
+)
 def dominator_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("graph"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 40).alias("dst"))
     return G.dominators(edges.where("src <> dst").distinct(), "graph", "src", "dst", F.lit(0))
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE n AS (SELECT range AS node, 'c' || (range % 7) AS name, range % 11 AS size FROM range(0, 2000)),
+    a AS (SELECT node, name, node // 3 AS up FROM n WHERE node > 0 UNION ALL SELECT node, name, up // 3 FROM a WHERE up > 0),
+    covered AS (SELECT DISTINCT a.node FROM a JOIN n ON n.node = a.up AND n.name = a.name)
+    SELECT 1 AS graph, name, count(*) AS n, CAST(sum(CASE WHEN covered.node IS NULL THEN size ELSE 0 END) AS BIGINT) AS retained
+    FROM n LEFT JOIN covered USING (node) GROUP BY name"""
+)
 def topmost_class_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.range(1, 2000).select(F.lit(1).alias("graph"), F.col("id").alias("node"), F.floor(F.col("id") / 3).alias("parent"))
     nodes = spark.range(0, 2000).select(F.lit(1).alias("graph"), F.col("id").alias("node"), F.concat(F.lit("c"), F.col("id") % 7).alias("name"), (F.col("id") % 11).alias("size"))
@@ -630,7 +655,11 @@ def contiguous_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.similar_pairs(_chains(spark, sf_dir).withColumn("one", F.lit(1)), "conv_id", ["one"], "chain", "run")
 
 
-@query()
+@query(
+    f"""WITH c AS ({_CHAINS}), d AS (SELECT chain, min(conv_id) AS id, list_transform(chain, lambda x: x[1:1]) AS letters FROM c GROUP BY 1)
+    SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM d a JOIN d b ON a.id <> b.id
+    WHERE regexp_matches(array_to_string(b.letters, ''), array_to_string(a.letters, '.*'))"""
+)
 def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.similar_pairs(_chains(spark, sf_dir).withColumn("one", F.lit(1)), "conv_id", ["one"], "chain", "order")
 
