@@ -8,7 +8,7 @@ near fingerprints then share a leaf. Leaves are groups of a shuffle; each is sea
 splitting it further with the same rule. A leaf reports a spanning set of its links, and
 components of these are the answer.
 
-The tree is fitted on at most ``SAMPLE`` fingerprints (those with the least hash); every
+The tree is fitted on about ``SAMPLE`` fingerprints at most (those with the least hash); every
 fingerprint is indexed by it and the result is exact whatever the sample. Leaves number one for
 ``LEAF_ROWS`` distinct fingerprints, so they grow in number, not in size.
 
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
+from tessera.operators.prefix import POSITION_BITS, hash_position
 from tessera.runtime import small_batches, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -191,9 +192,10 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     leaves = max(1, min(MOST_LEAVES, size // LEAF_ROWS))
     tree = []
     if leaves > 1:
-        wanted = min(SAMPLE, max(LEAST_SAMPLE, 16 * leaves))
-        sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).toArrow()
-        tree = build_tree(sample.column("fp").to_numpy().view(np.uint64), leaves, radius)
+        # a hash below a cutoff picks about as many as wanted, from each task its share
+        share = min(1.0, min(SAMPLE, max(LEAST_SAMPLE, 16 * leaves)) / size)
+        picked = distinct.where(hash_position(F.col("fp")) < int(share * (1 << POSITION_BITS))).select("fp").toArrow()
+        tree = build_tree(np.sort(picked.column("fp").to_numpy()).view(np.uint64), leaves, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -83,3 +83,20 @@ def test_one_document_of_each_group_stays(documents):
 
 def test_empty_table(empty):
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
+
+
+def test_many_fingerprints_over_leaves(spark, monkeypatch):
+    import tessera.llm.near_duplicates as near
+
+    monkeypatch.setattr(near, "LEAF_ROWS", 64)
+    monkeypatch.setattr(near, "LEAST_SAMPLE", 200)
+    points = clustered(9, 900, 2)
+    rows = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    got = {r["fp"]: r["part"] for r in near.near_classes(rows).collect()}
+    classes = {}
+    for p, c in zip(points.view(np.int64).tolist(), slow_classes(points), strict=True):
+        classes.setdefault(c, set()).add(p)
+    parts = {}
+    for p, c in got.items():
+        parts.setdefault(c, set()).add(p)
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, classes.values()))
