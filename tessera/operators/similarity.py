@@ -46,11 +46,12 @@ def chain_classes(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b")
 
 
-def merge_similar(rows: DataFrame, by: str, order: Sequence[str], trace: str, count: str, size: str, most: int = 20) -> DataFrame:
+def merge_similar(rows: DataFrame, by: str, order: Sequence[str], trace: str, count: str, size: str, most: int = 20, longest: bool = False) -> DataFrame:
     """Fold each group's first rows, in order, into those whose trace contains theirs or the reverse.
 
-    Counts add up while sizes keep their maximum; the first row of a fold lends its trace. The
-    result depends on the order, so a group's top ``most`` rows are folded in one place.
+    Counts add up while sizes keep their maximum; the first row of a fold lends its trace, or the
+    row with the longest chain so far. The result depends on the order, so a group's top ``most``
+    rows are folded in one place.
     """
     from pyspark.sql import Window
 
@@ -64,6 +65,8 @@ def merge_similar(rows: DataFrame, by: str, order: Sequence[str], trace: str, co
                 if row[trace] in k[1] or k[1] in row[trace]:
                     k[2] += int(row[count])
                     k[3] = max(k[3], int(row[size]))
+                    if longest and row[trace].count(" <- ") > k[1].count(" <- "):
+                        k[1] = row[trace]
                     break
             else:
                 kept.append([row[by], row[trace], int(row[count]), int(row[size])])

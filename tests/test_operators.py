@@ -167,6 +167,7 @@ def test_similar_chains_against_all_pairs(spark, how, test):
 def test_merging_keeps_the_largest_size(spark):
     rows = spark.createDataFrame([("g", 1, "a <- b", 1, 10), ("g", 2, "a <- b <- c", 2, 30), ("g", 3, "x", 4, 5)], "g string, o int, trace string, n long, size long")
     assert values(M.merge_similar(rows, "g", ["o"], "trace", "n", "size"), "trace", "n", "size") == [("a <- b", 3, 30), ("x", 4, 5)]
+    assert values(M.merge_similar(rows, "g", ["o"], "trace", "n", "size", longest=True), "trace", "n", "size") == [("a <- b <- c", 3, 30), ("x", 4, 5)]
 
 
 def test_retrieval(spark):
