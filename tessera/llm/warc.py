@@ -9,7 +9,8 @@ requests and metadata are then joined to their response by their concurrent-to i
 Cases: a null html is an empty payload; a null url an empty target. Rows with equal page_id and
 equal payload all count as the smallest, and all are responses. A null page_id never is the
 smallest unless all are null, and then none is a revisit. An empty table gives an empty table.
-Other columns are ignored. Truncated archives and records without a response are an error.
+Other columns are ignored. Truncated archives are an error; records without a response make no
+capture.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.runtime import small_batches, stored
@@ -192,19 +193,31 @@ def read_records(archives: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
-    """One nested row for each capture: its response or revisit with the request and metadata joined in.
+    """One nested row for each capture: its response or revisit joined with its request and metadata.
 
-    ``records`` is read three times, so pass a stored table or let column pruning keep the reads
-    small. Identifiers are unique, so no join key is hot.
+    The three meet under the response's identifier, which the other two name as concurrent to theirs.
+    They stand together in an archive, so they mostly meet before the one shuffle, and archives are read
+    once. Identifiers are unique, so no key is hot. Of several requests of a capture one is taken.
     """
-    keep = ["payload"] if payload else []
-    main = records.where(F.col("type").isin("response", "revisit")).select(
-        F.col("record_id").alias("capture_id"), "target", F.col("type").alias("record_type"), "payload_digest", "payload_bytes",
-        F.col("refers_to").cast("long").alias("refers_to"), F.struct("archive", "offset", "headers", F.col("block").alias("http")).alias("response"), *keep,
-    )
-
-    def side(kind: str, *more: str) -> DataFrame:
-        nested = F.struct("record_id", "archive", "offset", "headers", "block").alias(kind)
-        return records.where(F.col("type") == kind).select(F.col("concurrent_to").alias("capture_id"), nested, *more)
-
-    return main.join(side("request"), "capture_id", "left").join(side("metadata", "page_id"), "capture_id", "left")
+    main = F.col("type").isin("response", "revisit")
+
+    def of(condition: Column, value: Column | str) -> Column:
+        return F.first(F.when(condition, value), ignorenulls=True)
+
+    def nested(kind: str) -> Column:
+        return of(F.col("type") == kind, F.struct("record_id", "archive", "offset", "headers", "block")).alias(kind)
+
+    keep = [of(main, F.col("payload")).alias("payload")] if payload else []
+    captures = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
+        of(main, F.col("target")).alias("target"),
+        of(main, F.col("type")).alias("record_type"),
+        of(main, F.col("payload_digest")).alias("payload_digest"),
+        of(main, F.col("payload_bytes")).alias("payload_bytes"),
+        of(main, F.col("refers_to").cast("long")).alias("refers_to"),
+        of(main, F.struct("archive", "offset", "headers", F.col("block").alias("http"))).alias("response"),
+        *keep,
+        nested("request"),
+        nested("metadata"),
+        of(F.col("type") == "metadata", F.col("page_id")).alias("page_id"),
+    )
+    return captures.where("record_type IS NOT NULL")
