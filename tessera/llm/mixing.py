@@ -34,6 +34,8 @@ from tessera.runtime import parallelism, small_batches, stored
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 BLOCK_WORDS, SHARD_SLOTS, SEED, MOST_TIMES = 256, 1024, 17, 3
+#: Slots that a task makes at most, about, and at once.
+TASK_SLOTS, BATCH_SLOTS = 1 << 20, 1 << 15
 
 
 def word_count(text: Column) -> Column:
@@ -136,6 +138,7 @@ def plan_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     numbered = running_totals(numbered, ["q"], "_at", ["shard"], {"first": "n"}, max(1, min(shards, 4 * parallelism(spark))))
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, held = [], 0
         for frame in frames:
             for shard, q, n, first in frame[["shard", "q", "n", "first"]].itertuples(index=False):
                 ordinals = np.arange(first, first + n)
@@ -148,7 +151,13 @@ def plan_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
                         at, k, had = owed_at[w]
                         parts.append((k, had + place[which == w] - at))
                 for k, number in parts:
-                    yield slot_rows(shard, quotas[k], number)
+                    made.append(slot_rows(shard, quotas[k], number))
+                    held += len(number)
+                if held >= BATCH_SLOTS:
+                    yield pd.concat(made)
+                    made, held = [], 0
+        if made:
+            yield pd.concat(made)
 
     def slot_rows(shard: int, quota: tuple[int, ...], number: np.ndarray) -> pd.DataFrame:
         source, size, blocks, passes, rest, _, _ = quota
@@ -163,7 +172,9 @@ def plan_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
         words = np.where(last, np.minimum(words, rest - j * block_words), words)
         return pd.DataFrame({"shard": shard, "source_number": source, "pass": turn, "block": block, "words": words})
 
-    return numbered.where("n > 0").mapInPandas(slots, "shard long, source_number int, pass int, block long, words long")
+    # a draw is a small row but makes many slots, so tasks are counted by slots
+    tasks = max(1, min(shards, max(parallelism(spark), total // TASK_SLOTS)))
+    return numbered.where("n > 0").repartition(tasks, "shard").mapInPandas(slots, "shard long, source_number int, pass int, block long, words long")
 
 
 def hash_key(*parts: int) -> int:
