@@ -39,6 +39,11 @@ WORDS, SEED, RADIUS = 3, 42, 2
 #: fingerprints leaves grow, at 8 bytes a row; each is split further where it is searched.
 LEAST_SAMPLE, SAMPLE, LEAF_ROWS, MOST_LEAVES = 65_536, 1_048_576, 4_096, 65_536
 
+#: Words of a shingle and the least Jaccard similarity, as a fraction, of similar texts.
+SIMILAR_WORDS, LEAST = 5, (4, 5)
+#: Documents from which frequent shingles are counted, and how many of these are told apart from rare ones.
+COMMON_SAMPLE, COMMON = 32_768, 131_072
+
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -238,3 +243,125 @@ def drop_near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     kept = rows.select("doc_id", "fp", "row").join(classes, "fp").groupBy("part").agg(first).select(F.col("first.row").alias("row"))
     return rows.select("row", "document").join(kept, "row", "left_semi").select("document.*")
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles in order; a text of fewer words is one shingle, a blank one has none."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.empty(0, dtype=np.uint64)
+    shingles = zip(*[parts[k:] for k in range(words)], strict=False) if len(parts) >= words else [parts]
+    return np.unique(np.fromiter(map(_hash, map(b" ".join, shingles)), dtype=np.uint64))
+
+
+def rarest(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """So many of a set's rarest shingles that any set as similar as ``least`` has one of them among its own rarest."""
+    weight = np.zeros(len(own), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        weight = np.where(common[at] == own, counts[at], 0)
+    return own[np.lexsort((own, weight))[: prefix_length(len(own), least)]]
+
+
+def prefix_length(n: int, least: tuple[int, int]) -> int:
+    return n + least[0] * -n // least[1] + 1 if n else 0
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the most frequent shingles of a bounded sample of ``texts(text)``."""
+    share = min(1.0, COMMON_SAMPLE / max(1, texts.count()))
+    sample = texts.where(hash_position(F.xxhash64("text")) < int(share * (1 << POSITION_BITS)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], names=["key"])
+
+    counted = sample.mapInArrow(cut, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    top = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys, counts = (top.column(c).to_numpy() for c in ("key", "n"))
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all pairs of sets in ``distinct(id, n, prefix)`` with a Jaccard
+    similarity of ``least`` at least; ``rows(row, text)`` has the text of each id.
+
+    First every set meets only the least id that shares a rare shingle. Pairs that this leaves in different
+    components are then all compared, so a large group of near copies is not paired with itself wholesale.
+    """
+    up, down = least
+    entries = distinct.select("id", "n", F.explode("prefix").alias("key"))
+    members = entries.groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("members")).where(F.size("members") > 1)
+    first = F.array_min("members").alias("first")
+    shared = stored(members.select("key", first, F.explode("members").alias("m")).select("key", "first", "m.*"), "shared")
+
+    def rest(n: str) -> Column:
+        """What of n shingles is not among the rarest: one less than ``least`` of them, rounded up."""
+        return F.expr(f"({up} * {n} + {down - 1}) div {down} - 1")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs ``(a, an, b, bn, met)`` that are similar; met counts the rare shingles that both have."""
+        bound = (up + down) * (F.col("met") + F.greatest(rest("an"), rest("bn"))) >= up * (F.col("an") + F.col("bn"))
+        asked = stored(pairs.where(bound).select("a", "b"), "candidates")
+        ids = asked.select(F.col("a").alias("row")).unionByName(asked.select(F.col("b").alias("row"))).distinct()
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "own"])
+
+        texts = rows.select("row", F.col("text").cast("string").cast("binary")).join(ids, "row", "left_semi")
+        sets = stored(texts.mapInArrow(cut, "id long, own array<long>"), "sets")
+        both = asked.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+        met = both.withColumn("_met", F.size(F.array_intersect("x", "y")))
+        return stored(met.where(F.col("_met") * down >= up * (F.size("x") + F.size("y") - F.col("_met"))).select("a", "b"), "links")
+
+    def alike(a: str, b: str) -> Column:
+        return F.least(a, b) * down >= up * F.greatest(a, b)
+
+    stars = shared.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("first.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
+    links = verified(stars.where(alike("an", "bn")).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("met")))
+    parts = connected_components(links, "a", "b")
+    placed = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    placed = stored(placed.join(split, "key", "left_semi"), "placed")
+    left, right = (placed.select("key", *[F.col(c).alias(s + c) for c in ("id", "n", "part")]) for s in "ab")
+    across = left.join(right, "key").where("apart <> bpart AND aid < bid").where(alike("an", "bn"))
+    pairs = across.groupBy(F.col("aid").alias("a"), "an", F.col("bid").alias("b"), "bn").agg(F.count("*").alias("met"))
+    return links.unionByName(verified(pairs))
+
+
+def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """``documents`` with one row, that of the smallest doc_id, null ids last, of each group of similar texts.
+
+    Groups are the components of all pairs whose sets of word shingles have a Jaccard similarity of
+    ``least`` (a fraction) at least. The pairs are exact: sets this similar share one of their rarest
+    shingles in any common order of all shingles, so sets that share none need no comparing. The
+    order, by frequency in a sample, is a matter of speed only.
+    """
+    small_batches(documents.sparkSession)
+    common, counts = common_shingles(documents.select(F.col("text").cast("string").cast("binary").alias("text")), words)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            prefix = pa.array([rarest(s, common, counts, least).view(np.int64) for s in own], pa.list_(pa.int64()))
+            same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), same, pa.array([len(s) for s in own], pa.int64()), prefix, batch.column(2)], names=["doc_id", "same", "n", "prefix", "document"]
+            )
+
+    whole = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), F.struct(*documents.columns).alias("document"))
+    kind = whole.schema["document"].dataType.simpleString()
+    made = whole.mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, document {kind}")
+    rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
+    distinct = stored(rows.groupBy("same").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
+    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct.select("id", "n", "prefix"), words, least)
+    parts = connected_components(links, "a", "b")
+    classes = distinct.select("same", "id").join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = rows.select("doc_id", "same", "row").join(classes, "same").groupBy("part").agg(first).select(F.col("first.row").alias("row"))
+    return rows.select("row", "document").join(kept, "row", "left_semi").select("document.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm.near_duplicates import as_hex, build_tree, drop_near_duplicates, leaves_of, near_duplicates, spanning_links
+from tessera.llm.near_duplicates import as_hex, build_tree, drop_near_duplicates, drop_similar, leaves_of, near_duplicates, spanning_links
 
 
 def slow_fingerprint(text):
@@ -100,3 +100,63 @@ def test_many_fingerprints_over_leaves(spark, monkeypatch):
     for p, c in got.items():
         parts.setdefault(c, set()).add(p)
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, classes.values()))
+
+
+def slow_similar(texts, words=5):
+    """Ids of the first document of each component of pairs with a Jaccard similarity of 0.8, by all pairs."""
+    sets = []
+    for _, text in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        sets.append({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for k, (d, _) in enumerate(texts):
+        least[root(k)] = min(d, least.get(root(k), d))
+    return sorted(least.values())
+
+
+def edited(seed, n):
+    """Texts of 60 to 90 words, most of them with a few words of an earlier one changed, cut or put between, and a common passage."""
+    rng = np.random.default_rng(seed)
+    passage = [f"p{k}" for k in range(30)]
+    made = []
+    for k in range(n):
+        if k < n // 4:
+            words = [f"w{rng.integers(0, 4000)}" for _ in range(int(rng.integers(60, 90)))] + passage * (k % 2)
+        else:
+            words = list(made[int(rng.integers(0, len(made)))])
+            for _ in range(int(rng.integers(0, 4))):
+                at = int(rng.integers(0, len(words)))
+                words[at : at + int(rng.integers(0, 2))] = [f"x{rng.integers(0, 4000)}"] * int(rng.integers(0, 2))
+        made.append(words)
+    return [(int(d), " ".join(w)) for d, w in zip(rng.permutation(n), made, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_similar_texts_against_all_pairs(spark, seed):
+    texts = edited(seed, 160)
+    got = sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == slow_similar(texts)
+
+
+def test_near_copies_leave_the_corpus(spark):
+    """Two words of a hundred changed: ten of 96 shingles differ, and far more than two bits."""
+    import corpus_pipeline
+
+    words = [f"w{k * 7919 % 4001}" for k in range(100)]
+    changed = [f"y{k}" if k in (30, 70) else w for k, w in enumerate(words)]
+    other = [f"y{k}" if k % 12 == 5 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, changed, other))], "doc_id long, text string")
+    assert drop_near_duplicates(docs).count() == 3
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+    assert slow_similar([tuple(r) for r in docs.collect()]) == [0, 2]
