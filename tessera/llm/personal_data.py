@@ -4,7 +4,8 @@ The base patterns are searched as they stand. Then a transducer rewrites the tex
 characters become the ASCII ones they imitate, invisible ones vanish, spelled digits become
 digits, and bracketed or spaced "at" and "dot" become their signs. It keeps the source position of
 every character it writes, so whatever the same patterns find in its output maps back to a
-source span. Spans that touch none found before are added; base spans always stay.
+source span. Spans that touch none found before are added,
+and those of which one found before is a fragment; base spans always stay.
 
 Cases: a null text is empty and has no spans. Text without a trigger is not rewritten. Repeated
 rows are kept. An empty table gives an empty table. Other columns are ignored, and kept by ``redact``.
@@ -151,6 +152,12 @@ def rewrite(text: str) -> Rewritten:
     return out
 
 
+def _goes_beyond(span: Span, held: Span) -> bool:
+    """Whether ``span`` properly contains ``held``, or is of its kind and not inside it."""
+    inside = held.start <= span.start and span.end <= held.end
+    return not inside and (span.kind == held.kind or (span.start <= held.start and held.end <= span.end))
+
+
 def find_all(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind and then start."""
     if not text:
@@ -159,11 +166,11 @@ def find_all(text: str | None) -> tuple[list[Span], list[Span]]:
     if not (_TRIGGER.search(text) or (not text.isascii() and _ODD.search(text))):
         return base, base
     out = rewrite(text)
-    held, more = sorted((s.start, s.end) for s in base), []
+    held, more = sorted((s.start, s.end, s.kind) for s in base), []
     for span in map(out.source, find(out.text)):
-        if not any(a < span.end and span.start < b for a, b in held):
+        if not any(a < span.end and span.start < b and not _goes_beyond(span, Span(kind, a, b)) for a, b, kind in held):
             more.append(span)
-            held.append((span.start, span.end))
+            held.append((span.start, span.end, span.kind))
     return base, sorted(base + more, key=lambda s: (KINDS.index(s.kind), s.start))
 
 

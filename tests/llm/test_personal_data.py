@@ -77,3 +77,20 @@ def test_redaction_keeps_columns(documents):
 
 def test_empty_table(empty):
     assert find_personal_data(empty).count() == 0 and redact(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,kind,found,left",
+    [
+        ("x jane.dоe@example.com y", "email", "jane.dоe@example.com", "x <email> y"),
+        ("x jane@mail.exаmple.com y", "email", "jane@mail.exаmple.com", "x <email> y"),
+        ("x jane@example.cоm y", "email", "jane@example.cоm", "x <email> y"),
+        ("x ja​ne@example.com y", "email", "ja​ne@example.com", "x <email> y"),
+        ("x jane [at] 10.0.0.1 y", "email", "jane [at] 10.0.0.1", "x <email> y"),
+    ],
+)
+def test_a_fragment_does_not_hide_the_whole(spark, text, kind, found, left):
+    base, every = find_all(text)
+    assert base and set(base) <= set(every)
+    assert [(s.kind, text[s.start : s.end]) for s in every if s not in base] == [(kind, found)]
+    assert [r["text"] for r in redact(spark.createDataFrame([(text,)], "text string")).collect()] == [left]
