@@ -2,9 +2,9 @@
 
 The base patterns are searched as they stand. Then a transducer rewrites the text: look-alike
 characters become the ASCII ones they imitate, invisible ones vanish, spelled digits become
-digits, and bracketed or spaced "at" and "dot" become their signs. It keeps the source position of
-every character it writes, so whatever the same patterns find in its output maps back to a
-source span. Spans that touch none found before are added,
+digits, and bracketed or spaced "at" and "dot" become their signs; a bare "at" or a spaced sign only
+before a host. It keeps the source position of every character it writes, so whatever the same
+patterns find in its output maps back to a source span. Spans that touch none found before are added,
 and those of which one found before is a fragment; base spans always stay.
 
 Cases: a null text is empty and has no spans. Text without a trigger is not rewritten. Repeated
@@ -56,16 +56,36 @@ _SWAP = str.maketrans(LOOK_ALIKE)
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKE) + INVISIBLE) + "]")
 _GONE = re.compile(f"[{INVISIBLE}]")
 _NAMES = "|".join(SPELLED)
+_OPEN, _SHUT = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
+_DOT = rf"(?:\.|\s{{1,3}}dot\s{{1,3}}|{_OPEN}(?:dot|\.){_SHUT})"
+# Top-level labels that make a dotted name after a bare "at" a host, two-letter ones besides.
+_TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|io|dev|app|xyz|online|site|shop|store|tech|cloud|blog|example|test|invalid|local|[a-z]{2})"
+_HOST = rf"(?!www\.)(?:[a-z0-9-]{{1,63}}{_DOT}){{1,8}}{_TOP}(?![a-z0-9_@/-]|\.[a-z0-9])"
+_NUMBER = rf"(?:\b(?:{_NAMES})\b|[0-9]{{1,3}})(?:[\s,-]{{1,2}}(?:(?:{_NAMES})|[0-9])\b){{0,2}}"
 _SIGN = re.compile(
-    r"(?P<at>\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}(?=[a-z0-9-]+(?:\s{1,3}dot\s{1,3}|\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3})[a-z]))"
-    r"|(?P<dot>\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9]))"
+    rf"(?P<at>{_OPEN}(?:at|@){_SHUT}|\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]+(?:\s{{1,3}}dot\s{{1,3}}|{_OPEN}dot{_SHUT})[a-z])"
+    rf"|(?:\s{{1,3}}at\s{{1,3}}|\s{{1,3}}@\s{{0,3}}|(?<=[a-z0-9])@\s{{1,3}})(?=(?P<host>{_HOST})))"
+    rf"|(?P<octets>\b{_NUMBER}(?:{_DOT}{_NUMBER}){{3}}\b)"
+    rf"|(?P<dot>{_OPEN}(?:dot|\.){_SHUT}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[a-z0-9]))"
     r"|(?P<plus>\bplus\s{1,3}(?=[0-9]|(?:" + _NAMES + r")\b))"
     r"|(?P<digits>\b(?:" + _NAMES + r"|[0-9])(?:[\s,.-]{0,2}\b(?:" + _NAMES + r"|[0-9])\b){6,})",
     re.IGNORECASE,
 )
 _TRIGGER = re.compile(
-    r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|\sdot\s|\b(?:" + _NAMES + r")[\s,.-]{1,2}(?:" + _NAMES + r"|[0-9])\b", re.IGNORECASE
+    rf"[\[({{<]\s{{0,3}}(?:at|dot|@|\.)\s{{0,3}}[\])}}>]|\sdot\s|\s(?:at\s{{1,3}}|@\s{{0,3}})[a-z0-9-]{{1,63}}{_DOT}[a-z0-9]|@\s{{1,3}}[a-z0-9-]{{1,63}}{_DOT}[a-z0-9]"
+    r"|\b(?:" + _NAMES + r")[\s,.-]{1,2}(?:" + _NAMES + r"|[0-9])\b",
+    re.IGNORECASE,
+)
+# Words before "at" and a plainly written host in prose, where no address is meant.
+_PROSE = frozenset(
+    "a about also am an and are available be been but buy by can check find follow for found from he her here him hosted i is it join listed live located look looked "
+    "looking looks me more not now online or order ours out page pages published read register see seen shop site start starts that the them there they this "
+    "to up us visit was we website were work worked working works you".split()
 )
+_WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_WORDED = re.compile(r"\s|[\[({<]")
+_BLANKS = re.compile(r"[\s,-]+")
+_DOTS = re.compile(_DOT, re.IGNORECASE)
 _NAME = re.compile(r"\b(?:" + _NAMES + r")\b", re.IGNORECASE)
 
 
@@ -133,6 +153,12 @@ class Rewritten:
         return Span(span.kind, self.lows[span.start], self.highs[span.end - 1])
 
 
+def _in_prose(text: str, at: int, host: str) -> bool:
+    """Whether the word before an "at" can't be a mailbox, or the host is two sentences without a blank between."""
+    before = _WORD_BEFORE.search(text, max(0, at - 64), at).group()
+    return before.lower() in _PROSE or before.endswith(".") or host.rpartition(".")[2].istitle()
+
+
 def rewrite(text: str) -> Rewritten:
     """The transducer: look-alikes, invisible characters, then signs and spelled digits."""
     out = Rewritten(text.translate(_SWAP))
@@ -140,7 +166,12 @@ def rewrite(text: str) -> Rewritten:
     changes = []
     for m in _SIGN.finditer(out.text):
         kind = m.lastgroup
-        if kind == "digits":
+        if kind == "octets":
+            parts = _DOTS.split(m.group())
+            changes.append((*m.span(), ".".join(_BLANKS.sub("", _NAME.sub(lambda n: SPELLED[n.group().lower()], p)) for p in parts)))
+        elif kind == "at" and m["host"] and not _WORDED.search(m["host"]) and _in_prose(out.text, m.start(), m["host"]):
+            continue
+        elif kind == "digits":
             lo = m.start()
             changes += [(lo + n.start(), lo + n.end(), SPELLED[n.group().lower()]) for n in _NAME.finditer(m.group())]
         else:

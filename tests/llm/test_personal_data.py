@@ -94,3 +94,42 @@ def test_a_fragment_does_not_hide_the_whole(spark, text, kind, found, left):
     assert base and set(base) <= set(every)
     assert [(s.kind, text[s.start : s.end]) for s in every if s not in base] == [(kind, found)]
     assert [r["text"] for r in redact(spark.createDataFrame([(text,)], "text string")).collect()] == [left]
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("mail jane.doe at example.com now", "email", "jane.doe at example.com"),
+        ("mail jane at example.com.", "email", "jane at example.com"),
+        ("mail jane at mail.example dot com now", "email", "jane at mail.example dot com"),
+        ("mail jane at mail dot example.com now", "email", "jane at mail dot example.com"),
+        ("mail jane at mail[.]example (dot) org now", "email", "jane at mail[.]example (dot) org"),
+        ("mail jane @ example.com now", "email", "jane @ example.com"),
+        ("mail jane@ example.com now", "email", "jane@ example.com"),
+        ("mail jane @example dot com now", "email", "jane @example dot com"),
+        ("at one nine two dot one six eight dot one dot one it is", "ip", "one nine two dot one six eight dot one dot one"),
+        ("at one nine two.one six eight.one.two three it is", "ip", "one nine two.one six eight.one.two three"),
+    ],
+)
+def test_bare_signs_before_a_host_and_spoken_addresses(text, kind, found):
+    assert [(s.kind, text[s.start : s.end]) for s in find_all(text)[1]] == [(kind, found)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "it is available at example.com today",
+        "write to us at www.example.com or look at example.org/jane",
+        "we stayed at home.It rained",
+        "apples @ 3.50 each, open at 5.30",
+        "one dot two dot three",
+        "he arrived at approx. noon",
+    ],
+)
+def test_prose_with_hosts_and_prices_has_none(text):
+    assert find_all(text) == ([], [])
+
+
+def test_many_bare_signs_take_linear_time():
+    for text in (" at a.b" * 30_000, " @ " * 60_000, " at " + "a." * 100_000, "one dot " * 30_000, " at " + "a dot " * 30_000):
+        find_all(text)
