@@ -44,6 +44,15 @@ _BOILERPLATE = re.compile(
     r"contentinfo|complementary|dialog|form)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+# in an article only a whole name counts, or one with the word for a piece of layout
+_LAYOUT = re.compile(
+    r"[\s_-](?:area|bar|block|box|button|buttons|container|content|form|icons?|inner|left|links?|list|menu|nav|outer|panel|right|section|slot|title|unit|widget|wrap|wrapper)$",
+    re.IGNORECASE,
+)
+# names of a state say what a page has, not what an element is
+_STATE = re.compile(r"(?:has|no|not|is|with|without)-.*|.*-(?:open|opened|closed|enabled|disabled|on|off|hidden|visible|active)", re.IGNORECASE)
+# what may stand in a head; anything else ends it
+_IN_HEAD = frozenset("title style script noscript template head".split())
 # an article's own header holds its title
 _PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.IGNORECASE)
 # ids of these name a place to link to, not a part of the page
@@ -61,8 +70,10 @@ class Line:
 class LineParser(HTMLParser):
     """Lines of text with their containers; elements that are never text are skipped whole."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
+        self.section_of: list[int] = [0]
         self.lines: list[Line] = []
         self.open: list[str] = []
         self.regions: list[int] = [0]
@@ -78,6 +89,10 @@ class LineParser(HTMLParser):
             self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skip_at >= 0 and self.open[self.skip_at] == "head" and (
+            tag == "body" or (len(self.open) == self.skip_at + 1 and tag not in VOID and tag not in _IN_HEAD)
+        ):
+            self.pop_to(self.skip_at)
         if tag in VOID:
             if tag == "br":
                 self.handle_data(" ")
@@ -103,6 +118,9 @@ class LineParser(HTMLParser):
             self.links += 1
         elif tag in CONTAINER:
             self.made += 1
+            # a cell or figure of an article is judged with the section that it stands in
+            piece = self.inside and tag not in ("article", "main", "section", "div")
+            self.section_of.append(self.section_of[self.regions[-1]] if piece else self.made)
             self.regions.append(self.made)
             self.inside += tag in ("article", "main")
             self.articles += tag == "article"
@@ -117,10 +135,18 @@ class LineParser(HTMLParser):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name not in ("class", "id", "role") or not value or tag in ("html", "body", "main") or (name == "id" and tag in _LINK_TARGETS):
+            if not self.by_name or name not in ("class", "id", "role") or not value or tag in ("html", "body", "main", "article"):
                 continue
-            if _BOILERPLATE.search(value) or (not self.inside and _PAGE_HEADER.search(value)):
-                return True
+            if name == "id" and (tag in _LINK_TARGETS or (tag == "section" and self.inside)):
+                continue
+            for token in value.split():
+                if name == "class" and _STATE.fullmatch(token):
+                    continue
+                if self.inside:
+                    if _BOILERPLATE.fullmatch(token) or (_LAYOUT.search(token) and _BOILERPLATE.fullmatch(_LAYOUT.sub("", token))):
+                        return True
+                elif _BOILERPLATE.search(token) or _PAGE_HEADER.search(token):
+                    return True
         return False
 
     def close_p(self) -> None:
@@ -198,6 +224,11 @@ def main_text(html: str | None) -> str:
     parser = LineParser()
     parser.feed(html or "")
     lines = parser.finish()
+    if not lines and html:
+        # no name may take the whole page
+        parser = LineParser(by_name=False)
+        parser.feed(html)
+        lines = parser.finish()
     if any(x.inside for x in lines):
         lines = [x for x in lines if x.inside]
     if not lines:
@@ -209,7 +240,16 @@ def main_text(html: str | None) -> str:
         seen[0] += len(x.text)
         seen[1] += len(x.text) * bool(good)
         seen[2] += x.linked
-    kept = {r for r, (n, good, linked) in chars.items() if (2 * good >= n or r in parser.semantic) and 2 * linked <= n}
+    sections: dict[int, list[int]] = {}
+    for r, (n, _, linked) in chars.items():
+        whole = sections.setdefault(parser.section_of[r], [0, 0])
+        whole[0] += n
+        whole[1] += linked
+    kept = set()
+    for r, (n, good, _) in chars.items():
+        whole, linked = sections[parser.section_of[r]]
+        if (2 * good >= n or r in parser.semantic) and 2 * linked <= whole:
+            kept.add(r)
     if not kept:
         kept = {max(chars, key=lambda r: (chars[r][0] - chars[r][2], -r))}
     return "\n\n".join(x.text for x in lines if x.region in kept)

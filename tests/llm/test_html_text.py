@@ -54,3 +54,20 @@ def test_tables(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == [(1, "u", "x"), (1, "u", "x"), (None, None, "")]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (page("<article><p>A</p><section id='discussion'><p>B</p></section><section id='related-work'><p>C</p></section><div class='alert-levels'><p>D</p></div></article>"), "A\n\nB\n\nC\n\nD"),
+        (page("<article class='post comments-open'><p>A</p><div class='share-buttons'>x</div><div class='sidebar'>y</div></article>"), "A"),
+        (page("<div class='content has-sidebar'><p>A</p></div>"), "A"),
+        (page("<div class='no-sidebar'><article><p>A</p></article></div>"), "A"),
+        (page("<div class='widget'><p>A</p></div>"), "A"),
+        ("<html><head><title>T</title><body><article><p>A</p></article>", "A"),
+        ("<html><head><title>T</title><meta charset='x'><p>A</p>", "A"),
+        (page("<article><p>" + WORDS + "</p><table><tr><td><a href='/x'>Linked cell</a></td><td>y</td></tr></table></article>"), WORDS.strip() + "\n\nLinked cell\n\ny"),
+    ],
+)
+def test_article_text_is_whole(html, text):
+    assert main_text(html) == text
