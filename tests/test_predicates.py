@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import predicates as P
+from tessera.functions.crashes import crash_causes, crash_facts
 
 JS = "/system/lib64/libark_jsruntime.so(JSFunction+4)"
 CRASHES = [
@@ -26,7 +27,7 @@ CRASHES = [
 def test_crash_features(spark):
     rows = [(k, *c[:4], None if c[4] is None else Decimal(c[4]), c[5]) for k, c in enumerate(CRASHES)]
     frame = spark.createDataFrame(rows, "k int, frames array<string>, message string, signal string, code string, address decimal(20,0), thread string")
-    made = frame.select("k", P.crash_features(*[F.col(c) for c in ("frames", "message", "signal", "code", "address", "thread")]).alias("f"))
+    made = frame.select("k", crash_causes(crash_facts(*[F.col(c) for c in ("frames", "message", "signal", "code", "address", "thread")])).alias("f"))
     assert {r["k"]: r["f"] for r in made.collect()} == {k: c[6] for k, c in enumerate(CRASHES)}
 
 
