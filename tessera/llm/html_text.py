@@ -1,21 +1,26 @@
 """Main text of web pages from streaming parser events and smoothed text-to-tag ratios.
 
 The standard library's parser streams events; block-level tags cut the text into lines, each with
-its characters, its tags and the container it stands in. What lies inside navigation, forms,
-scripts, adverts, comments and the like is never text. The ratio of characters to tags is
-smoothed over neighbouring lines with a Gaussian and clustered around a threshold; containers
-whose characters lie mostly in the high cluster are content, and all their lines are kept in page
-order. An article or main element, where a page has one, bounds the choice and is content itself,
-as is what stands in an article, unless it is mostly links.
+its characters outside links, its tags and the container it stands in. What lies inside navigation,
+scripts, adverts, comments and the like is never text, and an inline element that is no text, such as
+a button or a picture, doesn't cut its line. The ratio of plain characters to tags, where linked
+characters count for nothing, is smoothed over neighbouring lines with a Gaussian and
+clustered around a threshold. Containers whose characters lie mostly in the high cluster are
+content, and all their lines are kept in page order. An article or main element, where a page has
+one, bounds the choice; as content is likely there, a tenth of the threshold is enough in it. Cells of
+a table in an article are judged with the section around them.
+
+A form is dropped whole, unless it wraps the page: it holds an article, a main element or most of the text.
 
 Cases: a null, empty or text-free page gives an empty string. Unclosed and misnested tags end with
-their nearest open container. Repeated rows are kept. An empty table gives an empty table. Other
+their nearest open container, an unclosed comment with the page. Repeated rows are kept. An empty table gives an empty table. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,11 +33,13 @@ from tessera.runtime import small_batches
 
 # Elements by their part in a page, and words of class, id and role names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_TEXT = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video nav footer aside form button select option "
-    "textarea input fieldset dialog menu label datalist map".split()
+# never text, block-level and inline; a form is judged when the page is read
+NEVER_BLOCK = frozenset("head title nav footer aside fieldset dialog menu".split())
+NEVER_INLINE = frozenset(
+    "script style noscript template svg annotation annotation-xml iframe object canvas audio video button select option textarea label datalist map".split()
 )
-CONTAINER = frozenset("html body main article section div td th header details figure blockquote center".split())
+NEVER_TEXT = NEVER_BLOCK | NEVER_INLINE
+CONTAINER = frozenset("html body main article section div td th header details figure blockquote center form".split())
 BLOCK = CONTAINER | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table thead tbody tfoot tr caption figcaption hr address summary hgroup search".split()
 )
@@ -57,14 +64,16 @@ _IN_HEAD = frozenset("title style script noscript template head".split())
 _PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.IGNORECASE)
 # ids of these name a place to link to, not a part of the page
 _LINK_TARGETS = frozenset("h1 h2 h3 h4 h5 h6 a span".split())
-SIGMA = 2.0
+_MARKUP = re.compile("<[a-zA-Z/!?]")
+#: Lines over which ratios are smoothed; what of the threshold is enough in an article.
+SIGMA, IN_ARTICLE = 2.0, 0.1
 
 
 class Line:
-    __slots__ = ("text", "tags", "region", "linked", "inside")
+    __slots__ = ("text", "tags", "plain", "region", "inside", "form")
 
-    def __init__(self, text: str, tags: int, region: int, linked: int, inside: bool):
-        self.text, self.tags, self.region, self.linked, self.inside = text, tags, region, linked, inside
+    def __init__(self, text: str, tags: int, plain: int, region: int, inside: bool, form: int):
+        self.text, self.tags, self.plain, self.region, self.inside, self.form = text, tags, plain, region, inside, form
 
 
 class LineParser(HTMLParser):
@@ -76,15 +85,22 @@ class LineParser(HTMLParser):
         self.section_of: list[int] = [0]
         self.lines: list[Line] = []
         self.open: list[str] = []
+        # how often a tag is open, in all and since the last container: an end tag without a start costs nothing
+        self.count: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
         self.regions: list[int] = [0]
-        self.made, self.skip_at, self.links, self.inside, self.articles, self.semantic = 0, -1, 0, 0, 0, set()
+        self.forms: list[int] = []
+        self.wrapping: set[int] = set()
+        self.wide: list[int] = [0]
+        self.made, self.skip_at, self.links, self.inside = 0, -1, 0, 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
     def cut(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append(Line(text, self.tags, self.regions[-1], self.linked, self.inside > 0))
+                form = self.forms[0] if self.forms else 0
+                self.lines.append(Line(text, self.tags, max(0, len(text) - self.linked), self.regions[-1], self.inside > 0, form))
                 self.tags = self.linked = 0
             self.parts = []
 
@@ -103,29 +119,46 @@ class LineParser(HTMLParser):
         if tag in CLOSES_P and "p" in self.open[-6:]:
             self.close_p()
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1] == tag:
-            self.handle_endtag(tag)
-        self.open.append(tag)
+            self.pop_to(len(self.open) - 1)
+        if tag == "form" and self.forms:
+            return  # forms don't nest
+        self.push(tag)
         if self.skip_at >= 0:
             return
         if tag in BLOCK:
             self.cut()
         self.tags += 1
         if tag in NEVER_TEXT or self.boilerplate(tag, attrs):
-            self.cut()
+            if tag in BLOCK or tag in NEVER_BLOCK:
+                self.cut()
             self.skip_at = len(self.open) - 1
             return
         if tag == "a":
             self.links += 1
         elif tag in CONTAINER:
             self.made += 1
-            # a cell or figure of an article is judged with the section that it stands in
-            piece = self.inside and tag not in ("article", "main", "section", "div")
-            self.section_of.append(self.section_of[self.regions[-1]] if piece else self.made)
+            # a cell or figure of an article is judged with the section that it stands in, a cell not with its table's wrapper
+            at = self.regions[-1]
+            if not self.inside or tag in ("article", "main", "section", "div"):
+                self.section_of.append(self.made)
+            else:
+                self.section_of.append(self.section_of[at] if tag not in ("td", "th") else self.wide[-1])
             self.regions.append(self.made)
-            self.inside += tag in ("article", "main")
-            self.articles += tag == "article"
-            if self.articles or tag == "main":
-                self.semantic.add(self.made)
+            if tag == "form":
+                self.forms.append(self.made)
+            elif tag in ("article", "main"):
+                self.inside += 1
+                self.wrapping.update(self.forms)
+            if tag in ("article", "main", "section"):
+                self.wide.append(self.made)
+
+    def push(self, tag: str) -> None:
+        self.open.append(tag)
+        self.count[tag] += 1
+        if tag in CONTAINER or tag in NEVER_TEXT:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][tag] += 1
 
     def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag == "header":
@@ -158,17 +191,23 @@ class LineParser(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k] == tag:
-                self.pop_to(k)
-                return
-            # an end tag doesn't reach out of a skipped element or, unless it is one itself, a container
-            if tag not in CONTAINER and tag not in NEVER_TEXT and self.open[k] in CONTAINER:
-                return
+        # an end tag doesn't reach out of a container or skipped element unless it is of that kind itself
+        far = tag in CONTAINER or tag in NEVER_TEXT
+        if not (self.count if far else self.scopes[-1])[tag]:
+            return
+        k = len(self.open) - 1
+        while self.open[k] != tag:
+            k -= 1
+        self.pop_to(k)
 
     def pop_to(self, k: int) -> None:
         while len(self.open) > k:
             tag = self.open.pop()
+            self.count[tag] -= 1
+            if tag in CONTAINER or tag in NEVER_TEXT:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][tag] -= 1
             if self.skip_at >= 0:
                 if len(self.open) == self.skip_at:
                     self.skip_at = -1
@@ -179,20 +218,34 @@ class LineParser(HTMLParser):
             if tag == "a":
                 self.links = max(0, self.links - 1)
             elif tag in CONTAINER:
-                self.regions.pop()
+                region = self.regions.pop()
+                if self.wide[-1] == region:
+                    self.wide.pop()
+                if tag == "form":
+                    self.forms.pop()
                 self.inside -= tag in ("article", "main")
-                self.articles -= tag == "article"
 
     def handle_data(self, data: str) -> None:
         if self.skip_at < 0:
             self.parts.append(data)
             if self.links:
-                self.linked += len(data.strip())
+                self.linked += len(" ".join(data.split()))
 
     def finish(self) -> list[Line]:
+        """The page's lines without those of forms that don't wrap it."""
+        # what the parser holds back is unfinished: a comment or tag to the page's end, or a tag with an odd quote
+        while _MARKUP.match(self.rawdata) and not self.cdata_elem:
+            end = -1 if self.rawdata.startswith("<!--") else self.rawdata.find(">")
+            self.rawdata = self.rawdata[end + 1 :] if end >= 0 else ""
+            self.goahead(False)
         self.close()
         self.cut()
-        return self.lines
+        held = Counter()
+        for x in self.lines:
+            held[x.form] += x.plain
+        whole = sum(held.values())
+        self.wrapping |= {form for form, n in held.items() if not form or 2 * n > whole}
+        return [x for x in self.lines if x.form in self.wrapping]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -203,20 +256,25 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """High-ratio lines: two clusters of the smoothed ratios, split where their means balance."""
-    level = smoothed(ratios)
+def threshold(level: np.ndarray) -> float:
+    """The cut between two clusters of levels, where their means balance; zero if they hardly differ."""
     cut = level.mean()
     for _ in range(32):
         high, low = level[level > cut], level[level <= cut]
         if not len(high) or not len(low):
-            break
+            return 0.0
         new = (high.mean() + low.mean()) / 2
         if abs(new - cut) < 1e-9:
             break
         cut = new
     # one cluster only: lines that hardly differ are content or not together
-    return level >= (cut if level.max() > 2 * max(level.min(), 1e-9) else 0)
+    return float(cut) if level.max() > 2 * max(level.min(), 1e-9) else 0.0
+
+
+def content_lines(ratios: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Lines in the high cluster of the smoothed ratios; ``inside`` tells lines of an article."""
+    level = smoothed(ratios)
+    return level >= threshold(level) * np.where(inside, IN_ARTICLE, 1.0)
 
 
 def main_text(html: str | None) -> str:
@@ -229,30 +287,25 @@ def main_text(html: str | None) -> str:
         parser = LineParser(by_name=False)
         parser.feed(html)
         lines = parser.finish()
-    if any(x.inside for x in lines):
-        lines = [x for x in lines if x.inside]
     if not lines:
         return ""
-    high = content_lines(np.array([len(x.text) / max(1, x.tags) for x in lines]))
-    chars: dict[int, list[int]] = {}
+    high = content_lines(np.array([x.plain / max(1, x.tags) for x in lines]), np.array([x.inside for x in lines]))
+    sections: dict[int, list[int]] = {}
     for x, good in zip(lines, high, strict=True):
-        seen = chars.setdefault(x.region, [0, 0, 0])
+        seen = sections.setdefault(parser.section_of[x.region], [0, 0, 0])
         seen[0] += len(x.text)
         seen[1] += len(x.text) * bool(good)
-        seen[2] += x.linked
-    sections: dict[int, list[int]] = {}
-    for r, (n, _, linked) in chars.items():
-        whole = sections.setdefault(parser.section_of[r], [0, 0])
-        whole[0] += n
-        whole[1] += linked
-    kept = set()
-    for r, (n, good, _) in chars.items():
-        whole, linked = sections[parser.section_of[r]]
-        if (2 * good >= n or r in parser.semantic) and 2 * linked <= whole:
-            kept.add(r)
-    if not kept:
-        kept = {max(chars, key=lambda r: (chars[r][0] - chars[r][2], -r))}
-    return "\n\n".join(x.text for x in lines if x.region in kept)
+        seen[2] += x.plain
+    # next to prose the smoothing lifts a short list of links too
+    kept = {r for r, (n, good, plain) in sections.items() if 2 * good >= n and 2 * plain >= n}
+    chosen = [x for x in lines if parser.section_of[x.region] in kept]
+    if any(x.inside for x in lines):
+        chosen = [x for x in chosen if x.inside]
+    if not chosen:
+        pool = [x for x in lines if x.inside] or lines
+        most = max((parser.section_of[x.region] for x in pool), key=lambda r: (sections[r][2], -r))
+        chosen = [x for x in pool if parser.section_of[x.region] == most]
+    return "\n\n".join(x.text for x in chosen)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

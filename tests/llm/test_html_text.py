@@ -1,9 +1,14 @@
 import pytest
 
-from tessera.llm.html_text import content_lines, extract_text, main_text, smoothed
+import html as entities
+import re
+import time
 
 import numpy as np
 
+from tessera.llm import html_text
+from tessera.llm.html_text import content_lines, extract_text, main_text, smoothed
+
 WORDS = "Plain prose that goes on for a while, as articles do, with more than a few words in each line. "
 
 
@@ -39,7 +44,9 @@ def test_regions_without_an_article_are_chosen_by_their_ratio():
 
 def test_smoothing_keeps_a_constant_and_clusters_split_levels():
     assert np.allclose(smoothed(np.full(9, 3.0)), 3.0)
-    assert content_lines(np.array([1.0] * 20 + [90.0] * 20)).tolist() == [False] * 20 + [True] * 20
+    ratios = np.array([1.0] * 20 + [90.0] * 20)
+    assert content_lines(ratios, np.zeros(40, bool)).tolist() == [False] * 20 + [True] * 20
+    assert content_lines(np.array([9.0] * 40), np.zeros(40, bool)).all()
 
 
 def test_long_page_is_whole():
@@ -71,3 +78,67 @@ def test_tables(spark):
 )
 def test_article_text_is_whole(html, text):
     assert main_text(html) == text
+
+
+LINKS = "".join(f"<p><a href='/{k}'>Read {k}</a> <a href='/{k}#c'>{k}</a></p>" for k in range(12))
+BITS = "".join(f"<p><b>{k}</b> <i>min</i></p>" for k in range(12))
+PROSE = "".join(f"<p>{WORDS * 2}</p>" for _ in range(6))
+NEUTRAL = {
+    "no article": page(f"<div>{BITS}</div><div>{PROSE}</div><div>{BITS}</div>"),
+    "article with a neutral box": page(f"<article>{PROSE}<div>{BITS}</div></article>"),
+}
+
+
+@pytest.mark.parametrize("html", [page(f"<div>{LINKS}</div><div>{PROSE}</div><div>{LINKS}</div>"), page(f"<article>{PROSE}<div>{LINKS}</div></article>")])
+def test_boxes_of_links_go(html):
+    assert main_text(html) == "\n\n".join([(WORDS * 2).strip()] * 6)
+
+
+@pytest.mark.parametrize("name", NEUTRAL)
+def test_clusters_alone_tell_neutral_boxes_apart(name, monkeypatch):
+    wanted = "\n\n".join([(WORDS * 2).strip()] * 6)
+    assert main_text(NEUTRAL[name]) == wanted
+    # with the clustering stubbed the result is another
+    monkeypatch.setattr(html_text, "threshold", lambda level: 0.0)
+    assert main_text(NEUTRAL[name]) != wanted
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (page("<form action='/'><div id='page'><article><h1>T</h1><p>A form around the page</p></article></div></form>"), "T\n\nA form around the page"),
+        (page(f"<form><div>{PROSE}</div></form>"), "\n\n".join([(WORDS * 2).strip()] * 6)),
+        (page(f"<article>{PROSE}<form><p>Your address</p><input name='a'><button>Go</button></form></article>"), "\n\n".join([(WORDS * 2).strip()] * 6)),
+        (page("<article><p>Let <math><mi>x</mi><annotation>TeX</annotation></math> be <svg><text>t</text></svg> a <button>b</button> number.</p></article>"), "Let x be a number."),
+        (page("<article><p>One<script>1</script> line<span class='ad'>buy</span> only</p></article>"), "One line only"),
+        (page("<article><p>" + WORDS + "</p><div class='table'><table>" + "<tr><td>7</td><td>8</td></tr>" * 20 + "</table></div></article>"), WORDS.strip() + "\n\n7\n\n8" * 20),
+        ("<p>a<!-- never closed <p>b", "a"),
+        ("<p>a <a href='odd>k</a><p>more", "a k\n\nmore"),
+    ],
+)
+def test_forms_inline_elements_and_unfinished_markup(html, text):
+    assert main_text(html) == text
+
+
+def plain_article(html):
+    """The article of a well-formed page by substitution alone."""
+    body = re.search(r"<article>(.*?)</article>", html, re.DOTALL)[1]
+    blocks = re.split(r"</?(?:p|h1|h2|ul|li)>", body.replace("<br>", " "))
+    return "\n\n".join(t for b in blocks if (t := " ".join(entities.unescape(re.sub(r"<!--.*?-->|<[^>]+>", "", b, flags=re.DOTALL)).split())))
+
+
+def test_all_pages_against_a_plain_second_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extract_text(pages).collect()}
+    assert got == {r["page_id"]: plain_article(r["html"]) for r in pages.collect()} and len(got) == 250
+
+
+@pytest.mark.parametrize("piece", ["<span>a</b>", "<b><div><span>a</b>", "<a ", "<!--", "<p><i>", "<td></table>", "<"])
+def test_long_odd_pages_take_linear_time(piece):
+    def seconds(n):
+        start = time.perf_counter()
+        main_text(piece * n)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
