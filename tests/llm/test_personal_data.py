@@ -1,10 +1,13 @@
 import re
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.personal_data import find, find_all, find_personal_data, luhn, redact
+from tessera.llm import personal_data
+from tessera.llm.personal_data import Rewritten, Span, find, find_all, find_personal_data, luhn, redact
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -133,3 +136,115 @@ def test_prose_with_hosts_and_prices_has_none(text):
 def test_many_bare_signs_take_linear_time():
     for text in (" at a.b" * 30_000, " @ " * 60_000, " at " + "a." * 100_000, "one dot " * 30_000, " at " + "a dot " * 30_000):
         find_all(text)
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("ruf plus vier neun eins sieben zwei drei vier fünf sechs an", "phone", "plus vier neun eins sieben zwei drei vier fünf sechs"),
+        ("appelle plus trois trois six un deux trois quatre cinq six ici", "phone", "plus trois trois six un deux trois quatre cinq six"),
+        ("llama más tres cuatro seis uno dos tres cuatro cinco seis ya", "phone", "más tres cuatro seis uno dos tres cuatro cinco seis"),
+        ("écris à jean (arobase) exemple (point) fr ici", "email", "jean (arobase) exemple (point) fr"),
+        ("escribe a juan arroba ejemplo punto com ya", "email", "juan arroba ejemplo punto com"),
+        ("schreib an jan at beispiel punkt de heute", "email", "jan at beispiel punkt de"),
+        ("mail 𝐣𝐨𝐡𝐧@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦 now", "email", "𝐣𝐨𝐡𝐧@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦"),
+        ("mail j̶o̶h̶n̶@̶e̶x̶.̶com now", "email", "j̶o̶h̶n̶@̶e̶x̶.̶com"),
+        ("mail john_at_example_dot_com now", "email", "john_at_example_dot_com"),
+        ("host ①⑨②.168.1.10 up", "ip", "①⑨②.168.1.10"),
+    ],
+)
+def test_languages_and_forms(text, kind, found):
+    base, every = find_all(text)
+    assert [(s.kind, text[s.start : s.end]) for s in every if s not in base] == [(kind, found)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We met at noon dot or not",
+        "open_at_file.py and look_at_this",
+        "un deux trois, un deux trois",
+        "x² + y³ = 10.0.1 ⁴",
+        "le point de vue, der Punkt am Ende, el punto final",
+        "plus one, plus two",
+    ],
+)
+def test_prose_of_all_languages_has_none(text):
+    assert find_all(text) == ([], [])
+
+
+PIECES = ["ab", "@", " at ", " dot ", "[at]", "(dot)", ".", "com", "one ", "two ", "7 ", "é", "​", "о", "𝐚", "plus ", " ", "x"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join))
+def test_the_way_back_is_that_of_plain_lists(text):
+    """Positions kept for each character, as the offsets stand for."""
+
+    class Listed(Rewritten):
+        def __init__(self, text):
+            super().__init__(text)
+            self.at = [(k, k + 1) for k in range(len(text))]
+
+        def replace(self, changes):
+            at, done = [], 0
+            for a, b, new in changes:
+                at += self.at[done:a] + [(self.at[a][0], self.at[b - 1][1])] * len(new)
+                done = b
+            self.at = at + self.at[done:]
+            super().replace(changes)
+
+    was, personal_data.Rewritten = personal_data.Rewritten, Listed
+    try:
+        out = personal_data.rewrite(text)
+    finally:
+        personal_data.Rewritten = was
+    assert len(out.at) == len(out.text)
+    for a in range(len(out.text)):
+        for b in range(a + 1, len(out.text) + 1):
+            s = out.source(Span("x", a, b))
+            assert (s.start, s.end) == (out.at[a][0], out.at[b - 1][1])
+
+
+def test_many_disguises_take_linear_time_and_little_memory():
+    def seconds(n):
+        text = "joe [at] ex [dot] com, " * n
+        start = time.perf_counter()
+        assert len(find_all(text)[1]) == n
+        return time.perf_counter() - start
+
+    seconds(200)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
+    text = "plain words " * 100_000 + "joe [at] ex [dot] com"
+    tracemalloc.start()
+    find_all(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(text)
+
+
+DISGUISES = {
+    "brackets": lambda u, h, t: f"{u} [at] {h} [dot] {t}",
+    "words": lambda u, h, t: f"{u} at {h} dot {t}",
+    "bare at": lambda u, h, t: f"{u} at {h}.{t}",
+    "spaces": lambda u, h, t: f"{u} @ {h}.{t}",
+    "letters": lambda u, h, t: f"{u.replace('a', 'а')}@{h.replace('o', 'ο')}.{t}",
+    "invisible": lambda u, h, t: f"{u[:1]}​{u[1:]}@{h}.{t}",
+    "wide": lambda u, h, t: f"{u}＠{h}．{t}",
+}
+
+
+def test_planted_disguises_are_found_and_clean_documents_left_alone(spark):
+    """Figures of the README: every planted address, and no added span in documents without one."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    added = [t for t in texts if len(find_all(t)[1]) > len(find_all(t)[0])]
+    clean = [t for t in texts if not find_all(t)[1]]
+    caught = total = 0
+    for k, text in enumerate(clean[:700]):
+        make = list(DISGUISES.values())[k % len(DISGUISES)]
+        planted, at = make("joana", "host", "com"), text.find(" ") + 1
+        out = find_all(text[:at] + planted + " " + text[at:])[1]
+        total += 1
+        caught += any(s.start <= at and at + len(planted) <= s.end for s in out)
+    assert total > 300 and caught == total
+    assert len(added) <= 0.02 * len(texts)
