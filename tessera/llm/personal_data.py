@@ -65,7 +65,7 @@ def imitated(c: str) -> str | None:
 def _tables() -> tuple[dict[str, str], str]:
     forms, unseen = dict(CONFUSABLE), [chr(k) for r in MARKS for k in r]
     for c in map(chr, [k for r in SEARCHED for k in r]):
-        if unicodedata.category(c) == "Cf":
+        if unicodedata.category(c) == "Cf" and c <= "\uffff":
             unseen.append(c)
         elif form := imitated(c):
             forms[c] = form
@@ -95,9 +95,10 @@ COUNTRIES = (
 )
 
 _SWAP = str.maketrans(LOOK_ALIKE)
-_ODD = re.compile("[" + re.escape("".join(LOOK_ALIKE) + INVISIBLE) + "]")
+_ODD = frozenset(LOOK_ALIKE) | frozenset(INVISIBLE)
 _GONE = re.compile(f"[{re.escape(INVISIBLE)}]")
-_NAMES = "|".join(sorted(SPELLED, key=len, reverse=True))
+# grouped by their first letter, so that most words are passed over at once
+_NAMES = "|".join(f"{a}(?:{'|'.join(sorted((n[1:] for n in SPELLED if n[0] == a), key=len, reverse=True))})" for a in sorted({n[0] for n in SPELLED}))
 _AT, _DOTTED, _PLUS = ("(?:" + "|".join(names) + ")" for names in (AT_NAMES, DOT_NAMES, PLUS_NAMES))
 _OPEN, _SHUT = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _HELD_DOT = rf"{_OPEN}(?:{_DOTTED}|\.){_SHUT}"
@@ -118,11 +119,11 @@ _SIGN = re.compile(
     rf"|(?P<digits>\b(?:{_NAMES}|[0-9])(?:[\s,.-]{{0,2}}\b(?:{_NAMES}|[0-9])\b){{6,}})",
     re.IGNORECASE,
 )
+# searched in lower case
 _TRIGGER = re.compile(
     rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOTTED}|@|\.)\s{{0,3}}[\])}}>]|\s{_DOTTED}\s|_{_AT}_|_{_DOTTED}_"
     rf"|\s(?:{_AT}\s{{1,3}}|@\s{{0,3}}){_LABEL}{_DOT}[a-z0-9]|@\s{{1,3}}{_LABEL}{_DOT}[a-z0-9]"
-    rf"|\b(?:{_NAMES})[\s,.-]{{1,2}}(?:{_NAMES}|[0-9])\b|\b{_PLUS}\s{{1,3}}(?:{_NAMES}|[0-9])",
-    re.IGNORECASE,
+    rf"|\b(?:{_NAMES})[\s,.-]{{1,2}}(?:{_NAMES}|[0-9])\b|\b{_PLUS}\s{{1,3}}(?:{_NAMES}|[0-9])"
 )
 # Words before "at" and a host in prose, where no address is meant.
 _PROSE = frozenset(
@@ -272,7 +273,7 @@ def find_all(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = find(text)
-    if not (_TRIGGER.search(text) or (not text.isascii() and _ODD.search(text))):
+    if not (_TRIGGER.search(text.lower()) or not (text.isascii() or _ODD.isdisjoint(text))):
         return base, base
     out, more, held, added = rewrite(text), [], Held(), Held()
     for span in base:
