@@ -8,7 +8,7 @@ requests and metadata are then joined to their response by their concurrent-to i
 
 Cases: a null html is an empty payload; a null url an empty target. Rows with equal page_id and
 equal payload all count as the smallest, and all are responses. A null page_id never is the
-smallest unless all are null, and then none is a revisit. An empty table gives an empty table.
+smallest unless all are null, and then none is a revisit. Where several rows are the first page, revisits give its target, not its record. An empty table gives an empty table.
 Other columns are ignored. Truncated archives are an error; records without a response make no
 capture.
 """
@@ -34,66 +34,82 @@ _SPACE = uuid.UUID(int=0)
 
 RECORD = (
     "archive string, offset long, record_id string, type string, concurrent_to string, refers_to string, target string, "
-    "page_id long, payload_digest string, payload_bytes long, headers map<string,string>, payload binary, block binary"
+    "page_id long, first_page long, payload_digest string, payload_bytes long, headers map<string,string>, payload binary, block binary"
 )
 
 
 def mark_revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """``pages(page_id, url, html)`` with payload, digest, and the page it revisits or null."""
+    """``pages(page_id, url, html)`` with payload, digest, and the page it revisits, with its url, or null.
+
+    ``single`` tells whether the page visited first has one row only, so that its record can be named.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    first = (
-        pages.select(
-            F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("p")
-        )
-        .where(F.octet_length("p") >= least)
-        .groupBy(F.sha2("p", 256).alias("_digest"))
-        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1")
-    )
-    joined = rows.join(first, rows["digest"] == first["_digest"], "left")
+    long_ones = rows.where(F.octet_length("payload") >= least).select("page_id", "url", F.col("digest").alias("_digest"))
+    # null ids are no candidates for the first
+    least_row = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    firsts = long_ones.groupBy("_digest", "page_id").agg(least_row.alias("row"), F.count("*").alias("rows"))
+    firsts = firsts.groupBy("_digest").agg(F.min("row").alias("_first"), F.min_by("rows", "page_id").alias("_rows"), F.sum("rows").alias("_n"))
+    joined = rows.join(firsts.where("_n > 1"), rows["digest"] == F.col("_digest"), "left")
+    again = ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
     return joined.select(
-        "page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")
-    )
+        "page_id", "url", "payload", "digest",
+        F.when(again, F.col("_first.page_id")).alias("refers_to"), F.when(again, F.col("_first.url")).alias("first_url"),
+        F.coalesce(F.col("_rows") == 1, F.lit(True)).alias("single"),
+    )
 
 
-def record_name(kind: str, page_id: int | None, at: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {page_id} {at}')}>"
+def record_name(kind: str, page_id: int | None, digest: str, at: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {page_id} {digest} {at}')}>"
 
 
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One compressed record."""
-    lines = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
+    fields = [*fields, ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))]
     press = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return press.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + press.flush()
+    return press.compress(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n") + press.flush()
+
 
+def one_line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
-def capture_records(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, at: str) -> list[bytes]:
-    """Request, response or revisit, and metadata of one page. ``at`` tells repeated rows apart."""
-    target = url.replace("\r", "%0D").replace("\n", "%0A")
-    me = record_name("response", page_id, at)
+
+def capture_records(
+    page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, first_url: str | None, single: bool, at: str
+) -> list[bytes]:
+    """Request, response or revisit, and metadata of one page. ``at`` tells repeated rows apart.
+
+    A revisit names the record that it refers to, with its target and date; the record's name is left out where repeated
+    rows share it. A first page of one row is named by its id and digest alone, so that others can name it.
+    """
+    target = one_line(url)
+    if refers_to is None and single:
+        at = ""
+    me = record_name("response", page_id, digest, at)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", target)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     answer = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", me), *common,
         ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"),
     ]
+    note = f"page_id: {'' if page_id is None else page_id}\r\n"
     if refers_to is not None:
-        answer += [("WARC-Profile", REVISIT), ("WARC-Refers-To-Page", str(refers_to))]
+        answer += [("WARC-Profile", REVISIT), ("WARC-Refers-To-Target-URI", one_line(first_url or "")), ("WARC-Refers-To-Date", DATE)]
+        answer += [("WARC-Refers-To", record_name("response", refers_to, digest, ""))] if single else []
+        note += f"same_payload_as_page: {refers_to}\r\n"
     get = f"GET {target} HTTP/1.1\r\n\r\n".encode()
-    note = f"page_id: {'' if page_id is None else page_id}\r\n".encode()
     return [
         record(
-            [("WARC-Type", "request"), ("WARC-Record-ID", record_name("request", page_id, at)), *common, ("WARC-Concurrent-To", me),
+            [("WARC-Type", "request"), ("WARC-Record-ID", record_name("request", page_id, digest, at)), *common, ("WARC-Concurrent-To", me),
              ("Content-Type", "application/http; msgtype=request")], get,
         ),
         record(answer, http + payload if refers_to is None else http),
         record(
-            [("WARC-Type", "metadata"), ("WARC-Record-ID", record_name("metadata", page_id, at)), *common, ("WARC-Concurrent-To", me),
-             ("Content-Type", "application/warc-fields")], note,
+            [("WARC-Type", "metadata"), ("WARC-Record-ID", record_name("metadata", page_id, digest, at)), *common, ("WARC-Concurrent-To", me),
+             ("Content-Type", "application/warc-fields")], note.encode(),
         ),
     ]
 
@@ -125,19 +141,24 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
 
 
 def parse(image: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields with lower-case names, block) of each record of an archive image."""
-    rest, at = image, 0
-    while rest:
-        expand = zlib.decompressobj(31)
-        data = expand.decompress(rest) + expand.flush()
+    """(offset, header fields with lower-case names, block) of each record of an archive image.
+
+    A record is expanded from slices that double, so what lies behind it is copied no more than it is itself.
+    """
+    view, at = memoryview(image), 0
+    while at < len(view):
+        expand, parts, done, step = zlib.decompressobj(31), [], at, 1024
+        while not expand.eof and done < len(view):
+            parts.append(expand.decompress(view[done : done + step]))
+            done, step = min(done + step, len(view)), 2 * step
+        data = b"".join(parts)
         if not expand.eof or not data.startswith(b"WARC/"):
             raise ValueError(f"no whole record at byte {at}")
         head, _, body = data.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         fields = {k.lower(): v for k, v in fields.items()}
         yield at, fields, body[: int(fields["content-length"])]
-        at += len(rest) - len(expand.unused_data)
-        rest = expand.unused_data
+        at = done - len(expand.unused_data)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -145,7 +166,7 @@ def read_records(archives: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [
-            pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(),
+            pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(),
             pa.map_(pa.string(), pa.string()), pa.binary(), pa.binary(),
         ]
         names = [f.split()[0] for f in RECORD.split(", ")]
@@ -159,9 +180,10 @@ def read_records(archives: DataFrame) -> DataFrame:
                 found = []
                 for offset, fields, block in parse(image):
                     kind = fields["warc-type"]
-                    page = digest = length = payload = None
+                    page = first = digest = length = payload = None
                     if kind == "metadata":
-                        page = int(p) if (p := block.decode().partition(":")[2].strip()) else None
+                        notes = dict(line.split(": ", 1) for line in block.decode().splitlines())
+                        page, first = (int(p) if (p := notes.get(k)) else None for k in ("page_id", "same_payload_as_page"))
                         block_out = block
                     elif kind == "request":
                         block_out = block
@@ -177,8 +199,8 @@ def read_records(archives: DataFrame) -> DataFrame:
                         block_out = head
                     found.append(
                         (
-                            archive, offset, fields["warc-record-id"], kind, fields.get("warc-concurrent-to"), fields.get("warc-refers-to-page"),
-                            fields["warc-target-uri"], page, digest, length, list(fields.items()), payload, block_out,
+                            archive, offset, fields["warc-record-id"], kind, fields.get("warc-concurrent-to"), fields.get("warc-refers-to"),
+                            fields["warc-target-uri"], page, first, digest, length, list(fields.items()), payload, block_out,
                         )
                     )
                     if len(found) == 256:
@@ -213,7 +235,8 @@ def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
         of(main, F.col("type")).alias("record_type"),
         of(main, F.col("payload_digest")).alias("payload_digest"),
         of(main, F.col("payload_bytes")).alias("payload_bytes"),
-        of(main, F.col("refers_to").cast("long")).alias("refers_to"),
+        of(main, F.col("refers_to")).alias("refers_to_record"),
+        of(F.col("type") == "metadata", F.col("first_page")).alias("refers_to"),
         of(main, F.struct("archive", "offset", "headers", F.col("block").alias("http"))).alias("response"),
         *keep,
         nested("request"),

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import uuid
 
 import pytest
@@ -67,3 +68,38 @@ def test_copies_refer_to_the_smallest(pages):
 
 def test_empty_table(pages):
     assert assemble(read_records(write_archives(pages.limit(0)))).count() == 0
+
+
+def test_revisits_name_their_response_by_the_standard_fields(spark):
+    rows = [(1, "http://a/1", BIG), (2, "http://a/2", BIG), (3, "http://a/3", BIG), (4, "http://b/4", BIG + "x"), (4, "http://b/4", BIG + "x"), (9, "http://b/9", BIG + "x")]
+    found = read_records(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    by_id = {r["record_id"]: r for r in found}
+    assert len(by_id) == 3 * len(rows)
+    revisits = [r for r in found if r["type"] == "revisit"]
+    assert len(revisits) == 3
+    for r in revisits:
+        assert r["headers"]["warc-profile"].endswith("identical-payload-digest") and r["headers"]["warc-refers-to-date"]
+        if r["target"] == "http://b/9":
+            # two rows are its first page: neither is named
+            assert r["refers_to"] is None and r["headers"]["warc-refers-to-target-uri"] == "http://b/4"
+        else:
+            first = by_id[r["refers_to"]]
+            assert first["type"] == "response" and first["target"] == r["headers"]["warc-refers-to-target-uri"] == "http://a/1"
+
+
+def test_block_digests_hold(pages):
+    for row in write_archives(pages).collect():
+        for _, fields, block in parse(bytes(row["image"])):
+            assert fields["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+
+
+def test_reading_takes_time_in_proportion():
+    one = record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:x>")], b"GET / HTTP/1.1\r\n\r\n")
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert sum(1 for _ in parse(one * n)) == n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.02)
