@@ -11,16 +11,15 @@ takes only the words still owed, and a source's short last block comes last in e
 words taken meet the target to the word. Everything follows from hashes of ``seed``: reruns agree.
 
 Cases: a null or blank text has size zero, and takes nothing. A null source is a source, after all
-others. Repeated rows are separate documents. Targets never exceed three times a source's size,
+others. Repeated rows are separate documents; only equal ones may change places between runs. Targets never exceed three times a source's size,
 so no document exceeds three times its own. An empty table gives an empty table. Other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -185,18 +184,27 @@ def hash_key(*parts: int) -> int:
     return key
 
 
-def place_documents(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+def text_mark(text: Column) -> Column:
+    """A hash of the text, which tells apart rows of one id."""
+    return F.xxhash64(text).alias("mark")
+
+
+def place_documents(documents: DataFrame, targets: DataFrame, seed: int = SEED, apart: Sequence[str] = ("doc_id", "size", "mark")) -> DataFrame:
     """Add ``source_number`` and ``first_word``, the place of a document in its source's stream.
 
+    The place comes from the columns ``apart`` that there are, whatever the order of rows: give a mark of the text
+    where ids may repeat, so that only rows that are equal throughout may change places.
+
     ``documents(doc_id, source, size, ...)`` is read several times; pass a stored table. A third
     of all rows may share one source: the stream is numbered by running totals over hash buckets.
     """
     keyed = documents.join(
         targets.select(F.col("source").alias("_source"), F.col("number").alias("source_number")), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
-    keyed = keyed.withColumn("_at", hash_position(F.lit(seed), F.col("doc_id")))
+    apart = [c for c in apart if c in documents.columns]
+    keyed = keyed.withColumn("_at", hash_position(F.lit(seed), *map(F.col, apart)))
     spark = documents.sparkSession
-    return running_totals(keyed, ["source_number"], "_at", ["doc_id"], {"first_word": "size"}, 4 * parallelism(spark)).drop("_at")
+    return running_totals(keyed, ["source_number"], "_at", apart, {"first_word": "size"}, 4 * parallelism(spark)).drop("_at")
 
 
 def mix(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -229,11 +237,13 @@ def mixed_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> Dat
     small_batches(documents.sparkSession)
     columns = documents.columns
     rows = stored(
-        documents.select(F.struct(*columns).alias("document"), "doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+        documents.select(
+            F.struct(*columns).alias("document"), "doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"), text_mark(F.col("text"))
+        )
         .withColumn("row", F.monotonically_increasing_id()),
         "mix-rows",
     )
-    sized = rows.select("doc_id", "source", "size", "row")
+    sized = rows.select("doc_id", "source", "size", "mark", "row")
     targets = stored(source_targets(sized), "targets")
     placed = stored(place_documents(sized, targets), "placed")
     spans = mix(placed, plan_slots(targets, block_words), block_words)

@@ -3,8 +3,8 @@
 Documents are encoded, cut into full pieces and one rest, and the histogram of piece lengths (in
 units of ``grain`` tokens, rounded up) goes to the driver: at most ``length / grain`` counts. A
 linear program over patterns, multisets of lengths that fit one sequence, is solved by column
-generation: the duals of the current patterns price a knapsack, whose dynamic program yields the
-best new pattern, until none improves. Pattern counts are rounded down, what is left is packed
+generation: it starts from greedy fillings, and the duals of the current patterns price a knapsack,
+whose dynamic program yields the best new pattern, until none improves. Pattern counts are rounded down, what is left is packed
 greedily by the same histogram, and pieces, ranked inside their length class, are dealt to
 pattern slots by arithmetic on their rank. No text or id ever passes through the driver.
 
@@ -74,27 +74,60 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, max_rounds: int = 2000) -> list[tuple[dict[int, int], int]]:
+def first_patterns(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis, patterns as columns, and how often each is used: greedy fillings, largest first.
+
+    A filling is used until the demand for one of its sizes is met, and later ones are without that size: the basis is triangular.
+    """
+    left, patterns, use = need.copy(), np.zeros((len(sizes), len(sizes)), dtype=np.int64), np.zeros(len(sizes))
+    open_ = np.ones(len(sizes), dtype=bool)
+    for turn in range(len(sizes)):
+        fill, room = patterns[:, turn], capacity
+        for k in np.flatnonzero(open_)[::-1]:
+            if sizes[k] <= room:
+                fill[k] = max(1, min(room // sizes[k], int(left[k])))
+                room -= fill[k] * sizes[k]
+        ratios = np.where(fill > 0, left / np.maximum(fill, 1), np.inf)
+        out = int(ratios.argmin())
+        use[turn] = ratios[out]
+        left = np.maximum(left - use[turn] * fill, 0)
+        left[out], open_[out] = 0, False
+    return patterns, use
+
+
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, max_rounds: int = 2000, smooth: float = 0.9) -> list[tuple[dict[int, int], int]]:
     """Patterns (size: copies) with integer counts that meet ``demand`` (size: pieces) exactly.
 
-    Stops when the linear program's value is within ``gap``, or half a sequence, of the best bound
-    that its duals have proved; every round's patterns are feasible, so stopping early stays exact.
+    Columns are priced at duals drawn towards the best ones so far, at first each size's share of the
+    capacity, since the simplex method's own duals swing widely while patterns are few; where such a price
+    finds nothing, the swing is let go by steps. Stops when the linear program's value is within ``gap``, or
+    half a sequence, of the best bound that duals have proved; every round's patterns are feasible, so stopping
+    early stays exact.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), dtype=np.int64)
     if not len(sizes):
         return []
     need = np.array([demand[int(s)] for s in sizes], dtype=np.float64)
-    patterns = np.diag(capacity // sizes)  # a column is a pattern
-    inverse = np.diag(1.0 / np.diag(patterns))
     # tiny unequal surpluses keep ratios from tying, which would let the simplex method stall
-    use = inverse @ (need + np.linspace(1e-3, 2e-3, len(need)))
-    proved = 0.0
+    patterns, use = first_patterns(sizes, need + np.linspace(1e-3, 2e-3, len(need)), capacity)
+    inverse = np.linalg.inv(patterns)
+    center = sizes / capacity
+    proved, hold = float(center @ need), smooth
     for _ in range(max_rounds):
-        duals = inverse.sum(axis=0)
-        value, column = best_pattern(duals, sizes, capacity)
-        proved = max(proved, float(duals @ need) / max(value, 1.0))
-        if value <= 1 + 1e-9 or use.sum() - proved <= max(0.5, gap * use.sum()):
+        if use.sum() - proved <= max(0.5, gap * use.sum()):
             break
+        duals = inverse.sum(axis=0)
+        asked = hold * center + (1 - hold) * duals
+        value, column = best_pattern(asked, sizes, capacity)
+        bound = float(asked @ need) / max(value, 1.0)
+        if bound > proved:
+            proved, center = bound, asked / max(value, 1.0)
+        if duals @ column <= 1 + 1e-9:
+            if hold == 0:
+                break
+            hold = hold - 0.3 if hold > 0.3 else 0.0
+            continue
+        hold = smooth
         step = inverse @ column
         ratios = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratios.argmin())
@@ -122,16 +155,18 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, max
     return [({int(sizes[k]): int(a[k]) for k in np.flatnonzero(a)}, n) for a, n in found]
 
 
-def pack_pieces(pieces: DataFrame, length: int = 2048, grain: int = 8) -> DataFrame:
+def pack_pieces(pieces: DataFrame, length: int = 2048, grain: int = 4) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces(doc_id, start, length, ...)``.
 
     ``pieces`` is read several times: pass a stored table. Lengths are rounded up to ``grain``
-    tokens for planning, which costs at most ``grain - 1`` tokens of padding a piece.
+    tokens for planning, which costs at most ``grain - 1`` tokens of padding a piece. Pieces are ranked by a hash of
+    what tells them apart, contents included, so rows of one id neither share a bucket nor change places between runs.
     """
     spark = pieces.sparkSession
     capacity = length // grain
+    apart = [c for c in ("doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids") if c in pieces.columns]
     work = pieces.withColumns(
-        {"_units": F.ceil(F.col("length") / grain).cast("int"), "_one": F.lit(1), "_at": hash_position(F.col("doc_id"), F.col("start"))}
+        {"_units": F.ceil(F.col("length") / grain).cast("int"), "_one": F.lit(1), "_at": hash_position(*map(F.col, apart))}
     )
     # at most length / grain rows
     histogram = {r["_units"]: r["count"] for r in work.groupBy("_units").count().collect()}
@@ -144,7 +179,7 @@ def pack_pieces(pieces: DataFrame, length: int = 2048, grain: int = 8) -> DataFr
         first += times
     # the patterns of one histogram: bounded by its length, whatever the data
     plan = spark.createDataFrame(slots, "_units int, _lo long, _hi long, _copies int, _first long")
-    ranked = running_totals(work, ["_units"], "_at", ["doc_id", "start"], {"_rank": "_one"}, 4 * parallelism(spark))
+    ranked = running_totals(work, ["_units"], "_at", apart, {"_rank": "_one"}, 4 * parallelism(spark))
     dealt_out = ranked.join(
         F.broadcast(plan), (ranked["_units"] == plan["_units"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     ).withColumn("sequence_id", F.col("_first") + F.expr("(_rank - _lo) div _copies")).drop(plan["_units"])

@@ -102,10 +102,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.mixing import mix, place_documents, plan_slots, source_targets, word_count
+    from tessera.llm.mixing import mix, place_documents, plan_slots, source_targets, text_mark, word_count
 
     documents = table(spark, sf_dir, "documents")
-    sized = stored(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = stored(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_mark(F.col("text"))), "sizes")
     targets = stored(source_targets(sized), "targets")
     placed = stored(place_documents(sized, targets).withColumn("row", F.monotonically_increasing_id()), "placed")
     taken = mix(placed, plan_slots(targets)).groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))

@@ -74,3 +74,27 @@ def test_every_id_lies_in_one_piece(documents):
 
 def test_empty_table(empty):
     assert pack_pieces(stored(cut_documents(empty, BYTE, 1), "pieces")).count() == 0
+
+
+def test_little_padding_and_few_rounds():
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([rng.integers(1, 1500, 20_000), np.full(9_000, 2048), rng.integers(1, 60, 8_000)])
+    demand = {int(u): int(n) for u, n in zip(*np.unique(-(-lengths // 4), return_counts=True), strict=True)}
+    plan = solve_patterns(demand, 512)
+    made = {}
+    for pattern, times in plan:
+        assert sum(s * n for s, n in pattern.items()) <= 512
+        for s, n in pattern.items():
+            made[s] = made.get(s, 0) + n * times
+    assert made == demand
+    assert sum(t for _, t in plan) <= 1.005 * lengths.sum() / 2048
+
+
+def test_places_do_not_depend_on_the_order_of_rows_where_ids_repeat(spark):
+    rows = [(1, 0, 5 + k % 90, 5 + k % 90, 1000 + k) for k in range(300)]
+
+    def places(rows):
+        frame = spark.createDataFrame(rows, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long").repartition(3)
+        return sorted(map(tuple, pack_pieces(stored(frame, "pieces"), length=128).collect()))
+
+    assert places(rows) == places(rows[::-1])
