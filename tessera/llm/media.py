@@ -2,11 +2,13 @@
 
 ``container`` wraps a payload in ``ftyp``, ``moov`` and ``mdat`` boxes as one track of fixed-size
 8-bit samples. ``describe`` walks the nested boxes of any such file, decodes its sample tables
-(stsd, stts, stsc, stsz, stco/co64, stss) and yields codec, duration and the byte range of every
+(stsd, stts, stsc, stsz, stco/co64, stss) and yields, for each track, codec, duration and the byte range of every
 key frame; payload bytes are located by the tables and never interpreted.
 
 Cases: a null payload counts as empty and is padded to one sample. Truncated boxes, unknown
-boxes and missing tables give what was found so far, never an error. Equal payloads give equal
+boxes and missing tables give what was found so far, never an error: counts are believed only as far as
+there are bytes or samples for them, and places outside the file are no samples. Fragments (moof)
+add their samples to the movie's tracks. Edit lists are not applied. Equal payloads give equal
 files. An empty table gives an empty table. Other columns are ignored.
 """
 
@@ -27,13 +29,14 @@ from tessera.runtime import small_batches
 
 SAMPLE_BYTES, SAMPLES_PER_CHUNK, KEY_EVERY, TIMESCALE, CODEC, FILLER = 576, 64, 32, 48_000, b"raw ", b"\xff"
 #: Boxes of ISO/IEC 14496-12 that hold other boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, codec string, duration_s double, n_samples long, "
-    "keyframes array<struct<start:long,end:long>>, payload binary"
+    "keyframes array<struct<start:long,end:long>>, "
+    "tracks array<struct<codec:string,duration_s:double,n_samples:long,keyframes:array<struct<start:long,end:long>>>>, payload binary"
 )
 
 
@@ -100,24 +103,42 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     runs: list[tuple[int, int]] = field(default_factory=list)
     keys: np.ndarray | None = None
+    number: int = 0
+    # a fragment's sample size and flags where its own tables are silent, and the samples (start, end, key) of fragments
+    defaults: tuple[int, int] = (0, 0)
+    extra: list[tuple[int, int, int]] = field(default_factory=list)
 
     def starts(self) -> np.ndarray:
-        """The file position of every sample whose chunk and size are known."""
+        """The file position of every sample whose chunk and size are known, of the movie first and then of its fragments."""
         per_chunk = np.zeros(len(self.offsets), np.int64)
         for k, (first, count) in enumerate(self.runs):
             last = self.runs[k + 1][0] - 1 if k + 1 < len(self.runs) else len(self.offsets)
-            per_chunk[max(0, first - 1) : last] = count
-        chunk = np.repeat(np.arange(len(self.offsets)), per_chunk)[: len(self.sizes)]
+            per_chunk[max(0, first - 1) : max(0, last)] = min(count, len(self.sizes))
+        # no more chunks or samples than there are sizes
+        ends = np.minimum(np.cumsum(np.minimum(per_chunk, len(self.sizes)), dtype=np.float64), len(self.sizes)).astype(np.int64)
+        chunk = np.repeat(np.arange(len(self.offsets)), np.diff(ends, prepend=0))
         sizes = self.sizes[: len(chunk)]
-        ends = np.cumsum(sizes)
+        stops = np.cumsum(sizes)
         new = np.flatnonzero(np.diff(chunk, prepend=-1))
-        before = ends - sizes
+        before = stops - sizes
         return self.offsets[chunk] + before - np.repeat(before[new], np.diff(np.append(new, len(chunk))))
 
-    def key_ranges(self) -> list[tuple[int, int]]:
+    def samples(self, length: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, whether a key frame) of the samples, with ``length`` of those that lie in a file of so many bytes."""
         starts = self.starts()
-        which = np.arange(len(starts)) if self.keys is None else self.keys[(self.keys >= 1) & (self.keys <= len(starts))] - 1
-        return list(zip(starts[which].tolist(), (starts[which] + self.sizes[which]).tolist(), strict=True))
+        keys = np.ones(len(starts), bool)
+        if self.keys is not None:
+            keys[:] = False
+            keys[self.keys[(self.keys >= 1) & (self.keys <= len(starts))] - 1] = True
+        ends = starts + self.sizes[: len(starts)]
+        more = [np.array(x, np.int64) for x in zip(*self.extra, strict=True)] or [np.empty(0, np.int64)] * 3
+        starts, ends, keys = np.r_[starts, more[0]], np.r_[ends, more[1]], np.r_[keys, more[2].astype(bool)]
+        inside = (starts >= 0) & (ends >= starts) & (ends <= (length if length is not None else np.iinfo(np.int64).max))
+        return starts[inside], ends[inside], keys[inside]
+
+    def key_ranges(self, length: int | None = None) -> list[tuple[int, int]]:
+        starts, ends, keys = self.samples(length)
+        return list(zip(starts[keys].tolist(), ends[keys].tolist(), strict=True))
 
 
 def boxes(data: bytes, lo: int, hi: int) -> Iterator[tuple[bytes, int, int]]:
@@ -136,12 +157,21 @@ def boxes(data: bytes, lo: int, hi: int) -> Iterator[tuple[bytes, int, int]]:
 
 def _array(data: bytes, kind: str, count: int, at: int, end: int) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.frombuffer(data, kind, max(0, min(count, (end - at) // width)), at).astype(np.int64)
+    found = np.frombuffer(data, kind, max(0, min(count, (end - at) // width)), at)
+    # places that no file reaches would turn negative
+    return np.minimum(found.astype(np.uint64), np.uint64(1 << 61)).astype(np.int64)
+
+
+#: Flags of track fragment headers and runs, and of a sample that is no key frame.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+RUN_OFFSET, FIRST_FLAGS, RUN_FIELDS, NO_KEY = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800), 0x10000
 
 
 def describe(data: bytes) -> list[Track]:
     """The tracks of a file, in order, from its box structure alone."""
     tracks: list[Track] = []
+    # the fragment that the walk is in: start of its moof, its track, and (base, size, flags, end of its last run)
+    fragment: dict[str, int | Track | None] = {"moof": 0, "track": None}
 
     def table(kind: bytes, at: int, end: int) -> None:
         if end - at < 8 or not tracks:
@@ -149,6 +179,10 @@ def describe(data: bytes) -> list[Track]:
         track, count = tracks[-1], struct.unpack_from(">I", data, at + 4)[0]
         if kind == b"stsd" and end - at >= 16:
             track.codec = data[at + 12 : at + 16].decode("latin-1")
+        elif kind == b"tkhd":
+            place = at + (20 if data[at] == 1 else 12)
+            if place + 4 <= end:
+                track.number = struct.unpack_from(">I", data, place)[0]
         elif kind == b"mdhd":
             wide = data[at] == 1
             if end - at >= (32 if wide else 20):
@@ -164,17 +198,64 @@ def describe(data: bytes) -> list[Track]:
         elif kind == b"stsc":
             rows = _array(data, ">u4", 3 * count, at + 8, end)
             track.runs = [(int(a), int(b)) for a, b in rows[: len(rows) // 3 * 3].reshape(-1, 3)[:, :2]]
-
-    def walk(lo: int, hi: int) -> None:
-        for kind, at, end in boxes(data, lo, hi):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in NESTED:
-                walk(at, end)
-            else:
-                table(kind, at, end)
-
-    walk(0, len(data))
+        elif kind == b"trex" and end - at >= 24:
+            size, flags = struct.unpack_from(">II", data, at + 16)
+            for t in [t for t in tracks if t.number == count]:
+                t.defaults = (size, flags)
+        elif kind == b"tfhd":
+            header(at, end, count)
+        elif kind == b"trun":
+            run(at, end, count)
+
+    def header(at: int, end: int, number: int) -> None:
+        flags, place = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, at + 8
+        track = next((t for t in tracks if t.number == number), None)
+        fragment.update(track=track, base=fragment["moof"], size=track.defaults[0] if track else 0, flags=track.defaults[1] if track else 0, done=None)
+        for flag, name, width in ((BASE_OFFSET, "base", 8), (DESCRIPTION, "", 4), (DURATION, "", 4), (SIZE, "size", 4), (FLAGS, "flags", 4)):
+            if flags & flag and place + width <= end:
+                if name:
+                    fragment[name] = int.from_bytes(data[place : place + width])
+                place += width
+
+    def run(at: int, end: int, count: int) -> None:
+        track = fragment["track"]
+        if track is None:
+            return
+        flags, place, first = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, at + 8, None
+        start = fragment["base"] if fragment["done"] is None else fragment["done"]
+        if flags & RUN_OFFSET and place + 4 <= end:
+            start, place = fragment["base"] + struct.unpack_from(">i", data, place)[0], place + 4
+        if flags & FIRST_FLAGS and place + 4 <= end:
+            first, place = struct.unpack_from(">I", data, place)[0], place + 4
+        present = [f for f in RUN_FIELDS if flags & f]
+        # without a table every sample takes its default size, so the file bounds the count
+        n = min(count, (end - place) // (4 * len(present)) if present else len(data) // max(1, fragment["size"]))
+        rows = np.frombuffer(data, ">u4", n * len(present), place).reshape(n, len(present)) if present else np.empty((n, 0))
+        for k in range(n):
+            of = dict(zip(present, rows[k].tolist(), strict=True))
+            size = of.get(RUN_FIELDS[1], fragment["size"])
+            key = not of.get(RUN_FIELDS[2], fragment["flags"] if k or first is None else first) & NO_KEY
+            if 0 <= start and start + size <= len(data):
+                track.extra.append((start, start + size, int(key)))
+            start += size
+        fragment["done"] = start
+
+    # a stack, as boxes may nest as deep as the file is long
+    todo = [boxes(data, 0, len(data))]
+    while todo:
+        found = next(todo[-1], None)
+        if found is None:
+            todo.pop()
+            continue
+        kind, at, end = found
+        if kind == b"trak":
+            tracks.append(Track())
+        elif kind == b"moof":
+            fragment.update(moof=at - 8, track=None)
+        if kind in NESTED:
+            todo.append(boxes(data, at, end))
+        else:
+            table(kind, at, end)
     return tracks
 
 
@@ -197,10 +278,26 @@ def to_media(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(wrap, MEDIA)
 
 
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", _RANGES)]))
+
+
+def seconds(track: Track) -> float | None:
+    return track.ticks / track.timescale if track.timescale else None
+
+
+def ranges(track: Track, data: bytes) -> list[dict[str, int]]:
+    return [{"start": a, "end": b} for a, b in track.key_ranges(len(data))]
+
+
+def of_track(track: Track, data: bytes) -> dict[str, object]:
+    return {"codec": track.codec, "duration_s": seconds(track), "n_samples": len(track.samples(len(data))[0]), "keyframes": ranges(track, data)}
+
+
 def media_features(media: DataFrame, payload: bool = True) -> DataFrame:
     """Structure and digests of ``media(doc_id, n_bytes, media)``, read back through the sample tables.
 
-    ``payload`` keeps the stored bytes as a column.
+    Digests and payload are those of the first track; ``tracks`` describes each. ``payload`` keeps the stored bytes as a column.
     """
     small_batches(media.sparkSession, 256)
 
@@ -209,24 +306,23 @@ def media_features(media: DataFrame, payload: bool = True) -> DataFrame:
             rows = []
             for name, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = data or b""
-                track = (describe(data) or [Track()])[0]
-                starts = track.starts()
-                ends = starts + track.sizes[: len(starts)]
+                tracks = describe(data) or [Track()]
+                track = tracks[0]
+                starts, ends, _ = track.samples(len(data))
                 # neighbouring samples are copied as one slice
                 cut = np.flatnonzero(starts[1:] != ends[:-1]) + 1
                 lows, highs = starts[np.r_[0, cut]] if len(starts) else [], ends[np.r_[cut - 1, len(ends) - 1]] if len(ends) else []
                 body = b"".join(data[a:b] for a, b in zip(lows, highs, strict=True))
-                seconds = track.ticks / track.timescale if track.timescale else None
                 rows.append(
                     (
                         name, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(data),
-                        hashlib.sha256(data).hexdigest(), track.codec, seconds, len(starts),
-                        [{"start": a, "end": b} for a, b in track.key_ranges()], body if payload else None,
+                        hashlib.sha256(data).hexdigest(), track.codec, seconds(track), len(starts),
+                        ranges(track, data), [of_track(t, data) for t in tracks], body if payload else None,
                     )
                 )
             kinds = [
                 pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(),
-                pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(),
+                pa.int64(), _RANGES, _TRACKS, pa.binary(),
             ]
             names = [f.split()[0] for f in FEATURES.split(", ")]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)

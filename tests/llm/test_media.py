@@ -48,3 +48,54 @@ def test_documents(documents):
 
 def test_empty_table(empty):
     assert media_features(to_media(empty)).count() == 0
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def movie(*tables, number=1):
+    head = box(b"tkhd", struct.pack(">IIII", 0, 0, 0, number))
+    return box(b"trak", head, box(b"mdia", box(b"minf", box(b"stbl", *tables))))
+
+
+def test_hostile_tables_never_fail(spark):
+    stsz = box(b"stsz", struct.pack(">III", 0, 4, 3))
+    wide = box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 0xFFFFFFFF, 1))
+    many = box(b"stco", struct.pack(">IIII", 0, 2, 20, 40))
+    far = box(b"co64", struct.pack(">IIQQ", 0, 2, (1 << 63) + 5, (1 << 64) - 1))
+    nested = b""
+    for _ in range(3_000):
+        nested = box(b"moov", nested)
+    files = [
+        box(b"moov", movie(stsz, wide, many)), box(b"moov", movie(stsz, wide, far)), nested, None, b"", b"\0" * 100,
+        box(b"moov", movie(stsz, box(b"stsc", struct.pack(">IIIIIIII", 0, 2, 9, 9, 1, 1, 2, 1)), many)),
+        box(b"moov", movie(box(b"stsz", struct.pack(">III", 0, 1, 0xFFFFFFFF)), wide, box(b"stco", struct.pack(">II", 0, 0xFFFFFFFF)))),
+    ]
+    rows = spark.createDataFrame([(k, 0, f) for k, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media_features(rows).collect()}
+    assert len(got) == len(files)
+    assert [tuple(k) for k in got[0]["keyframes"]] == [(20, 24), (24, 28), (28, 32)] and got[0]["payload_bytes"] == 12
+    assert got[1]["n_samples"] == 0 and got[1]["payload_bytes"] == 0
+
+
+def test_all_tracks_and_fragments():
+    """A movie of two tracks without samples, and a fragment with a run of each."""
+    stsd = lambda codec: box(b"stsd", struct.pack(">II", 0, 1), box(codec, bytes(8)))
+    trex = box(b"trex", struct.pack(">IIIIII", 0, 2, 1, 10, 7, 0x10000))
+    moov = box(b"moov", movie(stsd(b"avc1"), number=1), movie(stsd(b"mp4a"), number=2), box(b"mvex", trex))
+    ftyp = box(b"ftyp", b"isom")
+
+    def moof(first, second):
+        one = box(b"traf", box(b"tfhd", struct.pack(">II", 0x020000, 1)), box(b"trun", struct.pack(">IIiIII", 0x205, 2, first, 0, 5, 6)))
+        two = box(b"traf", box(b"tfhd", struct.pack(">II", 0x020000, 2)), box(b"trun", struct.pack(">IIi", 0x1, 2, second)))
+        return box(b"moof", one, two)
+
+    size = len(moof(0, 0))
+    file = ftyp + moov + moof(size + 8, size + 8 + 11) + box(b"mdat", bytes(11 + 14))
+    video, sound = describe(file)
+    at = len(ftyp) + len(moov) + size + 8
+    assert (video.codec, sound.codec) == ("avc1", "mp4a")
+    assert list(zip(*[x.tolist() for x in video.samples(len(file))], strict=True)) == [(at, at + 5, True), (at + 5, at + 11, True)]
+    assert list(zip(*[x.tolist() for x in sound.samples(len(file))], strict=True)) == [(at + 11, at + 18, False), (at + 18, at + 25, False)]
