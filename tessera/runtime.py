@@ -43,6 +43,12 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer pieces than these, as one small file has; larger inputs stay in place."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
     """Bound what one Arrow batch holds by rows and bytes, as a row may carry a whole document or file."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
