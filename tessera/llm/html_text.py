@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import small_batches
+from tessera.runtime import small_batches, spread
 
 # Elements by their part in a page, and words of class, id and role names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,4 +318,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(extract, "page_id long, url string, text string")
+    return spread(rows).mapInArrow(extract, "page_id long, url string, text string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import small_batches
+from tessera.runtime import small_batches, spread
 
 SAMPLE_BYTES, SAMPLES_PER_CHUNK, KEY_EVERY, TIMESCALE, CODEC, FILLER = 576, 64, 32, 48_000, b"raw ", b"\xff"
 #: Boxes of ISO/IEC 14496-12 that hold other boxes.
@@ -275,7 +275,7 @@ def to_media(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "media"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(wrap, MEDIA)
+    return spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))).mapInArrow(wrap, MEDIA)
 
 
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import POSITION_BITS, hash_position
-from tessera.runtime import small_batches, stored
+from tessera.runtime import small_batches, spread, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that shape the tree (16 a leaf, within these bounds), rows wanted in a leaf, and the
@@ -77,7 +77,7 @@ def fingerprints(documents: DataFrame, words: int = WORDS, carry: str | None = N
     carried = [carry] if carry else []
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), *carried)
     kinds = "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in carried)
-    return rows.mapInArrow(prints, f"doc_id long, fp long{kinds}")
+    return spread(rows).mapInArrow(prints, f"doc_id long, fp long{kinds}")
 
 
 def as_hex(fp: Column) -> Column:

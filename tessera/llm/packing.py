@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import encoder
 from tessera.operators.prefix import hash_position, running_totals
-from tessera.runtime import parallelism, small_batches
+from tessera.runtime import parallelism, small_batches, spread
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -48,7 +48,7 @@ def cut_documents(documents: DataFrame, tokenizer: str, end_id: int, length: int
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"]
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, PIECES)
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -74,13 +74,14 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def first_patterns(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A basis, patterns as columns, and how often each is used: greedy fillings, largest first.
+def first_patterns(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A basis, patterns as columns, its inverse, and how often each is used: greedy fillings, largest first.
 
-    A filling is used until the demand for one of its sizes is met, and later ones are without that size: the basis is triangular.
+    A filling is used until the demand for one of its sizes is met, and later ones are without that size. So the
+    basis is triangular, and its inverse grows a row for each filling.
     """
     left, patterns, use = need.copy(), np.zeros((len(sizes), len(sizes)), dtype=np.int64), np.zeros(len(sizes))
-    open_ = np.ones(len(sizes), dtype=bool)
+    open_, inverse = np.ones(len(sizes), dtype=bool), np.zeros((len(sizes), len(sizes)))
     for turn in range(len(sizes)):
         fill, room = patterns[:, turn], capacity
         for k in np.flatnonzero(open_)[::-1]:
@@ -92,7 +93,9 @@ def first_patterns(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[
         use[turn] = ratios[out]
         left = np.maximum(left - use[turn] * fill, 0)
         left[out], open_[out] = 0, False
-    return patterns, use
+        inverse[turn, out] = 1.0
+        inverse[turn] = (inverse[turn] - patterns[out, :turn] @ inverse[:turn]) / fill[out]
+    return patterns, inverse, use
 
 
 def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, max_rounds: int = 2000, smooth: float = 0.9) -> list[tuple[dict[int, int], int]]:
@@ -109,8 +112,7 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-4, max
         return []
     need = np.array([demand[int(s)] for s in sizes], dtype=np.float64)
     # tiny unequal surpluses keep ratios from tying, which would let the simplex method stall
-    patterns, use = first_patterns(sizes, need + np.linspace(1e-3, 2e-3, len(need)), capacity)
-    inverse = np.linalg.inv(patterns)
+    patterns, inverse, use = first_patterns(sizes, need + np.linspace(1e-3, 2e-3, len(need)), capacity)
     center = sizes / capacity
     proved, hold = float(center @ need), smooth
     for _ in range(max_rounds):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import small_batches
+from tessera.runtime import small_batches, spread
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -300,7 +300,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "base_spans", "spans"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(search, f"doc_id long, base_spans {_SPANS}, spans {_SPANS}")
+    return spread(rows).mapInArrow(search, f"doc_id long, base_spans {_SPANS}, spans {_SPANS}")
 
 
 def redact(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import stored
+from tessera.runtime import spread, stored
 
 #: Most good documents of a stratum that all rules together may reject, and the chance of exceeding it.
 LIMIT, RISK = 0.05, 0.1
@@ -98,7 +98,7 @@ def features(documents: DataFrame, whole: bool = False) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"),
     )
-    counts = texts.select("doc_id", "stratum", *carried, F.expr(_FEATURES).alias("f")).select("doc_id", "stratum", *carried, "f.*")
+    counts = spread(texts).select("doc_id", "stratum", *carried, F.expr(_FEATURES).alias("f")).select("doc_id", "stratum", *carried, "f.*")
     return counts.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
