@@ -254,13 +254,18 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, map(b" ".join, shingles)), dtype=np.uint64))
 
 
-def rarest(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
-    """So many of a set's rarest shingles that any set as similar as ``least`` has one of them among its own rarest."""
+def rarest(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """So many of a set's rarest shingles that any set as similar as ``least`` has one of them among its own rarest.
+
+    They come in two parts: those not known as common, and those that are.
+    """
     weight = np.zeros(len(own), dtype=np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, own), len(common) - 1)
         weight = np.where(common[at] == own, counts[at], 0)
-    return own[np.lexsort((own, weight))[: prefix_length(len(own), least)]]
+    first = np.lexsort((own, weight))[: prefix_length(len(own), least)]
+    known = weight[first] > 0
+    return own[first[~known]], own[first[known]]
 
 
 def prefix_length(n: int, least: tuple[int, int]) -> int:
@@ -286,17 +291,23 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """Links ``(a, b)`` whose components are those of all pairs of sets in ``distinct(id, n, prefix)`` with a Jaccard
+    """Links ``(a, b)`` whose components are those of all pairs of sets in ``distinct(id, n, prefix, known)`` with a Jaccard
     similarity of ``least`` at least; ``rows(row, text)`` has the text of each id.
 
     First every set meets only the least id that shares a rare shingle. Pairs that this leaves in different
     components are then all compared, so a large group of near copies is not paired with itself wholesale.
+    No group is gathered: shingles known as common, ``COMMON`` at most, are aggregated before the shuffle and their least
+    ids broadcast; the others meet theirs in a join that reads the same shuffle twice.
     """
     up, down = least
-    entries = distinct.select("id", "n", F.explode("prefix").alias("key"))
-    members = entries.groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("members")).where(F.size("members") > 1)
-    first = F.array_min("members").alias("first")
-    shared = stored(members.select("key", first, F.explode("members").alias("m")).select("key", "first", "m.*"), "shared")
+
+    def with_first(entries: DataFrame, small: bool) -> DataFrame:
+        firsts = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        return entries.join(F.broadcast(firsts) if small else firsts.hint("merge"), "key").select("key", "first", "id", "n")
+
+    hot = distinct.select("id", "n", F.explode("known").alias("key"))
+    rest_of = distinct.select("id", "n", F.explode("prefix").alias("key")).repartition("key")
+    shared = stored(with_first(hot, True).unionByName(with_first(rest_of, False)), "shared")
 
     def rest(n: str) -> Column:
         """What of n shingles is not among the rarest: one less than ``least`` of them, rounded up."""
@@ -348,18 +359,20 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            prefix = pa.array([rarest(s, common, counts, least).view(np.int64) for s in own], pa.list_(pa.int64()))
+            parts = list(zip(*[rarest(s, common, counts, least) for s in own], strict=True)) or [(), ()]
+            prefix, known = (pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64())) for part in parts)
             same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), same, pa.array([len(s) for s in own], pa.int64()), prefix, batch.column(2)], names=["doc_id", "same", "n", "prefix", "document"]
+                [batch.column(0), same, pa.array([len(s) for s in own], pa.int64()), prefix, known, batch.column(2)],
+                names=["doc_id", "same", "n", "prefix", "known", "document"],
             )
 
     whole = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), F.struct(*documents.columns).alias("document"))
     kind = whole.schema["document"].dataType.simpleString()
-    made = whole.mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, document {kind}")
+    made = spread(whole).mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, known array<long>, document {kind}")
     rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
-    distinct = stored(rows.groupBy("same").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
-    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct.select("id", "n", "prefix"), words, least)
+    distinct = stored(rows.groupBy("same").agg(F.min("row").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "known")]), "distinct")
+    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct.select("id", "n", "prefix", "known"), words, least)
     parts = connected_components(links, "a", "b")
     classes = distinct.select("same", "id").join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
