@@ -294,29 +294,34 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
     """Links ``(a, b)`` whose components are those of all pairs of sets in ``distinct(id, n, prefix, known)`` with a Jaccard
     similarity of ``least`` at least; ``rows(row, text)`` has the text of each id.
 
-    First every set meets only the least id that shares a rare shingle. Pairs that this leaves in different
-    components are then all compared, so a large group of near copies is not paired with itself wholesale.
-    No group is gathered: shingles known as common, ``COMMON`` at most, are aggregated before the shuffle and their least
-    ids broadcast; the others meet theirs in a join that reads the same shuffle twice.
+    First every set meets only one set that shares a rare shingle, that with the fewest rarer ones, which is the most
+    like the others. Pairs that this leaves in different components are then all compared, so a large group of near
+    copies is not paired with itself wholesale. Where a shingle stands in a set's order of rarity
+    bounds what two sets can have in common from there on, and pairs that fall short are not made.
+    No group is gathered: shingles known as common, ``COMMON`` at most, are aggregated before the shuffle and their
+    firsts broadcast; the others meet theirs in a join that reads the same shuffle twice.
     """
     up, down = least
 
-    def with_first(entries: DataFrame, small: bool) -> DataFrame:
-        firsts = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        return entries.join(F.broadcast(firsts) if small else firsts.hint("merge"), "key").select("key", "first", "id", "n")
+    def entries(name: str, before: Column) -> DataFrame:
+        return distinct.select("id", "n", before.alias("_before"), F.posexplode(name).alias("at", "key")).select(
+            "id", "n", (F.col("at") + F.col("_before")).alias("at"), "key"
+        )
 
-    hot = distinct.select("id", "n", F.explode("known").alias("key"))
-    rest_of = distinct.select("id", "n", F.explode("prefix").alias("key")).repartition("key")
-    shared = stored(with_first(hot, True).unionByName(with_first(rest_of, False)), "shared")
+    def with_first(found: DataFrame, small: bool) -> DataFrame:
+        firsts = found.groupBy("key").agg(F.min(F.struct("at", "id", "n")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        return found.join(F.broadcast(firsts) if small else firsts.hint("merge"), "key").select("key", "first", "id", "n", "at")
 
-    def rest(n: str) -> Column:
-        """What of n shingles is not among the rarest: one less than ``least`` of them, rounded up."""
-        return F.expr(f"({up} * {n} + {down - 1}) div {down} - 1")
+    hot, others = entries("known", F.size("prefix")), entries("prefix", F.lit(0)).repartition("key")
+    shared = stored(with_first(hot, True).unionByName(with_first(others, False)), "shared")
+
+    def can_be(an: Column, a_at: Column, bn: Column, b_at: Column) -> Column:
+        """Whether sets of these sizes can be similar whose first common shingle stands at these places."""
+        return (up + down) * F.least(an - a_at, bn - b_at) >= up * (an + bn)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs ``(a, an, b, bn, met)`` that are similar; met counts the rare shingles that both have."""
-        bound = (up + down) * (F.col("met") + F.greatest(rest("an"), rest("bn"))) >= up * (F.col("an") + F.col("bn"))
-        asked = stored(pairs.where(bound).select("a", "b"), "candidates")
+        """Those of the pairs ``(a, b)`` that are similar."""
+        asked = stored(pairs.distinct(), "candidates")
         ids = asked.select(F.col("a").alias("row")).unionByName(asked.select(F.col("b").alias("row"))).distinct()
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,23 +330,23 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
                 yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "own"])
 
         texts = rows.select("row", F.col("text").cast("string").cast("binary")).join(ids, "row", "left_semi")
-        sets = stored(texts.mapInArrow(cut, "id long, own array<long>"), "sets")
+        sets = stored(texts.mapInArrow(cut, "id long, own array<long>"), "own")
         both = asked.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
         met = both.withColumn("_met", F.size(F.array_intersect("x", "y")))
         return stored(met.where(F.col("_met") * down >= up * (F.size("x") + F.size("y") - F.col("_met"))).select("a", "b"), "links")
 
-    def alike(a: str, b: str) -> Column:
-        return F.least(a, b) * down >= up * F.greatest(a, b)
+    def stars(of: DataFrame) -> DataFrame:
+        possible = can_be(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at"))
+        return verified(of.where(possible & (F.col("id") != F.col("first.id"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")))
 
-    stars = shared.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("first.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
-    links = verified(stars.where(alike("an", "bn")).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("met")))
+    links = stars(shared)
     parts = connected_components(links, "a", "b")
-    placed = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    placed = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     placed = stored(placed.join(split, "key", "left_semi"), "placed")
-    left, right = (placed.select("key", *[F.col(c).alias(s + c) for c in ("id", "n", "part")]) for s in "ab")
-    across = left.join(right, "key").where("apart <> bpart AND aid < bid").where(alike("an", "bn"))
-    pairs = across.groupBy(F.col("aid").alias("a"), "an", F.col("bid").alias("b"), "bn").agg(F.count("*").alias("met"))
+    left, right = (placed.select("key", *[F.col(c).alias(s + c) for c in ("id", "n", "at", "part")]) for s in "ab")
+    across = left.join(right, "key").where("apart <> bpart AND aid < bid")
+    pairs = across.where(can_be(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat"))).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
     return links.unionByName(verified(pairs))
 
 
@@ -371,7 +376,8 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
     kind = whole.schema["document"].dataType.simpleString()
     made = spread(whole).mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, known array<long>, document {kind}")
     rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
-    distinct = stored(rows.groupBy("same").agg(F.min("row").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "known")]), "distinct")
+    # not written: each of its readers shuffles only the columns that it needs
+    distinct = rows.groupBy("same").agg(F.min("row").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "known")])
     links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct.select("id", "n", "prefix", "known"), words, least)
     parts = connected_components(links, "a", "b")
     classes = distinct.select("same", "id").join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
