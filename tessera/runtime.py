@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
 
@@ -49,6 +50,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A stored ``df``, marked for broadcast if it has no more than ``rows`` rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
     """Bound what one Arrow batch holds by rows and bytes, as a row may carry a whole document or file."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
