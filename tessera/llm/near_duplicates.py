@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import POSITION_BITS, hash_position
-from tessera.runtime import small_batches, spread, stored
+from tessera.runtime import broadcast_up_to, small_batches, spread, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that shape the tree (16 a leaf, within these bounds), rows wanted in a leaf, and the
@@ -41,6 +41,8 @@ LEAST_SAMPLE, SAMPLE, LEAF_ROWS, MOST_LEAVES = 65_536, 1_048_576, 4_096, 65_536
 
 #: Words of a shingle and the least Jaccard similarity, as a fraction, of similar texts.
 SIMILAR_WORDS, LEAST = 5, (4, 5)
+#: Row numbers, of eight bytes, that are broadcast at most; more are met in a shuffled join.
+BROADCAST_ROWS = 2_000_000
 #: Documents from which frequent shingles are counted, and how many of these are told apart from rare ones.
 COMMON_SAMPLE, COMMON = 32_768, 131_072
 
@@ -322,14 +324,14 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``(a, b)`` that are similar."""
         asked = stored(pairs.distinct(), "candidates")
-        ids = asked.select(F.col("a").alias("row")).unionByName(asked.select(F.col("b").alias("row"))).distinct()
+        ids = stored(asked.select(F.col("a").alias("row")).unionByName(asked.select(F.col("b").alias("row"))).distinct(), "ids")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "own"])
 
-        texts = rows.select("row", F.col("text").cast("string").cast("binary")).join(ids, "row", "left_semi")
+        texts = rows.select("row", F.col("text").cast("string").cast("binary")).join(broadcast_up_to(ids, BROADCAST_ROWS), "row", "left_semi")
         sets = stored(texts.mapInArrow(cut, "id long, own array<long>"), "own")
         both = asked.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
         met = both.withColumn("_met", F.size(F.array_intersect("x", "y")))
@@ -376,11 +378,11 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
     kind = whole.schema["document"].dataType.simpleString()
     made = spread(whole).mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, known array<long>, document {kind}")
     rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
-    # not written: each of its readers shuffles only the columns that it needs
-    distinct = rows.groupBy("same").agg(F.min("row").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "known")])
+    distinct = stored(rows.groupBy("same").agg(F.min("row").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "known")]), "distinct")
     links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct.select("id", "n", "prefix", "known"), words, least)
     parts = connected_components(links, "a", "b")
     classes = distinct.select("same", "id").join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    kept = rows.select("doc_id", "same", "row").join(classes, "same").groupBy("part").agg(first).select(F.col("first.row").alias("row"))
-    return rows.select("row", "document").join(kept, "row", "left_semi").select("document.*")
+    placed = rows.select("doc_id", "same", "row").join(classes, "same").select("part", F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = placed.groupBy("part").agg(F.min(F.struct("none", "doc_id", "row"))["row"].alias("first"))
+    dropped = stored(placed.join(firsts, "part").where("row <> first").select("row"), "dropped")
+    return rows.select("row", "document").join(broadcast_up_to(dropped, BROADCAST_ROWS), "row", "left_anti").select("document.*")
