@@ -321,9 +321,13 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
         """Whether sets of these sizes can be similar whose first common shingle stands at these places."""
         return (up + down) * F.least(an - a_at, bn - b_at) >= up * (an + bn)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``(a, b)`` that are similar."""
-        asked = stored(pairs.distinct(), "candidates")
+    def enough(met: Column, an: Column, bn: Column) -> Column:
+        """Whether sets of these sizes with so many rare shingles in common can be similar: the rest of each is one less than ``least`` of it."""
+        rest = [F.expr(f"({up} * {n} + {down - 1}) div {down} - 1") for n in ("an", "bn")]
+        return (up + down) * (met + F.greatest(*rest)) >= up * (an + bn)
+
+    def verified(asked: DataFrame) -> DataFrame:
+        """Those of the stored pairs ``(a, b)`` that are similar."""
         ids = stored(asked.select(F.col("a").alias("row")).unionByName(asked.select(F.col("b").alias("row"))).distinct(), "ids")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,19 +341,27 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
         met = both.withColumn("_met", F.size(F.array_intersect("x", "y")))
         return stored(met.where(F.col("_met") * down >= up * (F.size("x") + F.size("y") - F.col("_met"))).select("a", "b"), "links")
 
-    def stars(of: DataFrame) -> DataFrame:
-        possible = can_be(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at"))
-        return verified(of.where(possible & (F.col("id") != F.col("first.id"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")))
+    rare = distinct.select("id", F.concat("prefix", "known").alias("rare"))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The distinct ones of the pairs ``(a, an, b, bn)`` that share enough rare shingles, written."""
+        pairs = pairs.distinct()
+        for end in "ab":
+            pairs = pairs.join(rare.select(F.col("id").alias(end), F.col("rare").alias(f"{end}rare")), end)
+        met = F.size(F.array_intersect("arare", "brare"))
+        return stored(pairs.where(enough(met, F.col("an"), F.col("bn"))).select("a", "b"), "candidates")
 
-    links = stars(shared)
+    possible = can_be(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at"))
+    stars = shared.where(possible & (F.col("id") != F.col("first.id")))
+    links = verified(likely(stars.select(F.col("first.id").alias("a"), F.col("first.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))))
     parts = connected_components(links, "a", "b")
     placed = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     placed = stored(placed.join(split, "key", "left_semi"), "placed")
     left, right = (placed.select("key", *[F.col(c).alias(s + c) for c in ("id", "n", "at", "part")]) for s in "ab")
     across = left.join(right, "key").where("apart <> bpart AND aid < bid")
-    pairs = across.where(can_be(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat"))).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
-    return links.unionByName(verified(pairs))
+    pairs = across.where(can_be(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat")))
+    return links.unionByName(verified(likely(pairs.select(F.col("aid").alias("a"), "an", F.col("bid").alias("b"), "bn"))))
 
 
 def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -378,10 +390,13 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
     kind = whole.schema["document"].dataType.simpleString()
     made = spread(whole).mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, known array<long>, document {kind}")
     rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
-    distinct = stored(rows.groupBy("same").agg(F.min("row").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "known")]), "distinct")
-    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct.select("id", "n", "prefix", "known"), words, least)
+    # of equal sets the first stands for all; the others' row numbers are left out, so no set is shuffled or written again
+    heads = stored(rows.groupBy("same").agg(F.min("row").alias("id")), "heads")
+    copies = stored(rows.select("same", "row").join(heads, "same").where("row <> id").select("row"), "copies")
+    distinct = rows.select("row", "n", "prefix", "known").join(broadcast_up_to(copies, BROADCAST_ROWS), "row", "left_anti").withColumnRenamed("row", "id")
+    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct, words, least)
     parts = connected_components(links, "a", "b")
-    classes = distinct.select("same", "id").join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
+    classes = heads.join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
     placed = rows.select("doc_id", "same", "row").join(classes, "same").select("part", F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     firsts = placed.groupBy("part").agg(F.min(F.struct("none", "doc_id", "row"))["row"].alias("first"))
     dropped = stored(placed.join(firsts, "part").where("row <> first").select("row"), "dropped")
