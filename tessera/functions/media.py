@@ -19,13 +19,14 @@ def little_endian(content: Column, at: Column, width: int) -> Column:
     return F.when(F.octet_length(content) >= at + width, F.conv(F.concat(*octets), 16, 10).cast("long"))
 
 
-def top_boxes(content: Column, most: int = 256) -> Column:
+def top_boxes(content: Column) -> Column:
     """``(kind, start, end)`` of the boxes of an ISO file, in order; the end is what the box declares.
 
     The walk follows declared sizes and stops at a box that is smaller than its own header, or ends
-    beyond the file, which is kept as the last.
+    beyond the file, which is kept as the last. A file has no more boxes than headers of eight bytes fit in it.
     """
     size = F.octet_length(content).cast("long")
+    most = F.greatest(F.lit(1), F.coalesce(F.shiftright(size, 3), F.lit(1)))
     kind_of = "array<struct<kind:string,start:long,end:long>>"
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("found"))
 
@@ -39,7 +40,7 @@ def top_boxes(content: Column, most: int = 256) -> Column:
         box = F.struct(kind.alias("kind"), at.alias("start"), end.alias("end"))
         return F.when(good, F.struct(end.alias("at"), F.concat(s["found"], F.array(box)).alias("found"))).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["found"])
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), most.cast("long")), start, step, lambda s: s["found"])
 
 
 def declared_size(kind: Column, content: Column, boxes: Column) -> Column:

@@ -159,11 +159,12 @@ def dominators(edges: DataFrame, graph: str, src: str, dst: str, root: Column) -
     return ids.groupBy("graph").applyInPandas(solve, f"graph {kind}, node long, parent long")
 
 
-def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
     """``(graph, name, n, retained)``: all nodes of a name counted, but sizes summed only where no
     ancestor in the dominator tree has the same name.
 
     ``tree(graph, node, parent)``, ``nodes(graph, node, name, size)``, where size is the retained one.
+    A tree deeper than ``max_depth`` is an error.
     """
     up = stored(tree.select("graph", "node", "parent"), "tree")
     named = nodes.select("graph", "node", "name", "size")
@@ -178,6 +179,8 @@ def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 64) -> Data
         walk = stored(rest.join(up.select("graph", F.col("node").alias("_at"), "parent"), ["graph", "_at"]).select("graph", "node", "name", "parent"), "walk")
         if walk.isEmpty():
             break
+    else:
+        raise RuntimeError(f"the tree is deeper than {max_depth} levels")
     inner = covered.distinct().withColumn("_inner", F.lit(True))
     marked = named.join(inner, ["graph", "node"], "left")
     return marked.groupBy("graph", "name").agg(

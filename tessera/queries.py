@@ -677,11 +677,11 @@ _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]*')) AS token FROM documents WHERE lang = 'en')
+    f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_]*')) AS token FROM documents)
     SELECT token, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t WHERE token NOT IN ({_STOP}) GROUP BY token"""
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.token_counts(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    return T.token_counts(table(spark, sf_dir, "documents"))
 
 
 _WORDS = {"ring": 5, "bolt": 3, "red": 2, "blue": 2, "small": 1}

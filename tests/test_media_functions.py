@@ -45,3 +45,10 @@ def checked(spark):
 def test_structure(checked, name):
     _, verdict, found, kinds = CASES[name]
     assert (checked[name]["verdict"], checked[name]["found"], checked[name]["kinds"]) == (verdict, found, kinds)
+
+
+def test_files_of_more_boxes_than_a_few_hundred_are_walked_whole(spark):
+    file = b"\0\0\0\x08ftyp" + b"\0\0\0\x08moof" * 700 + b"\0\0\0\x08moov"
+    boxes = spark.createDataFrame([(bytearray(file),), (None,)], "c binary").select(M.top_boxes(F.col("c")).alias("b")).collect()
+    assert [b["kind"] for b in boxes[0]["b"]] == ["ftyp", *["moof"] * 700, "moov"] and boxes[0]["b"][-1]["end"] == len(file)
+    assert not boxes[1]["b"]
