@@ -21,12 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import spread, stored
+from tessera.runtime import broadcast_up_to, spread, stored
 
 #: Most good documents of a stratum that all rules together may reject, and the chance of exceeding it.
 LIMIT, RISK = 0.05, 0.1
 #: Bad documents that must go for each good one.
 PRICE = 20
+#: Ids of labelled documents, of eight bytes, that are broadcast at most; more are met in a shuffled join.
+BROADCAST_ROWS = 2_000_000
 #: Cutoffs tried for a rule.
 STEPS = 40
 
@@ -61,7 +63,7 @@ RULES = (
 # The six ASCII blanks that end a word, and symbol characters.
 _BLANKS = r"' \t\n\u000B\u000C\r'"
 _SPLIT = r"'[\\x20\\x09-\\x0D]+'"
-_SYMBOLS = "'#*$%&|<>'"
+_NO_SYMBOLS = "'[^#*$%&|<>]+'"
 
 _WORDS = f"IF(btrim(t, {_BLANKS}) = '', CAST(array() AS array<string>), split(btrim(t, {_BLANKS}), {_SPLIT}))"
 _LINES = rf"filter(split(t, '\n'), l -> btrim(l, {_BLANKS}) <> '')"
@@ -78,8 +80,8 @@ _REPEATS = """
 _FEATURES = f"""
     transform(array({_WORDS}), w -> transform(array({_LINES}), l -> named_struct(
       'n_words', CAST(size(w) AS bigint),
-      'word_chars', CAST(char_length(translate(t, {_BLANKS}, '')) AS bigint),
-      'n_symbols', CAST(char_length(t) - char_length(translate(t, {_SYMBOLS}, '')) AS bigint),
+      'word_chars', CAST(char_length(array_join(w, '')) AS bigint),
+      'n_symbols', CAST(char_length(regexp_replace(t, {_NO_SYMBOLS}, '')) AS bigint),
       'n_lines', CAST(size(l) AS bigint),
       'n_dup_lines', CAST(size(l) - size(array_distinct(l)) AS bigint),
       'n_repeat_words', IF(size(w) < 3, 0L, {_REPEATS})))[0])[0]
@@ -153,9 +155,18 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: floa
 
 
 def judge(documents: DataFrame, labels: DataFrame, limit: float = LIMIT, risk: float = RISK, whole: bool = False) -> DataFrame:
-    """``features`` with the ``verdicts`` of the rules (names of those that reject) and ``kept``."""
-    rows = stored(features(documents, whole), "quality")
-    chosen = stored(cutoffs(rows, labels, limit, risk), "cutoffs")
+    """``features`` with the ``verdicts`` of the rules (names of those that reject) and ``kept``.
+
+    With ``whole`` nothing but the labelled documents' counts is written.
+    """
+    if whole:
+        # whole documents are not written for their labels' sake: labelled ones are counted for the cutoffs, then all in passing
+        ids = labels.select(F.col("doc_id").cast("long").alias("_doc")).distinct()
+        held = documents.join(broadcast_up_to(ids, BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("_doc"), "left_semi")
+        rows, labelled = features(documents, whole), stored(features(held), "labelled")
+    else:
+        rows = labelled = stored(features(documents), "quality")
+    chosen = stored(cutoffs(labelled, labels, limit, risk), "cutoffs")
     chosen = chosen.select(F.col("stratum").alias("_stratum"), *[F.col(r.name).alias(f"_{r.name}") for r in RULES])
     rejects = [F.when(r.rejected_from() <= F.col(f"_{r.name}"), F.lit(r.name)) for r in RULES]
     judged = rows.join(chosen, rows["stratum"] == chosen["_stratum"], "left").withColumn("verdicts", F.array_compact(F.array(*rejects)))
