@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,9 @@ SIMILAR_WORDS, LEAST = 5, (4, 5)
 #: Row numbers, of eight bytes, that are broadcast at most; more are met in a shuffled join.
 BROADCAST_ROWS = 2_000_000
 #: Documents from which frequent shingles are counted, and how many of these are told apart from rare ones.
-COMMON_SAMPLE, COMMON = 32_768, 131_072
+COMMON_SAMPLE, COMMON = 8_192, 131_072
+#: Sets of the last texts that a task keeps while it compares pairs, and the longest text whose set is kept.
+KEPT_SETS, KEPT_BYTES = 256, 65_536
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -256,6 +258,12 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_hash, map(b" ".join, shingles)), dtype=np.uint64))
 
 
+def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether two sets without repeats have a Jaccard similarity of ``least`` at least."""
+    met = len(np.intersect1d(x, y, assume_unique=True))
+    return met * least[1] >= least[0] * (len(x) + len(y) - met)
+
+
 def rarest(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """So many of a set's rarest shingles that any set as similar as ``least`` has one of them among its own rarest.
 
@@ -326,28 +334,39 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
         rest = [F.expr(f"({up} * {n} + {down - 1}) div {down} - 1") for n in ("an", "bn")]
         return (up + down) * (met + F.greatest(*rest)) >= up * (an + bn)
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        """The ids of the stored ``pairs(a, b)``."""
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        return broadcast_up_to(stored(ids, "ids"), BROADCAST_ROWS)
+
     def verified(asked: DataFrame) -> DataFrame:
-        """Those of the stored pairs ``(a, b)`` that are similar."""
-        ids = stored(asked.select(F.col("a").alias("row")).unionByName(asked.select(F.col("b").alias("row"))).distinct(), "ids")
+        """Those of the stored pairs ``(a, b)`` that are similar.
+
+        Texts travel, not their sets, which are longer and do not compress.
+        """
+        texts = rows.select(F.col("row").alias("id"), F.col("text").cast("string").cast("binary")).join(ends(asked), "id", "left_semi")
 
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = lru_cache(KEPT_SETS)(partial(shingle_set, words=words))
             for batch in batches:
-                sets = pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "own"])
+                pairs = zip(*[[t.as_py() for t in batch.column(c)] for c in (2, 3)], strict=True)
+                near = [similar(*[(kept if len(t) <= KEPT_BYTES else kept.__wrapped__)(t) for t in pair], least) for pair in pairs]
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-        texts = rows.select("row", F.col("text").cast("string").cast("binary")).join(broadcast_up_to(ids, BROADCAST_ROWS), "row", "left_semi")
-        sets = stored(texts.mapInArrow(cut, "id long, own array<long>"), "own")
-        both = asked.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
-        met = both.withColumn("_met", F.size(F.array_intersect("x", "y")))
-        return stored(met.where(F.col("_met") * down >= up * (F.size("x") + F.size("y") - F.col("_met"))).select("a", "b"), "links")
+        met = asked
+        for end, name in (("a", "x"), ("b", "y")):
+            met = met.join(texts.select(F.col("id").alias(end), F.col("text").alias(name)), end)
+        met = met.select("a", "b", *[F.coalesce(c, F.lit(b"")).alias(c) for c in "xy"])
+        return stored(met.mapInArrow(compare, "a long, b long"), "links")
 
     rare = distinct.select("id", F.concat("prefix", "known").alias("rare"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """The distinct ones of the pairs ``(a, an, b, bn)`` that share enough rare shingles, written."""
-        pairs = pairs.distinct()
+        pairs = stored(pairs.distinct(), "pairs")
+        some = rare.join(ends(pairs), "id", "left_semi")
         for end in "ab":
-            pairs = pairs.join(rare.select(F.col("id").alias(end), F.col("rare").alias(f"{end}rare")), end)
+            pairs = pairs.join(some.select(F.col("id").alias(end), F.col("rare").alias(f"{end}rare")), end)
         met = F.size(F.array_intersect("arare", "brare"))
         return stored(pairs.where(enough(met, F.col("an"), F.col("bn"))).select("a", "b"), "candidates")
 
