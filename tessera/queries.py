@@ -18,6 +18,7 @@ from tessera.operators import relational as R
 from tessera.operators import retrieval as T
 from tessera.operators import similarity as M
 from tessera.runtime import stored, table
+from tessera.sources import logs as LG
 from tessera.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -596,14 +597,15 @@ def cycle_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS u, CAST(100000 + l_suppkey AS BIGINT) AS v FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09),
-    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
-    r AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.node)
-    SELECT node, min(c) AS component FROM r GROUP BY node"""
+    WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, l_suppkey + 100000000000 AS v FROM lineitem),
+    b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r(node, c) USING KEY (node) AS (SELECT u, least(u, min(v)) FROM b GROUP BY u
+      UNION SELECT b.v, min(r.c) FROM r JOIN b ON b.u = r.node JOIN recurring.r AS known ON known.node = b.v WHERE r.c < known.c GROUP BY b.v)
+    SELECT node, c AS component FROM r"""
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_discount > 0.09D")
-    return G.connected_components(lines.select("l_partkey", (F.col("l_suppkey") + 100000).alias("s")), "l_partkey", "s")
+    lines = table(spark, sf_dir, "lineitem")
+    return G.connected_components(lines.select("l_partkey", (F.col("l_suppkey") + 100000000000).alias("s")), "l_partkey", "s")
 
 
 @query(
@@ -624,15 +626,17 @@ def dominator_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE n AS (SELECT range AS node, 'c' || (range % 7) AS name, range % 11 AS size FROM range(0, 2000)),
+    WITH RECURSIVE n AS (SELECT p_partkey AS node, p_brand AS name, CAST(p_size AS BIGINT) AS size FROM part),
     a AS (SELECT node, name, node // 3 AS up FROM n WHERE node > 0 UNION ALL SELECT node, name, up // 3 FROM a WHERE up > 0),
     covered AS (SELECT DISTINCT a.node FROM a JOIN n ON n.node = a.up AND n.name = a.name)
     SELECT 1 AS graph, name, count(*) AS n, CAST(sum(CASE WHEN covered.node IS NULL THEN size ELSE 0 END) AS BIGINT) AS retained
     FROM n LEFT JOIN covered USING (node) GROUP BY name"""
 )
 def topmost_class_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = spark.range(1, 2000).select(F.lit(1).alias("graph"), F.col("id").alias("node"), F.floor(F.col("id") / 3).alias("parent"))
-    nodes = spark.range(0, 2000).select(F.lit(1).alias("graph"), F.col("id").alias("node"), F.concat(F.lit("c"), F.col("id") % 7).alias("name"), (F.col("id") % 11).alias("size"))
+    """Every part, under the one whose key is a third of its own."""
+    part = table(spark, sf_dir, "part").withColumn("graph", F.lit(1))
+    edges = part.where("p_partkey > 0").select("graph", F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    nodes = part.select("graph", F.col("p_partkey").alias("node"), F.col("p_brand").alias("name"), F.col("p_size").cast("long").alias("size"))
     return G.topmost_sums(edges, nodes)
 
 
@@ -728,11 +732,14 @@ def topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
-    WITH d AS (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS b FROM pages) SELECT page_id, len(b) AS blocks, coalesce(b[1], '') AS first FROM d"""
+    r"""
+    WITH d AS (SELECT page_id, regexp_extract_all(replace(replace(html, '<p>', '```' || chr(10)), '</p>', '```'), '(?s)```\w*\n(.*?)```', 1) AS b FROM pages)
+    SELECT page_id, len(b) AS blocks, coalesce(b[1], '') AS first FROM d"""
 )
 def code_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
+    """Paragraphs of pages, written as fenced blocks."""
+    fenced = F.replace(F.replace("html", F.lit("<p>"), F.lit("```\n")), F.lit("</p>"), F.lit("```"))
+    found = T.code_blocks(fenced)
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("blocks"), F.coalesce(F.get(found, 0), F.lit("")).alias("first"))
 
 
@@ -782,7 +789,39 @@ def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events")
 def regex_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("long").alias("k"))
+    found = LG.fields(F.col("props"), {"k": r'"k": *([0-9]+)'})
+    return table(spark, sf_dir, "events").select("event_id", *found).withColumn("k", F.col("k").cast("long"))
+
+
+@query(
+    """
+    WITH t AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    m AS (SELECT user_id, n, last_value(CASE event_type WHEN 'purchase' THEN 'bought' WHEN 'signup' THEN 'joined' END IGNORE NULLS)
+      OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM t)
+    SELECT section, count(*) AS lines, count(DISTINCT user_id) AS logs, CAST(max(n) AS BIGINT) AS last_line FROM m GROUP BY section"""
+)
+def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log for each user with a line an event, cut into lines and told by marker lines which section each is in."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda e: e["event_type"])
+    logs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(in_order, "\n").alias("text"))
+    told = LG.sections(LG.lines(logs), ["user_id"], {"bought": "^purchase$", "joined": "^signup$"})
+    return told.groupBy("section").agg(
+        F.count("*").alias("lines"), F.countDistinct("user_id").alias("logs"), F.max("line_no").cast("long").alias("last_line")
+    )
+
+
+@query(
+    """
+    WITH t AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    m AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS block FROM t)
+    SELECT user_id, block, count(*) - 1 AS below, max(event_id) FILTER (event_type = 'purchase') AS header FROM m WHERE block > 0 GROUP BY 1, 2"""
+)
+def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase in a user's log with the events below it."""
+    written = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda e: F.concat_ws(" ", e["event_type"], e["event_id"]))
+    logs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(written, "\n").alias("text"))
+    found = LG.blocks(LG.lines(logs), ["user_id"], "^purchase ")
+    return found.select("user_id", "block", F.size("body").cast("long").alias("below"), F.split("header", " ")[1].cast("long").alias("header"))
 
 
 @query(
