@@ -88,6 +88,31 @@ def test_sqlite(spark, tmp_path):
         first_with_rows([])
 
 
+def test_sqlite_views_keys_and_filters(spark, tmp_path):
+    path = str(tmp_path / "t.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (id INTEGER, v REAL)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(k, k / 2) for k in range(100)] + [(None, None)])
+    con.execute("CREATE VIEW half AS SELECT * FROM t WHERE id < 50")
+    con.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID")
+    con.executemany("INSERT INTO keyed VALUES (?, ?)", [("a", 1), ("b", 2)])
+    con.execute("CREATE VIEW vacant AS SELECT * FROM t WHERE id < 0")
+    con.commit()
+    con.close()
+    spark.dataSource.register(SqliteSource)
+    counts = {"t": 101, "half": 50, "keyed": 2, "vacant": 0}
+    for pushed in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+        try:
+            read = {n: spark.read.format("sqlite").option("path", path).option("table", n).option("pushdown", pushed).load() for n in counts}
+            assert {n: r.count() for n, r in read.items()} == counts
+            assert read["t"].where("id >= 90 AND v < 48").count() == 6
+            assert [r["k"] for r in read["keyed"].where("n = 2").collect()] == ["b"]
+            assert read["t"].where("id IS NULL").count() == 1
+        finally:
+            spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:10"), (1, "2024-01-01 00:00:20"), (2, "2024-01-01 00:01:10")], "k int, t string").withColumn("t", F.col("t").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
