@@ -11,6 +11,7 @@ from tessera.runtime import stored, table
 
 WORD_TOKENIZER, WORD_END = "word_bpe_49k.json", 2
 BYTE_TOKENIZER, BYTE_END = "byte_bpe_50k.json", 1
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -115,6 +116,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pieces import decode_pieces, encode_pieces
+
+    path = tokenizer_path(PIECE_MODEL)
+    decoded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("bounds", -1).cast("long").alias("n_bytes"),
+        F.xxhash64("bounds").alias("bounds_hash"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bit_planes": op1_bit_planes,
     "op2_packing": op2_packing,
@@ -126,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op13_pieces": op13_pieces,
 }
 
 _BLANK = r"\x20\x09-\x0D"
