@@ -116,6 +116,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pieces import decode_pieces, encode_pieces
 
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
     "op13_pieces": op13_pieces,
 }
 
@@ -200,6 +207,36 @@ def _quality_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op7_risk_controlled": _quality_sql(),
+    "op11_filter_audit": f"""
+    WITH marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    texts AS (
+      SELECT coalesce(lang, '') AS part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') AS w,
+        doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copied FROM documents LEFT JOIN marks USING (doc_id)),
+    failed AS (
+      SELECT part, good, toxic,
+        concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+          CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' END,
+          CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN copied THEN 'E' END) AS failed FROM texts),
+    masks AS (SELECT *, count(*) AS n FROM failed GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (
+      SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    placed AS (
+      SELECT *, substr(filter_order, step, 1) AS own, translate(left(filter_order, step - 1), failed, '') <> left(filter_order, step - 1) AS gone
+      FROM masks, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    steps AS (SELECT *, contains(failed, own) AS fails FROM placed),
+    counted AS (
+      SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, CAST(sum(CASE WHEN gone OR fails THEN 0 ELSE n END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN failed = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM steps GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+      CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted""",
     "op9_warc": """
     WITH payloads AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
     firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads)
