@@ -2,9 +2,9 @@
 
 A text is normalised here, by the model's own compiled character map: at each place the longest
 key that the text goes on with is replaced, and every byte of the result remembers the source byte
-where its character began. The result is cut before each word mark that follows another character,
-which no piece of the model may span (a model with such a piece is encoded uncut). Each word is
-segmented once by the sentencepiece library, under a copy of the model that normalises nothing,
+where its character began. The result is cut where no piece of the model goes on: before each word mark that
+follows another character, and between a letter and a character that stands beside a letter in no piece (a model with pieces
+across word marks is encoded uncut). Each word is segmented once by the sentencepiece library, under a copy of the model that normalises nothing,
 and then remembered. Piece lengths, summed up, are places in the normalised text, and the
 remembered source places at these are the bounds of the pieces: piece ``k`` has the source bytes
 ``bounds[k]`` to ``bounds[k + 1]``. Bounds never fall back; they leave out only blanks that the
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from tessera.runtime import small_batches, spread
 
 #: Words remembered by one Python worker, and the longest that is remembered, in characters; this bounds the memory.
-REMEMBERED, LONGEST = 1_000_000, 40
+REMEMBERED, LONGEST = 400_000, 40
+#: Bytes of texts that are encoded at once, unless one is longer.
+AT_ONCE = 4 << 20
 #: The mark that stands for a blank in pieces.
 MARK = "▁"
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = 0x20
 #: Kinds of pieces in a model file.
 _UNKNOWN, _USER_DEFINED, _BYTE = 2, 4, 6
@@ -121,6 +124,14 @@ class Normaliser:
         return body, np.append(places, end)
 
 
+def word_pattern(pieces: list[str]) -> re.Pattern:
+    """Cuts a normalised text into parts that no piece goes across."""
+    beside = set("".join(re.findall(f"[{_LETTER}]([^{_LETTER}])", "\0".join(pieces)) + re.findall(f"([^{_LETTER}])(?=[{_LETTER}])", "\0".join(pieces))))
+    others = "".join(re.escape(c) for c in map(chr, [0x0A, *range(0x21, 0x7F)]) if c not in beside and not re.match(f"[{_LETTER}]", c))
+    apart = f"{MARK}*+[{_LETTER}]++(?=[{others}{MARK}]|\\Z)|{MARK}*+[{others}]++(?=[{_LETTER}{MARK}]|\\Z)|" if others else ""
+    return re.compile(f"{apart}{MARK}*+[^{MARK}]++|{MARK}++")
+
+
 class PieceEncoder:
     """Ids and source bounds of whole texts under one model."""
 
@@ -133,9 +144,10 @@ class PieceEncoder:
         if own.trainer_spec.treat_whitespace_as_suffix or any(p.type == _USER_DEFINED for p in own.pieces):
             raise ValueError("models with user-defined symbols or marks behind words are not supported")
         self._normalise = Normaliser(own.normalizer_spec)
-        self._lengths = np.array([1 if p.type == _BYTE else len(p.piece.encode()) for p in own.pieces], dtype=np.int64)
+        self._lengths = np.array([1 if p.type == _BYTE else len(p.piece.encode()) for p in own.pieces], dtype=np.int32)
         self._unknown = next(k for k, p in enumerate(own.pieces) if p.type == _UNKNOWN)
-        self._cuts = not any(MARK in p.piece.lstrip(MARK) for p in own.pieces if p.type != _BYTE)
+        names = [p.piece for p in own.pieces if p.type != _BYTE]
+        self._words = None if any(MARK in n.lstrip(MARK) for n in names) else word_pattern(names)
         own.normalizer_spec.CopyFrom(
             proto.NormalizerSpec(name="identity", add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=True)
         )
@@ -145,19 +157,22 @@ class PieceEncoder:
 
     def _segment(self, words: list[str]) -> list[bytes]:
         """Pairs of id and length of each word's pieces."""
-        found = []
-        for word, ids in zip(words, self._plain.encode(words, num_threads=1), strict=True):
-            lengths = self._lengths[ids]
-            if self._unknown in ids:  # as long as what it stands for
-                names = self._plain.encode(word, out_type=str)
-                lengths = [len(n.encode()) if k == self._unknown else x for k, n, x in zip(ids, names, lengths, strict=True)]
-            found.append(np.array([ids, lengths], dtype=np.int64).T.tobytes())
-        return found
+        found = self._plain.encode(words, num_threads=1)
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        pairs = np.stack([ids, self._lengths[ids]], axis=1)
+        ends = np.cumsum([0, *map(len, found)])
+        if (ids == self._unknown).any():
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids == self._unknown), side="right") - 1).tolist():
+                own, names = ids[ends[k] : ends[k + 1]], self._plain.encode(words[k], out_type=str)
+                unknown = own == self._unknown  # as long as what it stands for
+                pairs[ends[k] : ends[k + 1], 1][unknown] = np.array([len(n.encode()) for n in names])[unknown]
+        raw = pairs.tobytes()
+        return [raw[8 * a : 8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def batch(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """``(ids, bounds)`` of each text; None counts as an empty text."""
         made = [self._normalise(t or b"") for t in texts]
-        cut = [_WORD.findall(body.decode()) if self._cuts else [body.decode()] if body else [] for body, _ in made]
+        cut = [self._words.findall(body.decode()) if self._words else [body.decode()] if body else [] for body, _ in made]
         known = self._known
         new = list(set().union(*cut).difference(known))
         for at in range(0, len(new), 20_000):
@@ -165,11 +180,11 @@ class PieceEncoder:
             known.update(zip(part, self._segment(part), strict=True))
         out = []
         for words, (body, places) in zip(cut, made, strict=True):
-            ids, lengths = np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int64).reshape(-1, 2).T
-            ends = np.append(0, np.cumsum(lengths))
+            ids, lengths = np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32).reshape(-1, 2).T
+            ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
             if ends[-1] != len(body):
                 raise RuntimeError("the pieces do not make up the normalised text")
-            out.append((ids, places[ends]))
+            out.append((ids, places[ends].astype(np.int32)))
         for word in new if len(known) > self._remembered else [w for w in new if len(w) > LONGEST]:
             del known[word]
         return out
@@ -187,29 +202,48 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
 
 
-def encode_pieces(documents: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids, bounds)`` of ``documents(doc_id, text)`` under the model file at ``path``, in one pass."""
+def _portions(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or b"") > AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or b"")
+    yield part
+
+
+def encode_pieces(documents: DataFrame, path: str, decode: bool = False) -> DataFrame:
+    """``(doc_id, ids, bounds)`` of ``documents(doc_id, text)`` under the model file at ``path``, in one pass.
+
+    With ``decode`` also the library's text of the ids, as ``decoded``.
+    """
     small_batches(documents.sparkSession)
+    names = ["doc_id", "ids", "bounds", *["decoded"] * decode]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_encoder(path)
         for batch in batches:
-            if batch.num_rows:
-                ids, bounds = zip(*own.batch([t.as_py() for t in batch.column(1)]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), _lists(bounds)], names=["doc_id", "ids", "bounds"])
+            done = 0
+            for part in _portions([t.as_py() for t in batch.column(1)]) if batch.num_rows else ():
+                ids, bounds = zip(*own.batch(part), strict=True)
+                columns = [batch.column(0).slice(done, len(part)), _lists(ids), _lists(bounds)]
+                if decode:
+                    columns.append(pa.array([own.whole.decode(x.tolist()) if len(x) else "" for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                done += len(part)
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    return spread(rows).mapInArrow(encode, "doc_id long, ids array<int>, bounds array<int>")
+    return spread(rows).mapInArrow(encode, f"doc_id long, ids array<int>, bounds array<int>{', decoded string' * decode}")
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded(doc_id, ids, bounds)`` with the library's text of each row's ids as ``decoded``."""
+    """``encoded(doc_id, ids)`` with the library's text of each row's ids as ``decoded``."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_encoder(path).whole
         for batch in batches:
-            texts = [own.decode(x) if x else "" for x in (i.as_py() for i in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "bounds", "decoded"])
+            found = [own.decode(x) if x else "" for x in (i.as_py() for i in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    rows = encoded.select("doc_id", "ids", "bounds")
-    return rows.mapInArrow(decode, "doc_id long, ids array<int>, bounds array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, ids array<int>, decoded string")

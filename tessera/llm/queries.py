@@ -123,11 +123,9 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.pieces import decode_pieces, encode_pieces
+    from tessera.llm.pieces import encode_pieces
 
-    path = tokenizer_path(PIECE_MODEL)
-    decoded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select(
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), decode=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
