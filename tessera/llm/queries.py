@@ -122,6 +122,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.conversations import damage, repair, repaired_digests
+
+    found = repaired_digests(repair(damage(table(spark, sf_dir, "conversations"))))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pieces import encode_pieces
 
@@ -147,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversations": op12_conversations,
     "op13_pieces": op13_pieces,
 }
 
@@ -203,7 +211,77 @@ def _quality_sql() -> str:
     FROM judged LEFT JOIN rejected USING (r)"""
 
 
+def _conversations_sql() -> str:
+    """Damage, marks, costs from the back, edits from the front and the replay in DuckDB's SQL."""
+    checksum = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(x AS BIGINT) FOR x IN [0, 0, 0, 0, 0, 0, 0, 0]]),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT))"""
+    ahead = "[2, 2, 3, 2][state + 1]"
+    return f"""
+    WITH RECURSIVE keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+    kinds AS (SELECT *, {checksum} % 20 AS d FROM keyed),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE d WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE d <> 0),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+        CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial FROM damaged),
+    marked AS (
+      SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair,
+        CASE WHEN NOT regexp_matches(text, '[^{_BLANK}]') THEN 'b' WHEN seen > 1 THEN 'd'
+          WHEN NOT regexp_matches(text, '[.!?][{_BLANK}]*$') THEN 't' ELSE '-' END AS fault FROM placed),
+    signed AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+        count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+        count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+        string_agg(CASE WHEN fault IN ('b', 'd') THEN 'x' WHEN fault = 't' THEN upper(initial) ELSE initial END, '' ORDER BY pos) AS sig
+      FROM marked GROUP BY conv_id),
+    sigs AS (SELECT DISTINCT sig FROM signed),
+    costs AS (
+      SELECT sig, length(sig) AS pos, [0, 6, 3, 0] AS c FROM sigs
+      UNION ALL
+      SELECT sig, pos - 1, [least(o[1], 3 + o[3], 6 + o[4]), least(o[2], 3 + o[3], 6 + o[4]), least(o[3], 3 + o[4]), least(o[4], 3 + o[3])]
+      FROM (
+        SELECT sig, pos, [least(4 + c[1], CASE WHEN x <> 'x' THEN t + 3 + c[3] END, CASE x WHEN 's' THEN t + c[2] WHEN 'u' THEN t + c[3] END),
+          least(4 + c[2], CASE WHEN x <> 'x' THEN t + 3 + c[3] END, CASE WHEN x = 'u' THEN t + c[3] END),
+          least(4 + c[3], CASE WHEN x <> 'x' THEN t + 3 + c[4] END, CASE WHEN x = 'a' THEN t + c[4] END),
+          least(4 + c[4], CASE WHEN x <> 'x' THEN t + 3 + c[3] END, CASE WHEN x = 'u' THEN t + c[3] END)] AS o
+        FROM (SELECT sig, pos, c, lower(substr(sig, pos, 1)) AS x, CASE WHEN substr(sig, pos, 1) BETWEEN 'A' AND 'Z' THEN 3 ELSE 0 END AS t FROM costs WHERE pos > 0))),
+    steps AS (
+      SELECT sig, 0 AS step, 0 AS pos, 0 AS state, c[1] AS rest, '' AS letter, '' AS audit FROM costs WHERE pos = 0
+      UNION ALL
+      SELECT sig, step + 1, CASE letter WHEN 'I' THEN pos ELSE pos + 1 END,
+        CASE letter WHEN 'D' THEN state WHEN 'K' THEN keeps ELSE ahead END,
+        rest - CASE letter WHEN 'D' THEN 4 WHEN 'I' THEN 3 WHEN 'K' THEN t ELSE t + 3 END, letter, audit || letter
+      FROM (
+        SELECT *, CASE WHEN 4 + following[state + 1] = rest THEN 'D' WHEN 3 + current_costs[ahead + 1] = rest THEN 'I'
+          WHEN t + following[keeps + 1] = rest THEN 'K' WHEN x <> 'x' AND t + 3 + following[ahead + 1] = rest THEN 'R' END AS letter
+        FROM (
+          SELECT s.sig, s.step, s.pos, s.state, s.rest, s.audit, a.c AS current_costs, b.c AS following, {ahead} AS ahead, lower(substr(s.sig, s.pos + 1, 1)) AS x,
+            CASE WHEN substr(s.sig, s.pos + 1, 1) BETWEEN 'A' AND 'Z' THEN 3 ELSE 0 END AS t,
+            CASE WHEN x = 's' AND state = 0 THEN 1 WHEN x = 'u' AND state <> 2 THEN 2 WHEN x = 'a' AND state = 2 THEN 3 END AS keeps
+          FROM steps s JOIN costs a ON a.sig = s.sig AND a.pos = s.pos LEFT JOIN costs b ON b.sig = s.sig AND b.pos = s.pos + 1))
+      WHERE letter IS NOT NULL),
+    solved AS (SELECT sig, max_by(audit, step) AS audit FROM steps GROUP BY sig),
+    totals AS (SELECT sig, c[1] AS cost FROM costs WHERE pos = 0),
+    replayed AS (
+      SELECT signed.conv_id, string_agg(CASE letter WHEN 'K' THEN role || ':' || text ELSE ['user', 'assistant'][state - 1] || ':' || CASE letter WHEN 'R' THEN text ELSE '' END END,
+        chr(10) ORDER BY step) AS body
+      FROM signed JOIN steps ON signed.sig = steps.sig LEFT JOIN marked ON marked.conv_id IS NOT DISTINCT FROM signed.conv_id AND marked.pos = steps.pos
+      WHERE letter IN ('I', 'K', 'R') GROUP BY signed.conv_id)
+    SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+      coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN signed ON signed.conv_id IS NOT DISTINCT FROM c.conv_id
+      LEFT JOIN solved USING (sig) LEFT JOIN totals USING (sig) LEFT JOIN replayed ON replayed.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversations": _conversations_sql(),
     "op7_risk_controlled": _quality_sql(),
     "op11_filter_audit": f"""
     WITH marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
