@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import stored
+from tessera.runtime import discard, stored
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 200) -> DataFrame:
@@ -15,12 +15,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     Labels spread along edges and are then replaced by their own label's label, so the number of
     rounds follows the logarithm of the longest path in practice. Both steps are joins followed
     by a partial minimum: a hub's edges are summed before they meet, and the join itself can be
-    split by adaptive execution. Each round is written to the shared folder. Edges with a null end are
+    split by adaptive execution. Each round is written to the shared folder, and the one before removed. Edges with a null end are
     ignored; an empty input gives an empty result; self loops give one-node components.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    labels = last = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
     for _ in range(max_rounds):
         offered = (
             both.join(labels, both["u"] == labels["node"])
@@ -40,8 +40,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             ),
             "labels",
         )
-        labels = new.select("node", "label")
+        discard(hooked, last)
+        labels, last = new.select("node", "label"), new
         if new.where("old <> label").isEmpty():
+            discard(both)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

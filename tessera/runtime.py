@@ -5,11 +5,19 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT = "spark.checkpoint.dir"
+#: Lets Spark remove the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The owner of the tables that are being stored, and the paths that each owner has.
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+_owned: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +39,55 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and keeps Python stages or wide
-    scans from running twice when a plan needs their rows more than once.
+    scans from running twice when a plan needs their rows more than once. The shuffle files that led
+    to the table go when it is written. ``discard`` and ``release`` remove tables that are done with.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    if owner := _owner.get():
+        _owned.setdefault(owner, []).append(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame._stored_at = path
+    return frame
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind ``frames``, which ``stored`` returned and which no later query reads."""
+    for frame in frames:
+        _remove(frame.sparkSession, frame._stored_at)
+
+
+@contextmanager
+def scratch(owner: str) -> Iterator[None]:
+    """Tables stored inside belong to ``owner``, to be removed by ``release``."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(owner: str, reader: DataFrame) -> None:
+    """Remove the tables of ``owner``, but for those that ``reader`` reads."""
+    if paths := _owned.pop(owner, []):
+        read = reader.inputFiles()
+        for path in paths:
+            name = path.rsplit("/", 1)[-1]
+            if any(f"/{name}/" in file for file in read):
+                _owned.setdefault(owner, []).append(path)
+            else:
+                _remove(reader.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:
