@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 from tessera.operators.prefix import POSITION_BITS, hash_position
-from tessera.runtime import broadcast_up_to, small_batches, spread, stored
+from tessera.runtime import broadcast_up_to, discard, small_batches, spread, stored
 
 WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that shape the tree (16 a leaf, within these bounds), rows wanted in a leaf, and the
@@ -340,7 +340,7 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
         return broadcast_up_to(stored(ids, "ids"), BROADCAST_ROWS)
 
     def verified(asked: DataFrame) -> DataFrame:
-        """Those of the stored pairs ``(a, b)`` that are similar.
+        """Those of the stored pairs ``(a, b)`` that are similar; the pairs are removed.
 
         Texts travel, not their sets, which are longer and do not compress.
         """
@@ -357,18 +357,22 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
         for end, name in (("a", "x"), ("b", "y")):
             met = met.join(texts.select(F.col("id").alias(end), F.col("text").alias(name)), end)
         met = met.select("a", "b", *[F.coalesce(c, F.lit(b"")).alias(c) for c in "xy"])
-        return stored(met.mapInArrow(compare, "a long, b long"), "links")
+        links = stored(met.mapInArrow(compare, "a long, b long"), "links")
+        discard(asked)
+        return links
 
     rare = distinct.select("id", F.concat("prefix", "known").alias("rare"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """The distinct ones of the pairs ``(a, an, b, bn)`` that share enough rare shingles, written."""
-        pairs = stored(pairs.distinct(), "pairs")
+        found = pairs = stored(pairs.distinct(), "pairs")
         some = rare.join(ends(pairs), "id", "left_semi")
         for end in "ab":
             pairs = pairs.join(some.select(F.col("id").alias(end), F.col("rare").alias(f"{end}rare")), end)
         met = F.size(F.array_intersect("arare", "brare"))
-        return stored(pairs.where(enough(met, F.col("an"), F.col("bn"))).select("a", "b"), "candidates")
+        asked = stored(pairs.where(enough(met, F.col("an"), F.col("bn"))).select("a", "b"), "candidates")
+        discard(found)
+        return asked
 
     possible = can_be(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at"))
     stars = shared.where(possible & (F.col("id") != F.col("first.id")))
@@ -377,10 +381,13 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
     placed = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     placed = stored(placed.join(split, "key", "left_semi"), "placed")
+    discard(shared)
     left, right = (placed.select("key", *[F.col(c).alias(s + c) for c in ("id", "n", "at", "part")]) for s in "ab")
     across = left.join(right, "key").where("apart <> bpart AND aid < bid")
     pairs = across.where(can_be(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat")))
-    return links.unionByName(verified(likely(pairs.select(F.col("aid").alias("a"), "an", F.col("bid").alias("b"), "bn"))))
+    more = verified(likely(pairs.select(F.col("aid").alias("a"), "an", F.col("bid").alias("b"), "bn")))
+    discard(placed)
+    return links.unionByName(more)
 
 
 def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
