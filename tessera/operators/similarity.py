@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
@@ -49,28 +48,29 @@ def chain_classes(pairs: DataFrame) -> DataFrame:
 def merge_similar(rows: DataFrame, by: str, order: Sequence[str], trace: str, count: str, size: str, most: int = 20, longest: bool = False) -> DataFrame:
     """Fold each group's first rows, in order, into those whose trace contains theirs or the reverse.
 
-    Counts add up while sizes keep their maximum; the first row of a fold lends its trace, or the
+    Counts add up while sizes keep their maximum; the first row of a fold lends its trace, or, with ``longest``, the
     row with the longest chain so far. The result depends on the order, so a group's top ``most``
-    rows are folded in one place.
+    rows, which is all that the rule asks for, are folded as one array. ``merging.merge_all`` has no such cut.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(by).orderBy(*order)
-    top = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(by, "_n", trace, count, size)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for _, row in frame.sort_values("_n").iterrows():
-            for k in kept:
-                if row[trace] in k[1] or k[1] in row[trace]:
-                    k[2] += int(row[count])
-                    k[3] = max(k[3], int(row[size]))
-                    if longest and row[trace].count(" <- ") > k[1].count(" <- "):
-                        k[1] = row[trace]
-                    break
-            else:
-                kept.append([row[by], row[trace], int(row[count]), int(row[size])])
-        return pd.DataFrame(kept, columns=[by, trace, count, size])
-
-    kind = rows.schema[by].dataType.simpleString()
-    return top.groupBy(by).applyInPandas(fold, f"{by} {kind}, {trace} string, {count} long, {size} long")
+    top = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    row = F.struct("_n", F.col(trace).alias("t"), F.col(count).cast("long").alias("c"), F.col(size).cast("long").alias("s"))
+    items = top.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    items = items.select(by, F.transform("_rows", lambda r: F.struct(r["t"], r["c"], r["s"])).alias("_rows"))
+
+    def links(t: Column) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit(" <- "), F.lit("")))
+
+    def fold(kept: Column, row: Column) -> Column:
+        meets = F.transform(kept, lambda k: F.contains(k["t"], row["t"]) | F.contains(row["t"], k["t"]))
+        at = F.array_position(meets, True)
+
+        def taken(k: Column, i: Column) -> Column:
+            longer = F.when(links(row["t"]) > links(k["t"]), row["t"]).otherwise(k["t"]) if longest else k["t"]
+            both = F.struct(longer.alias("t"), (k["c"] + row["c"]).alias("c"), F.greatest(k["s"], row["s"]).alias("s"))
+            return F.when(i + 1 == at, both).otherwise(k)
+
+        return F.when(at > 0, F.transform(kept, taken)).otherwise(F.concat(kept, F.array(row)))
+
+    folded = items.select(by, F.explode(F.aggregate("_rows", F.slice("_rows", 1, 0), fold)).alias("_kept"))
+    return folded.select(by, F.col("_kept.t").alias(trace), F.col("_kept.c").alias(count), F.col("_kept.s").alias(size))

@@ -14,6 +14,7 @@ from tessera.functions import media as V
 from tessera.functions import predicates as P
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
+from tessera.operators import merging as MG
 from tessera.operators import relational as R
 from tessera.operators import retrieval as T
 from tessera.operators import similarity as M
@@ -668,11 +669,59 @@ def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.similar_pairs(_chains(spark, sf_dir).withColumn("one", F.lit(1)), "conv_id", ["one"], "chain", "order")
 
 
-@query()
+_CANDIDATES = """l AS (SELECT l_orderkey, string_agg(l_linestatus, ' <- ' ORDER BY l_linenumber, l_linestatus) AS trace FROM lineitem GROUP BY 1),
+    c AS (SELECT o_orderpriority AS priority, o_orderstatus AS status, trace, count(*) AS n, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS size
+      FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY ALL)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line states of all orders as traces, counted for each priority and status."""
+    line = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_linestatus")))
+    traces = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(line, lambda x: x["l_linestatus"]), " <- ").alias("trace"))
+    orders = table(spark, sf_dir, "orders").join(traces, F.col("o_orderkey") == F.col("l_orderkey"))
+    kinds = [F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "trace"]
+    return orders.groupBy(*kinds).agg(F.count("*").alias("n"), F.max(cents("o_totalprice")).alias("size"))
+
+
+@query(
+    f"""WITH {_CANDIDATES},
+    g AS (SELECT priority, trace, CAST(sum(n) AS BIGINT) AS n, max(size) AS size FROM c GROUP BY 1, 2),
+    top AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY priority ORDER BY size DESC, trace) <= 20),
+    lists AS (SELECT priority, list({{'t': trace, 'n': n, 's': size, 'kept': CAST([] AS STRUCT(t VARCHAR, n BIGINT, s BIGINT)[])}} ORDER BY size DESC, trace) AS rows FROM top GROUP BY 1),
+    folded AS (
+      SELECT priority, unnest(list_reduce(list_prepend({{'t': '', 'n': 0, 's': 0, 'kept': CAST([] AS STRUCT(t VARCHAR, n BIGINT, s BIGINT)[])}}, rows), lambda a, x:
+        {{'t': '', 'n': 0, 's': 0, 'kept': CASE
+          WHEN list_position(list_transform(a.kept, lambda k: contains(k.t, x.t) OR contains(x.t, k.t)), true) > 0 THEN
+            list_transform(a.kept, lambda k, i: CASE
+              WHEN i = list_position(list_transform(a.kept, lambda m: contains(m.t, x.t) OR contains(x.t, m.t)), true)
+              THEN {{'t': k.t, 'n': k.n + x.n, 's': greatest(k.s, x.s)}} ELSE k END)
+          ELSE list_append(a.kept, {{'t': x.t, 'n': x.n, 's': x.s}}) END}}).kept) AS k FROM lists)
+    SELECT priority, k.t AS trace, k.n AS n, k.s AS size FROM folded"""
+)
 def merged_similar_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.max("p_size").cast("long").alias("size"))
-    named = rows.withColumn("trace", F.element_at(F.split("p_name", " "), -1))
-    return M.merge_similar(named.withColumn("down", -F.col("size")), "p_brand", ["down", "p_name"], "trace", "n", "size")
+    """Of each priority the twenty candidates of most size, folded in order; the first of a fold lends its trace."""
+    rows = _candidates(spark, sf_dir).groupBy("priority", "trace").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    return M.merge_similar(rows.withColumn("down", -F.col("size")), "priority", ["down", "trace"], "trace", "n", "size")
+
+
+@query(
+    f"""WITH RECURSIVE {_CANDIDATES},
+    s AS (SELECT *, row_number() OVER (ORDER BY size DESC, len(string_split(trace, ' <- ')) DESC, trace, priority, status) AS i FROM c),
+    a AS (SELECT list({{'t': trace, 'n': n, 's': size, 'm': CAST(0 AS BIGINT), 'p': [priority], 'q': [status], 'i': i, 'rest': CAST([] AS BIGINT[])}} ORDER BY i) AS rows FROM s),
+    r AS (
+      SELECT rows, CAST(range(1, len(rows) + 1) AS BIGINT[]) AS rest, rows[1] AS parent, false AS done FROM a
+      UNION ALL
+      SELECT rows, new.rest, new, true FROM (
+        SELECT rows, list_reduce(list_select(rows, rest), lambda x, y: CASE WHEN contains(x.t, y.t) OR contains(y.t, x.t)
+          THEN {{'t': CASE WHEN len(y.t) > len(x.t) THEN y.t ELSE x.t END, 'n': x.n + y.n, 's': x.s, 'm': x.m + 1, 'p': list_concat(x.p, y.p), 'q': list_concat(x.q, y.q), 'i': x.i, 'rest': x.rest}}
+          ELSE {{'t': x.t, 'n': x.n, 's': x.s, 'm': x.m, 'p': x.p, 'q': x.q, 'i': x.i, 'rest': list_append(x.rest, y.i)}} END) AS new
+        FROM r WHERE len(rest) > 0))
+    SELECT parent.t AS trace, CAST(parent.n AS BIGINT) AS n, parent.s AS size, parent.m AS merged,
+      list_sort(list_distinct(parent.p)) AS priority, list_sort(list_distinct(parent.q)) AS status FROM r WHERE done"""
+)
+def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates merged, without a cut: each keeps the longest trace and the names of what it took."""
+    return MG.merge_all(_candidates(spark, sf_dir), [], "trace", "n", "size", ["priority", "status"])
 
 
 # --- retrieval
