@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import discard, stored
 
+#: Edges of a graph that is solved in one task, at most.
+FOLD_EDGES = 1_000_000
+
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 200) -> DataFrame:
     """Return ``(node, component)``: each node named in an edge with the smallest node it can reach.
@@ -107,58 +110,163 @@ def cycles(edges: DataFrame, src: str, dst: str, max_length: int) -> DataFrame:
     return closed.distinct()
 
 
-def dominators(edges: DataFrame, graph: str, src: str, dst: str, root: Column) -> DataFrame:
+def dominators(edges: DataFrame, graph: str, src: str, dst: str, root: Column, fold_edges: int = FOLD_EDGES, max_depth: int = 10_000) -> DataFrame:
     """``(graph, node, parent)``: immediate dominators of the nodes reachable from each graph's root.
 
-    Each graph is one group, as a heap snapshot is: it must fit one worker. The iterative
-    algorithm of Cooper, Harvey and Kennedy runs over the nodes in reverse postorder.
+    A graph of at most ``fold_edges`` edges is one group, solved in a task. Larger ones are solved by joins
+    (``dominators_by_joins``), which a search deeper than ``max_depth`` steps ends with an error. Edges with a null end or
+    graph are ignored, repeated edges count once, an edge without a root, null, belongs to no graph.
     """
     ids = edges.select(F.col(graph).alias("graph"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), root.cast("long").alias("root"))
+    ids = stored(ids.dropna().distinct(), "edges")
+    sizes = stored(ids.groupBy("graph").agg((F.count("*") <= fold_edges).alias("small")), "sizes")
+    kind = ids.schema["graph"].dataType.simpleString()
+    small = ids.join(sizes.where("small"), "graph", "left_semi")
+    folded = small.groupBy("graph").applyInPandas(_fold_dominators, f"graph {kind}, node long, parent long")
+    large = sizes.where("NOT small")
+    if large.isEmpty():
+        return folded
+    return folded.unionByName(dominators_by_joins(ids.join(large, "graph", "left_semi"), max_depth))
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        following: dict[int, list[int]] = {}
-        for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
-            following.setdefault(a, []).append(b)
-        start = int(frame["root"].iloc[0])
-        order: list[int] = []
-        seen, stack = {start}, [(start, iter(sorted(following.get(start, []))))]
-        while stack:
-            node, rest = stack[-1]
-            for b in rest:
-                if b not in seen:
-                    seen.add(b)
-                    stack.append((b, iter(sorted(following.get(b, [])))))
-                    break
-            else:
-                order.append(node)
-                stack.pop()
-        rank = {n: i for i, n in enumerate(order)}
-        before: dict[int, list[int]] = {}
-        for a in order:
-            for b in following.get(a, []):
-                before.setdefault(b, []).append(a)
-        over = {start: start}
-        changed = True
-        while changed:
-            changed = False
-            for node in reversed(order[:-1]):
-                known = [p for p in before[node] if p in over]
-                best = known[0]
-                for p in known[1:]:
-                    a, b = p, best
-                    while a != b:
-                        while rank[a] < rank[b]:
-                            a = over[a]
-                        while rank[b] < rank[a]:
-                            b = over[b]
-                    best = a
-                if over.get(node) != best:
-                    over[node], changed = best, True
-        nodes = [n for n in order if n != start]
-        return pd.DataFrame({"graph": frame["graph"].iloc[0], "node": nodes, "parent": [over[n] for n in nodes]})
 
-    kind = ids.schema["graph"].dataType.simpleString()
-    return ids.groupBy("graph").applyInPandas(solve, f"graph {kind}, node long, parent long")
+def _fold_dominators(frame: pd.DataFrame) -> pd.DataFrame:
+    """One graph by the iterative algorithm of Cooper, Harvey and Kennedy over the nodes in reverse postorder."""
+    following: dict[int, list[int]] = {}
+    for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+        following.setdefault(a, []).append(b)
+    start = int(frame["root"].iloc[0])
+    order: list[int] = []
+    seen, stack = {start}, [(start, iter(sorted(following.get(start, []))))]
+    while stack:
+        node, rest = stack[-1]
+        for b in rest:
+            if b not in seen:
+                seen.add(b)
+                stack.append((b, iter(sorted(following.get(b, [])))))
+                break
+        else:
+            order.append(node)
+            stack.pop()
+    rank = {n: i for i, n in enumerate(order)}
+    before: dict[int, list[int]] = {}
+    for a in order:
+        for b in following.get(a, []):
+            before.setdefault(b, []).append(a)
+    over = {start: start}
+    changed = True
+    while changed:
+        changed = False
+        for node in reversed(order[:-1]):
+            known = [p for p in before[node] if p in over]
+            best = known[0]
+            for p in known[1:]:
+                a, b = p, best
+                while a != b:
+                    while rank[a] < rank[b]:
+                        a = over[a]
+                    while rank[b] < rank[a]:
+                        b = over[b]
+                best = a
+            if over.get(node) != best:
+                over[node], changed = best, True
+    nodes = [n for n in order if n != start]
+    return pd.DataFrame({"graph": frame["graph"].iloc[0], "node": nodes, "parent": [over[n] for n in nodes]})
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """``(node, parent, depth)`` of the nodes that the stored ``edges(src, dst)`` lead to from ``roots(node)``, roots with themselves as parent; ties go to the least parent."""
+    found = stored(roots.select("node", F.col("node").alias("parent"), F.lit(0).alias("depth")), "level")
+    edge = found
+    for depth in range(1, max_depth + 1):
+        ahead = edge.join(edges.hint("merge"), edge["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        edge = stored(ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if edge.isEmpty():
+            return stored(found, "tree")
+        found = found.unionByName(edge)
+    raise RuntimeError(f"nodes are more than {max_depth} steps from their root")
+
+
+def nearest_common_ancestors(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """The stored ``pairs(..., a, b)`` of nodes of one tree with their nearest common ancestor as ``top`` and its ``depth``.
+
+    ``tree(node, parent, depth)`` is stored, roots are their own parents. Ancestors 1, 2, 4, ... steps up are found by
+    doubling, so a pair takes as many joins as the logarithm of the depth, however far its ancestor is.
+    """
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
+    lifts = [tree.select("node", "parent")]
+    while 1 << len(lifts) <= deepest:
+        low = lifts[-1].select(F.col("parent").alias("_mid"), "node")
+        high = lifts[-1].select(F.col("node").alias("_mid"), "parent")
+        lifts.append(stored(low.join(high.hint("merge"), "_mid").select("node", "parent"), "lift"))
+    depths = tree.select("node", "depth")
+
+    def with_up(rows: DataFrame, name: str, lift: DataFrame) -> DataFrame:
+        return rows.join(lift.select(F.col("node").alias(name), F.col("parent").alias(f"_up_{name}")).hint("merge"), name)
+
+    rows = pairs
+    for end in "ab":
+        rows = rows.join(depths.select(F.col("node").alias(end), F.col("depth").alias(f"_{end}")).hint("merge"), end)
+    # the deeper one is a; what it is deeper by is walked up bit by bit
+    deeper = F.col("_a") >= F.col("_b")
+    rows = rows.withColumns({"_x": F.when(deeper, F.col("a")).otherwise(F.col("b")), "_y": F.when(deeper, F.col("b")).otherwise(F.col("a")), "_gap": F.abs(F.col("_a") - F.col("_b"))})
+    rows = rows.drop("a", "b", "_a", "_b").withColumnsRenamed({"_x": "a", "_y": "b"})
+    for k, lift in reversed(list(enumerate(lifts))):
+        far = F.col("_gap") >= 1 << k
+        walked = with_up(rows.where(far), "a", lift).withColumn("a", F.col("_up_a")).drop("_up_a").withColumn("_gap", F.col("_gap") - (1 << k))
+        rows = stored(rows.where(~far).unionByName(walked), "even")
+    for lift in reversed(lifts):
+        apart = with_up(with_up(rows.where("a <> b"), "a", lift), "b", lift)
+        move = F.col("_up_a") != F.col("_up_b")
+        apart = apart.withColumns({"a": F.when(move, F.col("_up_a")).otherwise(F.col("a")), "b": F.when(move, F.col("_up_b")).otherwise(F.col("b"))})
+        rows = stored(rows.where("a = b").unionByName(apart.drop("_up_a", "_up_b")), "near")
+    met = rows.where("a = b").withColumn("top", F.col("a")).unionByName(with_up(rows.where("a <> b"), "a", lifts[0]).withColumnRenamed("_up_a", "top"))
+    return met.drop("a", "b", "_gap").join(depths.withColumnRenamed("node", "top").hint("merge"), "top")
+
+
+def dominators_by_joins(edges: DataFrame, max_depth: int) -> DataFrame:
+    """``(graph, node, parent)`` of ``edges(graph, src, dst, root)``, all distinct, without gathering a graph.
+
+    It starts from a tree of shortest paths, in which every dominator of a node is above it. In a round each node is hung
+    below the nearest common ancestor of all nodes with an edge to it, which takes it up at most to its
+    dominator; depths are found anew by doubling. The tree in which no node moves is that of the dominators.
+    """
+    ends = edges.select("graph", F.col("src").alias("name")).unionByName(edges.select("graph", F.col("dst").alias("name")))
+    ends = ends.unionByName(edges.select("graph", F.col("root").alias("name"))).distinct()
+    names = stored(ends.withColumn("node", F.monotonically_increasing_id()), "names")
+
+    def numbered(rows: DataFrame, name: str, number: str) -> DataFrame:
+        return rows.join(names.select("graph", F.col("name").alias(name), F.col("node").alias(number)).hint("merge"), ["graph", name])
+
+    roots = stored(numbered(edges.select("graph", "root").distinct(), "root", "node").select("node"), "roots")
+    plain = stored(numbered(numbered(edges, "src", "_a"), "dst", "_b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).where("src <> dst"), "numbered")
+    tree = breadth_first(plain, roots, max_depth)
+    # nodes that are reached from their root, and edges between these that don't lead to a root
+    inner = plain.join(tree.select(F.col("node").alias("src")), "src", "left_semi").join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    inner = stored(inner, "reached")
+    first = stored(inner.groupBy("dst").agg(F.min("src").alias("a")), "first")
+    pairs = stored(inner.join(first.hint("merge"), "dst").select("dst", "a", F.col("src").alias("b")), "pairs")
+    while True:
+        met = nearest_common_ancestors(pairs, tree)
+        over = stored(met.groupBy("dst").agg(F.min_by("top", "depth").alias("parent")).withColumnRenamed("dst", "node"), "over")
+        moved = over.join(tree.select("node", F.col("parent").alias("_old")).hint("merge"), "node").where("parent <> _old")
+        if moved.isEmpty():
+            break
+        tree = with_depths(over.unionByName(roots.select("node", F.col("node").alias("parent"))))
+    back = names.select("graph", "node", "name")
+    above = back.select(F.col("node").alias("parent"), F.col("name").alias("_over")).hint("merge")
+    return over.join(back.hint("merge"), "node").join(above, "parent").select("graph", F.col("name").alias("node"), F.col("_over").alias("parent"))
+
+
+def with_depths(tree: DataFrame) -> DataFrame:
+    """``(node, parent, depth)`` of ``tree(node, parent)``, whose roots are their own parents, in as many rounds as the logarithm of the depth."""
+    base = stored(tree.select("node", "parent"), "tree")
+    walk = stored(base.select("node", F.col("parent").alias("_at"), F.when(F.col("parent") == F.col("node"), 0).otherwise(1).alias("depth")), "walk")
+    while True:
+        ahead = walk.select(F.col("node").alias("_at"), F.col("_at").alias("_next"), F.col("depth").alias("_more"))
+        new = stored(walk.join(ahead.hint("merge"), "_at").select("node", F.col("_next").alias("_at"), (F.col("depth") + F.col("_more")).alias("depth"), (F.col("_more") > 0).alias("_moved")), "walk")
+        if new.where("_moved").isEmpty():
+            return stored(base.join(new.select("node", "depth").hint("merge"), "node"), "tree")
+        walk = new.drop("_moved")
 
 
 def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:

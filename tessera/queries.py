@@ -6,6 +6,7 @@ Money is summed in whole cents, so sums don't depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -611,18 +612,37 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 4 AS graph, l_partkey % 40 AS src, l_orderkey % 40 AS dst FROM lineitem WHERE l_partkey % 40 <> l_orderkey % 40),
-    f AS (SELECT DISTINCT graph, CAST(0 AS BIGINT) AS node FROM e UNION SELECT e.graph, e.dst FROM f JOIN e ON e.graph = f.graph AND e.src = f.node),
-    r AS (SELECT graph, node AS d, CAST(0 AS BIGINT) AS node FROM f WHERE node <> 0
-      UNION SELECT r.graph, r.d, e.dst FROM r JOIN e ON e.graph = r.graph AND e.src = r.node WHERE e.dst <> r.d),
-    over AS (SELECT n.graph, n.node, d.node AS d FROM f n JOIN f d ON d.graph = n.graph AND d.node <> n.node LEFT JOIN r ON r.graph = n.graph AND r.d = d.node AND r.node = n.node
-      WHERE n.node <> 0 AND (d.node = 0 OR r.node IS NULL)),
-    depth AS (SELECT graph, node, count(*) AS k FROM over GROUP BY 1, 2)
-    SELECT o.graph, o.node, arg_max(o.d, coalesce(p.k, 0)) AS parent FROM over o LEFT JOIN depth p ON p.graph = o.graph AND p.node = o.d GROUP BY 1, 2"""
+    WITH e AS (
+      SELECT 0 AS src, c_custkey * 4 + 1 AS dst, 1 AS layer FROM customer
+      UNION SELECT o_custkey * 4 + 1, o_orderkey * 4 + 2, 2 FROM orders
+      UNION SELECT l_orderkey * 4 + 2, l_partkey * 4 + 3, 3 FROM lineitem
+      UNION SELECT l_partkey * 4 + 3, (l_suppkey + 1) * 4, 4 FROM lineitem),
+    d1 AS (SELECT DISTINCT dst AS node, 0 AS d FROM e WHERE layer = 1),
+    r2 AS (SELECT e.* FROM e WHERE layer = 2 AND src IN (SELECT node FROM d1)),
+    d2 AS (SELECT dst AS node, d FROM r2 JOIN (SELECT node, d FROM d1 UNION SELECT node, node FROM d1) x ON node = src GROUP BY dst, d
+      HAVING count(*) = (SELECT count(*) FROM r2 y WHERE y.dst = r2.dst)),
+    r3 AS (SELECT e.* FROM e WHERE layer = 3 AND src IN (SELECT node FROM d2)),
+    d3 AS (SELECT dst AS node, d FROM r3 JOIN (SELECT node, d FROM d2 UNION SELECT node, node FROM d2) x ON node = src GROUP BY dst, d
+      HAVING count(*) = (SELECT count(*) FROM r3 y WHERE y.dst = r3.dst)),
+    r4 AS (SELECT e.* FROM e WHERE layer = 4 AND src IN (SELECT node FROM d3)),
+    d4 AS (SELECT dst AS node, d FROM r4 JOIN (SELECT node, d FROM d3 UNION SELECT node, node FROM d3) x ON node = src GROUP BY dst, d
+      HAVING count(*) = (SELECT count(*) FROM r4 y WHERE y.dst = r4.dst)),
+    d AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4),
+    k AS (SELECT node, count(*) AS depth FROM d GROUP BY node)
+    SELECT 1 AS graph, d.node, arg_max(d.d, coalesce(k.depth, 0)) AS parent FROM d LEFT JOIN k ON k.node = d.d GROUP BY d.node"""
 )
 def dominator_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("graph"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 40).alias("dst"))
-    return G.dominators(edges.where("src <> dst").distinct(), "graph", "src", "dst", F.lit(0))
+    """All customers, orders, parts and suppliers, held by one root through one another; solved by joins."""
+    customers, orders, lines = (table(spark, sf_dir, name) for name in ("customer", "orders", "lineitem"))
+    customer, order, part = F.col("o_custkey") * 4 + 1, F.col("l_orderkey") * 4 + 2, F.col("l_partkey") * 4 + 3
+    steps = [
+        customers.select(F.lit(0).cast("long").alias("src"), (F.col("c_custkey") * 4 + 1).alias("dst")),
+        orders.select(customer.alias("src"), (F.col("o_orderkey") * 4 + 2).alias("dst")),
+        lines.select(order.alias("src"), part.alias("dst")),
+        lines.select(part.alias("src"), ((F.col("l_suppkey") + 1) * 4).alias("dst")),
+    ]
+    edges = reduce(DataFrame.unionByName, steps).withColumn("graph", F.lit(1))
+    return G.dominators(edges, "graph", "src", "dst", F.lit(0), fold_edges=0)
 
 
 @query(
