@@ -11,10 +11,13 @@ from tessera.functions.scalars import has_word, latin_tokens
 
 
 def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``(token, n, documents)``, stop words left out; counted in each document before any shuffle."""
-    numbered = documents.select(F.col(text), F.monotonically_increasing_id().alias("_row"))
-    per_document = numbered.select("_row", F.explode(latin_tokens(F.col(text))).alias("token")).groupBy("_row", "token").agg(F.count("*").alias("k"))
-    return per_document.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("documents"))
+    """``(token, n, documents)``, stop words left out.
+
+    A document's tokens are sorted in its row and the first of each is marked, so one shuffle of partial sums counts both.
+    """
+    tokens = documents.select(F.array_sort(latin_tokens(F.col(text))).alias("_tokens"))
+    marked = F.transform("_tokens", lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get("_tokens", i - 1) != t)).cast("long").alias("first")))
+    return tokens.select(F.inline(marked)).groupBy("token").agg(F.count("*").alias("n"), F.sum("first").alias("documents"))
 
 
 def relevance(title: Column, body: Column, words: Mapping[str, int], title_bonus: int = 3, exact_bonus: int = 5) -> Column:

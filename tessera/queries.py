@@ -5,6 +5,7 @@ Money is summed in whole cents, so sums don't depend on their order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,11 +16,12 @@ from tessera.functions import media as V
 from tessera.functions import predicates as P
 from tessera.functions import scalars as S
 from tessera.operators import graph as G
+from tessera.operators import inverted as I
 from tessera.operators import merging as MG
 from tessera.operators import relational as R
 from tessera.operators import retrieval as T
 from tessera.operators import similarity as M
-from tessera.runtime import stored, table
+from tessera.runtime import shared_dir, stored, table
 from tessera.sources import logs as LG
 from tessera.streaming import events as E
 
@@ -757,6 +759,36 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """
+    WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark),
+    words AS (
+      SELECT DISTINCT item_id, unnest(w) AS word, 1 AS weight FROM t
+      UNION SELECT item_id, w[1] || ' ' || w[2], 5 FROM t WHERE len(w) > 1
+      UNION SELECT item_id, 'src' || (item_id % 8), 2 FROM t),
+    d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), ' ') || ' ' AS body, lower(coalesce(source, '')) AS title FROM documents),
+    s AS (
+      SELECT item_id, doc_id, sum(weight * (CASE WHEN contains(body, ' ' || word || ' ') THEN 1 ELSE 0 END + CASE WHEN title = word THEN 8 ELSE 0 END)) AS score
+      FROM words, d GROUP BY 1, 2)
+    SELECT item_id, doc_id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3"""
+)
+def indexed_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents for each benchmark item's words, first two words in a row, and source, by an inverted index."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    I.write_index(documents, "doc_id", {"body": F.col("text"), "title": F.col("source")}, path)
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
+    split = items.select("item_id", tokens.alias("w"))
+    first = F.when(F.size("w") > 1, F.array(F.struct(F.concat_ws(" ", F.get("w", 0), F.get("w", 1)).alias("word"), F.lit(5).alias("weight")))).otherwise(F.array())
+    source = F.array(F.struct(F.concat(F.lit("src"), (F.col("item_id") % 8).cast("string")).alias("word"), F.lit(2).alias("weight")))
+    each = F.concat(F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(1).alias("weight"))), first, source)
+    words = stored(split.select(F.col("item_id").alias("query"), F.inline(each)).distinct(), "words")
+    scored = I.indexed_relevance(I.asked_postings(spark, path, words), words, {"body": 1, "title": 3}, {"title": 5})
+    best = R.first_per_group(scored.where("score > 0"), ["query"], [F.desc("score"), "key"], 3)
+    return best.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "score")
+
+
 _WORDS = {"ring": 5, "bolt": 3, "red": 2, "blue": 2, "small": 1}
 _SCORE = " + ".join(
     f"CASE WHEN regexp_matches(' ' || lower(p_name) || ' ', '[^a-z0-9_]{w}[^a-z0-9_]') THEN {n} ELSE 0 END"
