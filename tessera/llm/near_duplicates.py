@@ -43,8 +43,10 @@ LEAST_SAMPLE, SAMPLE, LEAF_ROWS, MOST_LEAVES = 65_536, 1_048_576, 4_096, 65_536
 SIMILAR_WORDS, LEAST = 5, (4, 5)
 #: Row numbers, of eight bytes, that are broadcast at most; more are met in a shuffled join.
 BROADCAST_ROWS = 2_000_000
-#: Documents from which frequent shingles are counted, and how many of these are told apart from rare ones.
-COMMON_SAMPLE, COMMON = 8_192, 131_072
+#: The share of documents in which frequent shingles are counted, the least number of these documents, and how many
+#: shingles are told apart from rare ones. The share keeps what the sample misses, passages in a few documents, as small as
+#: it is however large the corpus.
+COMMON_SHARE, COMMON_SAMPLE, COMMON = 0.25, 8_192, 1_048_576
 #: Sets of the last texts that a task keeps while it compares pairs, and the longest text whose set is kept.
 KEPT_SETS, KEPT_BYTES = 256, 65_536
 
@@ -283,8 +285,8 @@ def prefix_length(n: int, least: tuple[int, int]) -> int:
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles of a bounded sample of ``texts(text)``."""
-    share = min(1.0, COMMON_SAMPLE / max(1, texts.count()))
+    """Sorted hashes and counts of the most frequent shingles of a sample of ``texts(text)``, ``COMMON`` at most."""
+    share = min(1.0, max(COMMON_SHARE, COMMON_SAMPLE / max(1, texts.count())))
     sample = texts.where(hash_position(F.xxhash64("text")) < int(share * (1 << POSITION_BITS)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +295,9 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], names=["key"])
 
     counted = sample.mapInArrow(cut, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    top = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    kept = stored(counted.orderBy(F.desc("n"), "key").limit(COMMON), "common")
+    top = kept.toArrow()
+    discard(kept)
     keys, counts = (top.column(c).to_numpy() for c in ("key", "n"))
     keys = keys.view(np.uint64)
     order = np.argsort(keys)
