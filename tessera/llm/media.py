@@ -103,10 +103,8 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     runs: list[tuple[int, int]] = field(default_factory=list)
     keys: np.ndarray | None = None
-    number: int = 0
-    # a fragment's sample size and flags where its own tables are silent, and the samples (start, end, key) of fragments
-    defaults: tuple[int, int] = (0, 0)
-    extra: list[tuple[int, int, int]] = field(default_factory=list)
+    # starts, ends and keys of the samples of each run of a fragment
+    extra: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def starts(self) -> np.ndarray:
         """The file position of every sample whose chunk and size are known, of the movie first and then of its fragments."""
@@ -131,8 +129,7 @@ class Track:
             keys[:] = False
             keys[self.keys[(self.keys >= 1) & (self.keys <= len(starts))] - 1] = True
         ends = starts + self.sizes[: len(starts)]
-        more = [np.array(x, np.int64) for x in zip(*self.extra, strict=True)] or [np.empty(0, np.int64)] * 3
-        starts, ends, keys = np.r_[starts, more[0]], np.r_[ends, more[1]], np.r_[keys, more[2].astype(bool)]
+        starts, ends, keys = (np.concatenate([a, *more]) for a, more in zip((starts, ends, keys), zip(*self.extra) if self.extra else ((),) * 3, strict=True))
         inside = (starts >= 0) & (ends >= starts) & (ends <= (length if length is not None else np.iinfo(np.int64).max))
         return starts[inside], ends[inside], keys[inside]
 
@@ -165,11 +162,20 @@ def _array(data: bytes, kind: str, count: int, at: int, end: int) -> np.ndarray:
 #: Flags of track fragment headers and runs, and of a sample that is no key frame.
 BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
 RUN_OFFSET, FIRST_FLAGS, RUN_FIELDS, NO_KEY = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800), 0x10000
+#: A place beyond any file.
+FAR = 1 << 61
 
 
 def describe(data: bytes) -> list[Track]:
-    """The tracks of a file, in order, from its box structure alone."""
+    """The tracks of a file, in order, from its box structure alone.
+
+    All runs of fragments together have no more samples without a table, nor more bytes in them, than the file has bytes.
+    """
     tracks: list[Track] = []
+    numbered: dict[int, list[Track]] = {}
+    # a track's sample size and flags where a fragment is silent
+    defaults: dict[int, tuple[int, int]] = {}
+    left = {"samples": len(data), "bytes": len(data)}
     # the fragment that the walk is in: start of its moof, its track, and (base, size, flags, end of its last run)
     fragment: dict[str, int | Track | None] = {"moof": 0, "track": None}
 
@@ -182,7 +188,7 @@ def describe(data: bytes) -> list[Track]:
         elif kind == b"tkhd":
             place = at + (20 if data[at] == 1 else 12)
             if place + 4 <= end:
-                track.number = struct.unpack_from(">I", data, place)[0]
+                numbered.setdefault(struct.unpack_from(">I", data, place)[0], []).append(track)
         elif kind == b"mdhd":
             wide = data[at] == 1
             if end - at >= (32 if wide else 20):
@@ -200,8 +206,7 @@ def describe(data: bytes) -> list[Track]:
             track.runs = [(int(a), int(b)) for a, b in rows[: len(rows) // 3 * 3].reshape(-1, 3)[:, :2]]
         elif kind == b"trex" and end - at >= 24:
             size, flags = struct.unpack_from(">II", data, at + 16)
-            for t in [t for t in tracks if t.number == count]:
-                t.defaults = (size, flags)
+            defaults[count] = (size, flags)
         elif kind == b"tfhd":
             header(at, end, count)
         elif kind == b"trun":
@@ -209,8 +214,8 @@ def describe(data: bytes) -> list[Track]:
 
     def header(at: int, end: int, number: int) -> None:
         flags, place = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, at + 8
-        track = next((t for t in tracks if t.number == number), None)
-        fragment.update(track=track, base=fragment["moof"], size=track.defaults[0] if track else 0, flags=track.defaults[1] if track else 0, done=None)
+        size, mark = defaults.get(number, (0, 0))
+        fragment.update(track=numbered.get(number, [None])[0], base=fragment["moof"], size=size, flags=mark, done=None)
         for flag, name, width in ((BASE_OFFSET, "base", 8), (DESCRIPTION, "", 4), (DURATION, "", 4), (SIZE, "size", 4), (FLAGS, "flags", 4)):
             if flags & flag and place + width <= end:
                 if name:
@@ -228,17 +233,22 @@ def describe(data: bytes) -> list[Track]:
         if flags & FIRST_FLAGS and place + 4 <= end:
             first, place = struct.unpack_from(">I", data, place)[0], place + 4
         present = [f for f in RUN_FIELDS if flags & f]
+        size, flag = fragment["size"], fragment["flags"]
         # without a table every sample takes its default size, so the file bounds the count
-        n = min(count, (end - place) // (4 * len(present)) if present else len(data) // max(1, fragment["size"]))
-        rows = np.frombuffer(data, ">u4", n * len(present), place).reshape(n, len(present)) if present else np.empty((n, 0))
-        for k in range(n):
-            of = dict(zip(present, rows[k].tolist(), strict=True))
-            size = of.get(RUN_FIELDS[1], fragment["size"])
-            key = not of.get(RUN_FIELDS[2], fragment["flags"] if k or first is None else first) & NO_KEY
-            if 0 <= start and start + size <= len(data):
-                track.extra.append((start, start + size, int(key)))
-            start += size
-        fragment["done"] = start
+        n = min(count, (end - place) // (4 * len(present)) if present else min(left["samples"], left["bytes"] // size if size else count))
+        if not present:
+            left.update(samples=left["samples"] - n, bytes=left["bytes"] - n * size)
+        rows = np.frombuffer(data, ">u4", n * len(present), place).reshape(n, len(present)).astype(np.int64) if present else np.empty((n, 0), np.int64)
+        sizes = rows[:, present.index(RUN_FIELDS[1])] if RUN_FIELDS[1] in present else np.full(n, size, np.int64)
+        marks = rows[:, present.index(RUN_FIELDS[2])] if RUN_FIELDS[2] in present else np.full(n, flag, np.int64)
+        if n and first is not None and RUN_FIELDS[2] not in present:
+            marks[0] = first
+        # places that no file reaches stay out of it
+        ends = max(-FAR, min(FAR, start)) + np.cumsum(sizes)
+        starts = ends - sizes
+        inside = (starts >= 0) & (ends <= len(data))
+        track.extra.append((starts[inside], ends[inside], marks[inside] & NO_KEY == 0))
+        fragment["done"] = int(ends[-1]) if n else start
 
     # a stack, as boxes may nest as deep as the file is long
     todo = [boxes(data, 0, len(data))]

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import time
 import zlib
 
 import pytest
@@ -99,3 +100,23 @@ def test_all_tracks_and_fragments():
     assert (video.codec, sound.codec) == ("avc1", "mp4a")
     assert list(zip(*[x.tolist() for x in video.samples(len(file))], strict=True)) == [(at, at + 5, True), (at + 5, at + 11, True)]
     assert list(zip(*[x.tolist() for x in sound.samples(len(file))], strict=True)) == [(at + 11, at + 18, False), (at + 18, at + 25, False)]
+
+
+@pytest.mark.parametrize("size", [0, 1, 10])
+def test_many_runs_without_tables_are_bounded_together(size):
+    """Four hundred runs that each claim every byte of the file: no more samples in all than bytes, and no time."""
+    moov = box(b"moov", movie(number=1), box(b"mvex", box(b"trex", struct.pack(">IIIIII", 0, 1, 1, 0, size, 0))))
+    runs = [box(b"trun", struct.pack(">III", 1, 0xFFFFFFFF, 0)) for _ in range(400)]
+    file = moov + box(b"moof", box(b"traf", box(b"tfhd", struct.pack(">II", 0, 1)), *runs)) + bytes(20_000)
+    began = time.perf_counter()
+    (track,) = describe(file)
+    assert time.perf_counter() - began < 0.5
+    assert 0 < len(track.samples(len(file))[0]) <= len(file)
+
+
+def test_many_tracks_and_headers_take_time_in_proportion():
+    moov = box(b"moov", *[movie(number=k % 5) for k in range(3_000)], box(b"mvex", *[box(b"trex", struct.pack(">IIIIII", 0, 4, 1, 0, 9, 0))] * 3_000))
+    heads = box(b"moof", *[box(b"traf", box(b"tfhd", struct.pack(">II", 0, 4)))] * 3_000)
+    began = time.perf_counter()
+    assert len(describe(moov + heads)) == 3_000
+    assert time.perf_counter() - began < 2
