@@ -1,4 +1,4 @@
-"""Structure checks of media files from their bytes, as built-in expressions: sizes declared against sizes found."""
+"""Checks of media files' headers as built-in expressions: sizes declared against sizes found. ``operators.containers`` walks whole files."""
 
 from __future__ import annotations
 
@@ -8,41 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import matched
 
 
-def big_endian(content: Column, at: Column, width: int) -> Column:
-    """An unsigned number of up to 7 bytes at a byte position; null beyond the end."""
-    raw = F.substring(content, at + 1, F.lit(width))
-    return F.when(F.octet_length(raw) == width, F.conv(F.hex(raw), 16, 10).cast("long"))
-
-
 def little_endian(content: Column, at: Column, width: int) -> Column:
     octets = [F.hex(F.substring(content, at + k, F.lit(1))) for k in range(width, 0, -1)]
     return F.when(F.octet_length(content) >= at + width, F.conv(F.concat(*octets), 16, 10).cast("long"))
 
 
-def top_boxes(content: Column) -> Column:
-    """``(kind, start, end)`` of the boxes of an ISO file, in order; the end is what the box declares.
-
-    The walk follows declared sizes and stops at a box that is smaller than its own header, or ends
-    beyond the file, which is kept as the last. A file has no more boxes than headers of eight bytes fit in it.
-    """
-    size = F.octet_length(content).cast("long")
-    most = F.greatest(F.lit(1), F.coalesce(F.shiftright(size, 3), F.lit(1)))
-    kind_of = "array<struct<kind:string,start:long,end:long>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("found"))
-
-    def step(s: Column, _: Column) -> Column:
-        at = s["at"]
-        short = big_endian(content, at.cast("int"), 4)
-        # size 1: eight bytes follow, of which the first is taken as zero; size 0: to the end of the file
-        end = F.when(short == 1, at + big_endian(content, (at + 9).cast("int"), 7)).when(short == 0, size).otherwise(at + short)
-        kind = F.substring(content, (at + 5).cast("int"), F.lit(4)).cast("string")
-        good = F.coalesce((at + 8 <= size) & (end >= at + 8), F.lit(False))
-        box = F.struct(kind.alias("kind"), at.alias("start"), end.alias("end"))
-        return F.when(good, F.struct(end.alias("at"), F.concat(s["found"], F.array(box)).alias("found"))).otherwise(s)
-
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), most.cast("long")), start, step, lambda s: s["found"])
-
-
 def declared_size(kind: Column, content: Column, boxes: Column) -> Column:
     """The size that a RIFF header or the last box of an ISO file declares; null for other formats."""
     return F.when(kind == "riff", little_endian(content, F.lit(4), 4) + 8).when(kind == "mp4", F.array_max(F.transform(boxes, lambda b: b["end"])))

@@ -161,7 +161,8 @@ def address_is_text(address_hex: Column) -> Column:
 # Leading bytes, in hex, of media formats.
 MAGIC = (
     ("66747970", 5, "mp4"), ("1A45DFA3", 1, "matroska"), ("4F676753", 1, "ogg"), ("664C6143", 1, "flac"), ("52494646", 1, "riff"),
-    ("2321414D52", 1, "amr"), ("494433", 1, "mp3"), ("FFF1", 1, "adts"), ("FFF9", 1, "adts"), ("47", 1, "ts"),
+    ("2321414D52", 1, "amr"), ("494433", 1, "mp3"), ("FFFB", 1, "mp3"), ("FFFA", 1, "mp3"), ("FFF3", 1, "mp3"), ("FFF2", 1, "mp3"),
+    ("FFF1", 1, "adts"), ("FFF9", 1, "adts"), ("47", 1, "ts"),
 )
 
 

@@ -5,16 +5,19 @@ Money is summed in whole cents, so sums don't depend on their order.
 
 from __future__ import annotations
 
+import struct
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import media as V
 from tessera.functions import predicates as P
 from tessera.functions import scalars as S
+from tessera.operators import containers as CN
 from tessera.operators import graph as G
 from tessera.operators import inverted as I
 from tessera.operators import merging as MG
@@ -1134,6 +1137,68 @@ def two_hop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.best_two_hops(first, second, status + F.when(F.col("l_returnflag") == "A", 3).otherwise(0))
 
 
+def _media_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page as the payload of a file: its format by the key's last digit, then whole, cut by a byte or followed by five."""
+    for batch in batches:
+        made = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            body = (text or "").encode() or b"x"
+            cut = lambda size: [body[at : at + size] for at in range(0, len(body), size)]  # noqa: B023,E731
+            box = lambda kind, inner: struct.pack(">I4s", 8 + len(inner), kind) + inner
+            chunk = lambda kind, inner: kind + struct.pack("<I", len(inner)) + inner + b"\0" * (len(inner) % 2)
+            form = lambda kind, inner: b"RIFF" + struct.pack("<I", 4 + len(inner)) + kind + inner
+            element = lambda name, inner: name + (1 << 56 | len(inner)).to_bytes(8) + inner
+            match key % 10:
+                case 0:
+                    file = box(b"ftyp", b"isom0000") + box(b"moov", b"none") + box(b"mdat", body)
+                case 1:
+                    file = form(b"WAVE", chunk(b"fmt ", bytes(16)) + chunk(b"data", body))
+                case 2:
+                    file = form(b"AVI ", chunk(b"LIST", b"none") + chunk(b"JUNK", body))
+                case 3:
+                    file = b"\x1a\x45\xdf\xa3\x80" + element(b"\x18\x53\x80\x67", element(b"\x16\x54\xae\x6b", body))
+                case 4:
+                    file = b"".join(b"\x47" + x.ljust(187, b"\xff") for x in cut(187))
+                case 5:
+                    file = b"".join(
+                        bytes([0xFF, 0xF1, 0x50, 0x80 | (n := 7 + len(x)) >> 11, n >> 3 & 255, (n & 7) << 5 | 0x1F, 0xFC]) + x for x in cut(1_000)
+                    )
+                case 6:
+                    file = b"ID3\3\0\0\0\0\0\x0a" + bytes(10) + b"".join(b"\xff\xfb\x90\0" + x.ljust(413, b"\0") for x in cut(413))
+                case 7:
+                    file = b"fLaC\0" + (34).to_bytes(3) + bytes(34) + b"\x84" + len(body).to_bytes(3) + body
+                case 8:
+                    file = b"".join(
+                        b"OggS\0" + bytes(21) + bytes([len(x) // 255 + 1]) + b"\xff" * (len(x) // 255) + bytes([len(x) % 255]) + x for x in cut(4_000)
+                    )
+                case _:
+                    file = b"#!AMR\n" + b"".join(b"\x3c" + x.ljust(31, b"\0") for x in cut(31))
+            made.append([file, file[:-1], file + (b"H" if key % 10 == 9 else b"\0") * 5][key // 10 % 3])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["page_id", "content"])
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, page_id % 10 AS f, page_id // 10 % 3 AS h, greatest(1, strlen(coalesce(html, ''))) AS n FROM pages),
+    s AS (
+      SELECT *, CASE f WHEN 4 THEN (n + 186) // 187 WHEN 5 THEN (n + 999) // 1000 WHEN 6 THEN (n + 412) // 413 WHEN 8 THEN (n + 3999) // 4000 WHEN 9 THEN (n + 30) // 31 END AS c,
+        ['mp4', 'riff', 'riff', 'matroska', 'ts', 'adts', 'mp3', 'flac', 'ogg', 'amr'][f + 1] AS kind FROM p),
+    t AS (
+      SELECT *, CASE f WHEN 0 THEN n + 36 WHEN 1 THEN n + n % 2 + 44 WHEN 2 THEN n + n % 2 + 32 WHEN 3 THEN n + 29 WHEN 4 THEN 188 * c WHEN 5 THEN n + 7 * c
+        WHEN 6 THEN 20 + 417 * c WHEN 7 THEN n + 46 WHEN 8 THEN n + 27 * c + (c - 1) * 16 + (n - 4000 * (c - 1)) // 255 + 1 ELSE 6 + 32 * c END AS whole,
+        CASE f WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN c - CASE WHEN h = 1 THEN 1 ELSE 0 END WHEN 6 THEN c + 1 WHEN 7 THEN 2 ELSE c END AS n_parts FROM s)
+    SELECT page_id, kind, CAST(whole + CASE h WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 5 END AS BIGINT) AS size, CAST(n_parts AS BIGINT) AS n_parts,
+      CASE WHEN f = 4 OR (f = 7 AND h <> 1) THEN NULL ELSE CAST(whole AS BIGINT) END AS declared,
+      CASE WHEN f = 4 OR (f = 7 AND h <> 1) THEN 'unknown' WHEN h = 0 THEN 'complete' WHEN h = 1 THEN 'truncated' ELSE 'oversized' END AS verdict,
+      CASE WHEN f = 0 AND h = 1 THEN 'atom_size_overflow' WHEN f = 1 AND h = 2 THEN 'wav_trailing_data' WHEN f = 4 AND c < 5 THEN 'ts_sync_failure' ELSE '' END AS found FROM t"""
+)
+def media_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten container formats written from all pages, walked by their own lengths."""
+    files = table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(_media_files, "page_id long, content binary")
+    walked = CN.walk_media(files, "page_id")
+    return walked.select("page_id", "kind", "size", F.size("parts").cast("long").alias("n_parts"), "declared", "verdict", F.array_join("found", ",").alias("found"))
+
+
 @query(
     """
     SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'truncated' ELSE 'oversized' END AS verdict,
