@@ -5,6 +5,7 @@ Money is summed in whole cents, so sums don't depend on their order.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,8 +25,9 @@ from tessera.operators import merging as MG
 from tessera.operators import relational as R
 from tessera.operators import retrieval as T
 from tessera.operators import similarity as M
-from tessera.runtime import shared_dir, stored, table
+from tessera.runtime import parallelism, shared_dir, stored, table
 from tessera.sources import logs as LG
+from tessera.sources import ranges as RG
 from tessera.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1217,3 +1219,37 @@ def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", V.size_verdict(said, F.octet_length("content")).alias("verdict"), F.array_join(V.findings(kind, content, none), ",").alias("found"),
         F.octet_length("content").cast("long").alias("actual"), said.alias("declared"),
     )
+
+
+# --- files written from the tables and read back
+
+
+def _snapshot_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The events of a task as the comma-separated records of one heap snapshot: each a node of its value, named by type and properties."""
+    meta = {"node_fields": ["type", "name", "id", "self_size", "edge_count"], "node_types": ["object"]}
+    at, names = 0, []
+    for batch in batches:
+        ids, sizes, kinds, props = (c.to_pylist() for c in batch.columns)
+        flat = [str(x) for k, row in enumerate(zip(ids, sizes, strict=True)) for x in (0, at + k, *row, 0)]
+        if flat and not at:
+            flat[0] = json.dumps({"snapshot": {"meta": meta}})[:-1] + ', "nodes":[' + flat[0]
+        names += [json.dumps(f"{a} {b}") for a, b in zip(kinds, props, strict=True)]
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string())], names=["value"])
+    if names:
+        names[0] = '"strings":[' + names[0]
+        names[-1] += "]}"
+        # the bracket that closes the nodes is a record of its own, an empty element
+        yield pa.RecordBatch.from_arrays([pa.array(["0]", *names], pa.string())], names=["value"])
+
+
+@query(
+    """SELECT event_id AS node_id, CAST(round(value * 100) AS BIGINT) AS size, 'object' AS type, event_type || ' ' || props AS name FROM events"""
+)
+def snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, written as heap snapshots of one JSON object each and read back in byte ranges."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/snapshots-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", cents("value"), "event_type", "props").repartition(parallelism(spark))
+    events.mapInArrow(_snapshot_records, "value string").write.option("lineSep", ",").text(path)
+    nodes = RG.snapshot_nodes(RG.json_elements(spark, path))
+    return nodes.where("node_id IS NOT NULL").select("node_id", "size", "type", "name")
