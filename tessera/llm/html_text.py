@@ -65,15 +65,20 @@ _PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])",
 # ids of these name a place to link to, not a part of the page
 _LINK_TARGETS = frozenset("h1 h2 h3 h4 h5 h6 a span".split())
 _MARKUP = re.compile("<[a-zA-Z/!?]")
+# an article of this name is a reader's
+_COMMENT = re.compile(r"(?:comments?|commentlist|reply|replies|respond|discussion|disqus)", re.IGNORECASE)
 #: Lines over which ratios are smoothed; what of the threshold is enough in an article.
 SIGMA, IN_ARTICLE = 2.0, 0.1
+#: A line of an article this long is text though it is a link, as an entry of a list of sources is; and how many lines
+#: may stand between a headline and the article behind it.
+LINKED_TEXT, HEADLINE_LINES = 60, 3
 
 
 class Line:
-    __slots__ = ("text", "tags", "plain", "region", "inside", "form")
+    __slots__ = ("text", "tags", "plain", "region", "inside", "form", "headline")
 
-    def __init__(self, text: str, tags: int, plain: int, region: int, inside: bool, form: int):
-        self.text, self.tags, self.plain, self.region, self.inside, self.form = text, tags, plain, region, inside, form
+    def __init__(self, text: str, tags: int, plain: int, region: int, inside: bool, form: int, headline: bool):
+        self.text, self.tags, self.plain, self.region, self.inside, self.form, self.headline = text, tags, plain, region, inside, form, headline
 
 
 class LineParser(HTMLParser):
@@ -94,13 +99,15 @@ class LineParser(HTMLParser):
         self.wide: list[int] = [0]
         self.made, self.skip_at, self.links, self.inside = 0, -1, 0, 0
         self.parts: list[str] = []
-        self.tags = self.linked = 0
+        self.tags = self.linked = self.headline = 0
 
     def cut(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
                 form = self.forms[0] if self.forms else 0
-                self.lines.append(Line(text, self.tags, max(0, len(text) - self.linked), self.regions[-1], self.inside > 0, form))
+                inside = self.inside > 0
+                plain = len(text) if inside and len(text) >= LINKED_TEXT else max(0, len(text) - self.linked)
+                self.lines.append(Line(text, self.tags, plain, self.regions[-1], inside, form, self.headline > 0))
                 self.tags = self.linked = 0
             self.parts = []
 
@@ -135,6 +142,8 @@ class LineParser(HTMLParser):
             return
         if tag == "a":
             self.links += 1
+        elif tag == "h1":
+            self.headline += 1
         elif tag in CONTAINER:
             self.made += 1
             # a cell or figure of an article is judged with the section that it stands in, a cell not with its table's wrapper
@@ -168,7 +177,11 @@ class LineParser(HTMLParser):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if not self.by_name or name not in ("class", "id", "role") or not value or tag in ("html", "body", "main", "article"):
+            if not self.by_name or name not in ("class", "id", "role") or not value or tag in ("html", "body", "main"):
+                continue
+            if tag == "article":
+                if any(_COMMENT.fullmatch(_LAYOUT.sub("", token)) for token in value.split()):
+                    return True
                 continue
             if name == "id" and (tag in _LINK_TARGETS or (tag == "section" and self.inside)):
                 continue
@@ -217,6 +230,8 @@ class LineParser(HTMLParser):
                 self.cut()
             if tag == "a":
                 self.links = max(0, self.links - 1)
+            elif tag == "h1":
+                self.headline -= 1
             elif tag in CONTAINER:
                 region = self.regions.pop()
                 if self.wide[-1] == region:
@@ -299,13 +314,17 @@ def main_text(html: str | None) -> str:
     # next to prose the smoothing lifts a short list of links too
     kept = {r for r, (n, good, plain) in sections.items() if 2 * good >= n and 2 * plain >= n}
     chosen = [x for x in lines if parser.section_of[x.region] in kept]
+    title: list[Line] = []
     if any(x.inside for x in lines):
+        first = next(k for k, x in enumerate(lines) if x.inside)
+        if not any(x.headline for x in lines if x.inside):
+            title = [x for x in lines[max(0, first - HEADLINE_LINES) : first] if x.headline][-1:]
         chosen = [x for x in chosen if x.inside]
     if not chosen:
         pool = [x for x in lines if x.inside] or lines
         most = max((parser.section_of[x.region] for x in pool), key=lambda r: (sections[r][2], -r))
         chosen = [x for x in pool if parser.section_of[x.region] == most]
-    return "\n\n".join(x.text for x in chosen)
+    return "\n\n".join(x.text for x in title + chosen)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -142,3 +142,27 @@ def test_long_odd_pages_take_linear_time(piece):
 
     seconds(500)
     assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
+
+
+PROSE = "<p>" + "A sentence of the article that goes on for a while and says something. " * 4 + "</p>"
+
+
+def test_a_list_of_linked_sources_stays():
+    source = '<li><a href="/s">Author, A. and Writer, B. (2001). A long title of a cited work. Journal of Examples.</a></li>'
+    text = main_text(f"<body><article>{PROSE * 3}<section><h2>References</h2><ul>{source * 6}</ul></section></article></body>")
+    assert text.count("Journal of Examples") == 6 and "References" in text
+    menu = "<ul>" + '<li><a href="/n">Next page</a></li>' * 8 + "</ul>"
+    assert "Next page" not in main_text(f"<body><article>{PROSE * 3}<section>{menu}</section></article></body>")
+
+
+def test_a_headline_beside_the_article_stays():
+    page = f"<body><nav>Menu</nav><div><h1>The headline</h1><span>By somebody</span><article>{PROSE * 3}</article></div></body>"
+    assert main_text(page).startswith("The headline\n\nA sentence")
+    own = f"<body><header><h1>Site</h1></header><div><h1>Other</h1><article><h1>Own</h1>{PROSE}</article></div></body>"
+    assert main_text(own).startswith("Own\n\n") and "Other" not in main_text(own)
+
+
+def test_articles_of_readers_go():
+    comments = f'<section><article class="comment">{PROSE.replace("sentence", "remark")}</article></section>'
+    text = main_text(f'<body><main><article class="post">{PROSE * 3}</article>{comments}</main></body>')
+    assert "remark" not in text and text.count("A sentence") == 12
