@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import ordered_scan
 from tessera.runtime import discard, stored
 
 #: Edges of a graph that is solved in one task, at most.
@@ -269,51 +270,66 @@ def with_depths(tree: DataFrame) -> DataFrame:
         walk = new.drop("_moved")
 
 
-def topmost_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+def topmost_sums(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(graph, name, n, retained)``: all nodes of a name counted, but sizes summed only where no
     ancestor in the dominator tree has the same name.
 
-    ``tree(graph, node, parent)``, ``nodes(graph, node, name, size)``, where size is the retained one.
-    A tree deeper than ``max_depth`` is an error.
+    ``tree(graph, node, parent)``, ``nodes(graph, node, name, size)``, where size is the retained one. In the order of a walk
+    from the root a node's descendants are those that follow within its subtree's length. So a node has an
+    ancestor of its name exactly if one that stands before it under that name reaches as far. The walk's places come from sums up the
+    tree by doubling, and the reach is a maximum over earlier rows of the name.
     """
     up = stored(tree.select("graph", "node", "parent"), "tree")
-    named = nodes.select("graph", "node", "name", "size")
-    same = named.select("graph", F.col("node").alias("parent"), F.col("name").alias("_up"))
-    walk = stored(named.select("graph", "node", "name").join(up, ["graph", "node"]), "walk")
-    covered = None
-    for _ in range(max_depth):
-        step = walk.join(same, ["graph", "parent"], "left")
-        hit = step.where("_up = name").select("graph", "node")
-        covered = hit if covered is None else covered.unionByName(hit)
-        rest = step.where("_up IS NULL OR _up <> name").select("graph", "node", "name", F.col("parent").alias("_at"))
-        walk = stored(rest.join(up.select("graph", F.col("node").alias("_at"), "parent"), ["graph", "_at"]).select("graph", "node", "name", "parent"), "walk")
-        if walk.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"the tree is deeper than {max_depth} levels")
-    inner = covered.distinct().withColumn("_inner", F.lit(True))
-    marked = named.join(inner, ["graph", "node"], "left")
-    return marked.groupBy("graph", "name").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("_inner").isNull(), F.col("size")).otherwise(0)).alias("retained")
+    named = stored(nodes.select("graph", "node", "name", F.col("size").cast("long").alias("size")), "nodes")
+    ends = up.select("graph", "node").unionByName(up.select("graph", F.col("parent").alias("node"))).unionByName(named.select("graph", "node")).distinct()
+    lengths = stored(subtree_sums(up, ends.withColumn("size", F.lit(1))).withColumnRenamed("retained", "length"), "lengths")
+    # a child's place behind its parent: one, and all that stands below earlier children
+    siblings = ordered_scan(up.join(lengths, ["graph", "node"]), ["graph", "parent"], ["node"], {"_before": "length"})
+    steps = ends.join(siblings.select("graph", "node", "parent", (F.col("_before") + 1).alias("place")), ["graph", "node"], "left")
+    # roots follow one another
+    tops = ordered_scan(steps.where("parent IS NULL").select("graph", "node").join(lengths, ["graph", "node"]), ["graph"], ["node"], {"place": "length"})
+    walk = steps.where("parent IS NOT NULL").select("graph", "node", "parent", "place").unionByName(
+        tops.select("graph", "node", F.lit(None).cast(up.schema["parent"].dataType).alias("parent"), "place")
+    )
+    placed = sums_to_root(stored(walk, "walk"))
+    known = named.join(placed, ["graph", "node"]).join(lengths, ["graph", "node"]).withColumn("_end", F.col("place") + F.col("length"))
+    reach = ordered_scan(known, ["graph", "name"], ["place"], maxima={"_reach": "_end"})
+    return reach.groupBy("graph", "name").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("_reach") > F.col("place"), 0).otherwise(F.col("size"))).alias("retained")
     )
 
 
-def subtree_sums(tree: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+def sums_to_root(walk: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(graph, node, place)``: the sum of ``place`` from each node of the stored ``walk(graph, node, parent, place)`` up to its root, by doubling."""
+    for _ in range(max_rounds):
+        above = walk.select("graph", F.col("node").alias("parent"), F.col("parent").alias("_next"), F.col("place").alias("_more"))
+        new = walk.join(above.hint("merge"), ["graph", "parent"], "left")
+        new = stored(new.select("graph", "node", F.col("_next").alias("parent"), (F.col("place") + F.coalesce("_more", F.lit(0))).alias("place")), "walk")
+        discard(walk)
+        walk = new
+        if walk.where("parent IS NOT NULL").isEmpty():
+            return walk.select("graph", "node", "place")
+    raise RuntimeError("the tree has a cycle")
+
+
+def subtree_sums(tree: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(graph, node, retained)``: the size of each node and all that it dominates.
 
-    ``tree(graph, node, parent)``, ``nodes(graph, node, size)``. One join a level carries sums, not
-    rows: what stands k levels below a node is the sum over its children of what stands k - 1 below them.
+    ``tree(graph, node, parent)``, ``nodes(graph, node, size)``. A round doubles the distance: what stands up to twice as far below a node is
+    what it has, and what the nodes just that far below it have. So a chain of a million nodes takes twenty rounds.
     """
     up = stored(tree.select("graph", "node", "parent"), "tree")
-    step = stored(nodes.groupBy("graph", "node").agg(F.sum("size").alias("size")), "sizes")
-    total = step
-    for _ in range(max_depth):
-        above = step.join(up, ["graph", "node"]).groupBy("graph", F.col("parent").alias("node")).agg(F.sum("size").alias("size"))
-        step = stored(above, "level")
-        if step.isEmpty():
-            return total.groupBy("graph", "node").agg(F.sum("size").alias("retained"))
-        total = total.unionByName(step)
-    raise RuntimeError(f"the tree is deeper than {max_depth} levels, or has a cycle")
+    total = stored(nodes.groupBy("graph", "node").agg(F.sum("size").alias("size")), "sizes")
+    for _ in range(max_rounds):
+        below = total.join(up.hint("merge"), ["graph", "node"]).groupBy("graph", F.col("parent").alias("node")).agg(F.sum("size").alias("size"))
+        new = stored(total.unionByName(below).groupBy("graph", "node").agg(F.sum("size").alias("size")), "sizes")
+        above = up.select("graph", F.col("node").alias("parent"), F.col("parent").alias("_next"))
+        ahead = stored(up.join(above.hint("merge"), ["graph", "parent"]).select("graph", "node", F.col("_next").alias("parent")), "tree")
+        discard(total, up)
+        total, up = new, ahead
+        if up.isEmpty():
+            return total.withColumnRenamed("size", "retained")
+    raise RuntimeError("the tree has a cycle")
 
 
 def signatures(edges: DataFrame, src: str, name: str, left_out: Column) -> DataFrame:

@@ -70,3 +70,28 @@ def _by_bucket(cell: DataFrame, groups: Sequence[str], order: Sequence[Column |
         for o, w in totals.items()
     ]
     return joined.select(*columns, *outs)
+
+
+def ordered_scan(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, str] | None = None, maxima: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Add sums and maxima of columns over all earlier rows of a group, for any order and groups, nulls included.
+
+    What is carried from one range of the order to the next is a sum or a maximum a group (a maximum of structs that begin
+    with the order is the last row of some kind), so a group that holds most rows is many tasks. Sums begin
+    at 0 and maxima at null; null weights count as zero. Ties stand in an unspecified order.
+    """
+    sums, maxima = dict(sums or {}), dict(maxima or {})
+    columns = df.columns
+    keyed = df.withColumn("_group", F.struct(*[F.col(g) for g in groups], F.lit(0).alias("_none")))
+    ranged = stored(keyed.repartitionByRange(parallelism(df.sparkSession), "_group", *order).withColumn("_bucket", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_group", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(F.col(w)).alias(f"_sum_{o}") for o, w in sums.items()] + [F.max(F.col(w)).alias(f"_max_{o}") for o, w in maxima.items()]
+    # a row for each range of a group
+    bases = ranged.groupBy("_group", "_bucket").agg(*whole)
+    carried = [F.sum(f"_sum_{o}").over(before).alias(f"_base_{o}") for o in sums] + [F.max(f"_max_{o}").over(before).alias(f"_base_{o}") for o in maxima]
+    joined = ranged.join(bases.select("_group", "_bucket", *carried), ["_group", "_bucket"])
+    outs = [(F.coalesce(f"_base_{o}", F.lit(0)) + F.coalesce(F.sum(F.col(w)).over(inside), F.lit(0))).alias(o) for o, w in sums.items()]
+    outs += [F.greatest(f"_base_{o}", F.max(F.col(w)).over(inside)).alias(o) for o, w in maxima.items()]
+    return joined.select(*columns, *outs)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import growth_status
-from tessera.operators.prefix import ordered_totals
+from tessera.operators.merging import containments
+from tessera.operators.prefix import ordered_scan, ordered_totals
+from tessera.runtime import stored
 
 
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -74,8 +77,8 @@ def first_per_group(rows: DataFrame, groups: Sequence[str], order: Sequence[Colu
 
 def sessions(rows: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column) -> DataFrame:
     """Add ``session``: 0 before the first opening row of a group, then one more at each."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("session", F.coalesce(F.sum(F.when(opens, 1)).over(w), F.lit(0)))
+    opened = ordered_scan(rows.withColumn("_open", F.when(opens, 1).otherwise(0)), by, order, {"_before": "_open"})
+    return opened.withColumn("session", F.col("_before") + F.col("_open")).drop("_before", "_open")
 
 
 def tail_before_last(rows: DataFrame, by: Sequence[str], order: Sequence[str], marked: Column, n: int) -> DataFrame:
@@ -96,10 +99,9 @@ def after_last(rows: DataFrame, by: Sequence[str], order: Sequence[str], banner:
 
 def within_budget(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], text: str, budget: int) -> DataFrame:
     """Leading texts of each group up to a budget of characters, the last one cut to what is left."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = rows.withColumn("_spent", F.coalesce(F.sum(F.char_length(text)).over(w), F.lit(0)))
+    spent = ordered_scan(rows.withColumn("_length", F.char_length(text)), by, order, {"_spent": "_length"})
     left = F.lit(budget) - F.col("_spent")
-    return spent.where(left > 0).withColumn(text, F.substring(F.col(text), F.lit(1), left.cast("int"))).drop("_spent")
+    return spent.where(left > 0).withColumn(text, F.substring(F.col(text), F.lit(1), left.cast("int"))).drop("_spent", "_length")
 
 
 def in_range(points: DataFrame, at: Column, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
@@ -115,14 +117,52 @@ def in_range(points: DataFrame, at: Column, ranges: DataFrame, low: str, high: s
 
 
 def unpaired(acquired: DataFrame, released: DataFrame, keys: Sequence[str], after: tuple[str, str] | None = None) -> DataFrame:
-    """Acquisitions without a release of the same key, and after them if ``after`` names both times."""
-    r = released.select(*[F.col(k).alias(f"_{k}") for k in keys], *([F.col(after[1]).alias("_after")] if after else []))
+    """Acquisitions without a release of the same key, and after them if ``after`` names both times.
+
+    A later release exists exactly if the last one of the key is later, so a key has one row on that side.
+    """
+    own = [F.col(k).alias(f"_{k}") for k in keys]
+    r = released.groupBy(*own).agg(F.max(after[1]).alias("_after")) if after else released.select(*own).distinct()
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     if after:
         match.append(F.col("_after") > F.col(after[0]))
     return acquired.join(r, match, "left_anti")
 
 
+def unpaired_loose(acquired: DataFrame, released: DataFrame, event: str, name: str) -> DataFrame:
+    """Acquisitions without a release of the same event whose name equals theirs, contains it or is contained in it.
+
+    Names that contain each other are found among the distinct names of an event by pieces of them
+    (``merging.containments``), so no event's rows are compared with one another. Rows with a null event or name have no release.
+    """
+    sides = [f.select(F.col(event).cast("string").alias("part"), F.col(name).cast("string").alias("trace")).dropna().distinct() for f in (acquired, released)]
+    names = stored(sides[0].unionByName(sides[1]).distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    gone = stored(sides[1].join(names, ["part", "trace"]).select("id"), "released")
+    pairs = stored(containments(names), "pairs")
+    over = pairs.join(gone.withColumnRenamed("id", "outer"), "outer").select(F.col("inner").alias("id"))
+    under = pairs.join(gone.withColumnRenamed("id", "inner"), "inner").select(F.col("outer").alias("id"))
+    matched = names.join(gone.unionByName(over).unionByName(under).distinct(), "id").select(F.col("part").alias("_event"), F.col("trace").alias("_name"))
+    keys = (F.col(event).cast("string") == F.col("_event")) & (F.col(name).cast("string") == F.col("_name"))
+    return acquired.join(matched.hint("merge"), keys, "left_anti")
+
+
+def assign_ids(known: DataFrame, rows: DataFrame, key: str, number: str = "number") -> DataFrame:
+    """The change set ``(key, number, change)`` of an index ``known(key, number)`` whose rows are now those of ``rows(key)``.
+
+    Kept keys keep their number, added ones get the next free numbers in the order of the keys, and removed ones are
+    named with theirs, which are not given again while they are the largest ever given. Nothing is written, so this is the dry run; the
+    rows with ``change`` kept or added are the new index, and on them a second run changes nothing. Null keys are ignored, repeated ones count once.
+    """
+    old = known.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(number).cast("long").alias(number))
+    now = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    both = old.join(now.withColumn("_now", F.lit(True)), key, "left")
+    kept = both.select(key, number, F.when(F.col("_now"), "kept").otherwise("removed").alias("change"))
+    added = ordered_scan(now.join(old, key, "left_anti").withColumn("_one", F.lit(1)), [], [key], {"_rank": "_one"})
+    top = known.agg((F.coalesce(F.max(number), F.lit(-1)) + 1).cast("long").alias("_free"))  # one row
+    numbered = added.crossJoin(F.broadcast(top)).select(key, (F.col("_free") + F.col("_rank")).alias(number), F.lit("added").alias("change"))
+    return kept.unionByName(numbered)
+
+
 def even_split(shared: DataFrame, item: str, owner: str, size: str) -> DataFrame:
     """Each item's size dealt evenly to its distinct owners, the rest of the division dropped, summed by owner."""
     owned = shared.select(item, owner, size).distinct()
@@ -134,24 +174,26 @@ def even_split(shared: DataFrame, item: str, owner: str, size: str) -> DataFrame
 def joint_budget(rows: DataFrame, by: str, order: Sequence[str], size: str, most: int, budget: int) -> DataFrame:
     """Rows taken in order while count and size budgets last; a row that doesn't fit is skipped, not an end.
 
-    Each group's list of sizes is folded once; groups are what one collection run offers.
+    The next row that fits what is left is a minimum over the rows behind the last one taken, so ``most`` rounds of partial
+    minima take them, however many rows a group has. Null sizes don't fit. Rows equal in order and size are told apart by no one.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("picked"))
-    grouped = rows.groupBy(by).agg(items.alias("_items"))
-    indexed = grouped.withColumn("_items", F.transform("_items", lambda x, i: F.struct(x.alias("row"), i.alias("i"))))
-
-    def take(s: Column, x: Column) -> Column:
-        fits = (s["n"] < most) & (s["sum"] + x["row"]["_size"] <= budget)
-        return F.struct(
-            (s["n"] + fits.cast("long")).alias("n"),
-            (s["sum"] + F.when(fits, x["row"]["_size"]).otherwise(0)).alias("sum"),
-            F.when(fits, F.concat(s["picked"], F.array(x["i"].cast("int")))).otherwise(s["picked"]).alias("picked"),
-        )
-
-    folded = indexed.withColumn("_f", F.aggregate("_items", start, take))
-    picked = folded.select(by, F.explode(F.transform(F.col("_f.picked"), lambda i: F.get(F.col("_items"), i)["row"])).alias("_row"))
-    return picked.select(by, *[F.col(f"_row.{c}") for c in order], F.col("_row._size").alias(size))
+    place = F.struct(*order, F.col(size).alias("_size"), "_row")
+    kept = stored(rows.where(F.col(size).isNotNull()).select(by, *order, size).withColumn("_row", F.monotonically_increasing_id()), "offers")
+    offers = kept.select(F.col(by).alias("_by"), place.alias("_place"))
+    state = stored(offers.where(F.col("_place._size") <= budget).groupBy("_by").agg(F.min("_place").alias("_last")), "taken") if most > 0 else None
+    taken = []
+    left = F.lit(budget) - F.col("_last._size")
+    while state is not None and not state.isEmpty():
+        taken.append(state.select("_by", "_last"))
+        if len(taken) == most:
+            break
+        held = state.select(F.col("_by").alias("_own"), "_last", (F.col("_left") if "_left" in state.columns else left).alias("_left"))
+        fits = offers.join(held, F.col("_by").eqNullSafe(F.col("_own"))).where((F.col("_place") > F.col("_last")) & (F.col("_place._size") <= F.col("_left")))
+        ahead = fits.groupBy("_by").agg(F.min("_place").alias("_last"), F.first("_left").alias("_left"))
+        state = stored(ahead.withColumn("_left", F.col("_left") - F.col("_last._size")), "taken")
+    if not taken:
+        return rows.select(by, *order, size).where(F.lit(False))
+    return reduce(DataFrame.unionByName, taken).select(F.col("_by").alias(by), *[F.col(f"_last.{c}").alias(c) for c in order], F.col("_last._size").alias(size))
 
 
 def first_present(rows: DataFrame, names: Sequence[str], default: Column | None = None) -> Column:

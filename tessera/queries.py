@@ -1221,6 +1221,32 @@ def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {_CANDIDATES}, r AS (SELECT DISTINCT priority, trace FROM c WHERE status = 'P' AND length(trace) >= 31)
+    SELECT priority, trace FROM c WHERE status = 'O' AND NOT EXISTS (
+      SELECT 1 FROM r WHERE r.priority = c.priority AND (r.trace = c.trace OR contains(r.trace, c.trace) OR contains(c.trace, r.trace)))"""
+)
+def unpaired_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line states of open orders that those of no long pending order of the priority contain, or are contained in."""
+    rows = stored(_candidates(spark, sf_dir), "traces")
+    return R.unpaired_loose(rows.where("status = 'O'"), rows.where("status = 'P' AND length(trace) >= 31"), "priority", "trace").select("priority", "trace")
+
+
+@query(
+    """
+    WITH k AS (SELECT c_name, c_custkey AS number FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT DISTINCT c_name FROM customer JOIN orders ON o_custkey = c_custkey),
+    a AS (SELECT c_name, row_number() OVER (ORDER BY c_name) AS r FROM n WHERE c_name NOT IN (SELECT c_name FROM k))
+    SELECT c_name, number, CASE WHEN c_name IN (SELECT c_name FROM n) THEN 'kept' ELSE 'removed' END AS change FROM k
+    UNION ALL SELECT c_name, (SELECT max(number) FROM k) + r, 'added' FROM a"""
+)
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of two thirds of the customers, brought to those with orders: what a run would change."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    known = customers.where("c_custkey % 3 <> 0").select("c_name", F.col("c_custkey").alias("number"))
+    now = customers.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return R.assign_ids(known, now, "c_name")
+
+
 # --- files written from the tables and read back
 
 
