@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import crashes as CR
 from tessera.functions import media as V
 from tessera.functions import predicates as P
 from tessera.functions import scalars as S
@@ -1279,3 +1280,78 @@ def snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.mapInArrow(_snapshot_records, "value string").write.option("lineSep", ",").text(path)
     nodes = RG.snapshot_nodes(RG.json_elements(spark, path))
     return nodes.where("node_id IS NOT NULL").select("node_id", "size", "type", "name")
+
+
+# Values that the crash records are made of, picked by the lines of an order.
+_LIBRARIES = (
+    "libc.so", "libark_jsruntime.so", "libuv.so", "libace_napi.z.so", "libapp.so", "libsqlite.z.so", "libipc_core.z.so", "ld-musl-aarch64.so.1",
+)
+_FUNCTIONS = (
+    "napi_wrap", "uv_run", "ConcurrentMarker", "pthread_mutex_lock", "EvacuateObject", "uv_queue_work", "main", "JSFunction::Call", "napi_delete_reference",
+)
+
+
+def _crash_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crash record of each order in one text: its state says the signal, its lines are the stack."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+    called = F.concat(pick(_LIBRARIES, F.col("l_suppkey")), F.lit("("), pick(_FUNCTIONS, F.col("l_partkey")), F.lit("+"), F.col("l_linenumber").cast("string"), F.lit(")"))
+    stack = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", called.alias("called")).alias("_f")).groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list("_f")), lambda f, i: F.concat(F.lit("#"), i.cast("string"), F.lit(" pc 00ab /system/lib64/"), f["called"])).alias("frames")
+    )
+    signal = F.when(F.col("o_orderstatus") == "O", "SIGSEGV(SEGV_MAPERR)").when(F.col("o_orderstatus") == "F", "SIGBUS(BUS_OBJERR)").otherwise("SIGABRT(SI_TKILL)")
+    thread = F.when(F.col("o_orderpriority").startswith("1"), "OS_GC_Thread").when(F.col("o_orderpriority").startswith("2"), "OS_FFRT_2_1").otherwise("main")
+    message = F.when(F.col("o_custkey") % 7 == 0, "Fatal: ecma_vm cannot run in multi-thread!").otherwise("none")
+    record = F.concat_ws(
+        "\n", F.concat(F.lit("Order:"), F.col("o_orderkey")), F.concat(F.lit("Reason:Signal:"), signal, F.lit("@0x"), F.lower(F.hex("o_orderkey"))),
+        F.concat(F.lit("Tid:1, Name:"), thread), F.concat(F.lit("LastFatalMessage:"), message), F.array_join("frames", "\n"),
+    )
+    return orders.join(stack, F.col("o_orderkey") == F.col("l_orderkey")).select(record.alias("value"))
+
+
+def _crash_sql() -> str:
+    """The same records, searched for the same evidence and causes by DuckDB."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda values: f"[{', '.join(map(quoted, values))}]"
+    part = {"signal": "signal", "code": "code", "thread": "thread", "message": "message", "stack": "array_to_string(frames, chr(10))", "top frame": "frames[1]"}
+    part["native frame"] = f"list_filter(frames, lambda f: regexp_matches(f, {quoted(CR.NATIVE_FRAME)}))[1]"
+    facts = {name: f"coalesce(regexp_matches({part[p]}, {quoted(x)}), false)" for p, found in CR.EVIDENCE.items() for name, x in found.items()}
+    facts |= {"address": "true", "null_page": f"o_orderkey <= {CR.NULL_PAGE}", "text_address": "false"}
+    facts["runtime_only"] = f"len(list_filter(frames, lambda f: NOT regexp_matches(f, {quoted(CR.COLLECTOR_FRAME)}))) = 0"
+    causes = ", ".join(
+        f"CASE WHEN {' OR '.join('(' + ' AND '.join(facts[f] for f in way) + ')' for way in ways)} THEN {quoted(cause)} END" for cause, ways in CR.CAUSES.items()
+    )
+    return f"""
+    WITH f AS (
+      SELECT l_orderkey, list({listed(_LIBRARIES)}[l_suppkey % {len(_LIBRARIES)} + 1] || '(' || {listed(_FUNCTIONS)}[l_partkey % {len(_FUNCTIONS)} + 1] || '+' || l_linenumber || ')'
+        ORDER BY l_linenumber, l_partkey, l_suppkey) AS called FROM lineitem GROUP BY 1),
+    r AS (
+      SELECT o_orderkey, list_transform(called, lambda c, i: '#' || (i - 1) || ' pc 00ab /system/lib64/' || c) AS frames,
+        CASE o_orderstatus WHEN 'O' THEN 'SIGSEGV' WHEN 'F' THEN 'SIGBUS' ELSE 'SIGABRT' END AS signal,
+        CASE o_orderstatus WHEN 'O' THEN 'SEGV_MAPERR' WHEN 'F' THEN 'BUS_OBJERR' ELSE 'SI_TKILL' END AS code,
+        CASE left(o_orderpriority, 1) WHEN '1' THEN 'OS_GC_Thread' WHEN '2' THEN 'OS_FFRT_2_1' ELSE 'main' END AS thread,
+        CASE WHEN o_custkey % 7 = 0 THEN 'Fatal: ecma_vm cannot run in multi-thread!' ELSE 'none' END AS message
+      FROM orders JOIN f ON l_orderkey = o_orderkey)
+    SELECT o_orderkey AS order_key, signal, len(frames) AS n_frames, concat_ws(',', {causes}) AS causes,
+      list_filter(frames, lambda f: NOT regexp_matches(f, {quoted(P.RUNTIME_FRAME)}))[1] AS caller,
+      len(list_filter(frames, lambda f: regexp_matches(f, {quoted(P.SYSTEM_LIBRARY)}) AND regexp_matches(f, {quoted(P.LOCK_WAIT)}))) > 0 AS waits FROM r"""
+
+
+@query(_crash_sql())
+def crash_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as crash records in compressed logs, read back, cut into blocks and searched for causes, callers and waits."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/logs-{uuid.uuid4().hex}"
+    _crash_logs(spark, sf_dir).write.option("compression", "gzip").text(path)
+    logs = LG.read_logs(spark, path, r"^part-.*\.gz$")
+    records = LG.blocks(LG.lines(logs.select("path", "text")), ["path"], r"^Order:\d+$")
+    text, frames = F.array_join("body", "\n"), F.filter("body", lambda x: x.startswith("#"))
+    key, thread, message, reason = LG.fields(
+        F.concat_ws("\n", "header", text), {"order_key": r"Order:(\d+)", "thread": r"Name:(\S+)", "message": "LastFatalMessage:(.*)", "reason": "Reason:(.*)"}
+    )
+    found = records.select(key, thread, message, reason, frames.alias("frames"))
+    said = P.reason_parts(F.col("reason"))
+    facts = CR.crash_facts(F.col("frames"), F.col("message"), said["signal"], said["code"], said["address"], F.col("thread"))
+    return found.select(
+        F.col("order_key").cast("long"), said["signal"].alias("signal"), F.size("frames").cast("long").alias("n_frames"),
+        F.array_join(CR.crash_causes(facts), ",").alias("causes"), P.first_caller(F.col("frames")).alias("caller"), P.waits_for_lock(F.col("frames")).alias("waits"),
+    )
