@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,13 +93,76 @@ def shortest_paths(edges: DataFrame, src: str, dst: str, sources: DataFrame, max
     return found
 
 
-def cycles(edges: DataFrame, src: str, dst: str, max_length: int) -> DataFrame:
+def strong_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 1000) -> DataFrame:
+    """``(node, component)``: each node named in an edge with the smallest node that it reaches and that reaches it.
+
+    In a pass nodes without an edge in or out among those left are components by themselves and go. Every node then takes the
+    smallest label of all that reach it as its colour, and what reaches a colour's first node within the colour is a component. A
+    pass settles one component of each colour. Edges with a null end are ignored. More than ``max_rounds`` rounds of any kind are an error.
+    """
+    left = stored(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
+    named = stored(left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct(), "named")
+    left = stored(left.where("u <> v"), "edges")
+    settled = []
+    for _ in range(max_rounds):
+        for _ in range(max_rounds):
+            both = left.select(F.col("u").alias("node")).distinct().join(left.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
+            inner = stored(both, "inner")
+            kept = stored(left.join(inner.withColumnRenamed("node", "u"), "u", "left_semi").join(inner.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v"), "edges")
+            if kept.count() == left.count():
+                break
+            left = kept
+        if kept.isEmpty():
+            break
+        colours = _least_before(kept, inner, max_rounds)
+        # edges within a colour, backwards, from its first node
+        tinted = kept.join(colours.select(F.col("node").alias("u"), F.col("label").alias("_u")), "u").join(colours.select(F.col("node").alias("v"), F.col("label").alias("_v")), "v")
+        back = stored(tinted.where("_u = _v").select(F.col("v").alias("_from"), F.col("u").alias("_to")), "back")
+        found = stored(colours.where("node = label").select("node", F.col("label").alias("component")), "found")
+        edge = found
+        for _ in range(max_rounds):
+            ahead = edge.join(back, edge["node"] == back["_from"]).select(F.col("_to").alias("node"), "component").distinct()
+            edge = stored(ahead.join(found, "node", "left_anti"), "level")
+            if edge.isEmpty():
+                break
+            found = stored(found.unionByName(edge), "found")
+        settled.append(found)
+        gone = found.select("node")
+        left = stored(kept.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"), "edges")
+    else:
+        raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
+    if not settled:
+        return named.withColumn("component", F.col("node"))
+    whole = reduce(DataFrame.unionByName, settled)
+    return named.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _least_before(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
+    """``(node, label)``: the smallest node that reaches each of ``nodes(node)``, itself included, over the stored ``edges(u, v)``."""
+    labels = stored(nodes.withColumn("label", F.col("node")), "labels")
+    for _ in range(max_rounds):
+        offered = edges.join(labels, edges["u"] == labels["node"]).groupBy("v").agg(F.min("label").alias("_offer"))
+        new = labels.join(offered, labels["node"] == offered["v"], "left")
+        new = stored(new.select("node", F.least("label", "_offer").alias("label"), (F.col("_offer") < F.col("label")).alias("_moved")), "labels")
+        discard(labels)
+        if new.where("_moved").isEmpty():
+            return new.select("node", "label")
+        labels = new
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+
+
+def cycles(edges: DataFrame, src: str, dst: str, max_length: int, strong: bool = False) -> DataFrame:
     """``(nodes)``: the node sets, as sorted arrays, of simple cycles of at most ``max_length`` edges.
 
     Paths start at their smallest node, so each cycle is walked from one place only. The length
-    bound keeps the enumeration, exponential in general, finite and small.
+    bound keeps the enumeration, exponential in general, finite and small. With ``strong`` only edges within a
+    strong component are walked, as no other is in a cycle.
     """
     step = stored(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).where("_from IS NOT NULL AND _to IS NOT NULL").distinct(), "steps")
+    if strong:
+        parts = stored(strong_components(step, "_from", "_to"), "components")
+        ends = [parts.select(F.col("node").alias(c), F.col("component").alias(f"_c{c}")) for c in ("_from", "_to")]
+        step = stored(step.join(ends[0], "_from").join(ends[1], "_to").where("_c_from = _c_to").select("_from", "_to"), "steps")
     paths = step.where("_to >= _from").select(F.array("_from").alias("path"), F.col("_to").alias("_next"))
     closed = None
     for _ in range(max_length):

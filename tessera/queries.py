@@ -1248,6 +1248,22 @@ def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assign_ids(known, now, "c_name")
 
 
+@query(
+    """
+    WITH RECURSIVE l AS (SELECT o_custkey * 2 AS c, l_suppkey * 2 + 1 AS s, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    e AS (SELECT DISTINCT c AS u, s AS v FROM l WHERE q = 50 UNION SELECT DISTINCT s, c FROM l WHERE q = 1),
+    n AS (SELECT u AS node FROM e UNION SELECT v FROM e),
+    r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+    SELECT n.node, least(n.node, min(b.v)) AS component FROM n LEFT JOIN (SELECT x.u, x.v FROM r x JOIN r y ON y.u = x.v AND y.v = x.u) b ON b.u = n.node GROUP BY n.node"""
+)
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to suppliers over the largest lines, and back over the smallest."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    customer, supplier = F.col("o_custkey") * 2, F.col("l_suppkey") * 2 + 1
+    there = lines.where("l_quantity = 50").select(customer.alias("u"), supplier.alias("v"))
+    return G.strong_components(there.unionByName(lines.where("l_quantity = 1").select(supplier.alias("u"), customer.alias("v"))), "u", "v")
+
+
 # --- files written from the tables and read back
 
 

@@ -95,3 +95,19 @@ def test_a_chain_of_a_hundred_thousand_nodes(spark):
     chain = spark.range(1, 100_000).select(F.lit("c").alias("graph"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"))
     nodes = spark.range(100_000).select(F.lit("c").alias("graph"), F.col("id").alias("node"), F.lit(2).alias("size"))
     assert G.subtree_sums(chain, nodes).where("retained <> 2 * (100000 - node)").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strong_components_and_cycles_in_them(spark, seed):
+    pick = random.Random(seed)
+    edges = [(pick.randrange(16), pick.randrange(16)) for _ in range(22)] + [(20, 20), (21, 22), (None, 3)]
+    real = {(a, b) for a, b in edges if a is not None}
+    names = {x for e in real for x in e}
+    reach = {a: {a} for a in names}
+    for _ in names:
+        reach = {a: set.union(seen, *({b for x, b in real if x == m} for m in seen)) for a, seen in reach.items()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    found = {r["node"]: r["component"] for r in G.strong_components(frame, "a", "b").collect()}
+    assert found == {a: min(b for b in reach[a] if a in reach[b]) for a in names}
+    plain, strong = ({tuple(r["nodes"]) for r in G.cycles(frame, "a", "b", 5, strong=s).collect()} for s in (False, True))
+    assert plain == strong and (20,) in strong
