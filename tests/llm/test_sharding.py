@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.sharding import capacities, ring_points, shard_rows, walk
+from tessera.operators.prefix import hash_position
 from tessera.runtime import stored
 
 
@@ -43,3 +44,36 @@ def test_repeated_and_null_keys(spark):
 
 def test_empty_table(spark):
     assert shard_rows(stored(spark.createDataFrame([], "k long"), "none"), ["k"]).count() == 0
+
+
+def walked(rows, points, shards):
+    """Each row's shard by a plain walk: a full shard passes what waits on to the next point clockwise."""
+    rows = sorted(rows)
+    room, waiting, out = capacities(len(rows), shards), [], {}
+    for lap in range(2):
+        last = -1
+        for spot, shard in points:
+            waiting += [r for r in rows if last < r[0] <= spot] if lap == 0 else []
+            last = spot
+            taken, waiting = waiting[: room[shard]], waiting[room[shard] :]
+            room[shard] -= len(taken)
+            out |= {r[1]: shard for r in taken}
+        waiting += [r for r in rows if r[0] > last] if lap == 0 else []
+    assert not waiting
+    return out
+
+
+@pytest.mark.parametrize(("shards", "vnodes"), [(16, 128), (5, 3)])
+def test_every_row_is_where_a_plain_walk_puts_it(spark, shards, vnodes):
+    rows = stored(spark.range(2_000).withColumns({c: F.lit("x") for c in ("row", "size", "text", "lang")}), "rows")
+    placed = [tuple(r) for r in rows.select(hash_position(F.col("id")), "id").collect()]
+    got = {r["id"]: r["shard"] for r in shard_rows(rows, ["id"], shards=shards, vnodes=vnodes).collect()}
+    assert got == walked(placed, ring_points(shards, vnodes), shards)
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    """The seventeenth shard takes a seventeenth; what else moves is what full shards pass on."""
+    rows = stored(spark.range(4_000), "rows")
+    before, after = ({r["id"]: r["shard"] for r in shard_rows(rows, ["id"], shards=n).collect()} for n in (16, 17))
+    moved = sum(before[k] != after[k] for k in before)
+    assert 4_000 // 17 <= moved < 0.3 * 4_000
