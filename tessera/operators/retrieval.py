@@ -15,7 +15,7 @@ def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
     A document's tokens are sorted in its row and the first of each is marked, so one shuffle of partial sums counts both.
     """
-    tokens = documents.select(F.array_sort(latin_tokens(F.col(text))).alias("_tokens"))
+    tokens = documents.select(F.sort_array(latin_tokens(F.col(text))).alias("_tokens"))
     marked = F.transform("_tokens", lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get("_tokens", i - 1) != t)).cast("long").alias("first")))
     return tokens.select(F.inline(marked)).groupBy("token").agg(F.count("*").alias("n"), F.sum("first").alias("documents"))
 
