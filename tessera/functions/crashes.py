@@ -7,12 +7,15 @@ are plain data and a user may pass others. Null inputs show nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import has_ascii_run, matched
+from tessera.functions.scalars import bound
 
 # What stands in each part of a record, as regular expressions, under the name of the fact.
 EVIDENCE: dict[str, dict[str, str]] = {
@@ -53,6 +56,8 @@ EVIDENCE: dict[str, dict[str, str]] = {
 NATIVE_FRAME = r"libace_napi\.z\.so.*napi_|ArkNativeReference"
 COLLECTOR_FRAME = r"libark_jsruntime|libc\.so|libc\+\+|ld-musl|libffrt|Not mapped|Unknown"
 NULL_PAGE = 4096
+#: Patterns that are plain text, or several.
+_PLAIN = re.compile(r"(?:[\w:]|\\\.)+(?:\|(?:[\w:]|\\\.)+)*")
 
 #: Causes by where they lie: memory, the collector, the script binding, the event loop, the system.
 CAUSES: dict[str, Sequence[Sequence[str]]] = {
@@ -75,30 +80,39 @@ CAUSES: dict[str, Sequence[Sequence[str]]] = {
 }
 
 
+def _shows(part: Column, pattern: str) -> Column:
+    """``part.rlike(pattern)``; alternatives that are plain text are looked for as such, which is faster."""
+    if not _PLAIN.fullmatch(pattern):
+        return part.rlike(pattern)
+    return reduce(Column.__or__, [part.contains(text.replace(r"\.", ".")) for text in pattern.split("|")])
+
+
 def crash_facts(
     frames: Column, message: Column, signal: Column, code: Column, address: Column, thread: Column, evidence: Mapping[str, Mapping[str, str]] = EVIDENCE
 ) -> Column:
     """Names of the pieces of evidence in a record, and of what its address and frames are like."""
     parts = {
         "signal": signal, "code": code, "thread": thread, "message": message, "stack": F.array_join(frames, "\n"), "top frame": F.get(frames, 0),
-        "native frame": F.get(F.filter(frames, lambda f: f.rlike(NATIVE_FRAME)), 0),
+        "native frame": F.get(F.filter(frames, lambda f: f.rlike(NATIVE_FRAME)), 0), "at": address,
+        "runtime_only": (F.size(frames) > 0) & F.forall(frames, lambda f: f.rlike(COLLECTOR_FRAME)),
     }
-    facts = {name: parts[part].rlike(pattern) for part, patterns in evidence.items() for name, pattern in patterns.items()}
-    facts |= {"address": address.isNotNull(), "null_page": address <= NULL_PAGE, "text_address": has_ascii_run(address)}
-    facts["runtime_only"] = (F.size(frames) > 0) & F.forall(frames, lambda f: f.rlike(COLLECTOR_FRAME))
-    return matched(facts)
+
+    def found(part: Column) -> Column:
+        facts = {name: _shows(part[of], pattern) for of, patterns in evidence.items() for name, pattern in patterns.items()}
+        facts |= {"address": part["at"].isNotNull(), "null_page": part["at"] <= NULL_PAGE, "text_address": has_ascii_run(part["at"])}
+        return matched(facts | {"runtime_only": part["runtime_only"]})
+
+    return bound(F.struct(*[value.alias(name) for name, value in parts.items()]), found)
 
 
 def crash_causes(facts: Column, causes: Mapping[str, Sequence[Sequence[str]]] = CAUSES) -> Column:
     """Names of the causes of which some set of facts is there whole."""
 
-    def whole(needed: Sequence[str]) -> Column:
-        wanted = F.array(*[F.lit(n) for n in needed])
-        return F.size(F.array_except(wanted, facts)) == 0
+    def met(facts: Column) -> Column:
+        def whole(needed: Sequence[str]) -> Column:
+            wanted = F.array(*[F.lit(n) for n in needed])
+            return F.size(F.array_except(wanted, facts)) == 0
+
+        return matched({cause: reduce(Column.__or__, map(whole, ways), F.lit(False)) for cause, ways in causes.items()})
 
-    met = {}
-    for cause, ways in causes.items():
-        met[cause] = F.lit(False)
-        for way in ways:
-            met[cause] = met[cause] | whole(way)
-    return matched(met)
+    return bound(facts, met)

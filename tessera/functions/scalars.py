@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is named there; Spark repeats it where a lambda or a condition holds it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def hex_address(value: Column) -> Column:
     """A 64-bit value as 0x-prefixed lower-case hex; negative longs show their unsigned form."""
     return F.lower(F.concat(F.lit("0x"), F.hex(value)))

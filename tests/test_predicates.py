@@ -54,3 +54,11 @@ def test_frames(of):
 
 def test_weak_names(of):
     assert [of(P.holds_weakly(F.lit(n))) for n in ("Weak_Map", "WeakRef#2", "Map")] == [True, True, False]
+
+
+def test_facts_and_stack_are_computed_once(spark):
+    """The plan named the stack and the facts anew for each piece of evidence and each cause."""
+    frame = spark.range(1).select(F.array(F.lit("#0 libuv.so(uv_run)")).alias("frames"), F.lit("SIGBUS").alias("signal"), F.lit(1).cast("decimal(20,0)").alias("address"))
+    made = frame.select(crash_causes(crash_facts(F.col("frames"), F.lit("none"), F.col("signal"), F.lit("BUS_OBJERR"), F.col("address"), F.lit("main"))).alias("causes"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_join(") == 1 and made.first()["causes"] == ["handle_closed_early"]
