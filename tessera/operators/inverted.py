@@ -9,17 +9,21 @@ that most documents have is many files' work and others are skipped.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import parallelism
+from tessera.functions.scalars import bound
+from tessera.runtime import parallelism, small_batches
 
 #: Folders of an index.
 BUCKETS = 64
 _CJK = "[一-鿿]"
+_LATIN, _CJK_RUN = re.compile("[a-z0-9_]+"), re.compile(f"{_CJK}{{2,}}")
 
 
 def _bucket(term: Column) -> Column:
@@ -30,12 +34,27 @@ def terms_of(text: Column) -> Column:
     """``array<struct<term, place>>`` of a text; null has none."""
     none = F.array().cast("array<struct<term:string,place:int>>")
     latin = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), lambda w, i: F.struct(w.alias("term"), i.alias("place")))
-    letters = F.split(text, "")
-    pairs = F.transform(letters, lambda c, i: F.struct(F.concat(c, F.coalesce(F.get(letters, i + 1), F.lit(""))).alias("term"), i.alias("place")))
-    cjk = F.when(text.rlike(f"{_CJK}{{2}}"), F.filter(pairs, lambda p: p["term"].rlike(f"^{_CJK}{{2}}$"))).otherwise(none)
+
+    def pairs(letters: Column) -> Column:
+        return F.transform(letters, lambda c, i: F.struct(F.concat(c, F.coalesce(F.get(letters, i + 1), F.lit(""))).alias("term"), i.alias("place")))
+
+    # the letters are bound: split at each of them, a text would take time in the square of its length
+    found = F.filter(bound(F.split(text, ""), pairs), lambda p: p["term"].rlike(f"^{_CJK}{{2}}$"))
+    cjk = F.when(text.rlike(f"{_CJK}{{2}}"), found).otherwise(none)
     return F.when(text.isNotNull(), F.concat(latin, cjk)).otherwise(none)
 
 
+def _gathered(text: str, lower: str) -> dict[str, list[int]]:
+    """The places of each term of a text, the same as ``terms_of`` gives; ``lower`` is the text in lower case."""
+    places: dict[str, list[int]] = {}
+    for place, word in enumerate(_LATIN.findall(lower)):
+        places.setdefault(word, []).append(place)
+    for run in _CJK_RUN.finditer(text):
+        for at in range(run.start(), run.end() - 1):
+            places.setdefault(text[at : at + 2], []).append(at)
+    return places
+
+
 def postings(documents: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
     """``(term, key, field, whole, places)``: ``whole`` is a hash of the field's text in lower case, ``places`` sorted.
 
@@ -43,9 +62,26 @@ def postings(documents: DataFrame, key: str, fields: Mapping[str, Column]) -> Da
     """
     each = F.array(*[F.struct(F.lit(name).alias("field"), text.cast("string").alias("text")) for name, text in fields.items()])
     texts = documents.select(F.col(key).alias("key"), F.inline(each))
-    found = texts.select("key", "field", F.xxhash64(F.lower("text")).alias("whole"), F.inline(terms_of(F.col("text"))))
-    # a document's terms are in one task, so they are gathered before the shuffle
-    return found.groupBy("term", "key", "field", "whole").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    # of a key's equal texts one is indexed; null texts have no posting
+    single = texts.where("text IS NOT NULL").withColumn("lower", F.lower("text")).withColumn("whole", F.xxhash64("lower")).dropDuplicates(["key", "field", "whole"])
+    kind = single.schema["key"].dataType.simpleString()
+    small_batches(documents.sparkSession)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, ends, places = [], [], [0], []
+            for row, (text, lower) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                for term, at in _gathered(text, lower).items():
+                    rows.append(row)
+                    terms.append(term)
+                    places += at
+                    ends.append(len(places))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *own, lists], names=["term", "key", "field", "whole", "places"])
+
+    schema = f"term string, key {kind}, field string, whole long, places array<int>"
+    return single.select("key", "field", "whole", "text", "lower").mapInArrow(gathered, schema)
 
 
 def write_index(documents: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> None:

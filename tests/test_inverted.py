@@ -1,6 +1,7 @@
 """The inverted index against scores by expressions over every text."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -75,3 +76,15 @@ def test_token_counts_count_texts_once(spark):
     found = {r["token"]: (r["n"], r["documents"]) for r in T.token_counts(spark.createDataFrame(rows, "text string")).collect()}
     words = [w for (t,) in rows for w in (t or "").split() if w in ("list", "lists", "a1")]
     assert {k: v for k, v in found.items() if k in words} == {k: (n, sum(k in (t or "").split() for (t,) in rows)) for k, n in Counter(words).items()}
+
+
+def test_terms_of_a_long_cjk_text_take_time_in_proportion(spark):
+    """Split anew for each of its letters, 60,000 letters took minutes."""
+    texts = [("表" * 60_000,), ("Ab_1 表組x𠀀表组 ÉK ab_1",), ("",), (None,)]
+    docs = spark.createDataFrame(texts, "text string").withColumn("id", F.monotonically_increasing_id())
+    began = time.monotonic()
+    by_expression = docs.select("id", F.inline(I.terms_of(F.col("text")))).groupBy("id", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    expected = {(r["id"], r["term"], tuple(r["places"])) for r in by_expression.collect()}
+    assert time.monotonic() - began < 30
+    got = {(r["key"], r["term"], tuple(r["places"])) for r in I.postings(docs, "id", {"body": F.col("text")}).collect()}
+    assert got == expected and len(got) > 5
