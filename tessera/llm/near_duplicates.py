@@ -164,7 +164,12 @@ def leaves_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]], radius
 
 def spanning_links(points: np.ndarray, radius: int = RADIUS, dense: int = 256) -> np.ndarray:
     """For each fingerprint the position of its component's first one, by exact search."""
-    parent = np.arange(len(points))
+    return spanning_forest(points, radius, dense)[0]
+
+
+def spanning_forest(points: np.ndarray, radius: int = RADIUS, dense: int = 256) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The same, and the pairs of near fingerprints that hold the components together."""
+    parent, held = np.arange(len(points)), []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -190,15 +195,19 @@ def spanning_links(points: np.ndarray, radius: int = RADIUS, dense: int = 256) -
                 i, j = np.nonzero(distance(points[block][:, None], points[against][None, :]) <= radius)
                 a, b = block[i], against[j]
                 new = parent[a] != parent[b]
-                for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True):
-                    x, y = root(x), root(y)
+                for pair in zip(a[new].tolist(), b[new].tolist(), strict=True):
+                    x, y = map(root, pair)
                     if x != y:
                         parent[max(x, y)] = min(x, y)
-    return np.array([root(x) for x in range(len(points))], dtype=np.int64)
+                        held.append(pair)
+    return np.array([root(x) for x in range(len(points))], dtype=np.int64), held
+
 
+def near_links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all pairs of ``distinct(fp)`` within ``radius`` bits.
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``(a, b)`` whose components are those of all pairs of ``distinct(fp)`` within ``radius`` bits."""
+    With ``direct`` every link is such a pair itself; without, it may be the ends of a chain, which components settle faster.
+    """
     size = distinct.count()
     leaves = max(1, min(MOST_LEAVES, size // LEAF_ROWS))
     tree = []
@@ -216,7 +225,10 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def search(rows: pa.Table) -> pa.Table:
         signed = np.unique(rows.column("fp").to_numpy())
-        firsts = spanning_links(signed.view(np.uint64), radius)
+        firsts, held = spanning_forest(signed.view(np.uint64), radius)
+        if direct:
+            ends = np.array(held, dtype=np.int64).reshape(-1, 2)
+            return pa.table({"a": pa.array(signed[ends[:, 0]]), "b": pa.array(signed[ends[:, 1]])})
         linked = firsts != np.arange(len(signed))
         return pa.table({"a": pa.array(signed[linked]), "b": pa.array(signed[firsts[linked]])})
 
@@ -304,11 +316,24 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return keys[order], counts[order]
 
 
-def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """Stored pairs ``(a, b)`` of ids of the stored ``prints(id, fp)`` that the vantage-point tree finds near: the first of each fingerprint
+    with those of its near ones, and with the others of the same fingerprint."""
+    firsts = stored(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts")
+    # one fingerprint may have a large share of the ids, or be near that many others, so the smaller sides are broadcast
+    found = stored(near_links(firsts, direct=True), "near")
+    half = stored(firsts.select(F.col("fp").alias("a"), F.col("first").alias("_a")).join(broadcast_up_to(found, BROADCAST_ROWS), "a"), "near")
+    across = firsts.select(F.col("fp").alias("b"), F.col("first").alias("_b")).join(broadcast_up_to(half, BROADCAST_ROWS), "b")
+    shared = stored(firsts.where("n > 1").select("fp", "first"), "shared")
+    same = prints.join(broadcast_up_to(shared, BROADCAST_ROWS), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return stored(across.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same), "candidates")
+
+
+def similar_links(rows: DataFrame, distinct: DataFrame, near: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of sets in ``distinct(id, n, prefix, known)`` with a Jaccard
     similarity of ``least`` at least; ``rows(row, text)`` has the text of each id.
 
-    First every set meets only one set that shares a rare shingle, that with the fewest rarer ones, which is the most
+    The stored pairs ``near(a, b)`` are compared first, and removed. What they miss is found exactly: every set meets only one set that shares a rare shingle, that with the fewest rarer ones, which is the most
     like the others. Pairs that this leaves in different components are then all compared, so a large group of near
     copies is not paired with itself wholesale. Where a shingle stands in a set's order of rarity
     bounds what two sets can have in common from there on, and pairs that fall short are not made.
@@ -380,7 +405,7 @@ def similar_links(rows: DataFrame, distinct: DataFrame, words: int, least: tuple
 
     possible = can_be(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at"))
     stars = shared.where(possible & (F.col("id") != F.col("first.id")))
-    links = verified(likely(stars.select(F.col("first.id").alias("a"), F.col("first.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))))
+    links = verified(near).unionByName(verified(likely(stars.select(F.col("first.id").alias("a"), F.col("first.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn")))))
     parts = connected_components(links, "a", "b")
     placed = shared.join(parts, shared["id"] == parts["node"], "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
@@ -398,7 +423,8 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
     """``documents`` with one row, that of the smallest doc_id, null ids last, of each group of similar texts.
 
     Groups are the components of all pairs whose sets of word shingles have a Jaccard similarity of
-    ``least`` (a fraction) at least. The pairs are exact: sets this similar share one of their rarest
+    ``least`` (a fraction) at least. The vantage-point tree over the texts' fingerprints gives the first pairs, which are then
+    compared exactly. Fingerprints of similar texts may lie farther apart, so an exact search adds what the tree misses: sets this similar share one of their rarest
     shingles in any common order of all shingles, so sets that share none need no comparing. The
     order, by frequency in a sample, is a matter of speed only.
     """
@@ -410,21 +436,23 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
             own = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             parts = list(zip(*[rarest(s, common, counts, least) for s in own], strict=True)) or [(), ()]
             prefix, known = (pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64())) for part in parts)
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
             same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), same, pa.array([len(s) for s in own], pa.int64()), prefix, known, batch.column(2)],
-                names=["doc_id", "same", "n", "prefix", "known", "document"],
+                [batch.column(0), same, pa.array(prints.view(np.int64)), pa.array([len(s) for s in own], pa.int64()), prefix, known, batch.column(2)],
+                names=["doc_id", "same", "fp", "n", "prefix", "known", "document"],
             )
 
     whole = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"), F.struct(*documents.columns).alias("document"))
     kind = whole.schema["document"].dataType.simpleString()
-    made = spread(whole).mapInArrow(sets, f"doc_id long, same binary, n long, prefix array<long>, known array<long>, document {kind}")
+    made = spread(whole).mapInArrow(sets, f"doc_id long, same binary, fp long, n long, prefix array<long>, known array<long>, document {kind}")
     rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
     # of equal sets the first stands for all; the others' row numbers are left out, so no set is shuffled or written again
     heads = stored(rows.groupBy("same").agg(F.min("row").alias("id")), "heads")
     copies = stored(rows.select("same", "row").join(heads, "same").where("row <> id").select("row"), "copies")
-    distinct = rows.select("row", "n", "prefix", "known").join(broadcast_up_to(copies, BROADCAST_ROWS), "row", "left_anti").withColumnRenamed("row", "id")
-    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct, words, least)
+    distinct = rows.select("row", "fp", "n", "prefix", "known").join(broadcast_up_to(copies, BROADCAST_ROWS), "row", "left_anti").withColumnRenamed("row", "id")
+    near = near_pairs(stored(distinct.select("id", "fp"), "prints"))
+    links = similar_links(rows.select("row", F.col("document.text").alias("text")), distinct, near, words, least)
     parts = connected_components(links, "a", "b")
     classes = heads.join(parts, F.col("id") == parts["node"], "left").select("same", F.coalesce("component", "id").alias("part"))
     placed = rows.select("doc_id", "same", "row").join(classes, "same").select("part", F.col("doc_id").isNull().alias("none"), "doc_id", "row")

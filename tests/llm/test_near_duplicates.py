@@ -160,3 +160,22 @@ def test_near_copies_leave_the_corpus(spark):
     assert drop_near_duplicates(docs).count() == 3
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
     assert slow_similar([tuple(r) for r in docs.collect()]) == [0, 2]
+
+
+def test_similar_texts_go_through_the_tree(spark, monkeypatch):
+    """The tree's pairs are near ones themselves, and reach the exact check before the search for the rest."""
+    import tessera.llm.near_duplicates as near
+
+    seen = {}
+
+    def watched(rows, distinct, pairs, *rest):
+        seen["pairs"], seen["prints"] = pairs.collect(), {r["id"]: r["fp"] for r in distinct.select("id", "fp").collect()}
+        return plain(rows, distinct, pairs, *rest)
+
+    plain = near.similar_links
+    monkeypatch.setattr(near, "similar_links", watched)
+    texts = edited(3, 160)
+    texts += [(1000 + k, " ".join(f"w{k}" for k in range(400)) + f" z{k}") for k in range(12)]
+    assert sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == slow_similar(texts)
+    bits = [bin((seen["prints"][r["a"]] ^ seen["prints"][r["b"]]) & (1 << 64) - 1).count("1") for r in seen["pairs"]]
+    assert len(bits) > 10 and max(bits) <= near.RADIUS
