@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import ordered_scan
-from tessera.runtime import discard, stored
+from tessera.runtime import broadcast_up_to, discard, stored
 
 #: Edges of a graph that is solved in one task, at most.
 FOLD_EDGES = 1_000_000
@@ -179,15 +179,15 @@ def cycles(edges: DataFrame, src: str, dst: str, max_length: int, strong: bool =
 def dominators(edges: DataFrame, graph: str, src: str, dst: str, root: Column, fold_edges: int = FOLD_EDGES, max_depth: int = 10_000) -> DataFrame:
     """``(graph, node, parent)``: immediate dominators of the nodes reachable from each graph's root.
 
-    A graph of at most ``fold_edges`` edges is one group, solved in a task. Larger ones are solved by joins
-    (``dominators_by_joins``), which a search deeper than ``max_depth`` steps ends with an error. Edges with a null end or
-    graph are ignored, repeated edges count once, an edge without a root, null, belongs to no graph.
+    A graph of at most ``fold_edges`` edges, repeats included, is one group, solved in a task. Larger ones are solved by joins
+    (``dominators_by_joins``), where dominators more than ``max_depth`` deep are an error. Edges with a null end or
+    graph are ignored, repeated edges change nothing, an edge without a root, null, belongs to no graph.
     """
     ids = edges.select(F.col(graph).alias("graph"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"), root.cast("long").alias("root"))
-    ids = stored(ids.dropna().distinct(), "edges")
+    ids = stored(ids.dropna(), "edges")
     sizes = stored(ids.groupBy("graph").agg((F.count("*") <= fold_edges).alias("small")), "sizes")
     kind = ids.schema["graph"].dataType.simpleString()
-    small = ids.join(sizes.where("small"), "graph", "left_semi")
+    small = ids.join(sizes.where("small"), "graph", "left_semi").distinct()
     folded = small.groupBy("graph").applyInPandas(_fold_dominators, f"graph {kind}, node long, parent long")
     large = sizes.where("NOT small")
     if large.isEmpty():
@@ -239,19 +239,6 @@ def _fold_dominators(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"graph": frame["graph"].iloc[0], "node": nodes, "parent": [over[n] for n in nodes]})
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """``(node, parent, depth)`` of the nodes that the stored ``edges(src, dst)`` lead to from ``roots(node)``, roots with themselves as parent; ties go to the least parent."""
-    found = stored(roots.select("node", F.col("node").alias("parent"), F.lit(0).alias("depth")), "level")
-    edge = found
-    for depth in range(1, max_depth + 1):
-        ahead = edge.join(edges.hint("merge"), edge["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        edge = stored(ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
-        if edge.isEmpty():
-            return stored(found, "tree")
-        found = found.unionByName(edge)
-    raise RuntimeError(f"nodes are more than {max_depth} steps from their root")
-
-
 def nearest_common_ancestors(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """The stored ``pairs(..., a, b)`` of nodes of one tree with their nearest common ancestor as ``top`` and its ``depth``.
 
@@ -290,37 +277,102 @@ def nearest_common_ancestors(pairs: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def dominators_by_joins(edges: DataFrame, max_depth: int) -> DataFrame:
-    """``(graph, node, parent)`` of ``edges(graph, src, dst, root)``, all distinct, without gathering a graph.
+    """``(graph, node, parent)`` of the stored ``edges(graph, src, dst, root)`` without gathering a graph.
 
-    It starts from a tree of shortest paths, in which every dominator of a node is above it. In a round each node is hung
+    It starts from a tree of edges (``spanning_tree``), in which every dominator of a node is above it. A node with one node before it
+    hangs below that for good, and one that is reached from below two children of the root hangs on the root for good, so one join
+    with the child of the root above each source settles these. For the others, in a round each is hung
     below the nearest common ancestor of all nodes with an edge to it, which takes it up at most to its
-    dominator; depths are found anew by doubling. The tree in which no node moves is that of the dominators.
+    dominator. In the order of a walk that is the ancestor of the first and the last of these, so edges send two
+    numbers a node. The tree in which no node moves is that of the dominators.
+    """
+    plain = edges.where("src <> dst AND dst <> root")
+    tree = spanning_tree(plain)
+    # edges from a root need no join, which would send them all to one task
+    above = tree.select("graph", F.col("node").alias("src"), "top").hint("merge")
+    under = plain.where("src <> root").join(above, ["graph", "src"]).select("graph", "dst", "root", "src", "top")
+    under = under.unionByName(plain.where("src = root").withColumn("top", F.col("root")))
+    ends = [f(c).alias(f"_{n}_{c}") for c in ("src", "top") for n, f in (("min", F.min), ("max", F.max))]
+    spans = under.groupBy("graph", F.col("dst").alias("node"), "root").agg(*ends)
+    settled = F.when(F.expr("_min_src = _max_src"), F.col("_min_src")).when(F.expr("_min_top <> _max_top OR _min_top = root"), F.col("root"))
+    over = stored(spans.select("graph", "node", "root", settled.alias("parent")), "over")
+    open_ = stored(over.where("parent IS NULL").select("graph", "node"), "open")
+    if not open_.isEmpty():
+        old = tree.select("graph", "node", F.col("parent").alias("_old")).hint("merge")
+        over = over.join(old, ["graph", "node"]).select("graph", "node", "root", F.coalesce("parent", "_old").alias("parent"))
+        left = plain.join(broadcast_up_to(open_.withColumnRenamed("node", "dst"), FOLD_EDGES), ["graph", "dst"], "left_semi")
+        over = _raised(stored(over, "over"), stored(left.select("graph", "src", "dst"), "left"))
+    if _deepest(tree) > max_depth and _deepest(_under_root(stored(over, "over"))) > max_depth:
+        raise RuntimeError(f"dominators are more than {max_depth} deep")
+    return over.select("graph", "node", "parent")
+
+
+def _deepest(tree: DataFrame) -> int:
+    return tree.agg(F.max("depth")).first()[0] or 0
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """``(graph, node, parent, root, top, depth)``: the nodes that ``edges(graph, src, dst, root)`` lead to from their root, each below one with an edge to it; ``top`` is the child of the root that it stands under.
+
+    Each node hangs on the root, or else on the least node with an edge to it. That may leave some in cycles or below what isn't
+    reached; those of them with an edge from a reached node are hung there, with all that hangs on them, until there are none.
     """
-    ends = edges.select("graph", F.col("src").alias("name")).unionByName(edges.select("graph", F.col("dst").alias("name")))
-    ends = ends.unionByName(edges.select("graph", F.col("root").alias("name"))).distinct()
-    names = stored(ends.withColumn("node", F.monotonically_increasing_id()), "names")
-
-    def numbered(rows: DataFrame, name: str, number: str) -> DataFrame:
-        return rows.join(names.select("graph", F.col("name").alias(name), F.col("node").alias(number)).hint("merge"), ["graph", name])
-
-    roots = stored(numbered(edges.select("graph", "root").distinct(), "root", "node").select("node"), "roots")
-    plain = stored(numbered(numbered(edges, "src", "_a"), "dst", "_b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).where("src <> dst"), "numbered")
-    tree = breadth_first(plain, roots, max_depth)
-    # nodes that are reached from their root, and edges between these that don't lead to a root
-    inner = plain.join(tree.select(F.col("node").alias("src")), "src", "left_semi").join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti")
-    inner = stored(inner, "reached")
-    first = stored(inner.groupBy("dst").agg(F.min("src").alias("a")), "first")
-    pairs = stored(inner.join(first.hint("merge"), "dst").select("dst", "a", F.col("src").alias("b")), "pairs")
+    least = F.when(F.max(F.col("src") == F.col("root")), F.col("root")).otherwise(F.min("src"))
+    up = stored(edges.groupBy("graph", F.col("dst").alias("node"), "root").agg(least.alias("parent")), "up")
+    everything = up.count()
     while True:
-        met = nearest_common_ancestors(pairs, tree)
-        over = stored(met.groupBy("dst").agg(F.min_by("top", "depth").alias("parent")).withColumnRenamed("dst", "node"), "over")
-        moved = over.join(tree.select("node", F.col("parent").alias("_old")).hint("merge"), "node").where("parent <> _old")
-        if moved.isEmpty():
+        tree = _under_root(up)
+        if tree.count() == everything:
+            return tree
+        known = tree.select("graph", F.col("node").alias("src")).unionByName(edges.select("graph", F.col("root").alias("src")).distinct())
+        lost = stored(up.join(tree.select("graph", "node").hint("merge"), ["graph", "node"], "left_anti"), "lost")
+        ahead = edges.join(broadcast_up_to(lost.select("graph", F.col("node").alias("dst")), FOLD_EDGES), ["graph", "dst"], "left_semi")
+        ahead = ahead.join(known.hint("merge"), ["graph", "src"], "left_semi").groupBy("graph", F.col("dst").alias("node")).agg(F.min("src").alias("_new"))
+        ahead = stored(ahead, "ahead")
+        if ahead.isEmpty():
+            return tree
+        hung = lost.join(ahead.hint("merge"), ["graph", "node"], "left").withColumn("parent", F.coalesce("_new", "parent")).drop("_new")
+        up = stored(tree.select(*up.columns).unionByName(hung.select(*up.columns)), "up")
+
+
+def _under_root(up: DataFrame) -> DataFrame:
+    """The rows of the stored ``up(graph, node, root, parent)`` whose parents lead to the root, with ``top`` and ``depth``, in as many rounds as the logarithm of the depth."""
+    at, top = F.when(F.col("parent") != F.col("root"), F.col("parent")), F.when(F.col("parent") == F.col("root"), F.col("node"))
+    walk = stored(up.withColumns({"_at": at, "top": top, "depth": F.lit(1).cast("long")}), "walk")
+    done = walk.where("top IS NOT NULL").count()
+    while not walk.where("top IS NULL").isEmpty():
+        ahead = walk.select("graph", F.col("node").alias("_at"), F.col("_at").alias("_next"), F.col("top").alias("_top"), F.col("depth").alias("_more")).hint("merge")
+        moved = walk.where("top IS NULL").join(ahead, ["graph", "_at"]).select(
+            *up.columns, F.col("_next").alias("_at"), F.col("_top").alias("top"), (F.col("depth") + F.col("_more")).alias("depth")
+        )
+        new = stored(walk.where("top IS NOT NULL").unionByName(moved), "walk")
+        discard(walk)
+        walk, before = new, done
+        done = walk.where("top IS NOT NULL").count()
+        # nodes just beyond the distance of the last round would have come in this one
+        if done == before:
             break
-        tree = with_depths(over.unionByName(roots.select("node", F.col("node").alias("parent"))))
-    back = names.select("graph", "node", "name")
-    above = back.select(F.col("node").alias("parent"), F.col("name").alias("_over")).hint("merge")
-    return over.join(back.hint("merge"), "node").join(above, "parent").select("graph", F.col("name").alias("node"), F.col("_over").alias("parent"))
+    return walk.where("top IS NOT NULL").drop("_at")
+
+
+def _raised(tree: DataFrame, edges: DataFrame) -> DataFrame:
+    """The stored ``tree(graph, node, root, parent)`` with the ends of the stored ``edges(graph, src, dst)`` hung ever higher, until each is below the nearest common ancestor of all nodes with an edge to it."""
+    while True:
+        roots = tree.select("graph", F.col("root").alias("node")).distinct()
+        placed, _ = walk_order(tree, tree.select("graph", "node").unionByName(roots))
+        placed = stored(placed, "placed")
+        named = lambda node, place: placed.select("graph", F.col("node").alias(node), F.col("place").alias(place)).hint("merge")
+        steps = tree.join(named("parent", "_b"), ["graph", "parent"]).join(named("node", "_a"), ["graph", "node"]).select(F.col("_a").alias("node"), F.col("_b").alias("parent"))
+        tops = roots.join(named("node", "_a"), ["graph", "node"]).select(F.col("_a").alias("node"), F.col("_a").alias("parent"))
+        numbered = with_depths(steps.unionByName(tops))
+        spans = edges.join(named("src", "_at"), ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.min("_at").alias("a"), F.max("_at").alias("b"))
+        met = nearest_common_ancestors(stored(spans, "spans"), numbered).select("graph", "node", F.col("top").alias("_b"))
+        new = stored(met.join(named("_new", "_b"), ["graph", "_b"]).select("graph", "node", "_new"), "over")
+        both = stored(tree.join(new.hint("merge"), ["graph", "node"], "left"), "over")
+        moved = both.where("_new <> parent")
+        tree = both.withColumn("parent", F.coalesce("_new", "parent")).drop("_new")
+        if moved.isEmpty():
+            return tree
 
 
 def with_depths(tree: DataFrame) -> DataFrame:
@@ -347,21 +399,26 @@ def topmost_sums(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     up = stored(tree.select("graph", "node", "parent"), "tree")
     named = stored(nodes.select("graph", "node", "name", F.col("size").cast("long").alias("size")), "nodes")
     ends = up.select("graph", "node").unionByName(up.select("graph", F.col("parent").alias("node"))).unionByName(named.select("graph", "node")).distinct()
+    placed, lengths = walk_order(up, ends)
+    known = named.join(placed, ["graph", "node"]).join(lengths, ["graph", "node"]).withColumn("_end", F.col("place") + F.col("length"))
+    reach = ordered_scan(known, ["graph", "name"], ["place"], maxima={"_reach": "_end"})
+    return reach.groupBy("graph", "name").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("_reach") > F.col("place"), 0).otherwise(F.col("size"))).alias("retained")
+    )
+
+
+def walk_order(up: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(graph, node, place)``, the places of the distinct ``ends(graph, node)`` in a walk from each root, one graph behind another, and ``(graph, node, length)``, how many of them a subtree has; ``up(graph, node, parent)`` is stored."""
     lengths = stored(subtree_sums(up, ends.withColumn("size", F.lit(1))).withColumnRenamed("retained", "length"), "lengths")
     # a child's place behind its parent: one, and all that stands below earlier children
-    siblings = ordered_scan(up.join(lengths, ["graph", "node"]), ["graph", "parent"], ["node"], {"_before": "length"})
+    siblings = ordered_scan(up.select("graph", "node", "parent").join(lengths, ["graph", "node"]), ["graph", "parent"], ["node"], {"_before": "length"})
     steps = ends.join(siblings.select("graph", "node", "parent", (F.col("_before") + 1).alias("place")), ["graph", "node"], "left")
     # roots follow one another
-    tops = ordered_scan(steps.where("parent IS NULL").select("graph", "node").join(lengths, ["graph", "node"]), ["graph"], ["node"], {"place": "length"})
+    tops = ordered_scan(steps.where("parent IS NULL").select("graph", "node").join(lengths, ["graph", "node"]), [], ["graph", "node"], {"place": "length"})
     walk = steps.where("parent IS NOT NULL").select("graph", "node", "parent", "place").unionByName(
         tops.select("graph", "node", F.lit(None).cast(up.schema["parent"].dataType).alias("parent"), "place")
     )
-    placed = sums_to_root(stored(walk, "walk"))
-    known = named.join(placed, ["graph", "node"]).join(lengths, ["graph", "node"]).withColumn("_end", F.col("place") + F.col("length"))
-    reach = ordered_scan(known, ["graph", "name"], ["place"], maxima={"_reach": "_end"})
-    return reach.groupBy("graph", "name").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("_reach") > F.col("place"), 0).otherwise(F.col("size"))).alias("retained")
-    )
+    return sums_to_root(stored(walk, "walk")), lengths
 
 
 def sums_to_root(walk: DataFrame, max_rounds: int = 60) -> DataFrame:

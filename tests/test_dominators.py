@@ -69,3 +69,20 @@ def test_nearest_common_ancestors(spark):
     assert {(r["k"], r["top"], r["depth"]) for r in found} == {
         (k, top := next(x for x in up(a) if x in set(up(b))), len(up(top)) - 1) for k, a, b in pairs
     }
+
+
+def test_tree_starts_anywhere(spark):
+    """Least nodes before in a cycle, below what isn't reached, or deeper than need be."""
+    edges = [(1, 0, 9), (1, 9, 5), (1, 5, 3), (1, 3, 4), (1, 4, 5), (1, 5, 4), (1, 2, 8), (1, 9, 8), (1, 8, 7), (1, 1, 7), (1, 1, 2), (1, 6, 0), (1, 7, 0)]
+    frame = spark.createDataFrame(edges, "g int, a long, b long")
+    assert {tuple(r) for r in G.dominators(frame, "g", "a", "b", F.lit(0), fold_edges=0).collect()} == brute(edges)
+
+
+def test_layers_are_solved_in_few_passes(spark, monkeypatch):
+    """Nodes reached from below several children of the root need no common ancestors, and few tables of edges are written."""
+    written = []
+    monkeypatch.setattr(G, "stored", lambda df, label, keep=G.stored: (written.append(label), keep(df, label))[1])
+    edges = [(1, 0, k) for k in range(1, 9)] + [(1, 1 + k % 8, 10 + k) for k in range(40)] + [(1, 10 + k % 40, 60 + k % 7) for k in range(90)]
+    frame = spark.createDataFrame(edges, "g int, a long, b long")
+    assert {tuple(r) for r in G.dominators(frame, "g", "a", "b", F.lit(0), fold_edges=0).collect()} == brute(edges)
+    assert len(written) <= 12 and "pairs" not in written
