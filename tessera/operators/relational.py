@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import growth_status
 from tessera.operators.merging import containments
 from tessera.operators.prefix import ordered_scan, ordered_totals
-from tessera.runtime import stored
+from tessera.runtime import parallelism, stored, width
 
 
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -164,10 +164,19 @@ def assign_ids(known: DataFrame, rows: DataFrame, key: str, number: str = "numbe
 
 
 def even_split(shared: DataFrame, item: str, owner: str, size: str) -> DataFrame:
-    """Each item's size dealt evenly to its distinct owners, the rest of the division dropped, summed by owner."""
-    owned = shared.select(item, owner, size).distinct()
-    parts = owned.groupBy(item).agg(F.max(size).alias("_size"), F.count(owner).alias("_n"))
-    dealt = owned.select(item, owner).where(F.col(owner).isNotNull()).join(parts, item)
+    """Each item's size dealt evenly to its distinct owners, the rest of the division dropped, summed by owner.
+
+    Rows are dealt by item and a cell of the owner to as many tasks as their number asks for, before anything is counted: nearly every
+    pair is distinct, so counting where they are read would hold all rows of a task. What meets by item alone is a row a cell.
+    """
+    cell = F.pmod(F.xxhash64(owner), F.lit(parallelism(shared.sparkSession))).alias("_cell")
+    rows = stored(shared.select(item, owner, size, cell), "shared")
+    tasks = width(rows)
+    owned = rows.repartition(tasks, item, "_cell").distinct()
+    counts = owned.groupBy(item, "_cell").agg(F.max(size).alias("_size"), F.count(owner).alias("_n")).repartition(tasks, item)
+    whole = Window.partitionBy(item)
+    parts = counts.select(item, "_cell", F.max("_size").over(whole).alias("_size"), F.sum("_n").over(whole).alias("_n"))
+    dealt = owned.where(F.col(owner).isNotNull()).select(item, "_cell", owner).join(parts.hint("merge"), [item, "_cell"])
     return dealt.groupBy(owner).agg(F.sum(F.expr("_size div _n")).alias("attributed"), F.count("*").alias("items"))
 
 

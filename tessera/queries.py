@@ -26,7 +26,7 @@ from tessera.operators import merging as MG
 from tessera.operators import relational as R
 from tessera.operators import retrieval as T
 from tessera.operators import similarity as M
-from tessera.runtime import parallelism, shared_dir, stored, table
+from tessera.runtime import parallelism, shared_dir, stored, table, width
 from tessera.sources import logs as LG
 from tessera.sources import ranges as RG
 from tessera.streaming import events as E
@@ -367,7 +367,10 @@ def dominant_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def even_split_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), cents("o_totalprice").alias("size"))
-    shared = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    # orders that are broadcast, or sorted in few tasks, would take memory that grows with them
+    tasks = width(lines)
+    shared = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "l_orderkey").hint("merge"), "l_orderkey")
     return R.even_split(shared, "l_orderkey", "l_suppkey", "size")
 
 

@@ -84,6 +84,21 @@ def test_even_split_drops_the_rest(spark):
     assert values(R.even_split(rows, "item", "owner", "size"), "owner", "attributed", "items") == [("p", 3, 1), ("q", 3, 1), ("r", 3, 1)]
 
 
+def test_even_split_counts_no_rows_where_they_are_read(spark):
+    """Equal pairs meet after the rows are dealt to tasks, and an item with many owners is in many of these."""
+    made = [("hot", k % 300, 90_000) for k in range(900)] + [(f"i{k % 50}", k % 7, 1000 + k % 50) for k in range(400)] + [("z", None, 5), (None, 3, 5), ("none", 4, None)]
+    split = R.even_split(spark.createDataFrame(made, "item string, owner long, size long"), "item", "owner", "size")
+    owners = {i: {o for j, o, _ in made if j == i and o is not None} for i, *_ in made if i}
+    expected = {}
+    for i, o, s in {x for x in made if x[0] and x[1] is not None}:
+        total, items = expected.get(o, (None, 0))
+        expected[o] = (total if s is None else (total or 0) + s // len(owners[i]), items + 1)
+    assert {r[0]: (r[1], r[2]) for r in split.collect()} == expected
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert all("Aggregate" not in part for part in plan.split("_cell#")[-1:]) and plan.count("REPARTITION_BY_NUM") >= 2
+
+
+
 @pytest.mark.parametrize("buckets", [1, 7])
 def test_running_totals_tile_the_line(spark, buckets):
     rows = spark.range(500).select((F.col("id") % 3).alias("g"), "id", (F.col("id") % 5).alias("w")).withColumn("at", hash_position("id"))
