@@ -26,7 +26,7 @@ from tessera.operators import merging as MG
 from tessera.operators import relational as R
 from tessera.operators import retrieval as T
 from tessera.operators import similarity as M
-from tessera.runtime import parallelism, shared_dir, stored, table, width
+from tessera.runtime import shared_dir, stored, table, width
 from tessera.sources import logs as LG
 from tessera.sources import ranges as RG
 from tessera.streaming import events as E
@@ -1270,6 +1270,10 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files written from the tables and read back
 
 
+#: Events of a snapshot, about, where there are more than one a task.
+_SNAPSHOT_EVENTS = 250_000
+
+
 def _snapshot_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The events of a task as the comma-separated records of one heap snapshot: each a node of its value, named by type and properties."""
     meta = {"node_fields": ["type", "name", "id", "self_size", "edge_count"], "node_types": ["object"]}
@@ -1293,9 +1297,11 @@ def _snapshot_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """SELECT event_id AS node_id, CAST(round(value * 100) AS BIGINT) AS size, 'object' AS type, event_type || ' ' || props AS name FROM events"""
 )
 def snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events, written as heap snapshots of one JSON object each and read back in byte ranges."""
+    """All events, written as heap snapshots of one JSON object each and read back in byte ranges; more events are more snapshots, as a task holds the names of one."""
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/snapshots-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events").select("event_id", cents("value"), "event_type", "props").repartition(parallelism(spark))
+    events = table(spark, sf_dir, "events").select("event_id", cents("value"), "event_type", "props")
+    # by key, since rows dealt in turn are sorted first
+    events = events.repartition(width(events, _SNAPSHOT_EVENTS), "event_id")
     events.mapInArrow(_snapshot_records, "value string").write.option("lineSep", ",").text(path)
     nodes = RG.snapshot_nodes(RG.json_elements(spark, path))
     return nodes.where("node_id IS NOT NULL").select("node_id", "size", "type", "name")

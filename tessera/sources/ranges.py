@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import small_batches, stored
+from tessera.runtime import small_batches, stored, width
 
 _TOKEN = re.compile(r'\\.|["\[\]{}]', re.DOTALL)
 _SPECIAL = re.compile(r'["\[\]{}]')
@@ -194,12 +194,14 @@ def snapshot_nodes(elements: DataFrame) -> DataFrame:
     """``(graph, node, node_id, size, edge_count, type, name)`` of heap snapshots, from their ``json_elements``; the same as ``snapshot.nodes`` of whole ones."""
     kept = stored(elements, "snapshot")
     meta = kept.where("array = 'snapshot'").select("file", F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), _META)["meta"].alias("meta")).where("meta IS NOT NULL")
-    fields = F.broadcast(meta.select("file", F.col("meta.node_fields").alias("fields"), F.col("meta.node_types").alias("types")))  # a row a file
+    fields, types = (F.broadcast(meta.select("file", F.col(f"meta.node_{n}").alias(n))) for n in ("fields", "types"))  # a row a file
     flat = kept.where("array = 'nodes'").join(fields, "file").withColumn("node", F.expr("number div size(fields)"))
     field, value = F.expr("fields[CAST(number % size(fields) AS int)]"), F.trim("text").cast("long")
     read = {"node_id": "id", "size": "self_size", "edge_count": "edge_count", "_type": "type", "_name": "name"}
-    rows = flat.groupBy("file", "node").agg(*[F.max(F.when(field == f, value)).alias(n) for n, f in read.items()], F.first("types").alias("types"))
+    # dealt to as many tasks as the elements ask for before they meet, since a task that reads them would hold all of its nodes
+    flat = flat.select("file", "node", field.alias("_field"), value.alias("_value")).repartition(width(kept), "file", "node")
+    rows = flat.groupBy("file", "node").agg(*[F.max(F.when(F.col("_field") == f, F.col("_value"))).alias(n) for n, f in read.items()])
     # a text is an element of a JSON array by itself
     strings = kept.where("array = 'strings'").select("file", F.col("number").alias("_name"), F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>")[0].alias("name"))
-    named = rows.join(strings, ["file", "_name"], "left")
+    named = rows.join(strings.hint("merge"), ["file", "_name"], "left").join(types, "file")
     return named.select(F.col("file").alias("graph"), "node", "node_id", "size", "edge_count", F.get("types", F.col("_type").cast("int")).alias("type"), "name")

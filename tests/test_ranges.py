@@ -57,6 +57,15 @@ def test_nodes_are_those_of_the_whole_snapshot(spark, files, cut):
     assert read(ranges.snapshot_nodes(ranges.json_elements(spark, str(files)))) == whole and len(whole) == 7
 
 
+def test_elements_of_nodes_meet_after_they_are_dealt(spark, files, monkeypatch):
+    """In as many tasks as asked for, hashed there and not sorted, and not held where they are read."""
+    monkeypatch.setattr(ranges, "width", lambda df: 9)
+    found = ranges.snapshot_nodes(ranges.json_elements(spark, str(files)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan and "HashAggregate" not in plan.split("REPARTITION_BY_NUM")[-1]
+    assert found.count() == 7
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 7])
 def test_any_ranges_of_records_compose(width):
     """The same two scans and folds without files: ranges of a few records each."""
