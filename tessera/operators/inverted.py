@@ -3,8 +3,8 @@
 A posting is a term in a field of one document, with all its places there. Terms are runs of ASCII letters,
 digits and underscores in lower case, placed by their number in the text, and pairs of neighbouring CJK characters,
 placed by character. A word is one term or several in a row: a phrase, or a longer CJK word. The index is
-Parquet, dealt to folders by a hash of the term and ranged by term and document within, so a term
-that most documents have is many files' work and others are skipped.
+Parquet, dealt to folders by a hash of the term. Within a folder each task that wrote it has a file of its own
+documents in order of terms, so a term that most documents have is many files' work and other folders are skipped.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from functools import reduce
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import bound
-from tessera.runtime import parallelism, small_batches
+from tessera.runtime import broadcast_up_to, small_batches, spread, width
 
 #: Folders of an index.
 BUCKETS = 64
+#: Places that a task holds before it writes a segment of postings, and words or terms that are broadcast at most.
+SEGMENT_PLACES, BROADCAST_ROWS = 1_000_000, 500_000
 _CJK = "[一-鿿]"
 _LATIN, _CJK_RUN = re.compile("[a-z0-9_]+"), re.compile(f"{_CJK}{{2,}}")
 
@@ -55,41 +58,58 @@ def _gathered(text: str, lower: str) -> dict[str, list[int]]:
     return places
 
 
-def postings(documents: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
-    """``(term, key, field, whole, places)``: ``whole`` is a hash of the field's text in lower case, ``places`` sorted.
-
-    Rows of one key count as one document; null keys are one, too.
-    """
+def _segments(documents: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
+    """``(term, field, items)``: the postings of a term in a field of some neighbouring documents, each ``(key, whole, places)``."""
     each = F.array(*[F.struct(F.lit(name).alias("field"), text.cast("string").alias("text")) for name, text in fields.items()])
-    texts = documents.select(F.col(key).alias("key"), F.inline(each))
-    # of a key's equal texts one is indexed; null texts have no posting
-    single = texts.where("text IS NOT NULL").withColumn("lower", F.lower("text")).withColumn("whole", F.xxhash64("lower")).dropDuplicates(["key", "field", "whole"])
-    kind = single.schema["key"].dataType.simpleString()
+    texts = spread(documents.select(F.col(key).alias("key"), each.alias("_each"))).select("key", F.inline("_each")).where("text IS NOT NULL")
+    texts = texts.withColumn("lower", F.lower("text")).withColumn("whole", F.xxhash64("lower"))
+    kind = texts.schema["key"].dataType.simpleString()
     small_batches(documents.sparkSession)
 
+    def segment(batch: pa.RecordBatch, found: dict[tuple[str, str], tuple[list[int], list[list[int]]]]) -> pa.RecordBatch:
+        rows = pa.array(list(chain.from_iterable(r for r, _ in found.values())), pa.int64())
+        ends = list(accumulate((len(r) for r, _ in found.values()), initial=0))
+        lists = list(chain.from_iterable(at for _, at in found.values()))
+        places = pa.array(list(chain.from_iterable(lists)), pa.int32())
+        places = pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, lists), initial=0)), pa.int32()), places)
+        items = pa.StructArray.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), places], names=["key", "whole", "places"])
+        named = [pa.array([name[k] for name in found], pa.string()) for k in (1, 0)]
+        return pa.RecordBatch.from_arrays([*named, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["term", "field", "items"])
+
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, terms, ends, places = [], [], [0], []
-            for row, (text, lower) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            found, held = {}, 0
+            for row in range(batch.num_rows):
+                field, text, lower = (batch.column(k)[row].as_py() for k in (1, 3, 4))
                 for term, at in _gathered(text, lower).items():
+                    rows, places = found.setdefault((field, term), ([], []))
                     rows.append(row)
-                    terms.append(term)
-                    places += at
-                    ends.append(len(places))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-            own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *own, lists], names=["term", "key", "field", "whole", "places"])
+                    places.append(at)
+                    held += len(at)
+                if held >= SEGMENT_PLACES:
+                    yield segment(batch, found)
+                    found, held = {}, 0
+            yield segment(batch, found)
 
-    schema = f"term string, key {kind}, field string, whole long, places array<int>"
-    return single.select("key", "field", "whole", "text", "lower").mapInArrow(gathered, schema)
+    schema = f"term string, field string, items array<struct<key: {kind}, whole: bigint, places: array<int>>>"
+    return texts.select("key", "field", "whole", "text", "lower").mapInArrow(gathered, schema)
+
+
+def postings(documents: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
+    """``(term, key, field, whole, places)``: ``whole`` is a hash of the field's text in lower case, ``places`` sorted.
+
+    Rows of one key count as one document; null keys are one, too. A key's equal texts give equal postings, which count once.
+    """
+    return _segments(documents, key, fields).select("term", "field", F.inline("items")).select("term", "key", "field", "whole", "places")
 
 
 def write_index(documents: DataFrame, key: str, fields: Mapping[str, Column], path: str) -> None:
-    """Write the postings of ``documents`` as an index at ``path``, in place of any other there."""
-    made = postings(documents, key, fields).withColumn("bucket", _bucket(F.col("term")))
-    width = 4 * parallelism(documents.sparkSession)
-    ranged = made.repartitionByRange(width, "bucket", "term", "key").sortWithinPartitions("bucket", "term", "key")
-    ranged.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+    """Write the postings of ``documents`` as an index at ``path``, in place of any other there.
+
+    Each task writes those of the documents that it reads, so nothing but texts of a small input is shuffled.
+    """
+    made = _segments(documents, key, fields).withColumn("bucket", _bucket(F.col("term")))
+    made.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
 def word_terms(words: DataFrame) -> DataFrame:
@@ -105,28 +125,43 @@ def asked_postings(spark: SparkSession, path: str, words: DataFrame) -> DataFram
     terms = words.select(F.explode(terms_of(F.col("word"))["term"]).alias("term")).distinct()
     buckets = [b for (b,) in terms.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
     index = spark.read.parquet(path)
-    return index.where(F.col("bucket").isin(buckets) if buckets else F.lit(False)).join(terms, "term", "left_semi").drop("bucket")
+    asked = index.where(F.col("bucket").isin(buckets) if buckets else F.lit(False)).join(broadcast_up_to(terms, BROADCAST_ROWS), "term", "left_semi")
+    return asked.select("term", "field", F.inline("items")).select("term", "key", "field", "whole", "places")
 
 
 def indexed_relevance(found: DataFrame, words: DataFrame, bonus: Mapping[str, int], exact: Mapping[str, int]) -> DataFrame:
     """``(query, key, score)`` of the documents that have a word of a query.
 
-    ``found(term, key, field, whole, places)`` are postings. A word of ``words(query, word, weight)`` gives its weight times
-    the field's ``bonus`` where the field has it, and as often the field's ``exact`` where it is the field's whole text.
+    ``found(term, key, field, whole, places)`` are postings, of which repeated ones count once. A word of ``words(query, word, weight)``
+    gives its weight times the field's ``bonus`` where the field has it, and as often the field's ``exact`` where it is the field's whole text.
+
+    Postings meet by document before they meet the queries: what is shuffled grows with the documents' asked terms, not with the
+    queries that ask for each, and a document's scores are summed in one task.
     """
-    asked = word_terms(words).withColumn("n_terms", F.size("terms"))
-    parts = asked.select("query", "word", "weight", "n_terms", F.inline("terms")).withColumnRenamed("place", "_off")
-    met = found.join(parts, "term").withColumn("_starts", F.transform("places", lambda p: p - F.col("_off")))
-    single, several = met.where("n_terms = 1"), met.where("n_terms > 1")
-    own = ["query", "word", "weight", "key", "field", "whole"]
+    asked = word_terms(words).withColumns({"n_terms": F.size("terms"), "_equal": F.xxhash64(F.lower("word"))})
+    parts = asked.select("query", "word", "weight", "n_terms", "_equal", F.inline("terms")).withColumnRenamed("place", "_off")
+
+    tasks = width(found.select("key"))
+
+    def met(rows: DataFrame, which: str) -> DataFrame:
+        """Distinct ``rows`` with the words that they are asked for by, dealt by document."""
+        some = parts.where(which)
+        dealt = rows.join(broadcast_up_to(some.select("term").distinct(), BROADCAST_ROWS), "term", "left_semi").repartition(tasks, "key")
+        return dealt.dropDuplicates(["term", "key", "field", "whole"]).join(broadcast_up_to(some, BROADCAST_ROWS), "term")
+
+    own = ["query", "word", "weight", "_equal", "key", "field", "whole"]
+    single = met(found.drop("places"), "n_terms = 1")
+    several = met(found, "n_terms > 1").withColumn("_starts", F.transform("places", lambda p: p - F.col("_off")))
     # as many arrays as the word has terms
     gathered = several.groupBy(*own, "n_terms").agg(F.collect_list("_starts").alias("_all"))
     shared = F.aggregate(F.slice("_all", 2, F.size("_all")), F.element_at("_all", 1), F.array_intersect)
     phrases = gathered.where((F.size("_all") == F.col("n_terms")) & (F.size(shared) > 0))
-    hits = single.select(*own).unionByName(phrases.select(*own))
 
     def by_field(values: Mapping[str, int]) -> Column:
         return reduce(lambda rest, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(rest), values.items(), F.lit(0))
 
-    equal = F.when(F.col("whole") == F.xxhash64(F.lower("word")), by_field(exact)).otherwise(0)
-    return hits.groupBy("query", "key").agg(F.sum(F.col("weight") * (by_field(bonus) + equal)).alias("score"))
+    equal = F.when(F.col("whole") == F.col("_equal"), by_field(exact)).otherwise(0)
+    score = F.sum(F.col("weight") * (by_field(bonus) + equal)).alias("score")
+    # summed before they are put together, so that no hit is moved
+    sums = [hits.groupBy("query", "key").agg(score) for hits in (single, phrases)]
+    return sums[0].unionByName(sums[1]).groupBy("query", "key").agg(F.sum("score").alias("score"))

@@ -88,3 +88,44 @@ def test_terms_of_a_long_cjk_text_take_time_in_proportion(spark):
     assert time.monotonic() - began < 30
     got = {(r["key"], r["term"], tuple(r["places"])) for r in I.postings(docs, "id", {"body": F.col("text")}).collect()}
     assert got == expected and len(got) > 5
+
+
+def test_scores_meet_by_document_only(spark, index):
+    """Hits of every query that asks for a term were shuffled, so what was written grew with documents times queries."""
+    _, path = index
+    asked = spark.createDataFrame([(k, w, 1) for k in range(50) for w in ("input", "text input")], "query int, word string, weight int")
+    found = I.indexed_relevance(I.asked_postings(spark, path, asked), asked, {"body": 1}, {})
+    assert len(found.collect()) == 50 * 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r" Exchange hashpartitioning\((.*)", plan)
+    assert any(d.startswith("key#") for d in dealt) and not any("query#" in d and "key#" in d for d in dealt)
+
+
+def test_repeated_rows_count_once(spark, tmp_path):
+    """Equal texts of a key lie in the files of several tasks; a null key is one document."""
+    rows = [(k, t) for k, t in [(1, "Ab cd"), (1, "Ab cd"), (1, "x ab"), (None, "ab cd"), (2, None)] for _ in range(20)]
+    path = str(tmp_path / "index")
+    I.write_index(spark.createDataFrame(rows, "k long, t string").repartition(7), "k", {"t": F.col("t")}, path)
+    asked = spark.createDataFrame([(1, "ab", 3), (1, "ab cd", 5)], "query int, word string, weight int")
+    found = I.indexed_relevance(I.asked_postings(spark, path, asked), asked, {"t": 1}, {"t": 2})
+    assert {r["key"]: r["score"] for r in found.collect()} == {1: 3 + 3 + 5 * 3, None: 3 + 5 * 3}
+
+
+def test_long_documents_are_cut_into_segments(spark, monkeypatch):
+    """A batch holds a bounded number of places, whatever its texts; all are written."""
+    monkeypatch.setattr(I, "SEGMENT_PLACES", 50)
+    docs = spark.createDataFrame([(k, "a b a " * 20) for k in range(30)], "k long, t string").coalesce(1)
+    found = I.postings(docs, "k", {"t": F.col("t")}).collect()
+    assert sorted((r["term"], r["key"], len(r["places"])) for r in found) == sorted((t, k, n) for k in range(30) for t, n in (("a", 40), ("b", 20)))
+
+
+def test_an_index_is_written_without_a_shuffle(spark, tmp_path):
+    """Postings were ranged, which made them twice, wrote some five times the texts and spilled as much."""
+    docs = spark.range(400).select("id", F.lit("a b c").alias("t")).repartition(8)  # as many pieces as cores, or more
+    path, tracker = str(tmp_path / "index"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index", "")
+    I.write_index(docs, "id", {"t": F.col("t")}, path)
+    spark.sparkContext.setJobGroup("none", "")
+    stages = {s for j in tracker.getJobIdsForGroup("index") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 3  # the shuffle of this test, with adaptive planning once more, and the write
+    assert spark.read.parquet(path).groupBy("term").agg(F.sum(F.size("items")).alias("n")).where("n = 400").count() == 3
