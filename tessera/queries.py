@@ -1316,9 +1316,14 @@ _FUNCTIONS = (
 )
 
 
+#: Crash records of a log, which is read as one text of some 7 MB.
+_LOG_RECORDS = 20_000
+
+
 def _crash_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crash record of each order in one text: its state says the signal, its lines are the stack."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    """A crash record of each order in one text: its state says the signal, its lines are the stack. More lines are more tasks."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = lines.repartition(width(lines), "l_orderkey")
     pick = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
     called = F.concat(pick(_LIBRARIES, F.col("l_suppkey")), F.lit("("), pick(_FUNCTIONS, F.col("l_partkey")), F.lit("+"), F.col("l_linenumber").cast("string"), F.lit(")"))
     stack = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", called.alias("called")).alias("_f")).groupBy("l_orderkey").agg(
@@ -1366,9 +1371,8 @@ def _crash_sql() -> str:
 def crash_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as crash records in compressed logs, read back, cut into blocks and searched for causes, callers and waits."""
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/logs-{uuid.uuid4().hex}"
-    _crash_logs(spark, sf_dir).write.option("compression", "gzip").text(path)
-    logs = LG.read_logs(spark, path, r"^part-.*\.gz$")
-    records = LG.blocks(LG.lines(logs.select("path", "text")), ["path"], r"^Order:\d+$")
+    _crash_logs(spark, sf_dir).write.option("compression", "gzip").option("maxRecordsPerFile", _LOG_RECORDS).text(path)
+    records = LG.text_blocks(LG.read_logs(spark, path, r"^part-.*\.gz$").select("text"), r"^Order:\d+$")
     text, frames = F.array_join("body", "\n"), F.filter("body", lambda x: x.startswith("#"))
     key, thread, message, reason = LG.fields(
         F.concat_ws("\n", "header", text), {"order_key": r"Order:(\d+)", "thread": r"Name:(\S+)", "message": "LastFatalMessage:(.*)", "reason": "Reason:(.*)"}

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import name_time
+from tessera.functions.scalars import bound, name_time
+from tessera.runtime import small_batches
 
 # Encodings tried in order; the last never fails.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
@@ -30,9 +31,10 @@ def decode(data: bytes | None) -> str:
 def read_logs(spark: SparkSession, path: str, name_pattern: str = ".*", head_pattern: str | None = None, head_bytes: int = 16384) -> DataFrame:
     """``(path, name, time, text)`` of files below ``path`` by name and, if asked, by their first bytes.
 
-    Names and heads are tested by Spark before any text is decoded in Python. ``time`` is what the
-    name says, or else the file's modification time.
+    Names and heads are tested by Spark before any text is decoded in Python, where a task holds one text at
+    a time. ``time`` is what the name says, or else the file's modification time.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(F.col("name").rlike(name_pattern))
     if head_pattern:
@@ -40,7 +42,9 @@ def read_logs(spark: SparkSession, path: str, name_pattern: str = ".*", head_pat
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(text=frame["content"].map(decode)).drop(columns="content")
+            for k in range(len(frame)):
+                one = frame.iloc[k : k + 1]
+                yield one.assign(text=one["content"].map(decode)).drop(columns="content")
 
     dated = files.select("path", "name", F.coalesce(name_time(F.col("name")), F.col("modificationTime").cast("timestamp_ntz")).alias("time"), "content")
     return dated.mapInPandas(texts, "path string, name string, time timestamp_ntz, text string")
@@ -77,6 +81,20 @@ def blocks(rows: DataFrame, by: Sequence[str], header: str, order: str = "line_n
     return grouped.select(*by, F.col("_block").alias("block"), F.get("_lines", 0).alias("header"), F.slice("_lines", 2, 1 << 30).alias("body"))
 
 
+def text_blocks(logs: DataFrame, header: str, text: str = "text") -> DataFrame:
+    """The ``blocks`` of each row's text, cut where the text is: nothing is shuffled, and a task holds one text and its lines."""
+    kept = [c for c in logs.columns if c != text]
+
+    def cut(lines: Column) -> Column:
+        found = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(header), i)), F.isnotnull)
+        return bound(found, lambda starts: F.transform(starts, lambda at, k: block(lines, at, F.coalesce(F.get(starts, k + 1), F.size(lines)), k)))
+
+    def block(lines: Column, at: Column, end: Column, k: Column) -> Column:
+        return F.struct((k + 1).cast("long").alias("block"), F.get(lines, at).alias("header"), F.slice(lines, at + 2, end - at - 1).alias("body"))
+
+    return logs.select(*kept, F.inline(bound(F.split(text, r"\r?\n"), cut)))
+
+
 def header_table(rows: DataFrame, header: Column, line: str = "line") -> Column:
     """Cells of a line named by a header line whose column order may vary."""
     return F.map_from_arrays(F.split(F.trim(header), r"\s+"), F.slice(F.split(F.trim(F.col(line)), r"\s+"), 1, F.size(F.split(F.trim(header), r"\s+"))))
@@ -108,5 +126,5 @@ def stack_frames(rows: DataFrame, line: str = "line") -> DataFrame:
 def memory_maps(rows: DataFrame, line: str = "line") -> DataFrame:
     """Intervals [low, high) as decimals, since addresses are unsigned."""
     found = rows.where(F.col(line).rlike(MAP))
-    bound = [F.conv(F.regexp_extract(line, MAP, k + 1), 16, 10).cast("decimal(20,0)").alias(n) for k, n in enumerate(["low", "high"])]
-    return found.select("*", *bound, F.regexp_extract(line, MAP, 3).alias("perms"), F.regexp_extract(line, MAP, 4).alias("file"))
+    ends = [F.conv(F.regexp_extract(line, MAP, k + 1), 16, 10).cast("decimal(20,0)").alias(n) for k, n in enumerate(["low", "high"])]
+    return found.select("*", *ends, F.regexp_extract(line, MAP, 3).alias("perms"), F.regexp_extract(line, MAP, 4).alias("file"))

@@ -158,3 +158,24 @@ def test_roles_and_reports(spark, tmp_path):
     assert json.loads(text) == {"node_address": "18446744073709551615", "n": 1}
     with pytest.raises(ValueError):
         cases.write_report(rows.limit(0), str(tmp_path / "none"), least=1)
+
+
+def test_blocks_of_whole_texts_are_those_of_their_lines(spark):
+    texts = ["x\nHead:1\na\nb\r\nHead:2\nHead:3\n", "", None, "none", "Head:9", "Head:1 x\nHead:1\r\n\r\n" + "line\n" * 3000 + "Head:2"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    expected = logs.blocks(logs.lines(frame), ["path"], r"^Head:\d+$").collect()
+    found = logs.text_blocks(frame, r"^Head:\d+$")
+    assert found.columns == ["path", "block", "header", "body"]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == sorted(map(tuple, expected), key=lambda r: r[:2]) and len(expected) == 6
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crash_logs_grow_in_number(spark, monkeypatch):
+    """A log, which is read as one text, grew with the orders, and its lines were sorted and numbered in one task."""
+    from tessera import queries
+
+    monkeypatch.setattr(queries, "_LOG_RECORDS", 50)
+    made = queries.QUERIES["crash_records"](spark, "/root/testdata/sf0.001")
+    sizes = [len(r["text"].split("Order:")) - 1 for r in logs.read_logs(spark, made.inputFiles()[0].rsplit("/", 1)[0], r"\.gz$").collect()]
+    assert max(sizes) <= 50 and sum(sizes) == made.count() > 500
+    assert not {"Window", "Exchange"} & set(made._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
