@@ -43,10 +43,9 @@ LEAST_SAMPLE, SAMPLE, LEAF_ROWS, MOST_LEAVES = 65_536, 1_048_576, 4_096, 65_536
 SIMILAR_WORDS, LEAST = 5, (4, 5)
 #: Row numbers, of eight bytes, that are broadcast at most; more are met in a shuffled join.
 BROADCAST_ROWS = 2_000_000
-#: The share of documents in which frequent shingles are counted, the least number of these documents, and how many
-#: shingles are told apart from rare ones. The share keeps what the sample misses, passages in a few documents, as small as
-#: it is however large the corpus.
-COMMON_SHARE, COMMON_SAMPLE, COMMON = 0.25, 8_192, 1_048_576
+#: How many frequent shingles every task knows, and orders by their counts; all others come before them and are met in a
+#: shuffled join, so pairs don't depend on it.
+COMMON = 1_048_576
 #: Sets of the last texts that a task keeps while it compares pairs, and the longest text whose set is kept.
 KEPT_SETS, KEPT_BYTES = 256, 65_536
 
@@ -297,16 +296,17 @@ def prefix_length(n: int, least: tuple[int, int]) -> int:
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles of a sample of ``texts(text)``, ``COMMON`` at most."""
-    share = min(1.0, max(COMMON_SHARE, COMMON_SAMPLE / max(1, texts.count())))
-    sample = texts.where(hash_position(F.xxhash64("text")) < int(share * (1 << POSITION_BITS)))
+    """Sorted hashes and counts of the most frequent shingles of all ``texts(text)``, ``COMMON`` at most."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], names=["key"])
+            own = [shingle_set(text.as_py(), words) for text in batch.column(0)]
+            keys, n = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *own]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
-    counted = sample.mapInArrow(cut, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # most shingles stand in one text, so a task that reads texts would only hold its keys to no end
+    dealt = texts.mapInArrow(cut, "key long, n long").repartition("key")
+    counted = dealt.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     kept = stored(counted.orderBy(F.desc("n"), "key").limit(COMMON), "common")
     top = kept.toArrow()
     discard(kept)
@@ -426,7 +426,7 @@ def drop_similar(documents: DataFrame, words: int = SIMILAR_WORDS, least: tuple[
     ``least`` (a fraction) at least. The vantage-point tree over the texts' fingerprints gives the first pairs, which are then
     compared exactly. Fingerprints of similar texts may lie farther apart, so an exact search adds what the tree misses: sets this similar share one of their rarest
     shingles in any common order of all shingles, so sets that share none need no comparing. The
-    order, by frequency in a sample, is a matter of speed only.
+    order, by the counts of the most frequent ones in all texts, is a matter of speed only.
     """
     small_batches(documents.sparkSession)
     common, counts = common_shingles(documents.select(F.col("text").cast("string").cast("binary").alias("text")), words)

@@ -179,3 +179,22 @@ def test_similar_texts_go_through_the_tree(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == slow_similar(texts)
     bits = [bin((seen["prints"][r["a"]] ^ seen["prints"][r["b"]]) & (1 << 64) - 1).count("1") for r in seen["pairs"]]
     assert len(bits) > 10 and max(bits) <= near.RADIUS
+
+
+def test_frequent_shingles_are_counted_in_all_texts(spark):
+    """They were counted in a quarter of the texts, 8,192 at least."""
+    from tessera.llm.near_duplicates import common_shingles
+
+    texts = spark.range(20_000).selectExpr("concat('p q r s t ', id, if(id % 2 = 0, ' u v w x y', '')) AS text").selectExpr("cast(text AS binary) AS text")
+    keys, counts = common_shingles(texts, 5)
+    hashes = {xxhash.xxh64_intdigest(s, 42): n for s, n in ((b"p q r s t", 20_000), (b"u v w x y", 10_000))}
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == hashes
+
+
+@pytest.mark.parametrize("known", [0, 3, 40])
+def test_pairs_do_not_depend_on_the_shingles_known_as_frequent(spark, monkeypatch, known):
+    import tessera.llm.near_duplicates as near
+
+    monkeypatch.setattr(near, "COMMON", known)
+    texts = edited(5, 120) + [(1000, ""), (1001, " ")]
+    assert sorted(r["doc_id"] for r in drop_similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()) == slow_similar(texts)
