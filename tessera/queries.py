@@ -1336,7 +1336,8 @@ def _crash_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n", F.concat(F.lit("Order:"), F.col("o_orderkey")), F.concat(F.lit("Reason:Signal:"), signal, F.lit("@0x"), F.lower(F.hex("o_orderkey"))),
         F.concat(F.lit("Tid:1, Name:"), thread), F.concat(F.lit("LastFatalMessage:"), message), F.array_join("frames", "\n"),
     )
-    return orders.join(stack, F.col("o_orderkey") == F.col("l_orderkey")).select(record.alias("value"))
+    # a small file of orders may be many rows, which every task would hold if they were broadcast
+    return orders.join(stack.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).select(record.alias("value"))
 
 
 def _crash_sql() -> str:

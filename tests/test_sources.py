@@ -179,3 +179,10 @@ def test_crash_logs_grow_in_number(spark, monkeypatch):
     sizes = [len(r["text"].split("Order:")) - 1 for r in logs.read_logs(spark, made.inputFiles()[0].rsplit("/", 1)[0], r"\.gz$").collect()]
     assert max(sizes) <= 50 and sum(sizes) == made.count() > 500
     assert not {"Window", "Exchange"} & set(made._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+
+
+def test_orders_of_crash_logs_are_not_broadcast(spark):
+    """Nine million orders in a file of 12 MB were, and took 1,547 MB of every task."""
+    from tessera import queries
+
+    assert "Broadcast" not in queries._crash_logs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
